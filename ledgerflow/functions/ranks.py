@@ -12,46 +12,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.scalars import HASH_BITS, count_edges_at_most
-from ledgerflow.sources.readers import materialise
+from ledgerflow.sources.readers import attach_row, materialise
 
 BUCKETS = 128
 HASH_BUCKET_BITS = 12
 
 
-def value_buckets(df: DataFrame, value: str, n: int = BUCKETS) -> Column:
-    """Bucket of ``value`` among ``n`` approximate global quantiles.
+def value_bucketed(df: DataFrame, value: str, n: int = BUCKETS) -> DataFrame:
+    """Adds ``_bucket``: the place of ``value`` among ``n`` approximate global quantiles.
 
-    The edges are one row of at most ``n - 1`` doubles from a mergeable sketch, so
-    the scalar subquery passes a bounded amount whatever the size of ``df``. They are
+    The edges are one row of at most ``n - 1`` doubles from a mergeable sketch. They are
     taken over all groups together: no (group, bucket) cell exceeds its share of the
     whole table, even when one group holds most rows.
     """
     levels = F.array(*[F.lit(i / n) for i in range(1, n)])
-    edges = df.agg(
-        F.array_distinct(F.percentile_approx(value, levels, 10 * n)).alias("edges")
-    ).scalar()
-    return count_edges_at_most(edges, F.col(value))
+    edges = df.agg(F.array_distinct(F.percentile_approx(value, levels, 10 * n)).alias("_edges"))
+    placed = attach_row(df, edges).withColumn("_bucket", count_edges_at_most(F.col("_edges"), F.col(value)))
+    return placed.drop("_edges")
 
 
-def hash_bucket(h: str) -> Column:
-    """Leading bits of a 60-bit hash: uniform, so evenly filled for distinct keys."""
-    return F.shiftright(F.col(h), HASH_BITS - HASH_BUCKET_BITS).cast("int")
+def hash_bucketed(df: DataFrame, h: str) -> DataFrame:
+    """Adds ``_bucket``: the leading bits of a 60-bit hash, evenly filled for distinct keys."""
+    return df.withColumn("_bucket", F.shiftright(F.col(h), HASH_BITS - HASH_BUCKET_BITS).cast("int"))
 
 
 def running_totals(
-    df: DataFrame,
+    d: DataFrame,
     by: list[str],
     order: list[Column],
-    bucket: Column,
     sums: dict[str, str],
     descending: bool = False,
 ) -> DataFrame:
     """Inclusive running sums of ``sums[name]`` as ``name``, per ``by``, along ``order``.
 
-    ``bucket`` must grow along ``order`` (fall when ``descending``). ``order`` must be
+    The ``_bucket`` column of ``d`` must grow along ``order`` (fall when ``descending``). ``order`` must be
     total inside a group, or ties must not matter to the caller.
     """
-    d = df.withColumn("_bucket", bucket)
     keys = [*by, "_bucket"]
     totals = d.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     step = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
@@ -71,16 +67,16 @@ def running_totals(
     ordered = d.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()])
     joined = ordered.join(offsets, keys)
     return joined.select(
-        *df.columns, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums]
+        *[c for c in d.columns if c != "_bucket"],
+        *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums],
     )
 
 
 def hash_rank(df: DataFrame, by: list[str], h: str, tie: list[str], name: str = "rank") -> DataFrame:
     """1-based rank by (hash, tie) inside ``by``; every task orders 1/4096 of the keys."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    ranked = running_totals(
-        one, by, [F.col(h), *[F.col(c) for c in tie]], hash_bucket(h), {name: "_one"}
-    )
+    order = [F.col(h), *[F.col(c) for c in tie]]
+    ranked = running_totals(hash_bucketed(one, h), by, order, {name: "_one"})
     return ranked.drop("_one")
 
 
@@ -94,7 +90,7 @@ def exact_quantiles(
     """
     d = counts.select(*by, F.col(value).alias("_v"), F.col(count).alias("_n"))
     d = d.where(F.col("_v").isNotNull())
-    d = d.withColumn("_bucket", value_buckets(d, "_v"))
+    d = value_bucketed(d, "_v")
     keys = [*by, "_bucket"]
     group = by or [F.lit(0)]
     cells = d.groupBy(*keys).agg(F.sum("_n").alias("_n"))

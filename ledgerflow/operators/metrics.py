@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.ranks import running_totals, value_buckets
+from ledgerflow.functions.ranks import running_totals, value_bucketed
+from ledgerflow.sources.readers import attach_row
 
 # The reported top shares.
 TOP_FRACTIONS = (0.01, 0.05, 0.10)
@@ -20,7 +21,7 @@ def cumulative_confusion(df: DataFrame, y: str, score: str, by: Sequence[str]) -
         F.sum(F.col(y).cast("bigint")).alias("p"), F.count(F.lit(1)).alias("n")
     ).withColumn("n", F.col("n") - F.col("p"))
     return running_totals(
-        steps, list(by), [F.desc("score")], value_buckets(steps, "score"), {"tp": "p", "fp": "n"}, descending=True
+        value_bucketed(steps, "score"), list(by), [F.desc("score")], {"tp": "p", "fp": "n"}, descending=True
     )
 
 
@@ -56,11 +57,11 @@ def top_fraction(
     by = list(by)
     one = df.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_score", F.col(score).cast("double"))
     ranked = running_totals(
-        one, by, [F.desc("_score"), *[F.asc(k) for k in key]], value_buckets(one, "_score"),
+        value_bucketed(one, "_score"), by, [F.desc("_score"), *[F.asc(k) for k in key]],
         {"rank": "_one"}, descending=True,
     ).drop("_one", "_score")
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    sized = ranked.join(sizes, by) if by else ranked.withColumn("_n", sizes.scalar())
+    sized = ranked.join(sizes, by) if by else attach_row(ranked, sizes)
     cuts = F.array(
         *[
             F.struct(

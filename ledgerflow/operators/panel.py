@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.ranks import exact_quantiles
 from ledgerflow.functions.scalars import count_edges_at_most
+from ledgerflow.sources.readers import attach_row
 
 # Share added to every bin, drift threshold, smallest usable coverage.
 PSI_EPSILON = 1e-6
@@ -177,10 +178,10 @@ def fit_standardiser(df: DataFrame, emb: str, floor: float = 1e-12) -> DataFrame
 
 def standardise(df: DataFrame, fitted: DataFrame, emb: str, clip: float | None = None) -> DataFrame:
     """Vectors centred and scaled; the fitted table is one row per dimension."""
-    book = fitted.agg(F.array_sort(F.collect_list(F.struct("dim", "center", "scale"))).alias("s")).scalar()
+    book = fitted.agg(F.array_sort(F.collect_list(F.struct("dim", "center", "scale"))).alias("_s"))
 
     def z(x, s):
         v = (x.cast("double") - s["center"]) / s["scale"]
         return v if clip is None else F.greatest(F.lit(-clip), F.least(F.lit(clip), v))
 
-    return df.withColumn("_s", book).withColumn(emb, F.zip_with(emb, "_s", z)).drop("_s")
+    return attach_row(df, book).withColumn(emb, F.zip_with(emb, "_s", z)).drop("_s")

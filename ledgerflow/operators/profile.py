@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.ranks import exact_quantiles, running_totals, value_buckets
+from ledgerflow.functions.ranks import exact_quantiles, running_totals, value_bucketed
 from ledgerflow.functions.scalars import count_edges_at_most, finite
 from ledgerflow.schema import ColumnSpec
+from ledgerflow.sources.readers import attach_row
 
 # The quantile grid of the passports.
 QUANTILE_LEVELS = (0.01, *[i / 20 for i in range(1, 20)], 0.99)
@@ -252,29 +253,25 @@ def structure_codes(
     """Discrete code per column and row, NULL for missing.
 
     The code books hold at most ``bins`` edges or ``max_categories`` values per column, so
-    they reach the rows as two literal-like scalar values and no row is shuffled."""
+    they reach the rows as one broadcast row each and no ledger row is shuffled."""
     counts = value_counts_long(df, specs)
     numeric, kept = structure_edges(counts, bins, max_categories)
     nums = [s.name for s in specs if s.kind == "numeric"]
     cats = [s.name for s in specs if s.kind == "categorical"]
     out = df
     if nums:
-        book = numeric.agg(
-            F.struct(*[F.max(F.when(F.col("column") == c, F.col("edges"))).alias(c) for c in nums])
-        ).scalar()
-        out = out.withColumn("_edges", book)
+        book = F.struct(*[F.max(F.when(F.col("column") == c, F.col("edges"))).alias(c) for c in nums])
+        out = attach_row(out, numeric.agg(book.alias("_edges")))
     if cats:
-        book = kept.agg(
-            F.struct(
-                *[
-                    F.map_from_entries(
-                        F.collect_list(F.when(F.col("column") == c, F.struct("value", "code")))
-                    ).alias(c)
-                    for c in cats
-                ]
-            )
-        ).scalar()
-        out = out.withColumn("_codes", book)
+        book = F.struct(
+            *[
+                F.map_from_entries(
+                    F.collect_list(F.when(F.col("column") == c, F.struct("value", "code")))
+                ).alias(c)
+                for c in cats
+            ]
+        )
+        out = attach_row(out, kept.agg(book.alias("_codes")))
     cols = []
     for s in specs:
         if s.kind == "numeric":
@@ -348,7 +345,7 @@ def dependency_matrix(
 def _average_ranks(cells: DataFrame, key: list[str], c: str) -> DataFrame:
     """Mid-rank of every distinct value of ``c`` per pair."""
     counts = cells.groupBy(*key, c).agg(F.sum("n").alias("_m"))
-    run = running_totals(counts, key, [F.asc(c)], value_buckets(counts, c), {"_upto": "_m"})
+    run = running_totals(value_bucketed(counts, c), key, [F.asc(c)], {"_upto": "_m"})
     rank = F.col("_upto") - F.col("_m") + (F.col("_m") + 1) / F.lit(2.0)
     return run.select(*key, c, rank.alias(f"_r{c}"))
 

@@ -111,6 +111,10 @@ def unseen_report(df: DataFrame, codes: DataFrame, c: str) -> DataFrame:
     return counts.join(codes.select(F.col("value").alias(c)), c, "left_anti")
 
 
+def _field(array: str, name: str) -> Column:
+    return F.transform(array, lambda e: e[name])
+
+
 def _sorted_events(schema: EventSchema, fields: Mapping[str, Column]) -> Column:
     """Oldest-first array of the group's events. Sort keys lead the struct, so the order
     is total; NULLs sort first."""
@@ -137,7 +141,7 @@ def feature_sequences(
     fields |= {c: F.col(c).cast("float") for c in schema.numerics}
     seq = coded.groupBy(schema.client, *keys).agg(_sorted_events(schema, fields).alias("_s"))
     return seq.select(
-        schema.client, *keys, *[F.transform("_s", lambda e, n=n: e[n]).alias(n) for n in fields]
+        schema.client, *keys, *[_field("_s", n).alias(n) for n in fields]
     )
 
 

@@ -60,3 +60,10 @@ def materialise(df: DataFrame) -> DataFrame:
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     kept.count()
     return kept
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Columns of a one-row aggregate on every row of ``df``. An aggregate without keys has
+    exactly one row, which is what makes this broadcast safe at any size of ``df``."""
+    one = F.lit(1).alias("_one_row")
+    return df.select("*", one).join(F.broadcast(row.select("*", one)), "_one_row").drop("_one_row")

@@ -171,8 +171,8 @@ def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str) ->
     """1-based position inside ``by`` along a total ``order``, for any orderable type.
 
     One distributed sort; a row's position is its index inside its sorted partition plus
-    the sizes of the partitions before it. The sorted rows are materialised so that both
-    uses see the same partitions.
+    the sizes of the partitions before it. The sorted rows are materialised with their
+    partition and index, so that both uses see the same ones.
     """
     position = F.monotonically_increasing_id()
     rows = materialise(

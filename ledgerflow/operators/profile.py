@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerflow.functions.ranks import exact_quantiles, running_totals, value_bucketed
 from ledgerflow.functions.scalars import count_edges_at_most, finite
 from ledgerflow.schema import ColumnSpec
-from ledgerflow.sources.readers import attach_row
+from ledgerflow.sources.readers import attach_row, materialise
 
 # The quantile grid of the passports.
 QUANTILE_LEVELS = (0.01, *[i / 20 for i in range(1, 20)], 0.99)
@@ -166,9 +166,12 @@ def numeric_profile(counts: DataFrame, n_columns: int) -> DataFrame:
     )
 
 
-def profile_columns(df: DataFrame, specs: Sequence[ColumnSpec]) -> DataFrame:
-    """One passport row per column; the fields of the other kind are NULL."""
-    counts = value_counts_long(df, specs)
+def profile_columns(
+    df: DataFrame, specs: Sequence[ColumnSpec], counts: DataFrame | None = None
+) -> DataFrame:
+    """One passport row per column; the fields of the other kind are NULL. The ledger is
+    read once: every field comes from the materialised value counts."""
+    counts = materialise(value_counts_long(df, specs)) if counts is None else counts
     return (
         base_profile(counts)
         .join(categorical_profile(counts), "column", "left")
@@ -248,13 +251,13 @@ def structure_edges(counts: DataFrame, bins: int, max_categories: int) -> tuple[
 
 def structure_codes(
     df: DataFrame, specs: Sequence[ColumnSpec], bins: int = 10, max_categories: int = 64,
-    keep: Sequence[str] = (),
+    keep: Sequence[str] = (), counts: DataFrame | None = None,
 ) -> DataFrame:
     """Discrete code per column and row, NULL for missing.
 
     The code books hold at most ``bins`` edges or ``max_categories`` values per column, so
     they reach the rows as one broadcast row each and no ledger row is shuffled."""
-    counts = value_counts_long(df, specs)
+    counts = materialise(value_counts_long(df, specs)) if counts is None else counts
     numeric, kept = structure_edges(counts, bins, max_categories)
     nums = [s.name for s in specs if s.kind == "numeric"]
     cats = [s.name for s in specs if s.kind == "categorical"]
@@ -304,13 +307,15 @@ def pair_counts(codes: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def dependency_matrix(
-    df: DataFrame, specs: Sequence[ColumnSpec], bins: int = 10, max_categories: int = 64, min_pairs: int = 30
+    df: DataFrame, specs: Sequence[ColumnSpec], bins: int = 10, max_categories: int = 64,
+    min_pairs: int = 30, counts: DataFrame | None = None,
 ) -> DataFrame:
     """(left, right, n_pairs, usable, nmi, distance) for every column pair.
 
     NMI is arithmetic: 2 I / (H_left + H_right), from pairwise-complete rows."""
     names = [s.name for s in specs]
-    pairs = pair_counts(structure_codes(df, specs, bins, max_categories), names)
+    # At most max_categories squared rows per pair of columns.
+    pairs = materialise(pair_counts(structure_codes(df, specs, bins, max_categories, counts=counts), names))
     key = ["left", "right"]
     n = F.col("n").cast("double")
 
@@ -339,6 +344,13 @@ def dependency_matrix(
     )
 
 
+def profile_source(df: DataFrame, specs: Sequence[ColumnSpec], **structure) -> tuple[DataFrame, DataFrame]:
+    """(passports, dependency matrix) of one table, both from the same value counts."""
+    counts = materialise(value_counts_long(df, specs))
+    passports = materialise(profile_columns(df, specs, counts))
+    return passports, dependency_matrix(df, specs, counts=counts, **structure)
+
+
 # -- rank correlation ------------------------------------------------------------------
 
 
@@ -365,6 +377,7 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         .groupBy(*key, "x", "y")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    joint = materialise(joint)
     rx, ry = _average_ranks(joint, key, "x"), _average_ranks(joint, key, "y")
     r = joint.join(rx, [*key, "x"]).join(ry, [*key, "y"])
     n, a, b = F.col("n"), F.col("_rx"), F.col("_ry")

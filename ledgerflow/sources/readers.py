@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,12 +55,34 @@ def rows_for_clients(
     return kept.select(*columns) if columns else kept
 
 
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir``. Only a local
+    session may go without it and gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    app = context.applicationId
+    if app not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_SCRATCH[app]
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute once, reuse. Also gives the planner the true size, so that later joins
-    broadcast the result only while it really is below the broadcast threshold."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    kept.count()
-    return kept
+    """Compute once, reuse: write a Parquet table to the shared folder and read it back.
+
+    The result survives lost executors, its plan is a bare scan whatever came before, and
+    the planner knows its true size, so later joins broadcast it only while it really is
+    below the broadcast threshold."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/ledgerflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:

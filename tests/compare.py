@@ -55,13 +55,12 @@ def rows_of(columns, rows):
     return sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-def compare(df, con, sql):
+def compare(df, got_rows, con, sql):
     """Empty string when equal, else the first difference."""
     rel = con.execute(sql)
     cols = [c[0] for c in rel.description]
     types = {c[0]: str(c[1]) for c in rel.description}
     want = rows_of(cols, rel.fetchall())
-    got_rows = df.collect()
     got = rows_of(df.columns, got_rows)
     if sorted(cols) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(cols)}"
@@ -90,14 +89,17 @@ if __name__ == "__main__":
     bad = 0
     for n in names:
         t = time.time()
+        took = 0.0
         try:
             df = queries[n](spark, sf_dir)
-            out = compare(df, con, oracles[n]) if n in oracles else f"rows only: {df.count()}"
+            rows = df.collect()
+            took = time.time() - t
+            out = compare(df, rows, con, oracles[n]) if n in oracles else f"rows only: {len(rows)}"
         except Exception as e:  # report and go on
             out = f"{type(e).__name__}: {str(e)[:700]}"
         fine = out == "" or out.startswith("rows only")
         bad += not fine
-        print(f"{'ok  ' if fine else 'FAIL'} {n} {time.time() - t:.1f}s {out}", flush=True)
+        print(f"{'ok  ' if fine else 'FAIL'} {n} {took:.1f}s (+{time.time() - t - took:.1f}s) {out}", flush=True)
         spark.catalog.clearCache()
     print(f"{len(names)} queries, {bad} failing")
     spark.stop()

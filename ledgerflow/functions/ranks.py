@@ -11,23 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.scalars import HASH_BITS, count_edges_at_most
+from ledgerflow.functions.scalars import HASH_BITS
 from ledgerflow.sources.readers import attach_row, materialise
 
-BUCKETS = 128
+BUCKET_BITS = 8
 HASH_BUCKET_BITS = 12
 
 
-def value_bucketed(df: DataFrame, value: str, n: int = BUCKETS) -> DataFrame:
-    """Adds ``_bucket``: the place of ``value`` among ``n`` approximate global quantiles.
+def value_bucketed(df: DataFrame, value: str, bits: int = BUCKET_BITS) -> DataFrame:
+    """Adds ``_bucket``: the place of ``value`` among ``2**bits`` approximate global quantiles.
 
-    The edges are one row of at most ``n - 1`` doubles from a mergeable sketch. They are
+    The edges are one row of ``2**bits - 1`` doubles from a mergeable sketch. They are
     taken over all groups together: no (group, bucket) cell exceeds its share of the
-    whole table, even when one group holds most rows.
+    whole table, even when one group holds most rows. A row finds its place by binary
+    search, one generated projection per bit.
     """
-    levels = F.array(*[F.lit(i / n) for i in range(1, n)])
-    edges = df.agg(F.array_distinct(F.percentile_approx(value, levels, 10 * n)).alias("_edges"))
-    placed = attach_row(df, edges).withColumn("_bucket", count_edges_at_most(F.col("_edges"), F.col(value)))
+    n = 2**bits
+    levels = F.lit([i / n for i in range(1, n)])
+    edges = df.agg(F.percentile_approx(value, levels, 10 * n).alias("_edges"))
+    placed = attach_row(df, edges).withColumn("_bucket", F.lit(0))
+    for bit in reversed(range(bits)):
+        step = 1 << bit
+        above = F.col(value) >= F.get("_edges", F.col("_bucket") + (step - 1))
+        placed = placed.withColumn("_bucket", F.col("_bucket") + F.when(above, step).otherwise(0))
     return placed.drop("_edges")
 
 
@@ -107,35 +113,16 @@ def exact_quantiles(
         F.col("_n").alias("_cell"),
         F.sum("_n").over(Window.partitionBy(*group)).alias("_total"),
     )
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("level"),
-                (F.lit(float(q)) * (F.col("_total") - 1)).alias("pos"),
-            )
-            for i, q in enumerate(levels)
-        ]
-    )
-    ranks = F.flatten(
-        F.transform(
-            wanted,
-            lambda w: F.array(
-                F.struct(
-                    w["level"].alias("level"), w["pos"].alias("pos"),
-                    F.floor(w["pos"]).alias("rank"),
-                ),
-                F.struct(
-                    w["level"].alias("level"), w["pos"].alias("pos"),
-                    F.ceil(w["pos"]).alias("rank"),
-                ),
-            ),
-        )
-    )
-    hits = F.filter(
-        ranks,
-        lambda r: (r["rank"] >= F.col("_start"))
-        & (r["rank"] < F.col("_start") + F.col("_cell")),
+    positions = F.transform(
+        F.lit([float(q) for q in levels]),
+        lambda q, i: F.struct(i.alias("level"), (q * (F.col("_total") - 1)).alias("pos")),
     )
+
+    def inside(rank):
+        return (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_cell"))
+
+    cells = cells.withColumn("_wanted", positions)
+    hits = F.filter("_wanted", lambda w: inside(F.floor(w["pos"])) | inside(F.ceil(w["pos"])))
     cells = cells.select(*keys, "_start", hits.alias("_hits")).where(F.size("_hits") > 0)
     near = d.join(cells, keys)
     upto = F.col("_start") + F.sum("_n").over(
@@ -144,24 +131,19 @@ def exact_quantiles(
         )
     )
     near = near.select(*by, "_v", "_n", "_hits", upto.alias("_upto"))
-    found = near.select(
-        *by,
-        "_v",
-        F.explode(
-            F.filter(
-                "_hits",
-                lambda r: (r["rank"] < F.col("_upto"))
-                & (r["rank"] >= F.col("_upto") - F.col("_n")),
-            )
-        ).alias("_hit"),
-    )
-    points = found.groupBy(*by, F.col("_hit.level").alias("_level")).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_hit.pos").alias("_pos")
+
+    def here(rank):
+        return (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
+
+    mine = F.filter("_hits", lambda w: here(F.floor(w["pos"])) | here(F.ceil(w["pos"])))
+    found = near.where(F.size(mine) > 0).select(*by, "_v", F.inline(mine))
+    points = found.groupBy(*by, "level").agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("pos").alias("_pos")
     )
     q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
     return points.groupBy(*by).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("_level", q.alias("_q")))),
+            F.array_sort(F.collect_list(F.struct("level", q.alias("_q")))),
             lambda x: x["_q"],
         ).alias("quantiles")
     )

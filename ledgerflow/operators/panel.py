@@ -64,8 +64,9 @@ def _once(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
     """Fails inside the join job if a key repeats: the count rides on the window the join
     needs anyway, so the 1:1 check costs no extra pass over the data."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    guard = F.when(n > 1, F.raise_error(F.lit(f"{what} contain duplicate client-date keys")).cast("boolean"))
-    return df.where(F.coalesce(guard, F.lit(True)))
+    error = F.raise_error(F.lit(f"{what} contain duplicate client-date keys")).cast("boolean")
+    counted = df.withColumn("_n", n)
+    return counted.where(F.when(F.col("_n") == 1, F.lit(True)).otherwise(error)).drop("_n")
 
 
 def join_panel(targets: DataFrame, panel: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -137,7 +138,7 @@ def psi_by_dimension(panel: DataFrame, date: str, emb: str, n_bins: int = 10) ->
     edges = F.broadcast(edges.select("dim", inner.alias("edges")))
     counts = (
         cells.join(edges, "dim")
-        .groupBy(date, "_ref", "dim", F.size("edges").alias("n_edges"), count_edges_at_most(F.col("edges"), F.col("v")).alias("bin"))
+        .groupBy(date, "_ref", "dim", F.size("edges").alias("n_edges"), count_edges_at_most(F.col("edges"), F.col("v"), n_bins - 1).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     total = F.sum("n").over(Window.partitionBy(date, "dim"))

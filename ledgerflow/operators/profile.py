@@ -279,7 +279,7 @@ def structure_codes(
     for s in specs:
         if s.kind == "numeric":
             v = finite(s.name)
-            code = F.when(v.isNotNull(), count_edges_at_most(F.col(f"_edges.{s.name}"), v))
+            code = F.when(v.isNotNull(), count_edges_at_most(F.col(f"_edges.{s.name}"), v, bins - 1))
         else:
             v = category_value(df, s.name)
             code = F.when(v.isNotNull(), F.coalesce(F.element_at(F.col(f"_codes.{s.name}"), v), F.lit(0)))

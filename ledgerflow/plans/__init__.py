@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ledger_queries", "sequence_queries", "profile_queries", "match_queries")
+MODULES = ("ledger_queries", "sequence_queries", "profile_queries", "match_queries", "panel_queries")
 
 
 def load_all() -> None:

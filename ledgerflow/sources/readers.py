@@ -90,3 +90,10 @@ def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
     exactly one row, which is what makes this broadcast safe at any size of ``df``."""
     one = F.lit(1).alias("_one_row")
     return df.select("*", one).join(F.broadcast(row.select("*", one)), "_one_row").drop("_one_row")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the session has cores (a small file
+    with one row group); anything larger is returned as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

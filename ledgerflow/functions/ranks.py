@@ -16,6 +16,7 @@ from ledgerflow.sources.readers import attach_row, materialise
 
 BUCKET_BITS = 8
 HASH_BUCKET_BITS = 12
+SMALL_ROWS = 1_000_000
 
 
 def value_bucketed(df: DataFrame, value: str, bits: int = BUCKET_BITS) -> DataFrame:
@@ -27,13 +28,13 @@ def value_bucketed(df: DataFrame, value: str, bits: int = BUCKET_BITS) -> DataFr
     search, one generated projection per bit.
     """
     n = 2**bits
-    levels = F.lit([i / n for i in range(1, n)])
+    levels = F.expr(f"array({', '.join(f'{i / n}D' for i in range(1, n))})")
     edges = df.agg(F.percentile_approx(value, levels, 10 * n).alias("_edges"))
     placed = attach_row(df, edges).withColumn("_bucket", F.lit(0))
     for bit in reversed(range(bits)):
         step = 1 << bit
-        above = F.col(value) >= F.get("_edges", F.col("_bucket") + (step - 1))
-        placed = placed.withColumn("_bucket", F.col("_bucket") + F.when(above, step).otherwise(0))
+        above = f"`{value}` >= get(_edges, _bucket + {step - 1})"
+        placed = placed.withColumn("_bucket", F.expr(f"_bucket + IF({above}, {step}, 0)"))
     return placed.drop("_edges")
 
 
@@ -87,66 +88,50 @@ def hash_rank(df: DataFrame, by: list[str], h: str, tie: list[str], name: str =
 
 
 def exact_quantiles(
-    counts: DataFrame, by: list[str], value: str, count: str, levels: list[float]
+    counts: DataFrame, by: list[str], value: str, count: str, levels: list[float],
+    small: int = SMALL_ROWS,
 ) -> DataFrame:
     """Linear-interpolated quantiles per ``by`` from (value, count) rows.
 
-    Only the buckets that hold a wanted rank are ordered. Output: ``by`` columns,
-    ``quantiles`` (array in the order of ``levels``).
-    """
+    ``counts`` is read more than once and should be materialised. Up to ``small`` rows the
+    built-in weighted percentile, which gathers a group in one task, does it in one step.
+    Beyond that only the buckets that hold a wanted rank are ordered, each on its own.
+    Output: ``by`` columns, ``quantiles`` (array in the order of ``levels``)."""
     d = counts.select(*by, F.col(value).alias("_v"), F.col(count).alias("_n"))
-    d = d.where(F.col("_v").isNotNull())
+    d = d.where("_v IS NOT NULL")
+    wanted = f"array({', '.join(f'{float(q)}D' for q in levels)})"
+    if d.limit(small + 1).count() <= small:
+        return d.groupBy(*by).agg(F.expr(f"percentile(_v, {wanted}, _n)").alias("quantiles")).where("quantiles IS NOT NULL")
     d = value_bucketed(d, "_v")
     keys = [*by, "_bucket"]
     group = by or [F.lit(0)]
-    cells = d.groupBy(*keys).agg(F.sum("_n").alias("_n"))
-    cells = cells.select(
-        *keys,
-        F.coalesce(
-            F.sum("_n").over(
-                Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
-                    Window.unboundedPreceding, -1
-                )
-            ),
-            F.lit(0),
-        ).alias("_start"),
-        F.col("_n").alias("_cell"),
-        F.sum("_n").over(Window.partitionBy(*group)).alias("_total"),
+    cells = d.groupBy(*keys).agg(F.sum("_n").alias("_cell"))
+    upto = F.sum("_cell").over(
+        Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     )
-    positions = F.transform(
-        F.lit([float(q) for q in levels]),
-        lambda q, i: F.struct(i.alias("level"), (q * (F.col("_total") - 1)).alias("pos")),
+    total = F.sum("_cell").over(Window.partitionBy(*group))
+    cells = cells.select(*keys, "_cell", (upto - F.col("_cell")).alias("_start"), total.alias("_total"))
+    cells = cells.withColumn(
+        "_hits", F.expr(f"transform({wanted}, (q, i) -> struct(i AS level, q * (_total - 1) AS pos))")
     )
 
-    def inside(rank):
-        return (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_cell"))
+    def inside(lo: str, hi: str) -> str:
+        ranks = [f"{r}(w.pos) >= {lo} AND {r}(w.pos) < {hi}" for r in ("floor", "ceil")]
+        return f"filter(_hits, w -> ({ranks[0]}) OR ({ranks[1]}))"
 
-    cells = cells.withColumn("_wanted", positions)
-    hits = F.filter("_wanted", lambda w: inside(F.floor(w["pos"])) | inside(F.ceil(w["pos"])))
-    cells = cells.select(*keys, "_start", hits.alias("_hits")).where(F.size("_hits") > 0)
-    near = d.join(cells, keys)
+    cells = cells.select(*keys, "_start", F.expr(inside("_start", "_start + _cell")).alias("_hits"))
+    near = d.join(cells.where("size(_hits) > 0"), keys)
     upto = F.col("_start") + F.sum("_n").over(
-        Window.partitionBy(*keys).orderBy("_v").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
+        Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
     near = near.select(*by, "_v", "_n", "_hits", upto.alias("_upto"))
-
-    def here(rank):
-        return (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
-
-    mine = F.filter("_hits", lambda w: here(F.floor(w["pos"])) | here(F.ceil(w["pos"])))
-    found = near.where(F.size(mine) > 0).select(*by, "_v", F.inline(mine))
-    points = found.groupBy(*by, "level").agg(
+    near = near.withColumn("_hits", F.expr(inside("_upto - _n", "_upto"))).where("size(_hits) > 0")
+    points = near.select(*by, "_v", F.inline("_hits")).groupBy(*by, "level").agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("pos").alias("_pos")
     )
-    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
-    return points.groupBy(*by).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("level", q.alias("_q")))),
-            lambda x: x["_q"],
-        ).alias("quantiles")
-    )
+    q = F.expr("struct(level, _lo + (_hi - _lo) * (_pos - floor(_pos)) AS q)")
+    ordered = F.array_sort(F.collect_list(q)).alias("_q")
+    return points.groupBy(*by).agg(ordered).select(*by, F.expr("transform(_q, x -> x.q)").alias("quantiles"))
 
 
 def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:

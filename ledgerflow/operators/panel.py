@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.ranks import exact_quantiles
 from ledgerflow.functions.scalars import count_edges_at_most
-from ledgerflow.sources.readers import attach_row
+from ledgerflow.sources.readers import attach_row, materialise
 
 # Share added to every bin, drift threshold, smallest usable coverage.
 PSI_EPSILON = 1e-6
@@ -131,7 +131,7 @@ def psi_by_dimension(panel: DataFrame, date: str, emb: str, n_bins: int = 10) ->
         date, "_ref", F.posexplode(F.col(emb).cast("array<double>")).alias("dim", "v")
     )
     ref = cells.where("_ref").groupBy("dim", "v").agg(F.count(F.lit(1)).alias("n"))
-    edges = exact_quantiles(ref, ["dim"], "v", "n", [i / n_bins for i in range(n_bins + 1)])
+    edges = exact_quantiles(materialise(ref), ["dim"], "v", "n", [i / n_bins for i in range(n_bins + 1)])
     distinct = F.array_distinct("quantiles")
     inner = F.slice(distinct, 2, F.greatest(F.size(distinct) - 2, F.lit(0)))
     # One row of at most n_bins doubles per embedding dimension.

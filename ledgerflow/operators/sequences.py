@@ -236,7 +236,7 @@ def interval_stats(capped: DataFrame, schema: EventSchema, train: DataFrame) ->
     """p99 of the train clients' inter-event days and the mean of the intervals up to it."""
     gaps = _client_gaps(capped.join(train.select(schema.client), schema.client, "left_semi"), schema)
     days = gaps.where(F.col("gap").isNotNull()).select((F.col("gap") / F.lit(86400.0)).alias("days"))
-    counts = days.groupBy("days").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(days.groupBy("days").agg(F.count(F.lit(1)).alias("n")))
     p99 = exact_quantiles(counts, [], "days", "n", [0.99]).select(F.col("quantiles")[0].alias("p99"))
     kept = counts.withColumn("p99", p99.scalar())
     return kept.groupBy("p99").agg(

@@ -16,7 +16,7 @@ from ledgerflow.sources.readers import attach_row, materialise
 
 BUCKET_BITS = 8
 HASH_BUCKET_BITS = 12
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 100_000
 
 
 def value_bucketed(df: DataFrame, value: str, bits: int = BUCKET_BITS) -> DataFrame:

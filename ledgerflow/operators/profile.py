@@ -137,7 +137,7 @@ def quantile_shape(lo: Column, hi: Column) -> list[Column]:
     return [scale.alias("quantile_scale"), fallback.alias("quantile_fallback"), shape.alias("quantile_shape")]
 
 
-def numeric_profile(counts: DataFrame, n_columns: int) -> DataFrame:
+def numeric_profile(counts: DataFrame) -> DataFrame:
     """Range, moments, zero and integer shares, 21 exact quantiles and their shape."""
     c = counts.where((F.col("kind") == "numeric") & F.col("d").isNotNull())
     n, v = F.col("n"), F.col("d")
@@ -175,7 +175,7 @@ def profile_columns(
     return (
         base_profile(counts)
         .join(categorical_profile(counts), "column", "left")
-        .join(numeric_profile(counts, len(specs)), "column", "left")
+        .join(numeric_profile(counts), "column", "left")
     )
 
 
@@ -256,33 +256,29 @@ def structure_codes(
     """Discrete code per column and row, NULL for missing.
 
     The code books hold at most ``bins`` edges or ``max_categories`` values per column, so
-    they reach the rows as one broadcast row each and no ledger row is shuffled."""
+    they are broadcast and no ledger row is shuffled."""
     counts = materialise(value_counts_long(df, specs)) if counts is None else counts
     numeric, kept = structure_edges(counts, bins, max_categories)
+    types = dict(df.dtypes)
     nums = [s.name for s in specs if s.kind == "numeric"]
-    cats = [s.name for s in specs if s.kind == "categorical"]
     out = df
     if nums:
         book = F.struct(*[F.max(F.when(F.col("column") == c, F.col("edges"))).alias(c) for c in nums])
         out = attach_row(out, numeric.agg(book.alias("_edges")))
-    if cats:
-        book = F.struct(
-            *[
-                F.map_from_entries(
-                    F.collect_list(F.when(F.col("column") == c, F.struct("value", "code")))
-                ).alias(c)
-                for c in cats
-            ]
-        )
-        out = attach_row(out, kept.agg(book.alias("_codes")))
+    if len(nums) < len(specs):
+        kept = materialise(kept)
     cols = []
-    for s in specs:
+    for i, s in enumerate(specs):
         if s.kind == "numeric":
             v = finite(s.name)
             code = F.when(v.isNotNull(), count_edges_at_most(F.col(f"_edges.{s.name}"), v, bins - 1))
         else:
-            v = category_value(df, s.name)
-            code = F.when(v.isNotNull(), F.coalesce(F.element_at(F.col(f"_codes.{s.name}"), v), F.lit(0)))
+            v = finite(s.name) if types[s.name] in ("double", "float") else F.col(s.name)
+            own = kept.where(F.col("column") == s.name).select(
+                F.col("value").cast(types[s.name]).alias(f"_v{i}"), F.col("code").alias(f"_c{i}")
+            )
+            out = out.join(F.broadcast(own), v == F.col(f"_v{i}"), "left")
+            code = F.when(v.isNotNull(), F.coalesce(f"_c{i}", F.lit(0)))
         cols.append(code.cast("int").alias(s.name))
     return out.select(*keep, *cols)
 
@@ -297,10 +293,9 @@ def pair_counts(codes: DataFrame, names: Sequence[str]) -> DataFrame:
         for i, a in enumerate(names)
         for b in names[i + 1:]
     ]
-    # All columns first: a row set with few distinct code tuples collapses here already.
     return (
         codes.select(F.inline(F.array(*cells)))
-        .where(F.col("u").isNotNull() & F.col("v").isNotNull())
+        .where("u IS NOT NULL AND v IS NOT NULL")
         .groupBy("left", "right", "u", "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )

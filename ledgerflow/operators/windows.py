@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.schema import EventSchema
 
+UNROLLED_DATES = 64
+
 
 def latest_events(events: DataFrame, n: int, schema: EventSchema) -> DataFrame:
     """The ``n`` newest events per client. ``row_number <= n`` prunes every map task to
@@ -18,13 +20,52 @@ def latest_events(events: DataFrame, n: int, schema: EventSchema) -> DataFrame:
     return events.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def _grid(dates: Sequence[str | date]):
+def _grid(dates: Sequence[str | date]) -> list[date]:
     days = sorted({date.fromisoformat(str(d)) for d in dates})
     if not days:
         raise ValueError("no target dates")
     return days
 
 
+class _Grid:
+    """Sorted target dates with their trailing windows.
+
+    An event lies in the windows from the first date it precedes to the last one whose
+    start it follows: both are counts over the grid, so its windows are a slice of the
+    grid. No join with the dates is needed."""
+
+    def __init__(self, t: Column, dates: Sequence[str | date], months: int, include_cutoff: bool):
+        days = _grid(dates)
+        self.t, self.months, self.include_cutoff = t, months, include_cutoff
+        self.ends = F.array(*[F.lit(d) for d in days])
+        self.bounds = self.before(F.lit(days[-1])) & (t > self.start(F.lit(days[0])))
+        self.passed = self._count(days, lambda d: ~self.before(d))
+        self.started = self._count(days, lambda d: t > self.start(d))
+
+    def start(self, d: Column) -> Column:
+        return F.add_months(d, -self.months)
+
+    def before(self, d: Column) -> Column:
+        return self.t <= d if self.include_cutoff else self.t < d
+
+    def _count(self, days: list[date], test) -> Column:
+        if len(days) > UNROLLED_DATES:
+            return F.size(F.filter(self.ends, test))
+        total = F.lit(0)
+        for d in days:
+            total = total + F.when(test(F.lit(d)), 1).otherwise(0)
+        return total
+
+    @staticmethod
+    def explode(df: DataFrame, ends: Column) -> DataFrame:
+        mine = F.slice(ends, F.col("_passed") + 1, F.col("_started") - F.col("_passed"))
+        return df.withColumn("target_date", F.explode(mine)).drop("_passed", "_started")
+
+    def place(self, df: DataFrame) -> DataFrame:
+        placed = df.where(self.bounds).withColumns({"_passed": self.passed, "_started": self.started})
+        return placed.where("_started > _passed")
+
+
 def windows(
     events: DataFrame,
     schema: EventSchema,
@@ -36,43 +77,26 @@ def windows(
     """History of each (client, target date): ``t > d - months`` and ``t < d`` (``<=``
     with ``include_cutoff``), newest ``max_events`` kept.
 
-    The date grid is an argument, so an event finds its windows by a filter over a
-    literal array rather than by a join. Windows overlap, and shuffling the exploded
-    rows would move each event once per window. Instead the cap is applied first per
-    (client, grid segment): no window ever splits a segment, hence the newest N of a
-    segment contain the newest N of every window. That bounds a client to N rows per
-    segment, the rows are then placed by client alone, and the windows are exploded
-    and capped behind that exchange.
+    Windows overlap, and shuffling the exploded rows would move each event once per
+    window. Instead the cap is applied first per (client, grid segment): no window ever
+    splits a segment, hence the newest N of a segment contain the newest N of every
+    window. That bounds a client to N rows per segment, the rows are then placed by client
+    alone, and the windows are exploded and capped behind that exchange.
     """
-    grid = _grid(dates)
-    t = F.col(schema.time)
-    ends = F.array(*[F.lit(d) for d in grid])
-
-    def starts(d):
-        return F.add_months(d, -months)
-
-    def before(d):
-        return t <= d if include_cutoff else t < d
-
-    bounded = events.where(before(F.lit(grid[-1])) & (t > starts(F.lit(grid[0]))))
-    mine = F.filter(ends, lambda d: before(d) & (t > starts(d)))
+    grid = _Grid(F.col(schema.time), dates, months, include_cutoff)
+    placed = grid.place(events)
     if max_events is None:
-        return bounded.withColumn("target_date", F.explode(mine))
-    segment = F.size(F.filter(ends, lambda d: ~before(d))) + F.size(
-        F.filter(ends, lambda d: t > starts(d))
-    )
-    by_segment = Window.partitionBy(schema.client, "_segment").orderBy(*schema.newest_first())
+        return grid.explode(placed, grid.ends)
+    by_segment = Window.partitionBy(schema.client, "_passed", "_started").orderBy(*schema.newest_first())
     by_window = Window.partitionBy(schema.client, "target_date").orderBy(*schema.newest_first())
     capped = (
-        bounded.where(F.size(mine) > 0)
-        .withColumn("_segment", segment)
-        .withColumn("_rn", F.row_number().over(by_segment))
+        placed.withColumn("_rn", F.row_number().over(by_segment))
         .where(F.col("_rn") <= max_events)
-        .drop("_segment", "_rn")
+        .drop("_rn")
+        .repartition(schema.client)
     )
     return (
-        capped.repartition(schema.client)
-        .withColumn("target_date", F.explode(mine))
+        grid.explode(capped, grid.ends)
         .withColumn("_rn", F.row_number().over(by_window))
         .where(F.col("_rn") <= max_events)
         .drop("_rn")
@@ -105,19 +129,13 @@ def window_series(
     window's start day and the date, zero where nothing happened. Clients without a
     single day in a window get no row. ``daily`` has one row per client and day, so an
     array never exceeds the days of a window."""
-    grid = _grid(dates)
-    ends = F.array(*[F.lit(d) for d in grid])
-    t = F.col(day)
+    grid = _Grid(F.col(day), dates, months, include_cutoff=False)
 
     def starts(d):
         return F.add_months(d, -months)
 
-    mine = F.filter(ends, lambda d: (t < d) & (t > starts(d)))
-    rows = (
-        daily.where((t < F.lit(grid[-1])) & (t > starts(F.lit(grid[0]))))
-        .withColumn("target_date", F.explode(mine))
-        .withColumn("_pos", F.date_diff(t, starts(F.col("target_date"))))
-    )
+    rows = grid.explode(grid.place(daily), grid.ends)
+    rows = rows.withColumn("_pos", F.date_diff(day, starts(F.col("target_date"))))
     grouped = rows.groupBy(client, "target_date").agg(
         F.map_from_entries(F.collect_list(F.struct("_pos", F.col(value).cast("float")))).alias("_m")
     )

@@ -114,12 +114,12 @@ def _v1_sql(n: str, where: str, names: dict) -> str:
 
 
 def v1_passports(df, specs):
-    counts = P.value_counts_long(df, specs)
+    counts = materialise(P.value_counts_long(df, specs))
     hist = P.equal_width_hist(counts).withColumn("share", F.round("share", 6))
     shares = hist.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("bin", "share"))).alias("h"))
     shares = shares.select("column", F.transform("h", lambda x: x["share"]).alias("hist"))
     cat = P.categorical_profile_v1(counts).select("column", "entropy_norm", "top1_share")
-    num = P.numeric_profile(counts, len(specs)).select("column", F.round("zero_share", 4).alias("zero_share"))
+    num = P.numeric_profile(counts).select("column", F.round("zero_share", 4).alias("zero_share"))
     num_e = P.hist_entropy(hist).select("column", F.round("entropy_norm", 4).alias("_e"))
     base = P.base_profile(counts).select("column", "kind", "n_unique", "n_valid")
     j = base.join(cat, "column", "left").join(num, "column", "left").join(num_e, "column", "left").join(shares, "column", "left")

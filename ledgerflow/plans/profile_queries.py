@@ -8,6 +8,7 @@ from ledgerflow.operators import profile as P
 from ledgerflow.plans.registry import query
 from ledgerflow.plans.standins import CATEGORIES, LEDGER_SQL, NUMERICS, SPECS, ledger, table
 from ledgerflow.schema import ColumnSpec
+from ledgerflow.sources.readers import materialise
 
 LEVELS = "[" + ", ".join(str(q) for q in P.QUANTILE_LEVELS) + "]"
 BINS, MAX_CATEGORIES = 10, 8
@@ -18,7 +19,7 @@ LONG_SQL = f"cats AS ({_CAT_LONG}), nums AS ({_NUM_LONG})"
 
 
 def counts(spark, sf):
-    return P.value_counts_long(ledger(spark, sf), SPECS)
+    return materialise(P.value_counts_long(ledger(spark, sf), SPECS))
 
 
 def rounded(df, k, *cols):
@@ -70,7 +71,7 @@ _NUMERIC = f"""WITH {LEDGER_SQL}, {LONG_SQL}, q AS (SELECT "column", count(DISTI
     round(integer_share, 9) AS integer_share, CASE k WHEN 1 THEN 'constant' WHEN 2 THEN 'binary' ELSE 'continuous' END AS numeric_subtype,
     round(q[2], 4) AS q05, round(q[6], 4) AS q25, round(q[11], 4) AS q50, round(q[16], 4) AS q75, round(q[20], 4) AS q95 FROM q""")
 def _(spark, sf):
-    p = P.numeric_profile(counts(spark, sf), len(SPECS))
+    p = P.numeric_profile(counts(spark, sf))
     q = {"q05": 1, "q25": 5, "q50": 10, "q75": 15, "q95": 19}
     p = rounded(p, 9, "zero_share", "integer_share")
     p = rounded(p, 4, "mean", "std")
@@ -97,7 +98,7 @@ def _(spark, sf):
         F.when(F.col("event_id") == 0, 1.0).otherwise(0.0).alias("rare"), F.lit(1.0).alias("flat"),
     )
     specs = [ColumnSpec(c, "numeric") for c in e.columns]
-    p = P.numeric_profile(P.value_counts_long(e, specs), len(specs))
+    p = P.numeric_profile(materialise(P.value_counts_long(e, specs)))
     return p.select(
         "column", F.round("quantile_scale", 6).alias("scale"), F.col("quantile_fallback").alias("fallback"),
         F.posexplode("quantile_shape").alias("level", "shape"),
@@ -155,12 +156,12 @@ _PAIRS = " UNION ALL ".join(
 
 @query("structure_codes", f"WITH {LEDGER_SQL}, {CODES_SQL} SELECT {', '.join(_NAMES)}, count(*) AS n FROM codes GROUP BY ALL")
 def _(spark, sf):
-    return P.structure_codes(ledger(spark, sf), SPECS, BINS, MAX_CATEGORIES).groupBy(*_NAMES).agg(F.count(F.lit(1)).alias("n"))
+    return P.structure_codes(materialise(ledger(spark, sf)), SPECS, BINS, MAX_CATEGORIES).groupBy(*_NAMES).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("pair_support", f"""WITH {LEDGER_SQL}, {CODES_SQL}, p AS ({_PAIRS}) SELECT "left", "right", count(*) AS n_pairs, count(DISTINCT (u, v)) AS n_cells FROM p GROUP BY 1, 2""")
 def _(spark, sf):
-    codes = P.structure_codes(ledger(spark, sf), SPECS, BINS, MAX_CATEGORIES)
+    codes = P.structure_codes(materialise(ledger(spark, sf)), SPECS, BINS, MAX_CATEGORIES)
     return P.pair_counts(codes, _NAMES).groupBy("left", "right").agg(F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_cells"))
 
 
@@ -172,7 +173,7 @@ def _(spark, sf):
     CASE WHEN n_pairs >= 30 AND ku > 1 AND kv > 1 THEN round(2 * i / (hu + hv), 8) + 0.0 END AS nmi,
     round(CASE WHEN n_pairs >= 30 AND ku > 1 AND kv > 1 THEN 1 - greatest(0, least(1, 2 * i / (hu + hv))) ELSE 1 END, 8) AS distance FROM s""")
 def _(spark, sf):
-    m = P.dependency_matrix(ledger(spark, sf), SPECS, BINS, MAX_CATEGORIES, 30)
+    m = P.dependency_matrix(materialise(ledger(spark, sf)), SPECS, BINS, MAX_CATEGORIES, 30)
     return rounded(m, 8, "nmi", "distance").withColumn("nmi", F.col("nmi") + F.lit(0.0))
 
 

@@ -13,6 +13,7 @@ from ledgerflow.plans.standins import (
     CATEGORIES, FEATURES_ASC, LEDGER, LEDGER_SQL, MAX_EVENTS, capped_sql, ledger, sql_hash, sql_uniform, table,
 )
 from ledgerflow.schema import EventSchema
+from ledgerflow.sources.readers import materialise
 
 FRACTION, SEED = 0.2, 0
 
@@ -33,7 +34,8 @@ vocab AS (SELECT "column", value, count(*) AS count, row_number() OVER (PARTITIO
 
 
 def capped(spark, sf):
-    return latest_events(ledger(spark, sf), MAX_EVENTS, LEDGER)
+    """The prepared ledger all sequence work starts from; written once, read often."""
+    return materialise(latest_events(ledger(spark, sf), MAX_EVENTS, LEDGER))
 
 
 def split(cap):

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.ranks import running_totals, value_bucketed
+from ledgerflow.functions.ranks import number_rows, running_totals, value_bucketed
 from ledgerflow.sources.readers import attach_row
 
 # The reported top shares.
@@ -53,13 +53,11 @@ def top_fraction(
     df: DataFrame, score: str, by: Sequence[str], key: Sequence[str], fractions: Sequence[float] = TOP_FRACTIONS
 ) -> DataFrame:
     """Rows ranked by (score desc, key asc) with the fractions whose top
-    k = max(1, round-half-even(fraction * n)) they belong to."""
+    k = max(1, round-half-even(fraction * n)) they belong to. The sort is cut by score and
+    key together, so even one score shared by most rows is ordered by many tasks."""
     by = list(by)
-    one = df.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_score", F.col(score).cast("double"))
-    ranked = running_totals(
-        value_bucketed(one, "_score"), by, [F.desc("_score"), *[F.asc(k) for k in key]],
-        {"rank": "_one"}, descending=True,
-    ).drop("_one", "_score")
+    order = [F.col(score).cast("double").desc(), *[F.asc(k) for k in key]]
+    ranked = number_rows(df, by, order, "rank")
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     sized = ranked.join(sizes, by) if by else attach_row(ranked, sizes)
     cuts = F.array(

@@ -27,6 +27,12 @@ def _grid(dates: Sequence[str | date]) -> list[date]:
     return days
 
 
+def in_order(events: DataFrame, schema: EventSchema) -> DataFrame:
+    """A capped ledger with each client's events together, oldest first, NULLs first."""
+    placed = events.repartition(schema.client)
+    return placed.sortWithinPartitions(F.col(schema.client), *schema.oldest_first())
+
+
 class _Grid:
     """Sorted target dates with their trailing windows.
 

@@ -19,7 +19,7 @@ from ledgerflow.plans.standins import (
     CATEGORIES, FEATURES_DESC, LEDGER, LEDGER_SQL, NUMERICS, PANEL_SQL, SCORES_SQL, TARGETS_SQL, ledger, panel, scores,
     sql_hash, table, targets,
 )
-from ledgerflow.sources.readers import materialise, scratch_dir
+from ledgerflow.sources.readers import attach_row, materialise, scratch_dir
 
 KEYS = ["id", "date"]
 
@@ -432,8 +432,6 @@ def _(spark, sf):
     candidates = [X.TreeParams(3, 5, 0.1, 1.0, 5), X.TreeParams(2, 20, 0.2, 0.7, 5)]
     metrics, trials, chosen = X.tune_and_test(_probe_panel(spark, sf), "y2", "emb", "id", KEYS, candidates, 500)
     best = trials.agg(F.max("val_pr_auc").alias("best_val_pr_auc"), F.count(F.lit(1)).alias("trials"))
-    from ledgerflow.sources.readers import attach_row
-
     return attach_row(metrics, best).withColumn("rounds", F.lit(chosen.rounds))
 
 

@@ -58,16 +58,7 @@ def _valid() -> Column:
 
 def base_profile(counts: DataFrame) -> DataFrame:
     """Rows, valid rows, null share, exact distinct count and uniqueness per column."""
-    base = counts.groupBy("column", "kind").agg(
-        F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(_valid(), F.col("n"))), F.lit(0)).alias("n_valid"),
-        F.count_if(_valid()).alias("n_unique"),
-    )
-    return base.select(
-        "*",
-        (F.lit(1.0) - F.col("n_valid") / F.col("n_rows")).alias("null_share"),
-        (F.col("n_unique") / F.col("n_rows")).alias("uniqueness"),
-    )
+    return _statistics(counts).select("column", "kind", "n_rows", "n_valid", "n_unique", *_shares())
 
 
 def base_profile_approx(df: DataFrame, specs: Sequence[ColumnSpec], rsd: float = 0.02) -> DataFrame:
@@ -100,22 +91,50 @@ def _entropy(total: Column, sum_n_log_n: Column) -> Column:
     return F.log2(total) - sum_n_log_n / total
 
 
+def _top3(counts: DataFrame) -> DataFrame:
+    c = counts.where("kind = 'categorical' AND s IS NOT NULL")
+    return category_ranks(c, 3).groupBy("column").agg(F.sum("n").alias("_top3"))
+
+
+def _statistics(counts: DataFrame) -> DataFrame:
+    """Every passport ingredient that one aggregation of the value counts gives."""
+    s, d, n = F.col("s").isNotNull(), F.col("d"), F.col("n")
+    x = n.cast("double")
+    num = F.when(d.isNotNull(), n)
+    return counts.groupBy("column", "kind").agg(
+        F.sum(n).alias("n_rows"),
+        F.coalesce(F.sum(F.when(_valid(), n)), F.lit(0)).alias("n_valid"),
+        F.count_if(_valid()).alias("n_unique"),
+        F.sum(F.when(s, x * F.log2(x))).alias("_nlogn"),
+        F.max(F.when(s, x)).alias("_top1"),
+        F.min(d).alias("min"), F.max(d).alias("max"),
+        (F.sum(d * n) / F.sum(num)).alias("mean"),
+        (F.sum(F.when(d == 0, n).when(d.isNotNull(), 0)) / F.sum(num)).alias("zero_share"),
+        (F.sum(F.when(d == F.floor(d), n).when(d.isNotNull(), 0)) / F.sum(num)).alias("integer_share"),
+    )
+
+
+def _shares() -> list[Column]:
+    return [
+        (F.lit(1.0) - F.col("n_valid") / F.col("n_rows")).alias("null_share"),
+        (F.col("n_unique") / F.col("n_rows")).alias("uniqueness"),
+    ]
+
+
+def _categorical_fields() -> list[Column]:
+    k, total = F.col("n_unique").cast("double"), F.col("n_valid").cast("double")
+    here = F.col("_top1").isNotNull()
+    entropy = F.when(k > 1, _entropy(total, F.col("_nlogn")) / F.log2(k)).otherwise(F.lit(0.0))
+    return [
+        F.when(here, entropy).alias("entropy_norm"),
+        F.when(here, F.col("_top1") / total).alias("top1_share"),
+        F.when(here, F.col("_top3") / total).alias("top3_share"),
+    ]
+
+
 def categorical_profile(counts: DataFrame) -> DataFrame:
     """Normalised entropy over all non-null values, share of the top one and three."""
-    c = counts.where((F.col("kind") == "categorical") & F.col("s").isNotNull())
-    n = F.col("n").cast("double")
-    shape = c.groupBy("column").agg(
-        F.sum(n).alias("_total"), F.count(F.lit(1)).alias("_k"),
-        F.sum(n * F.log2(n)).alias("_nlogn"), F.max(n).alias("_top1"),
-    )
-    top3 = category_ranks(c, 3).groupBy("column").agg(F.sum("n").alias("_top3"))
-    k = F.col("_k").cast("double")
-    return shape.join(top3, "column").select(
-        "column",
-        F.when(k > 1, _entropy(F.col("_total"), F.col("_nlogn")) / F.log2(k)).otherwise(F.lit(0.0)).alias("entropy_norm"),
-        (F.col("_top1") / F.col("_total")).alias("top1_share"),
-        (F.col("_top3") / F.col("_total")).alias("top3_share"),
-    )
+    return _statistics(counts).join(_top3(counts), "column").select("column", *_categorical_fields())
 
 
 def _q(level: float) -> Column:
@@ -137,45 +156,59 @@ def quantile_shape(lo: Column, hi: Column) -> list[Column]:
     return [scale.alias("quantile_scale"), fallback.alias("quantile_fallback"), shape.alias("quantile_shape")]
 
 
-def numeric_profile(counts: DataFrame) -> DataFrame:
-    """Range, moments, zero and integer shares, 21 exact quantiles and their shape."""
-    c = counts.where((F.col("kind") == "numeric") & F.col("d").isNotNull())
-    n, v = F.col("n"), F.col("d")
-    stats = c.groupBy("column").agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), F.sum(n).alias("_n"),
-        (F.sum(v * n) / F.sum(n)).alias("mean"),
-        (F.sum(F.when(v == 0, n).otherwise(0)) / F.sum(n)).alias("zero_share"),
-        (F.sum(F.when(v == F.floor(v), n).otherwise(0)) / F.sum(n)).alias("integer_share"),
-        F.count(F.lit(1)).alias("_k"),
-    )
+def _deviations(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """Sample standard deviation around the known mean."""
     # One row per profiled column, so its size is the width of the schema.
-    means = F.broadcast(stats.select("column", F.col("mean").alias("_m"), F.col("_n").alias("_total")))
-    centred = c.join(means, "column").groupBy("column").agg(
-        F.sqrt(F.sum(n * (v - F.col("_m")) * (v - F.col("_m"))) / F.nullif(F.max("_total") - 1, F.lit(0))).alias("std")
-    )
-    quantiles = exact_quantiles(c, ["column"], "d", "n", list(QUANTILE_LEVELS))
-    subtype = F.when(F.col("_k") == 1, "constant").when(F.col("_k") == 2, "binary").otherwise("continuous")
-    return (
-        stats.join(centred, "column")
-        .join(quantiles, "column")
-        .select(
-            "column", "min", "max", "mean", "std", "zero_share", "integer_share",
-            subtype.alias("numeric_subtype"), "quantiles",
-            *quantile_shape(F.col("min"), F.col("max")),
-        )
+    means = F.broadcast(stats.where("mean IS NOT NULL").select("column", F.col("mean").alias("_m"), "n_valid"))
+    off = F.col("d") - F.col("_m")
+    return counts.where("d IS NOT NULL").join(means, "column").groupBy("column").agg(
+        F.sqrt(F.sum(F.col("n") * off * off) / F.nullif(F.max("n_valid") - 1, F.lit(0))).alias("std")
     )
 
 
+def _quantiles(counts: DataFrame) -> DataFrame:
+    c = counts.where("kind = 'numeric' AND d IS NOT NULL")
+    return exact_quantiles(c, ["column"], "d", "n", list(QUANTILE_LEVELS))
+
+
+_NUMERIC = ["min", "max", "mean", "std", "zero_share", "integer_share"]
+
+
+def _numeric_fields() -> list[Column]:
+    k = F.col("n_unique")
+    subtype = F.when(k == 1, "constant").when(k == 2, "binary").otherwise("continuous")
+    here = F.col("quantiles").isNotNull()
+    shape = [F.when(here, c) for c in quantile_shape(F.col("min"), F.col("max"))]
+    names = ["quantile_scale", "quantile_fallback", "quantile_shape"]
+    return [F.when(here, subtype).alias("numeric_subtype"), F.col("quantiles"), *[c.alias(n) for c, n in zip(shape, names)]]
+
+
+def numeric_profile(counts: DataFrame) -> DataFrame:
+    """Range, moments, zero and integer shares, 21 exact quantiles and their shape."""
+    stats = _statistics(counts)
+    joined = stats.join(_deviations(counts, stats), "column").join(_quantiles(counts), "column")
+    return joined.select("column", *_NUMERIC, *_numeric_fields())
+
+
 def profile_columns(
     df: DataFrame, specs: Sequence[ColumnSpec], counts: DataFrame | None = None
 ) -> DataFrame:
     """One passport row per column; the fields of the other kind are NULL. The ledger is
     read once: every field comes from the materialised value counts."""
     counts = materialise(value_counts_long(df, specs)) if counts is None else counts
-    return (
-        base_profile(counts)
-        .join(categorical_profile(counts), "column", "left")
-        .join(numeric_profile(counts), "column", "left")
+    stats = materialise(_statistics(counts))
+    kinds = {s.kind for s in specs}
+    out = stats
+    if "categorical" in kinds:
+        out = out.join(_top3(counts), "column", "left")
+    else:
+        out = out.withColumn("_top3", F.lit(None).cast("bigint"))
+    if "numeric" in kinds:
+        out = out.join(_deviations(counts, stats), "column", "left").join(_quantiles(counts), "column", "left")
+    else:
+        out = out.withColumns({"std": F.lit(None).cast("double"), "quantiles": F.lit(None).cast("array<double>")})
+    return out.select(
+        "column", "kind", "n_rows", "n_valid", "n_unique", *_shares(), *_categorical_fields(), *_NUMERIC, *_numeric_fields()
     )
 
 

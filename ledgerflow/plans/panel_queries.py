@@ -308,16 +308,19 @@ def _(spark, sf):
     return rounded(E.cumulative_confusion(scores(spark, sf), "y", "score", _BY), 9, "score")
 
 
+# A group with one class has no ROC-AUC or average precision: NULL and a status, on both sides.
+
+
 @query("roc_auc", f"""WITH {SCORES_SQL}, g AS (SELECT model, lang, CAST(sum(y) AS DOUBLE) AS p, count(*) AS n FROM sc GROUP BY 1, 2),
   pr AS (SELECT model, lang, sum(CASE WHEN a.score > b.score THEN 1.0::DOUBLE WHEN a.score = b.score THEN 0.5::DOUBLE ELSE 0 END) AS wins
     FROM sc a JOIN sc b USING (model, lang) WHERE a.y = 1 AND b.y = 0 GROUP BY 1, 2)
-  SELECT model, lang, n AS n_rows, round(wins / (p * (n - p)), 9) AS roc_auc FROM g JOIN pr USING (model, lang)""")
+  SELECT model, lang, n AS n_rows, round(wins / (p * (n - p)), 9) AS roc_auc FROM g LEFT JOIN pr USING (model, lang)""")
 def _(spark, sf):
     m = E.ranking_metrics(scores(spark, sf), "y", "score", _BY)
     return rounded(m.select("model", "lang", "n_rows", "roc_auc"), 9, "roc_auc")
 
 
-@query("average_precision", _STEPS + " SELECT model, lang, CAST(sum(p) AS BIGINT) AS positives, round(sum(p) / sum(p + n), 9) AS prevalence, round(sum(p * tp / (tp + fp)::DOUBLE) / sum(p), 9) AS pr_auc, 'OK' AS status FROM cu GROUP BY 1, 2")
+@query("average_precision", _STEPS + " SELECT model, lang, CAST(sum(p) AS BIGINT) AS positives, round(sum(p) / sum(p + n), 9) AS prevalence, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN round(sum(p * tp / (tp + fp)::DOUBLE) / sum(p), 9) END AS pr_auc, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN 'OK' ELSE 'ONE_CLASS' END AS status FROM cu GROUP BY 1, 2")
 def _(spark, sf):
     m = E.ranking_metrics(scores(spark, sf), "y", "score", _BY)
     return rounded(m.select("model", "lang", "positives", "prevalence", "pr_auc", "status"), 9, "prevalence", "pr_auc")

@@ -1,9 +1,10 @@
 """Quality score from how well a text compresses with dictionaries of good and of bad text.
 
 Two zstandard dictionaries are built, one from good and one from bad labelled texts. A text
-is compressed with each; the difference of the two sizes over the larger one says which side
-it resembles, and a logistic curve fitted on labelled texts that went into neither dictionary
-turns it into a probability.
+is compressed with each, whole and in blocks; the difference of the two sizes over the larger
+one says which side it resembles, and how far it shrinks says how much it repeats itself. A
+logistic curve over these figures, fitted on labelled texts that went into neither dictionary,
+turns them into a probability.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ SAMPLE_ROWS = 4000  # labelled rows per class that the driver reads at most
 SAMPLE_CHARS = 12_000  # longer labelled texts are left out of the sample, never cut
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
+BLOCK_BYTES = 800
 CALIBRATION_SHARE = 3  # one sampled text in so many calibrates instead of building
 
 
@@ -30,9 +32,13 @@ class CompressionModel:
 
     good: bytes
     bad: bytes
-    slope: float
+    weights: tuple[float, ...]
     intercept: float
 
+    def probability(self, text: str | None) -> float:
+        x = sum(w * f for w, f in zip(self.weights, figures(text, self.good, self.bad)))
+        return float(1 / (1 + np.exp(-np.clip(x + self.intercept, -30, 30))))
+
 
 def build_dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A trained dictionary, or with too little text to train one the texts themselves."""
@@ -54,34 +60,49 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False)
 
 
-def size_difference(text: str | None, good: bytes, bad: bytes) -> float:
-    """(size with the bad dictionary - size with the good one) / the larger; 0 for no text."""
-    if not text:
-        return 0.0
-    raw = text.encode("utf-8", "surrogatepass")
+def _sizes(raw: bytes, good: bytes, bad: bytes) -> tuple[float, float]:
+    """(size with the bad dictionary - size with the good one) / the larger, and the logarithm
+    of the smaller size over the raw one."""
     with_good = len(_compressor(good).compress(raw))
     with_bad = len(_compressor(bad).compress(raw))
-    return (with_bad - with_good) / max(with_bad, with_good)
+    return (with_bad - with_good) / max(with_bad, with_good), float(np.log(min(with_good, with_bad) / len(raw)))
+
+
+def figures(text: str | None, good: bytes, bad: bytes) -> tuple[float, ...]:
+    """What a text is judged by; all 0 for null and empty texts. Of the whole text: the
+    normalised difference, the log ratio and its square; of its blocks: the least and the mean
+    difference and the least log ratio. Blocks are of equal size, about ``BLOCK_BYTES``."""
+    if not text:
+        return (0.0,) * FIGURES
+    raw = text.encode("utf-8", "surrogatepass")
+    whole, ratio = _sizes(raw, good, bad)
+    count = max(1, round(len(raw) / BLOCK_BYTES))
+    edges = [len(raw) * i // count for i in range(count + 1)]
+    blocks = [_sizes(raw[a:b], good, bad) for a, b in zip(edges, edges[1:])] if count > 1 else [(whole, ratio)]
+    each = [d for d, _ in blocks]
+    return whole, ratio, ratio * ratio, min(each), sum(each) / count, min(r for _, r in blocks)
+
+
+FIGURES = 6
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and intercept by Newton steps with a light ridge on the slope; classes weigh the same."""
+def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[tuple[float, ...], float]:
+    """Weights and intercept by Newton steps with a light ridge; the classes weigh the same."""
     if not len(x) or y.min() == y.max():
-        return 0.0, 0.0
+        return (0.0,) * FIGURES, 0.0
     w = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y)
-    a = np.column_stack([x, np.ones_like(x)])
-    scale = max(x.std(), 1e-6)
-    a[:, 0] /= scale
-    beta = np.zeros(2)
+    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    a = np.column_stack([(x - middle) / spread, np.ones(len(x))])
+    beta = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        gradient = a.T @ (w * (y - p)) - ridge * np.array([beta[0], 0])
-        curvature = (a * (w * p * (1 - p))[:, None]).T @ a + np.diag([ridge, 1e-9])
-        step = np.linalg.solve(curvature, gradient)
+        gradient = a.T @ (w * (y - p)) - ridge * beta
+        step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(beta)), gradient)
         beta += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0] / scale), float(beta[1])
+    weights = beta[:-1] / spread
+    return tuple(float(v) for v in weights), float(beta[-1] - weights @ middle)
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label",
@@ -106,7 +127,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label",
     n0, n1 = share.get(0, 0), share.get(1, 0)
     if not sample[0] or not sample[1]:
         p = n1 / (n0 + n1) if n0 + n1 else 0.5
-        return CompressionModel(b"", b"", 0.0, float(np.log((p + 1e-6) / (1 - p + 1e-6))))
+        return CompressionModel(b"", b"", (0.0,) * FIGURES, float(np.log((p + 1e-6) / (1 - p + 1e-6))))
     parts = {}
     for k, texts in sample.items():
         small = len(texts) < 2 * CALIBRATION_SHARE
@@ -115,19 +136,18 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label",
             [t for i, t in enumerate(texts) if small or not i % CALIBRATION_SHARE],
         )
     good, bad = (build_dictionary([t.encode("utf-8", "surrogatepass") for t in parts[k][0]]) for k in (1, 0))
-    x = np.array([size_difference(t, good, bad) for k in (0, 1) for t in parts[k][1]])
+    x = np.array([figures(t, good, bad) for k in (0, 1) for t in parts[k][1]])
     y = np.array([k for k in (0, 1) for _ in parts[k][1]])
-    slope, intercept = _fit_logistic(x, y)
-    return CompressionModel(good, bad, slope, intercept + float(np.log(n1 / n0)))
+    weights, intercept = _fit_logistic(x, y)
+    return CompressionModel(good, bad, weights, intercept + float(np.log(n1 / n0)))
 
 
 def score(text: Column, model: CompressionModel) -> Column:
-    """Probability of label 1 in (0, 1). Null and empty texts get the curve's value at 0."""
+    """Probability of label 1 in (0, 1). Null and empty texts get the curve's value where all figures are 0."""
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        x = np.array([size_difference(t, model.good, model.bad) for t in texts], dtype=float)
-        return pd.Series(1 / (1 + np.exp(-np.clip(model.slope * x + model.intercept, -30, 30))))
+        return pd.Series([model.probability(t) for t in texts], dtype=float)
 
     return scored(text)
 

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import packing, pieces, quality
+from ledgerflow.llm import packing, pieces, quality, suffix_dedup
 from ledgerflow.llm.registry import query
 
 
@@ -48,3 +48,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (quality.in_fold(F.col("doc_id")) == 0).alias("held_out"), quality.score(F.col("text"), model).alias("score")
     )
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that strings of 100 bytes which start earlier cover, and the rest."""
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), 100).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )

@@ -190,3 +190,40 @@ def rolling(values: np.ndarray, width: int, factor: int) -> np.ndarray:
             size *= 2
             power = pow(factor, size, 1 << 64)
     return result[: max(0, len(values) - width + 1)]
+
+
+FACTOR = 0x9E3779B97F4A7C15
+
+
+def anchors(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, gram: int):
+    """Windows of ``length`` symbols inside documents, and the smallest hash of the grams in each.
+
+    For every place: the anchor of the window that starts there and whether one starts there at
+    all; and the hash of the gram at every place. Equal windows have equal anchors."""
+    grams = mix(rolling(symbols, gram, FACTOR))
+    least = sliding(grams, length - gram + 1)
+    return least, windows(len(symbols), begin, end, length)[: len(least)], grams
+
+
+def windows(size: int, begin: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """Whether a window of ``length`` symbols starts at each of ``size`` places."""
+    edge = np.zeros(size + 1, dtype=np.int32)
+    fits = end - begin >= length
+    np.add.at(edge, begin[fits], 1)
+    np.add.at(edge, end[fits] - length + 1, -1)
+    return np.cumsum(edge[:size]) > 0
+
+
+def anchor_keys(symbols, begin, end, length: int, gram: int, among: np.ndarray | None = None):
+    """Distinct anchors of the windows (of those marked in ``among``), and the number of places
+    at which each occurs as the smallest gram of such a window."""
+    least, valid, grams = anchors(symbols, begin, end, length, gram)
+    if among is not None:
+        valid = valid & among[: len(valid)]
+    if not valid.any():
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    width = length - gram + 1
+    pad = np.zeros(width - 1, np.uint64)
+    highest = sliding(np.concatenate([pad, np.where(valid, least, np.uint64(0)), pad]), width, np.maximum)
+    size = min(len(highest), len(grams))
+    return distinct_keys(grams[:size][highest[:size] == grams[:size]])

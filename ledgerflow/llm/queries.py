@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import packing, pieces, quality, suffix_dedup
+from ledgerflow.llm import packing, pieces, quality, suffix_dedup, window_dedup
 from ledgerflow.llm.registry import query
 
 
@@ -56,3 +56,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), 100).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op8_window_doubling")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text that a repeated window of 35 words covers, and the rest."""
+    return window_dedup.remove_repeated_windows(documents(spark, sf_dir), 35).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )

@@ -16,7 +16,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ledgerflow.llm import chunks as c
 
@@ -24,39 +23,15 @@ LENGTH = 100
 GRAM = 32
 RUN = 64  # strings in one cut run at most; their answers fit one 64-bit word
 _BYTE = c.mix(np.arange(1, 257, dtype=np.uint64))
-_FACTOR = 0x9E3779B97F4A7C15
-
-
-def _anchors(own: c.Chunk, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every place in the chunk: the anchor hash of the string that starts there, whether a
-    string starts there at all, and the hash of the k-gram there (short by the last few)."""
-    size = len(own.bytes)
-    grams = c.mix(c.rolling(_BYTE[own.bytes], gram, _FACTOR))
-    least = c.sliding(grams, length - gram + 1)
-    starts = np.zeros(size + 1, dtype=np.int32)
-    fits = own.end - own.begin >= length
-    np.add.at(starts, own.begin[fits], 1)
-    np.add.at(starts, own.end[fits] - length + 1, -1)
-    valid = np.cumsum(starts[:size]) > 0
-    return least, valid[: len(least)], grams
 
 
 def _anchor_keys(own: c.Chunk, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchors of the chunk and the number of places each occurs at."""
-    least, valid, grams = _anchors(own, length, gram)
-    if not valid.any():
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    width = length - gram + 1
-    masked = np.where(valid, least, np.uint64(0))
-    pad = np.zeros(width - 1, np.uint64)
-    highest = c.sliding(np.concatenate([pad, masked, pad]), width, np.maximum)
-    chosen = grams[highest[: len(grams)] == grams[: len(highest)]]
-    return c.distinct_keys(chosen)
+    return c.anchor_keys(_BYTE[own.bytes], own.begin, own.end, length, gram)
 
 
 def _runs(own: c.Chunk, keys: np.ndarray, length: int, gram: int):
     """(place, number of strings, anchor) of runs with a repeated anchor."""
-    least, valid, _ = _anchors(own, length, gram)
+    least, valid, _ = c.anchors(_BYTE[own.bytes], own.begin, own.end, length, gram)
     at = np.flatnonzero(valid)
     if not len(at):
         return at, at, least[:0]
@@ -294,10 +269,3 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     cut = own.rows.groupBy("chunk").cogroup(twice.groupBy("chunk")).applyInArrow(runs, RUN_SCHEMA)
     answers = cut.groupBy("shard").applyInArrow(lambda t: _answers(t, length), ANSWER_SCHEMA)
     return own.rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(results, RESULT_SCHEMA)
-
-
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text) after ``remove_repeats``; a character that a cut divides goes with it."""
-    r = remove_repeats(docs, length)
-
-    return r.select("doc_id", F.when(F.col("n_removed") > 0, F.col("kept")).alias("kept"), "n_removed")

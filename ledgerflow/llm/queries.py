@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import packing, pieces, quality, suffix_dedup, window_dedup
+from ledgerflow.llm import chat, neighbours, packing, pieces, quality, suffix_dedup, window_dedup
 from ledgerflow.llm.registry import query
 
 
@@ -64,3 +64,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.remove_repeated_windows(documents(spark, sf_dir), 35).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op6_multiprobe_neighbours")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return neighbours.nearest(rows.filter(F.col("id") % 20 == 0), rows, 20)
+
+
+@query("op2_perspective_rotation", chat.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's side, turn by turn, with masks."""
+    return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

@@ -32,38 +32,47 @@ _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]")
 _LETTERS = "a-zA-Zªµºß-öø-ɏÀ-ÖØ-Þ"
 _NUMBERS = "0-9²³¹¼½¾"
 _WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t\n\r{_LETTERS}{_NUMBERS}]+")
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
+TEXTS = 256  # texts cut into words at once
 
 
 class WordTokenizer:
-    """Ids by a word-level BPE of the tokenizers library, each distinct word encoded once."""
+    """Ids by a word-level BPE of the tokenizers library. Words are cut here, and each distinct
+    one is encoded once; new words of several texts go to the library together."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
-
-    def ids(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids, one after the other."""
-        if not text:
-            return b""
-        if "<|" in text or _OTHER.search(text):
-            return self.encode(text)
-        cache, out = self.cache, []
-        for word in _WORDS.findall(text.lower()):
-            known = cache.get(word)
-            if known is None:
-                known = self.encode(word)
-                if len(word) <= 40:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[word] = known
-            out.append(known)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Of each text the little-endian unsigned 32-bit ids, one after the other."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        words = [None if not t or "<|" in t or _OTHER.search(t) else _WORDS.findall(t.lower()) for t in texts]
+        self.learn(set().union(*[own for own in words if own]) - self.cache.keys())
+        known = self.cache.__getitem__
+        return [
+            b"" if not t else self.encode(t).tobytes() if own is None else b"".join(map(known, own))
+            for t, own in zip(texts, words)
+        ]
+
+    def learn(self, new: set[str]) -> None:
+        words = list(new)
+        ids = self.encode(" ".join(words)) if words else np.empty(0, "<u4")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) == len(words):
+            data, edge = ids.tobytes(), [0, *(4 * last).tolist()]
+            self.cache.update(zip(words, [data[a:b] for a, b in zip(edge, edge[1:])]))
+        else:  # words that don't end in an id of their own
+            self.cache.update((w, self.encode(w).tobytes()) for w in words)
 
 
 @lru_cache(maxsize=2)
@@ -83,8 +92,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
     def pieces(texts: pd.Series) -> pd.Series:
         own, out, step = _tokenizer(tokenizer_path), [], 4 * capacity
         tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        for t in texts:
-            data, row = own.ids(t) + tail, []
+        for ids in (x for at in range(0, len(texts), TEXTS) for x in own.ids(texts[at : at + TEXTS].tolist())):
+            data, row = ids + tail, []
             for k, at in enumerate(range(0, len(data), step)):
                 part = data[at : at + step]
                 row.append({"piece": k, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)})

@@ -68,3 +68,11 @@ def compress(values: np.ndarray) -> np.ndarray:
         rest = np.where(small, rest << np.uint64(step), rest)
     mantissa = (rest << np.uint64(1)) >> np.uint64(64 - MANTISSA_BITS)
     return (np.minimum(top, 63) << MANTISSA_BITS).astype(np.uint16) | mantissa.astype(np.uint16)
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Likeness from rows of registers: the share of equal ones, corrected for registers of
+    different hashes that agree by chance once they are compressed."""
+    equal = (a == b).mean(axis=1)
+    chance = 2.0**-MANTISSA_BITS / 3  # leading zeros agree for a third of unlike hashes
+    return np.maximum(0.0, (equal - chance) / (1 - chance))

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import chat, neighbours, packing, pieces, quality, suffix_dedup, window_dedup
+from ledgerflow.llm import chat, near_dedup, neighbours, packing, pieces, quality, suffix_dedup, window_dedup
 from ledgerflow.llm.registry import query
 
 
@@ -77,3 +77,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation from every participant's side, turn by turn, with masks."""
     return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op4_hyperminhash_near_dedup", near_dedup.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir))

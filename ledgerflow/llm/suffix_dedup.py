@@ -93,7 +93,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     for i in range(7):
         ended |= padded[i : i + size] == 0
         word = np.where(ended, word & ~np.uint64((1 << (9 * (7 - i))) - 1), word)
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word)
     done = 7
     ordered = word[order]
     rank = np.empty(size, np.int64)
@@ -103,7 +103,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         second = np.zeros(size, np.int64)
         second[: size - done] = np.where(alive[: size - done], rank[done:] + 1, 0)
         key = rank * np.int64(size + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
         after = np.zeros(size, dtype=bool)
@@ -120,15 +120,24 @@ def boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     before = np.where(order > 0, text[order - 1], 0).astype(np.uint16)
     extended = np.argsort(before, kind="stable")  # row r of the sorted suffixes extends row extended[r]
     first = before[extended]
+    row_of = np.empty(size, np.int64)
+    row_of[extended] = np.arange(size)
     cut = np.concatenate([[True], first[1:] != first[:-1]]) | (first == 0)  # shared length 0
+    # a boundary between equal characters that stand next to each other extends to one boundary
+    next_to = np.concatenate([[False], before[1:] == before[:-1]]) & (before != 0)
     waiting = np.flatnonzero(~cut)
+    apart = extended[waiting] - extended[waiting - 1] > 1
+    waiting = waiting[apart]
     upper, lower = extended[waiting], extended[waiting - 1]
+    new = np.flatnonzero(cut)
     for _ in range(length - 1):
+        near = row_of[new[next_to[new]]]
         reached = np.cumsum(cut, dtype=np.int32)
         hit = reached[upper] > reached[lower]
-        if not hit.any():
+        new = np.concatenate([near[~cut[near]], waiting[hit]])
+        if not len(new):
             break
-        cut[waiting[hit]] = True
+        cut[new] = True
         waiting, upper, lower = waiting[~hit], upper[~hit], lower[~hit]
     return cut
 
@@ -251,7 +260,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     though no string spans two of them; null ids come first. Other columns are not read.
     """
     own = c.corpus(docs)
-    buckets = shards = own.buckets
+    buckets, shards = own.buckets, own.chunks
 
     def keys(table: pa.Table) -> pa.Table:
         return c.key_rows(table.column("chunk")[0].as_py(), *_anchor_keys(c.Chunk(table), length, gram), buckets)

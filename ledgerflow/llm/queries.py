@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import chat, near_dedup, neighbours, packing, pieces, quality, suffix_dedup, window_dedup
+from ledgerflow.llm import chat, near_dedup, neighbours, packing, personal, pieces, quality, suffix_dedup, window_dedup
 from ledgerflow.llm.registry import query
 
 
@@ -83,3 +83,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document."""
     return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op5_bootstrapped_personal_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: base counts and digest, and all spans."""
+    found = personal.find_personal(documents(spark, sf_dir))
+    counts = [personal.counted(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(personal.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(personal.listed(F.col("base")), 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"))

@@ -25,6 +25,7 @@ SHARE = 0.45  # of the rows that a query's buckets in one table hold
 LEAST_ROWS = 400  # visited at least, if there are as many
 BLOCK_ROWS = 4096
 QUERY_ROWS = 16_384
+LEAST_GROUPS = 24
 _SLACK = 1e-9
 
 
@@ -143,10 +144,23 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, share: float = SHA
     found = query_rows.groupBy("block", "g").cogroup(point_rows.groupBy("block", "g")).applyInPandas(
         ranked, "query_id long, vec_id array<long>, score array<double>"
     )
-    pairs = found.select("query_id", F.explode(F.arrays_zip("vec_id", "score")).alias("p")).select("query_id", "p.vec_id", "p.score")
-    best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    own = found.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(max(LEAST_GROUPS, number // 500))))
+    return own.groupBy("g").applyInPandas(lambda t: _merged(t, k), out)
+
+
+def _merged(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Of some queries: the best k of what their blocks and tables passed on, each row once."""
+    sizes = found["vec_id"].map(len)
+    query = np.repeat(found["query_id"].to_numpy(), sizes)
+    row, score = np.concatenate(found["vec_id"].to_list()), np.concatenate(found["score"].to_list())
+    order = np.lexsort((row, -score, query))
+    query, row, score = query[order], row[order], score[order]
+    new = np.concatenate([[True], (query[1:] != query[:-1]) | (row[1:] != row[:-1]) | (score[1:] != score[:-1])])
+    query, row, score = query[new], row[new], score[new]
+    first = np.concatenate([[True], query[1:] != query[:-1]])
+    rank = np.arange(len(query)) - np.flatnonzero(first)[np.cumsum(first) - 1] + 1
+    best = rank <= k
+    return pd.DataFrame({"query_id": query[best], "rank": rank[best], "vec_id": row[best], "score": score[best]})
 
 
 def _blocks(directory: list[tuple[int, tuple[int, ...], int]]) -> dict:

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import chat, near_dedup, neighbours, packing, personal, pieces, quality, suffix_dedup, window_dedup
+from ledgerflow.llm import chat, near_dedup, neighbours, packing, personal, pieces, quality, spotsigs, suffix_dedup, window_dedup
 from ledgerflow.llm.registry import query
 
 
@@ -91,3 +91,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.find_personal(documents(spark, sf_dir))
     counts = [personal.counted(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(personal.KINDS)]
     return found.select("doc_id", *counts, F.sha2(personal.listed(F.col("base")), 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"))
+
+
+@query("op3_spot_signatures")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every text, of its edited form, and likeness to that and to the next one."""
+    rows = spotsigs.compared(documents(spark, sf_dir))
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("signatures")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )

@@ -33,9 +33,10 @@ class Corpus:
         return max(LEAST_CHUNKS, self.chunks // BUCKET_CHUNKS)
 
 
-def corpus(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Corpus:
+def corpus(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> Corpus:
     """Chunks of documents (doc_id, text); null text is empty. The number of chunks follows the
-    total size, which is one aggregate over the text column."""
+    total size, which is one aggregate over the text column. Columns named in ``carry`` come
+    along as a struct of that name."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(LEAST_CHUNKS, -(-total // chunk_bytes))
     rows = docs.select(
@@ -43,6 +44,7 @@ def corpus(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Corpus:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.col("doc_id").isNull().alias("no_id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"),
+        *([F.struct(*carry).alias("carry")] if carry else []),
     )
     return Corpus(rows, count)
 
@@ -57,7 +59,7 @@ class Chunk:
     def __init__(self, table: pa.Table):
         data = table.column("data").to_pylist()
         ids = np.asarray(table.column("doc_id").to_numpy(), dtype=np.int64)
-        order = sorted(range(len(data)), key=lambda i: (ids[i], data[i]))
+        order = self.order = sorted(range(len(data)), key=lambda i: (ids[i], data[i]))
         self.ids = ids[order]
         self.no_id = np.asarray(table.column("no_id").to_pylist(), dtype=bool)[order]
         self.data = [data[i] for i in order]

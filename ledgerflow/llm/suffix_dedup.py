@@ -249,7 +249,7 @@ def _results(own: c.Chunk, covered: np.ndarray) -> pa.Table:
     })
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
     """Documents (doc_id, text) without the bytes that a string of ``length`` bytes covers which
     also starts earlier: at a smaller doc_id, or before it in the same document. Strings are
     judged on the input. Texts are their UTF-8 bytes, null is empty.
@@ -257,9 +257,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     Returns a row per input row: doc_id, n_bytes, n_removed, n_spans (long), spans
     (array<struct<start,end>> of byte offsets), kept (binary: what is left; a cut may fall inside
     a character). Rows that share an id count as one document, their texts in byte order,
-    though no string spans two of them; null ids come first. Other columns are not read.
+    though no string spans two of them; null ids come first. Columns named in ``carry`` are
+    returned as a struct of that name, others are not read.
     """
-    own = c.corpus(docs)
+    own = c.corpus(docs, carry=carry)
+    schema = RESULT_SCHEMA + (", carry " + own.rows.schema["carry"].dataType.simpleString() if carry else "")
     buckets, shards = own.buckets, own.chunks
 
     def keys(table: pa.Table) -> pa.Table:
@@ -272,9 +274,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     def results(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = c.Chunk(left)
-        return _results(chunk, _covered(chunk, right, length))
+        out = _results(chunk, _covered(chunk, right, length))
+        return out.append_column("carry", left.column("carry").take(pa.array(chunk.order, pa.int64()))) if carry else out
 
     twice = c.repeated(own.rows.groupBy("chunk").applyInArrow(keys, c.KEY_SCHEMA))
     cut = own.rows.groupBy("chunk").cogroup(twice.groupBy("chunk")).applyInArrow(runs, RUN_SCHEMA)
     answers = cut.groupBy("shard").applyInArrow(lambda t: _answers(t, length), ANSWER_SCHEMA)
-    return own.rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(results, RESULT_SCHEMA)
+    return own.rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(results, schema)

@@ -1,10 +1,11 @@
 """Groups of near-duplicate documents: HyperMinHash candidates, confirmed on full shingle sets.
 
 Equal sets are one class from the start. The smallest document of each class is banded; members
-of a bucket are compared by their registers, in blocks, where the bucket is. A first round
-passes on the likeliest links that join a bucket's members (a forest, no more than one link per
-member), these are confirmed and joined to components, and a second round passes on whatever
-else may be alike across components. Every link between components is thus either confirmed or refuted.
+of a bucket are compared by their registers where the bucket is, and a forest of the likeliest
+candidate links, no more than one per member, joins them to clusters. Any two documents that a
+bucket holds and the registers think may be alike are in one cluster. The full sets of a cluster
+then meet, large clusters in pairs of blocks, and every pair in it is decided exactly; only
+links that join what was apart are passed on.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from ledgerflow.sources.readers import materialise
 SHARE = (75, 100)  # linked with SHARE[1] * intersection >= SHARE[0] * union
 MARGIN = 0.16  # five standard deviations of the estimate at 0.75 with 192 registers
 BLOCK = 1024  # members of a bucket in one block
+SETS = 512  # documents of a cluster in one block
+SLAB = 8192  # items compared at once
 GROUP_ROWS = 20_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -85,9 +88,9 @@ def _banded(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "registers").mapInArrow(bands, "key long, rep long")
 
 
-def _compared(members: DataFrame, labelled: bool, least: float) -> DataFrame:
-    """Pairs (a < b) of members (key, rep, many, registers, n, label) that share a bucket and may
-    be alike: unlabelled, a forest of the likeliest per block; labelled, all across labels."""
+def _candidates(members: DataFrame, least: float) -> DataFrame:
+    """Of members (key, rep, many, registers, n) of buckets: per block of a bucket a forest (a, b),
+    a < b, of the likeliest pairs among those whose estimate reaches ``least``."""
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -97,7 +100,7 @@ def _compared(members: DataFrame, labelled: bool, least: float) -> DataFrame:
 
     def pairs(table: pa.Table) -> pa.Table:
         key, i, j, block = (np.asarray(table.column(n)) for n in ("key", "i", "j", "block"))
-        rep, n, label = (np.asarray(table.column(x)) for x in ("rep", "n", "label"))
+        rep, n = (np.asarray(table.column(x)) for x in ("rep", "n"))
         registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(len(rep), -1)
         order = np.lexsort((rep, j, i, key))
         edge = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0), [True]]))
@@ -105,8 +108,6 @@ def _compared(members: DataFrame, labelled: bool, least: float) -> DataFrame:
 
         def alike(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             near = (n[x] * SHARE[1] >= n[y] * SHARE[0]) & (n[y] * SHARE[1] >= n[x] * SHARE[0])
-            if labelled:
-                near &= label[x] != label[y]
             x, y = x[near], y[near]
             score = np.empty(len(x))
             for at in range(0, len(x), 50_000):
@@ -133,8 +134,7 @@ def _compared(members: DataFrame, labelled: bool, least: float) -> DataFrame:
                 y.append(v)
                 score.append(s)
             x, y, score = np.concatenate(x), np.concatenate(y), np.concatenate(score)
-            if not labelled:
-                x, y = _forest(x, y, score, rep)
+            x, y = _forest(x, y, score, rep)
             out_a.append(rep[x])
             out_b.append(rep[y])
         a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -164,45 +164,98 @@ def _forest(x: np.ndarray, y: np.ndarray, score: np.ndarray, rep: np.ndarray) ->
     return x[keep], y[keep]
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of document ids that are alike on their full sets. The documents of the
-    pairs are dealt to chunks; the set of b travels to the chunk of a."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    some = docs.filter(F.col("doc_id").isNotNull()).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    own = c.corpus(materialise(some.dropDuplicates(["doc_id"])))
-    chunk_of = lambda x: F.pmod(F.xxhash64(x), F.lit(own.chunks)).cast("int")
-
-    def sent(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"chunk": [], "a": [], "b": [], "items": []}
-        if len(left) and len(right):
-            chunk, sets = _sets(left)
-            at = {int(i): k for k, i in enumerate(chunk.ids)}
-            packed = {}
-            for x, b, to in zip(*(right.column(n).to_pylist() for n in ("a", "b", "to"))):
-                if b not in packed:
-                    packed[b] = sets[at[b]].tobytes()
-                for name, value in zip(out, (to, x, b, packed[b])):
-                    out[name].append(value)
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        return pa.table({n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds)})
-
-    def judged(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [], []
-        if len(left) and len(right):
-            chunk, sets = _sets(left)
-            at = {int(i): k for k, i in enumerate(chunk.ids)}
-            for x, y, items in zip(*(right.column(n).to_pylist() for n in ("a", "b", "items"))):
-                one, two = sets[at[x]], np.frombuffer(items, np.uint64)
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                if SHARE[1] * shared >= SHARE[0] * (len(one) + len(two) - shared):
-                    a.append(x)
-                    b.append(y)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    asked = pairs.select("a", "b", chunk_of("a").alias("to"), chunk_of("b").alias("chunk"))
-    by_chunk = own.rows.groupBy("chunk")
-    moved = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(sent, "chunk int, a long, b long, items binary")
-    return by_chunk.cogroup(moved.groupBy("chunk")).applyInArrow(judged, "a long, b long")
+def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many items every set of ``one`` shares with every set of ``two``; sets are sorted."""
+    out = np.zeros((len(one), len(two)), dtype=np.float32)
+    values = np.intersect1d(np.concatenate(one), np.concatenate(two)) if one is not two else None
+    if values is None:
+        values, count = np.unique(np.concatenate(one), return_counts=True)
+        values = values[count > 1]
+        np.fill_diagonal(out, [len(s) for s in one])
+    sides = []
+    for sets in (one, two):
+        item, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        column = np.minimum(np.searchsorted(values, item), max(0, len(values) - 1))
+        known = values[column] == item if len(values) else np.zeros(len(item), dtype=bool)
+        column, row = column[known], row[known]
+        order = np.argsort(column, kind="stable")
+        sides.append((column[order], row[order], len(sets)))
+    if one is two:
+        np.fill_diagonal(out, 0)
+    for at in range(0, len(values), SLAB):
+        parts = []
+        for column, row, size in sides:
+            a, b = np.searchsorted(column, [at, at + SLAB])
+            part = np.zeros((size, SLAB), dtype=np.float32)
+            part[row[a:b], column[a:b] - at] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """Links (a, b) among the documents of each (cluster, i, j): a spanning forest of all pairs
+    of block i and block j that are alike on their full sets."""
+    cluster, i, j, block, rep = (np.asarray(table.column(n)) for n in ("cluster", "i", "j", "block", "rep"))
+    items = table.column("items").to_pylist()
+    order = np.lexsort((rep, block, j, i, cluster))
+    new = (np.diff(cluster[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
+    out: list[tuple[int, int]] = []
+    for own in np.split(order, np.flatnonzero(new) + 1):
+        own = own[np.concatenate([[True], np.diff(rep[own]) != 0])]
+        sets = [np.frombuffer(items[k], np.uint64) for k in own]
+        size = np.array([len(x) for x in sets], dtype=np.float64)
+        left = np.flatnonzero(block[own] == i[own])
+        right = np.flatnonzero(block[own] == j[own])
+        alike = np.zeros((len(own), len(own)), dtype=bool)
+        if i[own[0]] == j[own[0]]:
+            shared, both = _shared(sets, sets), np.arange(len(own))
+            left = right = both
+        elif len(left) and len(right):
+            shared = _shared([sets[k] for k in left], [sets[k] for k in right])
+        else:
+            continue
+        union = size[left][:, None] + size[right][None, :] - shared
+        hit = SHARE[1] * shared >= SHARE[0] * union
+        alike[np.ix_(left, right)] = hit
+        alike |= alike.T
+        np.fill_diagonal(alike, False)
+        apart = np.ones(len(own), dtype=bool)
+        for root in range(len(own)):
+            queue = [root] if apart[root] else []
+            apart[root] = False
+            while queue:
+                x = queue.pop()
+                found = np.flatnonzero(alike[x] & apart)
+                apart[found] = False
+                queue += found.tolist()
+                out += [(int(rep[own[x]]), int(rep[own[y]])) for y in found]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _confirmed(clusters: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that are exact, enough to join all that is alike within each cluster
+    (node, component) of document ids. A cluster's sets meet in blocks of SETS."""
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
+    blocks = F.ceil(F.col("size") / SETS).cast("int")
+    placed = clusters.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), blocks.alias("blocks"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = materialise(placed)
+    rows = placed.agg(F.sum("blocks")).first()[0] or 0
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                own, found = _sets(pa.Table.from_batches([batch.slice(at, 512)]))
+                yield pa.RecordBatch.from_arrays([pa.array(own.ids), pa.array([x.tobytes() for x in found], pa.binary())], ["rep", "items"])
+
+    data = some.select("doc_id", F.lit(False).alias("no_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    whole = data.mapInArrow(sets, "rep long, items binary").join(placed, "rep")
+    whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    whole = whole.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    group = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(max(48, -(-rows // SETS)))).cast("int")
+    return whole.withColumn("g", group).groupBy("g").applyInArrow(_linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -226,17 +279,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = materialise(shared)
     members = shared.join(reps, "rep")
     least = SHARE[0] / SHARE[1] - MARGIN
-    first_pairs = materialise(_compared(members.withColumn("label", F.col("rep")), False, least))
-    links = materialise(_confirmed(first_pairs, docs))
-    groups = materialise(components(links))
-    labelled = members.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-        "label", F.coalesce("component", "rep")
-    ).drop("component")
-    mixed = labelled.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
-    left = _compared(labelled.join(mixed, "key", "left_semi"), True, least).join(first_pairs, ["a", "b"], "left_anti")
-    left = materialise(left)
-    more = _confirmed(left, docs)
-    groups = components(links.union(more))
+    candidates = materialise(_candidates(members, least))
+    clusters = materialise(components(candidates))
+    groups = components(materialise(_confirmed(clusters, docs)))
     out = signed.join(classes, ["k1", "k2"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     some = F.col("n_shingles") > 0
     component = F.when(some & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from ledgerflow.llm import chunks as c
 
@@ -261,7 +262,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     returned as a struct of that name, others are not read.
     """
     own = c.corpus(docs, carry=carry)
-    schema = RESULT_SCHEMA + (", carry " + own.rows.schema["carry"].dataType.simpleString() if carry else "")
+    schema = StructType.fromDDL(RESULT_SCHEMA)
+    schema = schema.add(own.rows.schema["carry"]) if carry else schema
     buckets, shards = own.buckets, own.chunks
 
     def keys(table: pa.Table) -> pa.Table:

@@ -19,7 +19,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents whose probability of good quality reaches the threshold. The score is learnt
     from the labelled ones among them outside fold 0. With no label every document stays."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit(quality.training_rows(docs, labels))
+    model = quality.fit(docs, quality.training_labels(labels))
     return docs.select(*COLUMNS, quality.score(F.col("text"), model).alias("probability")).filter(
         F.col("probability") >= THRESHOLD
     ).select(*COLUMNS)

@@ -105,26 +105,31 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[tu
     return tuple(float(v) for v in weights), float(beta[-1] - weights @ middle)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label",
-        sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> CompressionModel:
-    """Fit on rows of (text, label 0/1); rows with a null label or text are not used.
-
-    The driver reads at most ``sample_rows`` texts of each class, those with the smallest hash
-    of the text and its row's other columns, and only texts of up to ``sample_chars`` code
-    points. Class shares are counted over all labelled rows. With a class missing, every score
-    is the share of good rows (one half without any row).
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> CompressionModel:
+    """Fit on documents (doc_id, text) with labels (doc_id, label 0/1; other labels and null
+    ids are not used, of an id's labels the largest counts).
+
+    Of each class about nine tenths of ``sample_rows`` ids are drawn, by a hash of the id and a
+    share that follows from the class's size; with fewer, all. The driver reads their texts of
+    up to ``sample_chars`` code points, and no more than ``sample_rows`` of a class. Class shares are
+    counted over all labels. With a class missing, every score is the share of good rows (one
+    half without any).
     """
-    rows = labelled.filter(F.col(label).isin(0, 1)).select(
-        F.col(text).alias("text"), F.col(label).cast("int").alias("label"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns]).alias("h"),
-    )
-    share = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    fair = rows.filter((F.length("text") > 0) & (F.length("text") <= sample_chars))
-    sample = {
-        k: [r["text"] for r in fair.filter(F.col("label") == k).orderBy("h", "text").limit(sample_rows).collect()]
-        for k in (0, 1)
-    }
+    known = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
+    share = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = share.get(0, 0), share.get(1, 0)
+    drawn = F.lit(False)
+    for k, n in share.items():
+        part = 1_000_000 if n <= sample_rows else max(1, 900_000 * sample_rows // n)
+        drawn = drawn | ((F.col("label") == k) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part))
+    # at most about 2 * sample_rows ids, whatever the size of the table
+    ids = known.filter(drawn).select(F.col("doc_id").alias("id"), "label")
+    fair = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).filter((F.length("text") > 0) & (F.length("text") <= sample_chars))
+    sample = {}
+    for k in (0, 1):
+        rows = fair.filter(F.col("label") == k).select(F.xxhash64("doc_id", "text").alias("h"), "text").limit(sample_rows).collect()
+        sample[k] = [r["text"] for r in sorted(rows)]
     if not sample[0] or not sample[1]:
         p = n1 / (n0 + n1) if n0 + n1 else 0.5
         return CompressionModel(b"", b"", (0.0,) * FIGURES, float(np.log((p + 1e-6) / (1 - p + 1e-6))))
@@ -157,7 +162,6 @@ def in_fold(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of labelled documents outside fold 0."""
-    known = labels.filter(F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label"))
-    return docs.select("doc_id", "text").filter(in_fold(F.col("doc_id")) != 0).join(known, "doc_id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of the table of labels outside fold 0."""
+    return labels.filter(in_fold(F.col("doc_id")) != 0).select("doc_id", F.col("quality").alias("label"))

@@ -43,7 +43,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of good quality of every document, learnt outside fold 0."""
     docs = documents(spark, sf_dir)
-    model = quality.fit(quality.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = quality.fit(docs, quality.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     scored = docs.select(
         "doc_id", (quality.in_fold(F.col("doc_id")) == 0).alias("held_out"), quality.score(F.col("text"), model).alias("score")
     )

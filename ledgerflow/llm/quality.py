@@ -86,20 +86,29 @@ def figures(text: str | None, good: bytes, bad: bytes) -> tuple[float, ...]:
 FIGURES = 6
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[tuple[float, ...], float]:
-    """Weights and intercept by Newton steps with a light ridge; the classes weigh the same."""
+def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[tuple[float, ...], float]:
+    """Weights and intercept by Newton steps with a light ridge, halved until they gain; the
+    classes weigh the same."""
     if not len(x) or y.min() == y.max():
         return (0.0,) * FIGURES, 0.0
     w = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y)
     middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     a = np.column_stack([(x - middle) / spread, np.ones(len(x))])
     beta = np.zeros(a.shape[1])
-    for _ in range(50):
+
+    def loss(v: np.ndarray) -> float:
+        margin = (a @ v) * np.where(y == 1, 1, -1)
+        return float((w * np.logaddexp(0, -margin)).sum() + ridge * (v @ v) / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         gradient = a.T @ (w * (y - p)) - ridge * beta
         step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(beta)), gradient)
-        beta += step
-        if np.abs(step).max() < 1e-9:
+        size, now = 1.0, loss(beta)
+        while size > 1e-6 and loss(beta + size * step) > now:
+            size /= 2
+        beta = beta + size * step
+        if size * np.abs(step).max() < 1e-6:
             break
     weights = beta[:-1] / spread
     return tuple(float(v) for v in weights), float(beta[-1] - weights @ middle)

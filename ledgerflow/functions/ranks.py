@@ -16,7 +16,6 @@ from ledgerflow.sources.readers import attach_row, materialise
 
 BUCKET_BITS = 8
 HASH_BUCKET_BITS = 12
-SMALL_ROWS = 100_000
 
 
 def value_bucketed(df: DataFrame, value: str, bits: int = BUCKET_BITS) -> DataFrame:
@@ -88,20 +87,16 @@ def hash_rank(df: DataFrame, by: list[str], h: str, tie: list[str], name: str =
 
 
 def exact_quantiles(
-    counts: DataFrame, by: list[str], value: str, count: str, levels: list[float],
-    small: int = SMALL_ROWS,
+    counts: DataFrame, by: list[str], value: str, count: str, levels: list[float]
 ) -> DataFrame:
     """Linear-interpolated quantiles per ``by`` from (value, count) rows.
 
-    ``counts`` is read more than once and should be materialised. Up to ``small`` rows the
-    built-in weighted percentile, which gathers a group in one task, does it in one step.
-    Beyond that only the buckets that hold a wanted rank are ordered, each on its own.
+    ``counts`` is read more than once and should be materialised. Only the buckets that hold a
+    wanted rank are ordered, each on its own, whatever the size.
     Output: ``by`` columns, ``quantiles`` (array in the order of ``levels``)."""
     d = counts.select(*by, F.col(value).alias("_v"), F.col(count).alias("_n"))
     d = d.where("_v IS NOT NULL")
     wanted = f"array({', '.join(f'{float(q)}D' for q in levels)})"
-    if d.limit(small + 1).count() <= small:
-        return d.groupBy(*by).agg(F.expr(f"percentile(_v, {wanted}, _n)").alias("quantiles")).where("quantiles IS NOT NULL")
     d = value_bucketed(d, "_v")
     keys = [*by, "_bucket"]
     group = by or [F.lit(0)]

@@ -37,7 +37,7 @@ def ranking_metrics(df: DataFrame, y: str, score: str, by: Sequence[str], strict
     )
     pos, neg = F.col("positives"), F.col("negatives")
     two = (pos > 0) & (neg > 0)
-    message = F.lit("evaluation partition must contain both target classes")
+    message = F.lit("only one class among the rows to evaluate")
     status = F.when(two, "OK").otherwise(F.raise_error(message).cast("string") if strict else F.lit("ONE_CLASS"))
     pairs = F.nullif(pos.cast("double") * neg, F.lit(0.0))
     return sums.select(

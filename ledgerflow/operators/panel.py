@@ -61,12 +61,12 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _once(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
-    """Fails inside the join job if a key repeats: the count rides on the window the join
-    needs anyway, so the 1:1 check costs no extra pass over the data."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    error = F.raise_error(F.lit(f"{what} contain duplicate client-date keys")).cast("boolean")
-    counted = df.withColumn("_n", n)
-    return counted.where(F.when(F.col("_n") == 1, F.lit(True)).otherwise(error)).drop("_n")
+    """Fails inside the join job if a key repeats. Only keys are counted, and one row comes of
+    it; keys with a null join nothing and may repeat."""
+    whole = df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    error = F.raise_error(F.lit(f"{what} repeat a key")).cast("boolean")
+    counted = attach_row(df, whole.agg(F.coalesce(F.max("_n"), F.lit(1)).alias("_n")))
+    return counted.where(F.when(F.col("_n") <= 1, F.lit(True)).otherwise(error)).drop("_n")
 
 
 def join_panel(targets: DataFrame, panel: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -88,7 +88,7 @@ def features_for(cohort: DataFrame, panel: DataFrame, keys: Sequence[str], emb:
     j = cohort.join(panel.select(*keys, emb), list(keys), "left")
     complete = F.coalesce(_bad(emb) == 0, F.lit(False)) & F.col(emb).isNotNull()
     if strict:
-        error = F.raise_error(F.lit("a paired client-date lacks finite embeddings")).cast("boolean")
+        error = F.raise_error(F.lit("a cohort key has no finite vector")).cast("boolean")
         return j.where(F.when(complete, F.lit(True)).otherwise(error))
     return j.withColumn("complete", complete)
 

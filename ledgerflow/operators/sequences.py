@@ -132,9 +132,9 @@ def feature_sequences(
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """One row per client (or per client and ``keys``): aligned arrays of epoch seconds,
-    category codes and numerics. Sequences are capped to the newest ``max_events``
-    before they are gathered, which is also what bounds a group."""
-    capped = events if keys else latest_events(events, max_events, schema)
+    category codes and numerics. Sequences are capped to the newest ``max_events`` of each
+    client (and ``keys``) before they are gathered, which is also what bounds a group."""
+    capped = latest_events(events, max_events, schema, keys)
     coded = encode(capped, vocabulary, schema.categories)
     fields = {"event_time": epoch_seconds(schema.time)}
     fields |= {c: F.col(f"{c}_code") for c in schema.categories}
@@ -186,7 +186,7 @@ def days_since_first(events: DataFrame, schema: EventSchema) -> DataFrame:
     return out.withColumn("delta_days", F.coalesce(gap, F.lit(0)))
 
 
-def _client_gaps(capped: DataFrame, schema: EventSchema) -> DataFrame:
+def client_gaps(capped: DataFrame, schema: EventSchema) -> DataFrame:
     """Per event the seconds since the client's previous event, NULL for its first."""
     t = epoch_seconds(schema.time)
     return capped.withColumn("gap", t - F.lag(t).over(_by_client(schema)))
@@ -197,7 +197,7 @@ def prepare_audit(capped: DataFrame, schema: EventSchema, split: DataFrame, voca
 
     ``split`` has (client, valid). Unknown values are counted over eligible clients
     (two or more events) and category columns, by split."""
-    gaps = _client_gaps(capped, schema)
+    gaps = client_gaps(capped, schema)
     per_client = gaps.groupBy(schema.client).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("gap") == 0).alias("zero_gaps"),
@@ -234,7 +234,7 @@ def prepare_audit(capped: DataFrame, schema: EventSchema, split: DataFrame, voca
 
 def interval_stats(capped: DataFrame, schema: EventSchema, train: DataFrame) -> DataFrame:
     """p99 of the train clients' inter-event days and the mean of the intervals up to it."""
-    gaps = _client_gaps(capped.join(train.select(schema.client), schema.client, "left_semi"), schema)
+    gaps = client_gaps(capped.join(train.select(schema.client), schema.client, "left_semi"), schema)
     days = gaps.where(F.col("gap").isNotNull()).select((F.col("gap") / F.lit(86400.0)).alias("days"))
     counts = materialise(days.groupBy("days").agg(F.count(F.lit(1)).alias("n")))
     p99 = exact_quantiles(counts, [], "days", "n", [0.99]).select(F.col("quantiles")[0].alias("p99"))

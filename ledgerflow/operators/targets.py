@@ -44,11 +44,11 @@ def clean_targets(df: DataFrame, keys: Sequence[str], labels: Sequence[str], str
     if strict:
         bad = target_issues(df, keys, labels).first()
         if bad["null_rows"]:
-            raise ValueError("target keys or selected labels contain nulls")
+            raise ValueError(f"{bad['null_rows']} target rows lack a key or a label")
         if bad["non_binary_rows"]:
-            raise ValueError("selected target labels must be binary")
+            raise ValueError(f"{bad['non_binary_rows']} target rows have labels other than 0 and 1")
         if bad["conflicting_keys"]:
-            raise ValueError(f"{bad['conflicting_keys']} client-date keys have conflicting selected labels")
+            raise ValueError(f"labels contradict each other on {bad['conflicting_keys']} keys")
     g = df.groupBy(*keys).agg(
         *[F.min(c).alias(c) for c in labels], *[F.max(c).alias(f"_max_{c}") for c in labels],
         *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in labels],

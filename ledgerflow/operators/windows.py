@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 from ledgerflow.schema import EventSchema
 
-UNROLLED_DATES = 64
 
-
-def latest_events(events: DataFrame, n: int, schema: EventSchema) -> DataFrame:
-    """The ``n`` newest events per client. ``row_number <= n`` prunes every map task to
+def latest_events(events: DataFrame, n: int, schema: EventSchema, keys: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` newest events per client (and ``keys``). ``row_number <= n`` prunes every map task to
     ``n`` rows per client before the shuffle, so a very active client stays small."""
-    w = Window.partitionBy(schema.client).orderBy(*schema.newest_first())
+    w = Window.partitionBy(schema.client, *keys).orderBy(*schema.newest_first())
     return events.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
@@ -45,8 +43,7 @@ class _Grid:
         self.t, self.months, self.include_cutoff = t, months, include_cutoff
         self.ends = F.array(*[F.lit(d) for d in days])
         self.bounds = self.before(F.lit(days[-1])) & (t > self.start(F.lit(days[0])))
-        self.passed = self._count(days, lambda d: ~self.before(d))
-        self.started = self._count(days, lambda d: t > self.start(d))
+        self.bits = len(days).bit_length()
 
     def start(self, d: Column) -> Column:
         return F.add_months(d, -self.months)
@@ -54,13 +51,15 @@ class _Grid:
     def before(self, d: Column) -> Column:
         return self.t <= d if self.include_cutoff else self.t < d
 
-    def _count(self, days: list[date], test) -> Column:
-        if len(days) > UNROLLED_DATES:
-            return F.size(F.filter(self.ends, test))
-        total = F.lit(0)
-        for d in days:
-            total = total + F.when(test(F.lit(d)), 1).otherwise(0)
-        return total
+    def _count(self, df: DataFrame, name: str, test) -> DataFrame:
+        """Adds the number of leading grid dates that pass ``test``: binary search, one
+        generated projection per bit."""
+        df = df.withColumn(name, F.lit(0))
+        for bit in reversed(range(self.bits)):
+            step = 1 << bit
+            passes = test(F.get(self.ends, F.col(name) + F.lit(step - 1)))
+            df = df.withColumn(name, F.col(name) + F.when(passes, step).otherwise(0))
+        return df
 
     @staticmethod
     def explode(df: DataFrame, ends: Column) -> DataFrame:
@@ -68,7 +67,8 @@ class _Grid:
         return df.withColumn("target_date", F.explode(mine)).drop("_passed", "_started")
 
     def place(self, df: DataFrame) -> DataFrame:
-        placed = df.where(self.bounds).withColumns({"_passed": self.passed, "_started": self.started})
+        placed = self._count(df.where(self.bounds), "_passed", lambda d: ~self.before(d))
+        placed = self._count(placed, "_started", lambda d: self.t > self.start(d))
         return placed.where("_started > _passed")
 
 

@@ -17,16 +17,18 @@ from ledgerflow.operators.conform import daily_rollup
 from ledgerflow.schema import ColumnSpec
 from ledgerflow.sources.readers import attach_row, materialise
 
+#: The two sides of a match: the clients of three and of two of the five folds, all together.
+HALF_A, HALF_B = "_f IN (0, 2, 4)", "_f IN (1, 3)"
 ANON = {s.name: f"col_a{i}" for i, s in enumerate(SPECS)}
 ANON_SPECS = [ColumnSpec(ANON[s.name], s.kind) for s in SPECS]
 
 
 def side(spark, sf, which: str):
-    """Fold 0 with anonymous names, or fold 1 with its own."""
+    """One half of the clients with anonymous names, or the other with its own."""
     led = ledger(spark, sf).withColumn("_f", fold("client_id"))
     if which == "a":
-        return led.where("_f = 0").select(*[F.col(c).alias(a) for c, a in ANON.items()])
-    return led.where("_f = 1").select(*ANON)
+        return led.where(HALF_A).select(*[F.col(c).alias(a) for c, a in ANON.items()])
+    return led.where(HALF_B).select(*ANON)
 
 
 def passports(spark, sf):
@@ -55,7 +57,7 @@ _SAME = {c: c for c in ANON}
 
 def _distance_sql(weights: str) -> str:
     wc, wn = M.WEIGHTS[weights]["categorical"], M.WEIGHTS[weights]["numeric"]
-    return f"""{_passport_sql('pa', f'{_FOLD} = 0', ANON)}, {_passport_sql('pb', f'{_FOLD} = 1', _SAME)},
+    return f"""{_passport_sql('pa', f'{_FOLD} IN (0, 2, 4)', ANON)}, {_passport_sql('pb', f'{_FOLD} IN (1, 3)', _SAME)},
   x AS (SELECT a.c AS source, b.c AS target, a.kind AS source_kind, b.kind AS target_kind, a.subtype AS s1, b.subtype AS s2,
       abs(a.null_share - b.null_share) AS d_null, abs(a.entropy - b.entropy) AS d_entropy, abs(a.top1 - b.top1) AS d_top1, abs(a.zero_share - b.zero_share) AS d_zero,
       log10(a.n_unique) - log10(b.n_unique) AS du, log10(a.n_valid) - log10(b.n_valid) AS dn,
@@ -126,8 +128,8 @@ def v1_passports(df, specs):
     return j.withColumn("entropy_norm", F.coalesce("entropy_norm", "_e")).drop("_e")
 
 
-@query("passport_similarity_v1", f"""WITH {LEDGER_SQL}, {_passport_sql('pa', f'{_FOLD} = 0', ANON)}, {_passport_sql('pb', f'{_FOLD} = 1', _SAME)},
-  {_v1_sql('pa', f'{_FOLD} = 0', ANON)}, {_v1_sql('pb', f'{_FOLD} = 1', _SAME)},
+@query("passport_similarity_v1", f"""WITH {LEDGER_SQL}, {_passport_sql('pa', f'{_FOLD} IN (0, 2, 4)', ANON)}, {_passport_sql('pb', f'{_FOLD} IN (1, 3)', _SAME)},
+  {_v1_sql('pa', f'{_FOLD} IN (0, 2, 4)', ANON)}, {_v1_sql('pb', f'{_FOLD} IN (1, 3)', _SAME)},
   x AS (SELECT a.c AS source, b.c AS target, a.kind AS kind, b.kind AS k2, abs(log10(a.n_unique) - log10(b.n_unique)) AS un, abs(a.e - b.e) AS de,
     abs(coalesce(a.top1, 0) - coalesce(b.top1, 0)) AS dt, abs(coalesce(a.zero, 0) - coalesce(b.zero, 0)) AS dz,
     list_sum(list_transform(list_zip(a.hist, b.hist), lambda z: abs(z[1] - z[2]))) / 2 AS l1 FROM pa_2 a, pb_2 b)
@@ -243,8 +245,8 @@ def _uniform_plan(d):
     return attach_row(ok.join(per, "target"), m).select("source", "target", (F.lit(1.0) / F.col("_k") / F.col("_m")).alias("mass"))
 
 
-_OBJ_X = _CX.replace("FROM led WHERE", f"FROM led WHERE {_FOLD} = 0 AND")
-_OBJ_Y = _CX.replace("FROM led WHERE", f"FROM led WHERE {_FOLD} = 1 AND")
+_OBJ_X = _CX.replace("FROM led WHERE", f"FROM led WHERE {_FOLD} IN (0, 2, 4) AND")
+_OBJ_Y = _CX.replace("FROM led WHERE", f"FROM led WHERE {_FOLD} IN (1, 3) AND")
 for _c in CATEGORIES:
     _OBJ_X = _OBJ_X.replace(f"'{_c}'", f"'{ANON[_c]}'")
 
@@ -260,8 +262,8 @@ def _(spark, sf):
     d = materialise(distances(spark, sf).where("source_kind = 'categorical' AND target_kind = 'categorical'"))
     led = ledger(spark, sf).withColumn("_f", fold("client_id"))
     names = list(CATEGORIES)
-    cx = joint_structure(led.where("_f = 0"), names, ANON)
-    cy = joint_structure(led.where("_f = 1"), names, {c: c for c in names})
+    cx = joint_structure(led.where(HALF_A), names, ANON)
+    cy = joint_structure(led.where(HALF_B), names, {c: c for c in names})
     o = M.fgw_objective(_uniform_plan(d), d, cx, cy, 0.5)
     return rounded(o, 8, "feature_loss", "structure_loss", "objective")
 
@@ -294,7 +296,7 @@ def _(spark, sf):
 
 def _testbed(spark, sf, kind):
     led = ledger(spark, sf).withColumn("_f", fold("client_id"))
-    a, b = led.where("_f = 0"), led.where("_f = 1")
+    a, b = led.where(HALF_A), led.where(HALF_B)
     if kind != "folds":
         # the first numeric is summed; the second is constant inside an order, not a key
         a = daily_rollup(a, LEDGER, "amount")
@@ -505,8 +507,8 @@ def _(spark, sf):
 
 @query("alpha_sweep")
 def _(spark, sf):
-    """Noisy anonymous copies of a fold matched back to it: conditions by mixing weights."""
-    led = raw_ledger(spark, sf).withColumn("_f", fold("client_id")).where("_f = 0")
+    """Noisy anonymous copies of the ledger matched back to it: conditions by mixing weights."""
+    led = raw_ledger(spark, sf)
     led = led.select(*ANON, F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "event_subtype").alias("_key"))
     led = materialise(led)
     clean, dependency = P.profile_source(led, SPECS)

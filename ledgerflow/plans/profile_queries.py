@@ -11,7 +11,7 @@ from ledgerflow.schema import ColumnSpec
 from ledgerflow.sources.readers import materialise
 
 LEVELS = "[" + ", ".join(str(q) for q in P.QUANTILE_LEVELS) + "]"
-BINS, MAX_CATEGORIES = 10, 8
+BINS, MAX_CATEGORIES = 10, 64
 
 _CAT_LONG = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM led" for c in CATEGORIES)
 _NUM_LONG = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS v FROM led" for c in NUMERICS)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ledgerflow.functions.scalars import epoch_seconds
 from ledgerflow.operators import sequences as Q
 from ledgerflow.operators import targets as T
-from ledgerflow.operators.windows import latest_events
+from ledgerflow.operators.windows import latest_events, windows
 from ledgerflow.plans.registry import query
 from ledgerflow.plans.standins import (
-    CATEGORIES, FEATURES_ASC, LEDGER, LEDGER_SQL, MAX_EVENTS, capped_sql, ledger, sql_hash, sql_uniform, table,
+    CATEGORIES, FEATURES_ASC, FEATURES_DESC, LEDGER, LEDGER_SQL, MAX_EVENTS, capped_sql, ledger, sql_hash, sql_uniform, table,
 )
 from ledgerflow.schema import EventSchema
 from ledgerflow.sources.readers import materialise
@@ -52,9 +52,9 @@ def vocabulary(cap):
     return Q.fit_vocabulary(train_events(cap), CATEGORIES)
 
 
-@query("eligible_clients", f"WITH {LEDGER_SQL} SELECT client_id, count(*) AS n_events FROM led WHERE src_a = 8 GROUP BY 1 HAVING count(*) >= 2")
+@query("eligible_clients", f"WITH {LEDGER_SQL} SELECT client_id, count(*) AS n_events FROM led GROUP BY 1 HAVING count(*) >= 30")
 def _(spark, sf):
-    return Q.eligible_clients(ledger(spark, sf).where("src_a = 8"), "client_id", 2)
+    return Q.eligible_clients(ledger(spark, sf), "client_id", 30)
 
 
 @query("fixed_split", f"WITH {CAP}, {SPLIT_SQL} SELECT client_id, valid FROM split")
@@ -153,6 +153,20 @@ def _(spark, sf):
     return s.select("client_id", *joined, F.array_join(F.transform("amount", lambda x: F.round(x.cast("double") * 100).cast("bigint").cast("string")), ",").alias("amount"))
 
 
+@query("window_sequences", f"""WITH {LEDGER_SQL}, d AS (SELECT CAST(unnest([DATE '1998-01-01', DATE '1998-07-01']) AS DATE) AS target_date),
+  w AS (SELECT * FROM led, d WHERE event_time < target_date AND event_time > target_date - INTERVAL 12 MONTH
+    QUALIFY row_number() OVER (PARTITION BY client_id, target_date ORDER BY {FEATURES_DESC}) <= 5)
+  SELECT client_id, target_date, array_to_string(list(CAST(epoch(event_time) AS BIGINT) ORDER BY {FEATURES_ASC}), ',') AS event_time,
+    array_to_string(list(CAST(round(CAST(CAST(amount AS FLOAT) AS DOUBLE) * 100) AS BIGINT) ORDER BY {FEATURES_ASC}), ',') AS amount FROM w GROUP BY 1, 2""")
+def _(spark, sf):
+    """Per client and window the newest five events; the windows themselves are not capped."""
+    w = windows(ledger(spark, sf), LEDGER, ["1998-01-01", "1998-07-01"], 12)
+    s = Q.feature_sequences(w, LEDGER, dear_vocabulary(capped(spark, sf)), 5, ["target_date"])
+    cents = F.transform("amount", lambda x: F.round(x.cast("double") * 100).cast("bigint").cast("string"))
+    times = F.transform("event_time", lambda x: x.cast("string"))
+    return s.select("client_id", "target_date", F.array_join(times, ",").alias("event_time"), F.array_join(cents, ",").alias("amount"))
+
+
 @query("event_sequences", f"""WITH {CAP}, {_MARKS}, kept AS (
     SELECT cap.*, code FROM cap JOIN marks ON value = event_type),
   d AS (SELECT *, CAST(floor((epoch(event_time) - min(epoch(event_time)) OVER (PARTITION BY client_id)) / 86400) AS BIGINT) AS days FROM kept),
@@ -194,12 +208,10 @@ def _(spark, sf):
   SELECT user_id, count(*) AS n_events, count(*) FILTER (WHERE gap = 0) AS zero_gaps, count(*) FILTER (WHERE gap IS NULL) AS first_rows FROM g GROUP BY 1""")
 def _(spark, sf):
     e = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_type", "value")
-    d = Q.days_since_first(latest_events(e, 100000, EVENTS).withColumn("ts", F.col("day").cast("timestamp_ntz")), EVENTS)
-    first = (F.col("days") == 0).cast("int")
-    # a client's first row has no gap, although its delta is 0 by convention
-    return d.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n_events"), (F.count_if(F.col("delta_days") == 0) - 1).alias("zero_gaps"),
-        F.max(first).cast("bigint").alias("first_rows"),
+    gaps = Q.client_gaps(e.withColumn("ts", F.col("day").cast("timestamp_ntz")), EVENTS)
+    return gaps.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("gap") == 0).alias("zero_gaps"),
+        F.count_if(F.col("gap").isNull()).alias("first_rows"),
     )
 
 

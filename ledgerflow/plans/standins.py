@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.scalars import as_code, hash60, shard_of
 from ledgerflow.schema import ColumnSpec, EventSchema
-from ledgerflow.sources.readers import spread
 
 CATEGORIES = ("event_type", "event_subtype", "currency", "src_a", "src_b", "dst_a", "dst_b")
 NUMERICS = ("amount", "balance")
@@ -26,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named ledger with integer-like codes stored as DOUBLE and with missing values."""
-    li, o = spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "orders")
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(
         F.col("o_custkey").alias("client_id"),
@@ -74,7 +73,7 @@ led AS (
 
 FEATURES_DESC = ", ".join(f"{c} DESC NULLS LAST" for c in ("event_time", *LEDGER.features))
 FEATURES_ASC = ", ".join(f"{c} ASC NULLS FIRST" for c in ("event_time", *LEDGER.features))
-MAX_EVENTS = 40
+MAX_EVENTS = 500
 
 
 def capped_sql(n: int = MAX_EVENTS) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -59,17 +61,19 @@ _LOCAL_SCRATCH: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir``. Only a local
-    session may go without it and gets a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir``, or what was given to
+    ``setCheckpointDir``. Only a local session may go without it; it gets a temporary folder,
+    which is deleted when the process ends."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared:
         return shared
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     app = context.applicationId
     if app not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, _LOCAL_SCRATCH[app], ignore_errors=True)
     return _LOCAL_SCRATCH[app]
 
 
@@ -90,10 +94,3 @@ def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
     exactly one row, which is what makes this broadcast safe at any size of ``df``."""
     one = F.lit(1).alias("_one_row")
     return df.select("*", one).join(F.broadcast(row.select("*", one)), "_one_row").drop("_one_row")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the session has cores (a small file
-    with one row group); anything larger is returned as it is, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

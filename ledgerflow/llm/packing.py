@@ -41,16 +41,23 @@ class WordTokenizer:
     one is encoded once; new words of several texts go to the library together."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model for words that are cut and lower-cased already, joined by spaces.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = normalizers.Sequence([])
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.cache: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    def encode(self, text: str, words: bool = False) -> np.ndarray:
+        own = self.of_words if words else self.tokenizer
+        return np.array(own.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the little-endian unsigned 32-bit ids, one after the other."""
@@ -66,7 +73,7 @@ class WordTokenizer:
 
     def learn(self, new: set[str]) -> None:
         words = list(new)
-        ids = self.encode(" ".join(words)) if words else np.empty(0, "<u4")
+        ids = self.encode(" ".join(words), True) if words else np.empty(0, "<u4")
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) == len(words):
             data, edge = ids.tobytes(), [0, *(4 * last).tolist()]

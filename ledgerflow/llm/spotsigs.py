@@ -76,8 +76,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     # the number of edges below the id, by halving
     placed = own.withColumn("bucket", _rank(F.col("o"), steps, len(edges)))
     first = sorted((r["bucket"], r["o"]) for r in placed.groupBy("bucket").agg(F.min("o").alias("o")).collect())
-    after = [(b, first[(i + 1) % len(first)][1]) for i, (b, _) in enumerate(first)]
-    follows = docs.sparkSession.createDataFrame(after, "b int, follows long")
+    after = [F.struct(F.lit(b).alias("b"), F.lit(first[(i + 1) % len(first)][1]).cast("long").alias("follows")) for i, (b, _) in enumerate(first)]
+    follows = docs.sparkSession.range(1).select(F.inline(F.array(*after)))
     extra = own.join(F.broadcast(follows), F.col("o") == F.col("follows")).select(
         F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "o", "text", F.col("b").alias("bucket"), F.lit(1).alias("extra")
     )

@@ -109,7 +109,9 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
             out.append(row)
         return pd.Series(out)
 
-    return docs.select("doc_id", pieces("text").alias("p")).select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.*")
+    # the outer form, as the plain one would have the function evaluated once more for a filter
+    rows = docs.select("doc_id", pieces("text").alias("p")).select("doc_id", F.explode_outer("p").alias("p"))
+    return rows.filter(F.col("p").isNotNull()).select("doc_id", "p.*")
 
 
 # --- bin completion ----------------------------------------------------------------------

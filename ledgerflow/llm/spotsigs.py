@@ -31,7 +31,7 @@ def signatures(text: Column) -> Column:
     text has none."""
     words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     words = F.replace(words, F.lit("  "), F.lit(" "))
-    marked = F.regexp_replace(words, f"(?<= )(?:(?:{'|'.join(ANCHORS)}) )+", _MARK)
+    marked = F.regexp_replace(words, f"(?<= )(?:(?:{'|'.join(ANCHORS)}) )++", _MARK)
     chain = f"([^ ]+(?: [^ ]+){{0,{CHAIN - 1}}})"
     spots = F.regexp_extract_all(marked, F.lit(f"{_MARK}(?={chain})"), F.lit(1))
     every = F.regexp_extract_all(words, F.lit(f" (?={chain})"), F.lit(1))

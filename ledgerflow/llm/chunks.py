@@ -222,9 +222,13 @@ def anchor_keys(symbols, begin, end, length: int, gram: int, among: np.ndarray |
     least, valid, grams = anchors(symbols, begin, end, length, gram)
     if among is not None:
         valid = valid & among[: len(valid)]
+    return counted_anchors(least, valid, grams, length - gram + 1)
+
+
+def counted_anchors(least: np.ndarray, valid: np.ndarray, grams: np.ndarray, width: int):
+    """``anchor_keys`` of what ``anchors`` gives, for windows of ``width`` grams."""
     if not valid.any():
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    width = length - gram + 1
     pad = np.zeros(width - 1, np.uint64)
     highest = sliding(np.concatenate([pad, np.where(valid, least, np.uint64(0)), pad]), width, np.maximum)
     size = min(len(highest), len(grams))

@@ -3,7 +3,10 @@
 Every string of ``length`` bytes contains k-grams; the one with the smallest hash is its
 anchor, so equal strings have equal anchors. Anchors that occur once in the corpus settle all
 their strings. Around the others, runs of strings with one anchor are cut out and meet in the
-shard of that anchor, equal runs of a chunk only once. A shard is a text of a few megabytes:
+shard of that anchor, equal runs of a chunk only once. An anchor whose runs would have more than
+MOST bytes is hot: of its strings only those travel whose hash occurs twice in the corpus, to
+the shard of a longer anchor, or if that is hot too of the whole string, which a chunk sends
+once. No key then brings more to a shard than MOST bytes or one string per chunk. A shard is a text of a few megabytes:
 its suffixes are sorted, and boundaries between suffixes are found by increasing length of
 their common prefix, by breadth-first backward extension on the Burrows-Wheeler transform:
 a boundary of length l+1 lies between the extensions by one character of neighbours that a
@@ -26,23 +29,136 @@ RUN = 64  # strings in one cut run at most; their answers fit one 64-bit word
 _BYTE = c.mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def _anchor_keys(own: c.Chunk, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    return c.anchor_keys(_BYTE[own.bytes], own.begin, own.end, length, gram)
+#: Bytes of run text that one key may bring to a shard; keys above it are split.
+MOST = c.CHUNK_BYTES
+_LOW = np.uint64(15)  # bits of a key that carry how much text a chunk would send for it
+_NONE = np.empty(0, np.uint64)
 
 
-def _runs(own: c.Chunk, keys: np.ndarray, length: int, gram: int):
-    """(place, number of strings, anchor) of runs with a repeated anchor."""
+def _member(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in the sorted ``keys``, whose low bits are off."""
+    if not len(keys):
+        return np.zeros(len(values), dtype=bool)
+    values = values & ~_LOW
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
+def _runs_of(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending window places and their keys: where runs of neighbours with one key begin,
+    and their sizes. Windows of two documents are no neighbours: they start a length apart."""
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (key[1:] != key[:-1])]))
+    return first, np.diff(np.concatenate([first, [len(at)]]))
+
+
+def _whole(own: c.Chunk, length: int) -> np.ndarray:
+    """Hash of the string of ``length`` bytes at every place."""
+    return c.mix(c.rolling(_BYTE[own.bytes], length, c.FACTOR))
+
+
+def _weighed(keys: np.ndarray, multi: np.ndarray, key: np.ndarray, at: np.ndarray, whole: np.ndarray, length: int) -> np.ndarray:
+    """Distinct ``keys`` with their low bits set to a code: 0 for a single place and a run that
+    one place can give; else 1 + n if their distinct runs have 2^n times as many bytes at most."""
+    first, size = _runs_of(key, at)
+    bytes_ = size + (length - 1) * -(-size // RUN)
+    own, start = key[first] & ~_LOW, at[first]
+    mark = c.mix(whole[start] ^ c.mix(whole[start + size - 1] + size.astype(np.uint64)))
+    by = np.lexsort((mark, own))
+    own, mark, bytes_ = own[by], mark[by], bytes_[by]
+    fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (mark[1:] != mark[:-1])])
+    weight = np.bincount(np.searchsorted(keys, own[fresh]), bytes_[fresh], len(keys))
+    times = np.ceil(np.log2(np.maximum(weight / (3 * length), 1))).astype(np.int64)
+    return keys | np.where(multi | (times > 0), np.minimum(1 + times, 15), 0).astype(np.uint64)
+
+
+def _key_rows(chunk: int, keys: np.ndarray, buckets: int, kind: int = 0) -> pa.Table:
+    bucket = ((keys >> np.uint64(4)) % np.uint64(buckets)).astype(np.int64) + kind * buckets
+    order = np.argsort(bucket, kind="stable")
+    numbers, starts = np.unique(bucket[order], return_index=True)
+    return pa.table({
+        "bucket": pa.array(numbers.astype(np.int32), pa.int32()),
+        "chunk": pa.array(np.full(len(numbers), chunk, np.int32), pa.int32()),
+        "keys": pa.array([k.tobytes() for k in np.split(keys[order], starts[1:])] if len(numbers) else [], pa.binary()),
+    })
+
+
+def _anchor_rows(own: c.Chunk, chunk: int, buckets: int, length: int, gram: int) -> pa.Table:
+    """A chunk's distinct anchors, weighed."""
+    least, valid, grams = c.anchors(_BYTE[own.bytes], own.begin, own.end, length, gram)
+    keys, counts = c.counted_anchors(least, valid, grams, length - gram + 1)
+    if not len(keys):
+        return _key_rows(chunk, _NONE, buckets)
+    # anchors that differ in the low bits alone are one key
+    keys, of = np.unique(keys & ~_LOW, return_inverse=True)
+    at = np.flatnonzero(valid)
+    return _key_rows(chunk, _weighed(keys, np.bincount(of, counts) > 1, least[at], at, _whole(own, length), length), buckets)
+
+
+def _longer_rows(own: c.Chunk, chunk: int, hot: np.ndarray, buckets: int, length: int, gram: int) -> pa.Table:
+    """Of a chunk's strings whose anchor is hot: the hashes of the whole strings, and in a second
+    kind of buckets their longer anchors, weighed."""
     least, valid, _ = c.anchors(_BYTE[own.bytes], own.begin, own.end, length, gram)
     at = np.flatnonzero(valid)
+    at = at[_member(hot, least[at])]
     if not len(at):
-        return at, at, least[:0]
-    new = np.concatenate([[True], (np.diff(at) > 1) | (least[at[1:]] != least[at[:-1]])])
-    new[np.searchsorted(at, own.begin[(own.end - own.begin) >= length])] = True
-    first = np.flatnonzero(new)
-    place, size = at[first], np.diff(np.concatenate([first, [len(at)]]))
-    anchor = least[place]
-    keep = c.member(keys, anchor)
-    place, size, anchor = place[keep], size[keep], anchor[keep]
+        return _key_rows(chunk, _NONE, buckets)
+    whole = _whole(own, length)
+    keys, counts = np.unique(whole[at] & ~_LOW, return_counts=True)
+    longer = c.anchors(_BYTE[own.bytes], own.begin, own.end, length, (gram + length) // 2)[0][at]
+    second = np.unique(longer & ~_LOW)
+    second = _weighed(second, np.zeros(len(second), bool), longer, at, whole, length)
+    return pa.concat_tables([_key_rows(chunk, keys | (counts > 1).astype(np.uint64), buckets), _key_rows(chunk, second, buckets, 1)])
+
+
+FOUND_SCHEMA = "chunk int, kind string, keys binary"
+
+
+def _found(table: pa.Table, kinds: tuple[str, str], most: int, length: int) -> pa.Table:
+    """One bucket: per chunk the keys that occur twice or more, under the second kind those whose
+    runs in all chunks together may have more than ``most`` bytes. A kind without a name is left out."""
+    rows = [c.unpacked(k, "u8") for k in table.column("keys").to_pylist()]
+    every = np.sort(np.concatenate(rows))
+    values, code = every & ~_LOW, (every & _LOW).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    twice = (np.diff(np.concatenate([at, [len(values)]])) > 1) | (np.maximum.reduceat(code, at) > 0)
+    heavy = np.add.reduceat(3 * length << np.maximum(code - 1, 0), at) > most
+    out = {"chunk": [], "kind": [], "keys": []}
+    for kind, found in zip(kinds, (values[at[twice & ~heavy]], values[at[twice & heavy]])):
+        for number, r in zip(table.column("chunk").to_pylist(), rows if kind else []):
+            r = np.sort(r & ~_LOW)
+            r = r[_member(found, r)]
+            if len(r):
+                for name, value in (("chunk", number), ("kind", kind), ("keys", r.tobytes())):
+                    out[name].append(value)
+    types = {"chunk": pa.int32(), "kind": pa.string(), "keys": pa.binary()}
+    return pa.table({n: pa.array(v, types[n]) for n, v in out.items()})
+
+
+def _by_kind(table: pa.Table) -> dict[str, np.ndarray]:
+    """Sorted keys of one chunk: settled as ``cold``, ``hot``, ``whole`` and ``longer``."""
+    rows: dict[str, list] = {"cold": [], "hot": [], "whole": [], "longer": []}
+    for kind, keys in zip(table.column("kind").to_pylist(), table.column("keys").to_pylist()):
+        rows[kind].append(c.unpacked(keys, "u8"))
+    return {k: np.sort(np.concatenate(v)) if v else _NONE for k, v in rows.items()}
+
+
+def _runs(own: c.Chunk, keys: dict[str, np.ndarray], length: int, gram: int):
+    """(place, number of strings, key) of runs of strings that share a repeated key: the anchor;
+    if it is hot the longer anchor, of strings that repeat; if that is hot too, the string."""
+    least, valid, _ = c.anchors(_BYTE[own.bytes], own.begin, own.end, length, gram)
+    at = np.flatnonzero(valid)
+    key = least[at]
+    hot = _member(keys["hot"], key)
+    keep = hot | _member(keys["cold"], key)
+    if hot.any():
+        whole = _whole(own, length)[at]
+        longer = c.anchors(_BYTE[own.bytes], own.begin, own.end, length, (gram + length) // 2)[0][at]
+        key = np.where(hot, np.where(_member(keys["longer"], longer), whole, longer), key)
+        keep &= ~hot | _member(keys["whole"], whole)
+    at, key = at[keep], key[keep]
+    if not len(at):
+        return at, at, key
+    first, size = _runs_of(key, at)
+    place, anchor = at[first], key[first]
     parts = -(-size // RUN)
     index = np.repeat(np.arange(len(place)), parts)
     nth = np.arange(len(index)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -52,7 +168,7 @@ def _runs(own: c.Chunk, keys: np.ndarray, length: int, gram: int):
 RUN_SCHEMA = "shard int, chunk int, text binary, sizes binary, docs binary, starts binary, copy_sizes binary, copy_docs binary, copy_starts binary"
 
 
-def _run_rows(own: c.Chunk, keys: np.ndarray, chunk: int, shards: int, length: int, gram: int) -> pa.Table:
+def _run_rows(own: c.Chunk, keys: dict[str, np.ndarray], chunk: int, shards: int, length: int, gram: int) -> pa.Table:
     place, size, anchor = _runs(own, keys, length, gram)
     doc = own.document_of(place)
     ids, starts = own.ids[doc], place - own.first[doc]
@@ -250,7 +366,7 @@ def _results(own: c.Chunk, covered: np.ndarray) -> pa.Table:
     })
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = (), most: int = MOST) -> DataFrame:
     """Documents (doc_id, text) without the bytes that a string of ``length`` bytes covers which
     also starts earlier: at a smaller doc_id, or before it in the same document. Strings are
     judged on the input. Texts are their UTF-8 bytes, null is empty.
@@ -259,7 +375,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     (array<struct<start,end>> of byte offsets), kept (binary: what is left; a cut may fall inside
     a character). Rows that share an id count as one document, their texts in byte order,
     though no string spans two of them; null ids come first. Columns named in ``carry`` are
-    returned as a struct of that name, others are not read.
+    returned as a struct of that name, others are not read. ``most`` is the text in bytes that
+    one key may bring to a shard; it changes no result.
     """
     own = c.corpus(docs, carry=carry)
     schema = StructType.fromDDL(RESULT_SCHEMA)
@@ -267,19 +384,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     buckets, shards = own.buckets, own.chunks
 
     def keys(table: pa.Table) -> pa.Table:
-        return c.key_rows(table.column("chunk")[0].as_py(), *_anchor_keys(c.Chunk(table), length, gram), buckets)
+        return _anchor_rows(c.Chunk(table), table.column("chunk")[0].as_py(), buckets, length, gram)
 
-    def runs(left: pa.Table, right: pa.Table) -> pa.Table:
+    def longer(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return _run_rows(c.Chunk(left), np.empty(0, np.uint64), 0, shards, length, gram)
-        return _run_rows(c.Chunk(left), c.gathered(right), left.column("chunk")[0].as_py(), shards, length, gram)
+            return _key_rows(0, _NONE, buckets)
+        return _longer_rows(c.Chunk(left), left.column("chunk")[0].as_py(), c.gathered(right), buckets, length, gram)
+
+    def runs(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _run_rows(c.Chunk(left), _by_kind(right), left.column("chunk")[0].as_py() if len(left) else 0, shards, length, gram)
 
     def results(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = c.Chunk(left)
         out = _results(chunk, _covered(chunk, right, length))
         return out.append_column("carry", left.column("carry").take(pa.array(chunk.order, pa.int64()))) if carry else out
 
-    twice = c.repeated(own.rows.groupBy("chunk").applyInArrow(keys, c.KEY_SCHEMA))
-    cut = own.rows.groupBy("chunk").cogroup(twice.groupBy("chunk")).applyInArrow(runs, RUN_SCHEMA)
+    def found(rows: DataFrame, **kinds: tuple[str, ...]) -> DataFrame:
+        names = list(kinds.values())
+        return rows.groupBy("bucket").applyInArrow(lambda t: _found(t, names[t.column("bucket")[0].as_py() // buckets], most, length), FOUND_SCHEMA)
+
+    by_chunk = own.rows.groupBy("chunk")
+    first = found(by_chunk.applyInArrow(keys, c.KEY_SCHEMA), anchors=("cold", "hot"))
+    second = by_chunk.cogroup(first.filter("kind = 'hot'").groupBy("chunk")).applyInArrow(longer, c.KEY_SCHEMA)
+    second = found(second, whole=("whole", "whole"), longer=("", "longer"))
+    cut = by_chunk.cogroup(first.union(second).groupBy("chunk")).applyInArrow(runs, RUN_SCHEMA)
     answers = cut.groupBy("shard").applyInArrow(lambda t: _answers(t, length), ANSWER_SCHEMA)
-    return own.rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(results, schema)
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(results, schema)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from compare import compare, duck
 from helpers import SMALL, WORD, covered_bytes, covered_words, odd_texts, sha, texts_frame
@@ -49,6 +50,41 @@ def test_suffix_dedup_of_nothing_and_of_repeated_ids(spark):
     assert {r["carry"]["lang"] for r in rows} == {"k"}
 
 
+def test_hot_anchors_are_split(spark):
+    r = random.Random(7)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line, passage = "=== this very line is everywhere, always the same ===", noise(260)
+    texts = [noise(150) + r.choice([line, passage]) + noise(150) for _ in range(600)]
+    texts += texts[:40] + [noise(150) + t[60:] for t in texts[40:60]] + ["z" * 3000] + mixed_texts(8, 40)
+    rows = [(i, t or "") for i, t in enumerate(texts, 1)]
+    largest = {}
+    for most in (suffix_dedup.MOST, 3000):
+        got = {x["doc_id"]: x for x in suffix_dedup.remove_repeats(texts_frame(spark, texts), most=most).collect()}
+        for (i, t), gone in zip(rows, covered_bytes(texts, 100)):
+            assert bytes(got[i]["kept"]) == np.frombuffer(t.encode(), np.uint8)[~gone].tobytes()
+        # the same by hand, to see how much text each shard gets
+        tables = [pa.table({"chunk": [k] * len(p), "doc_id": [i for i, _ in p], "no_id": [False] * len(p), "data": [t.encode() for _, t in p]}) for k, p in enumerate((rows[0::3], rows[1::3], rows[2::3]))]
+        own = [chunks.Chunk(t) for t in tables]
+        find = lambda parts, kinds: suffix_dedup._found(pa.concat_tables(parts), kinds, most, 100)
+        first = find([suffix_dedup._anchor_rows(o, k, 1, 100, 32) for k, o in enumerate(own)], ("cold", "hot"))
+        of = lambda table, k: table.filter(pa.compute.equal(table["chunk"], k))
+        hot = [suffix_dedup._by_kind(of(first, k))["hot"] for k in range(3)]
+        assert any(map(len, hot)) == (most == 3000)
+        second = [suffix_dedup._longer_rows(o, k, hot[k], 1, 100, 32) for k, o in enumerate(own)]
+        parts = [first]
+        for bucket, kinds in enumerate((("whole", "whole"), ("", "longer"))):
+            rows_of = [t.filter(pa.compute.equal(t["bucket"], bucket)) for t in second]
+            parts += [find(rows_of, kinds)] if any(map(len, rows_of)) else []
+        found = pa.concat_tables(parts)
+        held = {}
+        for k, o in enumerate(own):
+            place, size, key = suffix_dedup._runs(o, suffix_dedup._by_kind(of(found, k)), 100, 32)
+            for p, n, a in zip(place.tolist(), size.tolist(), key.tolist()):
+                held.setdefault(a, set()).add((k, o.bytes[p : p + n + 99].tobytes()))
+        largest[most] = max(sum(len(t) for _, t in v) for v in held.values())
+    assert largest[3000] <= 3000 < 30_000 < largest[suffix_dedup.MOST]
+
+
 def test_suffix_array_and_boundaries():
     r = np.random.default_rng(3)
     for _ in range(30):

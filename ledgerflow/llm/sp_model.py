@@ -12,6 +12,9 @@ import heapq
 import re
 import struct
 from functools import lru_cache
+from itertools import accumulate
+
+import numpy as np
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
@@ -83,6 +86,31 @@ class CharacterMap:
             return None
         return best[0], self.strings[best[1] : self.strings.index(b"\0", best[1])]
 
+    def hits(self, data: bytes) -> dict[int, tuple[int, bytes]]:
+        """Length and replacement of the entries met from the left, by where they start."""
+        at, out = 0, {}
+        while at < len(data):
+            found = self.longest(data, at)
+            if found is not None:
+                out[at] = found
+            at += _size(data[at]) if found is None else found[0]
+        return out
+
+
+class NoMap(CharacterMap):
+    """The map of a model that has none."""
+
+    def __init__(self):
+        super().__init__(b"")
+
+    def hits(self, data: bytes) -> dict[int, tuple[int, bytes]]:
+        return {}
+
+
+def _size(first: int) -> int:
+    """Bytes of the character with this first byte."""
+    return 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+
 
 class Model:
     """A BPE model with its normaliser. Unigram models and user-defined or unused pieces are
@@ -136,23 +164,24 @@ class Model:
                         self.escape = bool(v)
         if kind != 2:
             raise ValueError("not a BPE model")
-        self.map = CharacterMap(charsmap)
+        self.map = CharacterMap(charsmap) if charsmap else NoMap()
         #: Place of a piece in the order of scores; equal scores share one.
         order = {v: i for i, v in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
         self.rank = {p: order[self.scores[i]] for p, i in self.ids.items()}
         self.id_text = [str(i) for i in range(len(self.pieces))]
         inner = [p for p in self.ids if SPACE in p.lstrip(SPACE)]
         self.units = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if not inner else re.compile("(?s).+")
-        self._cache: dict[str, tuple[tuple[int, ...], str, str]] = {}
-
-    @property
-    def plain(self) -> bool:
-        """Whether normalising only marks spaces: then units can be cut from the text itself."""
-        return not self.map.units and self.prefix and not self.squeeze and self.escape and self.units.pattern != "(?s).+"
+        #: Text of a normal piece; None for the others.
+        self.shown = [p.replace(SPACE, " ") if k == NORMAL else None for p, k in zip(self.pieces, self.kinds)]
+        self.width = [len(p.encode("utf-8", "surrogatepass")) for p in self.pieces]
+        self._cache: dict[str, tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...], int]] = {}
 
     def normalise(self, text: str) -> tuple[bytes, list[int]]:
         """Normalised bytes, and for each of them and the end the source byte it starts at."""
         data = text.encode("utf-8", "surrogatepass")
+        hits = self.map.hits(data)
+        if data and not hits and not self.squeeze:
+            return self._marked(data)
         out, source = bytearray(), []
 
         def add(piece: bytes, at: int) -> None:
@@ -161,10 +190,9 @@ class Model:
 
         at, parts = 0, []
         while at < len(data):
-            found = self.map.longest(data, at)
+            found = hits.get(at)
             if found is None:
-                first = data[at]
-                size = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+                size = _size(data[at])
                 found = (size, data[at : at + size])
             parts.append((at, found[1]))
             at += found[0]
@@ -191,6 +219,17 @@ class Model:
         source.append(len(data))
         return bytes(out), source
 
+    def _marked(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """``normalise`` of bytes in which nothing is replaced but spaces, all at once."""
+        raw = np.frombuffer(data, np.uint8)
+        # a byte inside a character starts where the character does
+        source = np.maximum.accumulate(np.where(raw & 0xC0 != 0x80, np.arange(len(raw)), 0))
+        space = SPACE_BYTES if self.escape else b" "
+        source = np.repeat(source, np.where(raw == 0x20, len(space), 1))
+        head = space if self.prefix else b""
+        source = np.concatenate([np.zeros(len(head), np.int64), source, [len(raw)]])
+        return head + data.replace(b" ", space), source
+
     def merge(self, unit: str) -> list[str]:
         """Pieces of a unit: neighbours whose join is a piece are joined, highest score first,
         then leftmost."""
@@ -255,80 +294,69 @@ class Model:
         if not text:
             return [], [], []
         data, source = self.normalise(text)
-        ids, starts, ends, at = [], [], [], 0
+        cache, sizes, counts = self._cache, [], []
+        ids, begins, stops = [], [], []
         for unit in self.units.findall(data.decode("utf-8", "surrogatepass")):
-            for piece in self.merge(unit):
-                size = len(piece.encode("utf-8", "surrogatepass"))
-                begin, end = source[at], source[at + size]
-                if at == 0 and self.prefix:
-                    begin = source[0]
-                numbers = self.numbers(piece)
-                ids += numbers
-                starts += [begin] * len(numbers)
-                ends += [begin] * (len(numbers) - 1) + [end]
-                at += size
-        return ids, starts, ends
+            known = cache.get(unit)
+            if known is None:
+                known = self._unit(unit)
+                if len(unit) <= CACHED_LENGTH:
+                    if len(cache) >= CACHE_UNITS:
+                        cache.clear()
+                    cache[unit] = known
+            ids += known[0]
+            begins += known[1]
+            stops += known[2]
+            counts.append(len(known[0]))
+            sizes.append(known[3])
+        at = np.repeat(np.cumsum(sizes) - sizes, counts)
+        source = np.asarray(source)
+        return ids, source[at + begins].tolist(), source[at + stops].tolist()
+
+    def _unit(self, unit: str) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...], int]:
+        """Of a unit of normalised text: ids, where in its bytes each begins and ends, and the
+        number of its bytes."""
+        pieces = self.merge(unit)
+        ids = [self.ids.get(p) for p in pieces]
+        if None not in ids:
+            stops = tuple(accumulate([self.width[i] for i in ids]))
+            return tuple(ids), (0, *stops[:-1]), stops, stops[-1]
+        ids, begins, stops, at = [], [], [], 0
+        for piece in pieces:
+            size = len(piece.encode("utf-8", "surrogatepass"))
+            numbers = self.numbers(piece)
+            ids += numbers
+            begins += [at] * len(numbers)
+            stops += [at] * (len(numbers) - 1) + [at + size]
+            at += size
+        return tuple(ids), tuple(begins), tuple(stops), at
 
     def decode(self, ids: list[int]) -> str:
         """The text that ids stand for: marks become spaces, the one added in front goes."""
-        out, run = [], bytearray()
-        first = True
-        for number in ids:
-            kind = self.kinds[number]
-            if kind == BYTE:
-                run.append(int(self.pieces[number][3:5], 16))
-                first = False
-                continue
-            if run:
+        texts = [self.shown[i] for i in ids]
+        head = next((i for i in ids if self.kinds[i] != CONTROL), None)
+        cut = head is not None and self.kinds[head] == NORMAL and self.prefix and self.pieces[head].startswith(SPACE)
+        out, run, done = [], bytearray(), 0
+        for at in [k for k, t in enumerate(texts) if t is None]:
+            number = ids[at]
+            if run and (at > done or self.kinds[number] != BYTE):
                 out.append(run.decode("utf-8", "replace"))
                 run.clear()
-            if kind == CONTROL:
-                continue
-            piece = self.unknown_text if kind == UNKNOWN else self.pieces[number]
-            if first and kind == NORMAL and self.prefix and piece.startswith(SPACE):
-                piece = piece[1:]
-            first = False
-            out.append(piece.replace(SPACE, " "))
+            out += texts[done:at]
+            done = at + 1
+            if self.kinds[number] == BYTE:
+                run.append(int(self.pieces[number][3:5], 16))
+            elif self.kinds[number] == UNKNOWN:
+                out.append(self.unknown_text.replace(SPACE, " "))
         if run:
             out.append(run.decode("utf-8", "replace"))
-        return "".join(out)
-
-    def unit(self, unit: str) -> tuple[int, str, str]:
-        """Of a unit: number of ids, the ids joined by commas, and their text, first mark kept."""
-        pieces = self.merge(unit.replace(" ", SPACE))
-        ids = [self.ids.get(p) for p in pieces]
-        if None in ids:
-            ids = [n for p in pieces for n in self.numbers(p)]
-            return len(ids), ",".join(map(str, ids)), self._text(ids)
-        return len(ids), ",".join([self.id_text[i] for i in ids]), "".join(pieces).replace(SPACE, " ")
-
-    def _text(self, ids: list[int]) -> str:
-        head = self.ids.get(SPACE)  # decoded behind a throw-away mark, so that nothing is taken off
-        return self.decode([head, *ids]) if head is not None and self.prefix else self.decode(ids)
+        out += texts[done:]
+        return "".join(out)[1:] if cut else "".join(out)
 
     def encode_text(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by commas, and the decoded text."""
-        if not text:
-            return 0, "", ""
-        if self.plain and SPACE not in text and self.ids.get(SPACE) is not None:
-            cache, counts, numbers, texts = self._cache, 0, [], []
-            for unit in _SPACED.findall(" " + text):
-                known = cache.get(unit)
-                if known is None:
-                    known = self.unit(unit)
-                    if len(unit) <= CACHED_LENGTH:
-                        if len(cache) >= CACHE_UNITS:
-                            cache.clear()
-                        cache[unit] = known
-                counts += known[0]
-                numbers.append(known[1])
-                texts.append(known[2])
-            return counts, ",".join(numbers), "".join(texts)[1:]
+        """Number of ids, the ids joined by commas, and the decoded text, of what ``encode`` gives."""
         ids, _, _ = self.encode(text)
-        return len(ids), ",".join(map(str, ids)), self.decode(ids)
-
-
-_SPACED = re.compile(" +[^ ]*")
+        return len(ids), ",".join([self.id_text[i] for i in ids]), self.decode(ids)
 
 
 @lru_cache(maxsize=2)

@@ -52,6 +52,23 @@ def test_longest_entry_of_the_character_map_wins():
     assert source == [0] * 3 + [0, 0, 0, 2, 3, 5, 5, 5, 6, 7]
 
 
+def test_ids_of_the_query_come_from_the_encoding_with_places():
+    class Fixed(sp_model.CharacterMap):
+        def longest(self, data, at):
+            return (2, b"the") if data.startswith(b"AB", at) else None
+
+    model = sp_model.Model(open(SP, "rb").read())
+    model.map = Fixed(b"")
+    want = sp_model.load(SP).encode_text("the cat the")
+    assert model.encode_text("AB cat AB") == want
+    ids, starts, ends = model.encode("AB cat AB")
+    assert want[0] == len(ids) and (starts[0], ends[-1]) == (0, 9)
+    library = sentencepiece.SentencePieceProcessor(model_file=SP)
+    pieces_ = library.encode("é  漢x the", return_type="proto").pieces
+    got = sp_model.load(SP).encode("é  漢x the")
+    assert [(p.id, p.begin, p.end) for p in pieces_] == list(zip(*got))
+
+
 def test_long_texts_and_columns(spark):
     texts = [*odd_texts(), "x" * 30_000]
     frame = texts_frame(spark, texts)

@@ -48,6 +48,14 @@ def test_repeated_rows_and_odd_texts(spark):
     assert pipeline.packed(spark, docs.limit(0), SMALL).count() == 0
 
 
+def test_replacement_characters_of_the_text_stay(spark):
+    passage = "é" + "".join(chr(97 + i * i * i % 997 % 26) for i in range(140))
+    texts = [passage, "own \ufffd one ĩ" + passage[1:] + " two \ufffd"]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.without_repeats(spark, docs, SMALL).collect()}
+    assert got == {0: (passage, None), 1: ("own \ufffd one  two \ufffd", 16)}
+
+
 def test_everything_is_registered():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))

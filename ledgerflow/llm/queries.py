@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import chat, near_dedup, neighbours, packing, personal, pieces, quality, spotsigs, suffix_dedup, window_dedup
+from ledgerflow.llm import chat, divergence, near_dedup, neighbours, packing, personal, pieces, quality, spotsigs, suffix_dedup, window_dedup
 from ledgerflow.llm.registry import query
 
 
@@ -102,3 +102,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.fingerprint(F.col("signatures")).alias("fingerprint"),
         spotsigs.fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"), "near_edited", "near_next",
     )
+
+
+@query("op13_source_divergence_audit", divergence.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that mark each source."""
+    return divergence.audit(documents(spark, sf_dir))

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import chat, divergence, near_dedup, neighbours, packing, personal, pieces, quality, spotsigs, suffix_dedup, window_dedup
+from ledgerflow.llm import chat, divergence, near_dedup, neighbours, packing, personal, pieces, quality, spotsigs, suffix_dedup, warc, window_dedup
 from ledgerflow.llm.registry import query
 
 
@@ -104,6 +104,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_warc_round_trip", warc.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to web archives and what a sequential reader finds there."""
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query("op13_source_divergence_audit", divergence.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of each language, and the terms that mark each source."""

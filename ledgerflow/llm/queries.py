@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import chat, divergence, near_dedup, neighbours, packing, personal, pieces, quality, spotsigs, suffix_dedup, warc, window_dedup
+from ledgerflow.llm import chat, divergence, near_dedup, neighbours, packing, personal, pieces, quality, repair, spotsigs, suffix_dedup, warc, window_dedup
 from ledgerflow.llm.registry import query
 
 
@@ -110,6 +110,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@query("op12_conversation_repair", repair.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    return repair.damage_and_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @query("op13_source_divergence_audit", divergence.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of each language, and the terms that mark each source."""

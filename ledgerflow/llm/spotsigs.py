@@ -8,6 +8,8 @@ threshold meet, and are compared through their rarest signatures first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,18 +33,27 @@ def signatures(text: Column) -> Column:
     text has none."""
     words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     words = F.replace(words, F.lit("  "), F.lit(" "))
-    marked = F.regexp_replace(words, f"(?<= )(?:(?:{'|'.join(ANCHORS)}) )++", _MARK)
     chain = f"([^ ]+(?: [^ ]+){{0,{CHAIN - 1}}})"
-    spots = F.regexp_extract_all(marked, F.lit(f"{_MARK}(?={chain})"), F.lit(1))
-    every = F.regexp_extract_all(words, F.lit(f" (?={chain})"), F.lit(1))
-    hashed = lambda a: F.transform(a, lambda m: F.xxhash64(F.translate(m, _MARK, "")).bitwiseAND(0xFFFFFFFF))
+    hashed = lambda a: F.transform(a, lambda m: F.xxhash64(F.rtrim(F.translate(m, _MARK, ""))).bitwiseAND(0xFFFFFFFF))
     whole = F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(text).bitwiseAND(0xFFFFFFFF)))
-    # a text of anchors alone has marks but no chain
-    some = F.when(marked.contains(_MARK), hashed(spots)).otherwise(F.array().cast("array<bigint>"))
-    out = F.when(F.size(some) > 0, some).when(words.rlike("[^ ]"), hashed(every)).otherwise(whole)
+
+    def behind(words: Column, marked: Column) -> Column:
+        """Chains behind the marks; a text of anchors alone has marks but no chain."""
+        spots = F.regexp_extract_all(marked, F.lit(f"{_MARK}(?={chain})"), F.lit(1))
+        every = F.regexp_extract_all(words, F.lit(f" (?={chain})"), F.lit(1))
+        some = lambda found: F.when(F.size(found) > 0, hashed(found)).when(words.rlike("[^ ]"), hashed(every)).otherwise(whole)
+        return _once(spots, some)
+
+    marked = lambda w: F.regexp_replace(w, f"(?<= )(?:(?:{'|'.join(ANCHORS)}) )++", _MARK)
+    out = _once(words, lambda w: _once(marked(w), lambda m: behind(w, m)))
     return F.array_sort(F.array_distinct(out))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard measure of two signature sets; two empty ones are equal."""
     shared = F.size(F.array_intersect(a, b))
@@ -56,8 +67,9 @@ def fingerprint(signatures: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) with ``next``: the text of the row that follows in the order of
-    (doc_id, text), null ids first; after the last comes the first. Null text is empty.
+    """Rows (doc_id, text, signatures) with ``next`` and ``next_signatures``: those of the row that
+    follows in the order of (doc_id, text), null ids first; after the last comes the first. Null
+    text is empty. Signatures are worked out before the rows are moved, once per text.
 
     Rows are bucketed by quantiles of the id, at most MOST_BUCKETS; each bucket also gets the
     first row of the next one, so that no order spans a task more than a bucket. The driver
@@ -68,7 +80,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
     size = own.agg(F.sum(F.octet_length("text"))).first()[0]
     if size is None:
-        return own.select("doc_id", "text", F.lit("").alias("next"))
+        own = own.select("doc_id", "text", signatures(F.col("text")).alias("signatures"))
+        return own.select("*", F.lit("").alias("next"), F.col("signatures").alias("next_signatures"))
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
     shares = [F.lit((i + 1) / buckets) for i in range(buckets - 1)]
     edges = sorted(set(own.agg(F.percentile_approx("o", F.array(*shares), 20 * buckets)).first()[0]))
@@ -82,8 +95,10 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "o", "text", F.col("b").alias("bucket"), F.lit(1).alias("extra")
     )
     both = placed.withColumn("extra", F.lit(0)).select("doc_id", "o", "text", "bucket", "extra").union(extra)
+    both = both.withColumn("signatures", signatures(F.col("text")))
     order = Window.partitionBy("bucket").orderBy("extra", "o", "text")
-    return both.withColumn("next", F.lead("text").over(order)).filter("extra = 0").select("doc_id", "text", "next")
+    following = [F.lead(c).over(order).alias(n) for c, n in (("text", "next"), ("signatures", "next_signatures"))]
+    return both.select("*", *following).filter("extra = 0").select("doc_id", "text", "signatures", "next", "next_signatures")
 
 
 def _rank(value: Column, steps: Column, count: int) -> Column:
@@ -114,8 +129,7 @@ def compared(docs: DataFrame) -> DataFrame:
     edited_signatures, near_edited and near_next, likenesses (double) to the edited text and to
     the next document. Rows that repeat follow each other. Other columns are not read."""
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next")))
-    for name, of in (("signatures", "text"), ("edited_signatures", "edited"), ("next_signatures", "next")):
-        rows = rows.withColumn(name, signatures(F.col(of)))
+    rows = rows.withColumn("edited_signatures", signatures(F.col("edited")))
     return rows.select(
         "doc_id", "text", "edited", "signatures", "edited_signatures",
         likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),

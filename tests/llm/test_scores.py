@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from compare import compare, duck
 from helpers import SMALL, odd_texts, texts_frame
 from pyspark.sql import functions as F
@@ -80,6 +82,33 @@ def test_fingerprints(spark):
     assert spotsigs.compared(texts_frame(spark, texts).limit(0)).count() == 0
 
 
+def plain_signatures(text):
+    """Chains of up to three content words behind runs of anchors, straight from the words."""
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+    anchors = set(spotsigs.ANCHORS)
+    units = []  # runs of anchors count as one mark
+    for w in words:
+        if w not in anchors:
+            units.append(w)
+        elif not units or units[-1] is not None:
+            units.append(None)
+
+    def chain(rest):
+        return " ".join([u for u in rest if u is not None][: spotsigs.CHAIN])
+
+    chains = [chain(units[i + 1 :]) for i, u in enumerate(units) if u is None]
+    chains = [c for c in chains if c] or [" ".join(words[i : i + spotsigs.CHAIN]) for i in range(len(words))] or ([text] if text else [])
+    return sorted({xxhash.xxh64_intdigest(c.encode(), seed=42) & 0xFFFFFFFF for c in chains})
+
+
+def test_chains_equal_plain_version(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    extra = [t for t in odd_texts() if t is not None] + ["the of and", "the a the b c d e", "x the", "the  the cat", "no anchors here at all", "...", "The_cat sat"]
+    docs = docs.union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
+    rows = docs.select("text", spotsigs.signatures(F.coalesce("text", F.lit(""))).alias("s")).collect()
+    assert all(r["s"] == plain_signatures(r["text"] or "") for r in rows)
+
+
 def test_fingerprint_search_finds_all_pairs(spark):
     r = np.random.default_rng(2)
     sets = [sorted(r.choice(400, r.integers(1, 60), replace=False).tolist()) for _ in range(60)]

@@ -199,7 +199,8 @@ def _run_rows(own: c.Chunk, keys: dict[str, np.ndarray], chunk: int, shards: int
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of symbols 0..511 (0 ends a string) in the order of their first ``depth``
-    symbols at least; ranks are doubled from seven symbols in one word."""
+    symbols at least; ranks are doubled from seven symbols in one word. The rank of a suffix is
+    the place of the first of those it is tied with."""
     size = len(text)
     padded = np.concatenate([text.astype(np.uint64), np.zeros(7, np.uint64)])
     word = np.zeros(size, np.uint64)
@@ -213,16 +214,23 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     order = np.argsort(word)
     done = 7
     ordered = word[order]
+    place = np.arange(size)
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])[:size]  # first of those that are equal so far
     rank = np.empty(size, np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
+    rank[order] = np.maximum.accumulate(np.where(first, place, 0))
     alive = ~ended
-    while done < depth and alive.any():
-        second = np.zeros(size, np.int64)
-        second[: size - done] = np.where(alive[: size - done], rank[done:] + 1, 0)
-        key = rank * np.int64(size + 1) + second
-        order = np.argsort(key)
-        ordered = key[order]
-        rank[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
+    while done < depth:
+        # only what is tied and has not ended is sorted again, inside its own stretch
+        more = np.flatnonzero((~first | np.concatenate([~first[1:], [False]])[:size]) & alive[order])
+        if not len(more):
+            break
+        own = order[more]
+        key = rank[own] * np.int64(size + 1) + rank[own + done] + 1
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        order[more] = own
+        first[more] = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[own] = np.maximum.accumulate(np.where(first[more], more, 0))
         after = np.zeros(size, dtype=bool)
         after[: size - done] = alive[done:]
         alive &= after

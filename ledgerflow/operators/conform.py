@@ -146,6 +146,34 @@ def apply_mapping(
     return df.select(*keep, *[c.alias(s) for s, c in out.items()])
 
 
+def source_columns(keep: Sequence[str], mapping: Mapping[str, str | None], required: Sequence[str] | None = None) -> list[str]:
+    """The columns of a mapped table that a consumer reads: ``keep`` and the sources of its
+    ``required`` fields, each of which must be filled; without a list, the sources of all
+    filled fields."""
+    if required is not None:
+        missing = sorted(f for f in required if mapping.get(f) is None)
+        if missing:
+            raise ValueError(f"required fields without a source: {missing}")
+    sources = dict.fromkeys(mapping[f] for f in (mapping if required is None else required) if mapping[f] is not None)
+    return [*keep, *[s for s in sources if s not in keep]]
+
+
+def apply_for_consumer(
+    df: DataFrame, keep: Sequence[str], mapping: Mapping[str, str | None], categories: Sequence[str], numerics: Sequence[str],
+    slots: Mapping[str, str], required: Sequence[str] | None = None, layout: Sequence[str] | None = None, strict: bool = True,
+) -> DataFrame:
+    """``apply_mapping`` for a consumer that needs some fields only: reads their sources and
+    returns their slots. Raises when a required field is unfilled or a source column absent."""
+    columns = source_columns(keep, mapping, required)
+    absent = sorted(set(columns) - set(df.columns))
+    if absent:
+        raise ValueError(f"mapped source columns missing: {absent}")
+    if required is None:
+        return apply_mapping(df.select(*columns), keep, mapping, categories, numerics, slots, layout, strict)
+    own = {f: mapping[f] for f in required}
+    return apply_mapping(df.select(*columns), keep, own, categories, numerics, slots, [slots[f] for f in required], strict)
+
+
 def rebuild_ledger(
     df: DataFrame,
     keep: Sequence[str],

@@ -203,6 +203,13 @@ def _(spark, sf):
     return conform.apply_mapping(raw, ["client_id", "l_orderkey"], _MAPPING, CATEGORIES, ("amount", "balance"), SLOTS)
 
 
+@query("apply_for_consumer", f"""WITH {RAW_SQL} SELECT client_id, l_orderkey, CAST(event_type AS BIGINT) AS col_2, balance AS col_11 FROM raw""")
+def _(spark, sf):
+    """What a consumer of one category and one number gets from the mapped ledger."""
+    raw = raw_ledger(spark, sf)
+    return conform.apply_for_consumer(raw, ["client_id", "l_orderkey"], _MAPPING, CATEGORIES, ("amount", "balance"), SLOTS, ["event_type", "amount"])
+
+
 @query("mapping_issue_counts", f"""WITH {RAW_SQL}, v AS (SELECT 'event_type' AS field, 'event_type' AS source, event_type AS v FROM raw
     UNION ALL SELECT 'src_a', 'src_a', src_a FROM raw UNION ALL SELECT 'src_b', 'amount', amount FROM raw
     UNION ALL SELECT 'dst_b', 'balance', CASE WHEN balance > 400000 THEN 'Infinity'::DOUBLE ELSE balance END FROM raw)

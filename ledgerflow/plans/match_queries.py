@@ -15,6 +15,7 @@ from ledgerflow.plans.standins import (
 )
 from ledgerflow.operators.conform import daily_rollup
 from ledgerflow.schema import ColumnSpec
+from ledgerflow.sources import mappings as J
 from ledgerflow.sources.readers import attach_row, materialise
 
 #: The two sides of a match: the clients of three and of two of the five folds, all together.
@@ -376,10 +377,68 @@ def _(spark, sf):
     m = _mappings(spark, sf)
     rev = m.where("l_returnflag <> 'A' AND source IS NOT NULL").select("mapping_id", "source", "field")
     unf = m.where("l_linestatus = 'O' AND source IS NULL").select("mapping_id", "field")
+    catalogue = _catalogue(spark)
+    return M.mapping_violations(m.select("mapping_id", "legacy", "field", "source"), rev, unf, catalogue, "event_time", "col_1")
+
+
+def _catalogue(spark):
     kinds = [("field", f, "time" if f == "event_time" else "numeric" if f == "f5" else "categorical") for f in _FIELDS if f != "f6"]
     kinds += [("source", f"col_{i}", "time" if i == 1 else "numeric" if i in (6, 7) else "categorical") for i in range(1, 8)]
-    catalogue = spark.createDataFrame(kinds, "side string, column string, kind string")
-    return M.mapping_violations(m.select("mapping_id", "legacy", "field", "source"), rev, unf, catalogue, "event_time", "col_1")
+    return spark.createDataFrame(kinds, "side string, column string, kind string")
+
+
+#: What the documents of ``mapping_json`` say: one source per field, or, in the legacy ones, one field per source.
+_JSON_SQL = """d AS (SELECT mapping_id, legacy, field, max(source) AS source, bool_and(l_returnflag <> 'A') AS told, bool_and(l_linestatus = 'O') AS listed FROM m WHERE NOT legacy GROUP BY ALL
+    UNION ALL SELECT mapping_id, legacy, max(field), source, true, true FROM m WHERE legacy AND source IS NOT NULL GROUP BY mapping_id, legacy, source),
+  ids AS (SELECT DISTINCT mapping_id, legacy, CASE WHEN mapping_id % 13 = 7 THEN 'malformed' WHEN NOT legacy AND mapping_id % 11 = 5 THEN 'version' END AS odd FROM m),
+  docs AS (SELECT ids.*, CASE WHEN odd IS NOT NULL THEN odd WHEN NOT EXISTS (FROM d WHERE d.mapping_id = ids.mapping_id) THEN 'no mapping' END AS problem FROM ids)"""
+
+
+@query("mapping_json", f"""WITH {_MAP_SQL.replace('m AS (', 'm AS MATERIALIZED (', 1)}, {_JSON_SQL},
+  ok AS (SELECT d.*, fk, sk FROM d JOIN docs USING (mapping_id) LEFT JOIN fk USING (field) LEFT JOIN sk USING (source) WHERE problem IS NULL),
+  pf AS (SELECT mapping_id, field, legacy, count(source) AS uses, any_value(fk) AS fk, bool_or(told) AS told, bool_or(listed) AS listed,
+    count(*) FILTER (WHERE source IS NOT NULL AND sk IS NULL) AS us, count(*) FILTER (WHERE sk <> fk) AS km,
+    count(*) FILTER (WHERE field = 'event_time' AND coalesce(source, '') <> 'col_1') AS te FROM ok GROUP BY ALL),
+  named AS (SELECT mapping_id, count(DISTINCT source) FILTER (WHERE source NOT IN (SELECT source FROM sk)) AS extra FROM ok WHERE told AND source IS NOT NULL GROUP BY 1),
+  c AS (SELECT mapping_id, string_agg(field || '=' || coalesce((SELECT string_agg(source, '+' ORDER BY source) FROM ok WHERE ok.mapping_id = pf.mapping_id AND ok.field = pf.field), ''), ',' ORDER BY field) AS mapping,
+    CAST(CASE WHEN bool_or(legacy) THEN 0 ELSE 6 - count(fk) END AS BIGINT) AS missing_fields, CAST(sum(CASE WHEN legacy AND uses > 1 THEN uses - 1 ELSE 0 END) AS BIGINT) AS legacy_duplicates,
+    count(*) FILTER (WHERE fk IS NULL) AS unknown_fields, CAST(sum(us) AS BIGINT) AS unknown_sources, CAST(sum(km) AS BIGINT) AS kind_mismatches,
+    CAST(sum(te) + CASE WHEN count(*) FILTER (WHERE field = 'event_time') = 0 THEN 1 ELSE 0 END AS BIGINT) AS time_pair_errors,
+    count(*) FILTER (WHERE NOT legacy AND uses > 0 AND NOT told) AS reverse_disagreements,
+    count(*) FILTER (WHERE NOT legacy AND uses = 0 AND NOT listed) AS unfilled_disagreements FROM pf GROUP BY 1)
+  SELECT docs.mapping_id, docs.legacy AND docs.problem IS DISTINCT FROM 'malformed' OR docs.problem IS NOT DISTINCT FROM 'malformed' AS legacy, problem, c.* EXCLUDE (mapping_id),
+    CASE WHEN problem IS NULL THEN CASE WHEN legacy THEN 0 ELSE coalesce(extra, 0) END END AS catalogue_disagreements
+  FROM docs LEFT JOIN c USING (mapping_id) LEFT JOIN named USING (mapping_id)""")
+def _(spark, sf):
+    """Mappings written as JSON documents and read back: what they say, and what is wrong with them."""
+    m = _mappings(spark, sf)
+    new = m.where("NOT legacy").groupBy("mapping_id", "legacy", "field").agg(
+        F.max("source").alias("source"), F.every(F.col("l_returnflag") != "A").alias("told"), F.every(F.col("l_linestatus") == "O").alias("listed"))
+    old = m.where("legacy AND source IS NOT NULL").groupBy("mapping_id", "legacy", "source").agg(F.max("field").alias("field"))
+    said = materialise(new.unionByName(old.select("mapping_id", "legacy", "field", "source", F.lit(True).alias("told"), F.lit(True).alias("listed"))))
+    catalogue = _catalogue(spark)
+    docs = J.encode_mappings(said.select("mapping_id", "legacy", "field", "source"), catalogue)
+    # the declared reverse lists and unfilled fields miss what was not told
+    told = said.where("NOT legacy").groupBy("mapping_id").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("source").isNotNull() & ~F.col("told"), F.struct(F.col("field"), F.col("source"))))).alias("_hide"),
+        F.collect_list(F.when(F.col("source").isNull() & ~F.col("listed"), F.col("field"))).alias("_unlisted"))
+    read = F.from_json("document", J.STANDARD.schema())
+    cut = F.struct(
+        read[J.STANDARD.version_key].alias(J.STANDARD.version_key), read[J.STANDARD.fields].alias(J.STANDARD.fields),
+        F.map_filter(
+            F.transform_values(read[J.STANDARD.sources], lambda s, l: F.filter(l, lambda f: ~F.coalesce(F.col("_hide")[f] == s, F.lit(False)))),
+            lambda s, l: (F.size(l) > 0) | s.isin(*[f"col_{i}" for i in range(1, 8)])).alias(J.STANDARD.sources),
+        F.array_except(read[J.STANDARD.unfilled], F.col("_unlisted")).alias(J.STANDARD.unfilled))
+    docs = docs.join(told, "mapping_id", "left").withColumn("document", F.when(F.col("_hide").isNotNull(), F.to_json(cut)).otherwise(F.col("document")))
+    empty = m.select("mapping_id", "legacy").distinct().join(docs.select("mapping_id"), "mapping_id", "left_anti").select("mapping_id", F.lit('{"mapping":{}}').alias("document"))
+    docs = docs.select("mapping_id", "document").unionByName(empty)
+    text = F.when(F.pmod("mapping_id", F.lit(13)) == 7, F.expr("left(document, length(document) - 1)")).when(
+        F.pmod("mapping_id", F.lit(11)) == 5, F.replace("document", F.lit(J.STANDARD.version), F.lit("other"))).otherwise(F.col("document"))
+    docs = materialise(docs.select("mapping_id", text.alias("document")))
+    checked = J.check_documents(docs, catalogue, "event_time", "col_1")
+    rows = J.decode_mappings(docs).mappings.groupBy("mapping_id", "field").agg(F.array_join(F.array_sort(F.collect_list("source")), "+").alias("s"))
+    shown = rows.groupBy("mapping_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "field", "s"))), ",").alias("mapping"))
+    return checked.join(shown, "mapping_id", "left").drop("sha256")
 
 
 def _recoveries(spark, sf):

@@ -12,7 +12,7 @@ from ledgerflow.functions.ranks import number_rows
 from ledgerflow.functions.scalars import finite, uniform
 from ledgerflow.operators.profile import category_value
 from ledgerflow.schema import ColumnSpec
-from ledgerflow.sources.readers import materialise
+from ledgerflow.sources.readers import attach_row, materialise
 
 # Fixed values: (numeric strength, category probability) of the named conditions.
 NOISE_LEVELS = {
@@ -23,6 +23,8 @@ NOISE_LEVELS = {
     "numeric_015": (0.15, 0.0),
 }
 
+ARRAY_VALUES = 1024  # values of a category that are looked up in an array
+
 
 def _check(numeric_noise: float, category_noise: float, seed: int) -> None:
     if not (math.isfinite(numeric_noise) and numeric_noise >= 0 and 0 <= category_noise <= 1 and seed >= 0):
@@ -44,66 +46,90 @@ def corrupt(
     Gaussian draws and replaces a superset of the categories. Numerics: Gaussian noise in
     units of the clean central span on finite non-zero values of continuous columns.
     Categories: replaced by a different observed value, chosen evenly."""
-    _check(numeric_noise, category_noise, seed)
-    spans = passports.where((F.col("kind") == "numeric") & (F.col("numeric_subtype") == "continuous"))
-    names = [s.name for s in specs]
-    out = df
-    if any(s.kind == "numeric" for s in specs) and numeric_noise > 0:
-        # One value per numeric column.
-        scale = spans.agg(
-            F.struct(
-                *[
-                    F.max(F.when(F.col("column") == s.name, F.col("quantile_scale"))).alias(s.name)
-                    for s in specs
-                    if s.kind == "numeric"
-                ]
-            )
-        ).scalar()
-        out = out.withColumn("_scale", scale)
-        for i, s in enumerate(specs):
-            if s.kind != "numeric":
-                continue
-            u1 = F.lit(1.0) - uniform(f"{seed}:{i}:radius", *key)
-            u2 = uniform(f"{seed}:{i}:angle", *key)
-            normal = F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
-            v = finite(s.name)
-            width = F.coalesce(F.col(f"_scale.{s.name}"), F.lit(0.0))
-            noisy = F.col(s.name) + F.lit(numeric_noise) * width * normal
-            out = out.withColumn(
-                f"_new_{s.name}", F.when(v.isNotNull() & (v != 0) & (width != 0), noisy).otherwise(F.col(s.name))
-            )
+    names = {s.name for s in specs}
+    noisy = corrupt_cases(df, specs, passports, [("", numeric_noise, category_noise, seed)], key, [c for c in df.columns if c not in names])
+    return noisy.select(*[F.col(f"`{case_column('', c)}`").alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+def case_column(case: str, column: str) -> str:
+    return f"{case}|{column}"
+
+
+def corrupt_cases(
+    df: DataFrame, specs: Sequence[ColumnSpec], passports: DataFrame, cases: Sequence[tuple[str, float, float, int]],
+    key: Sequence[str], keep: Sequence[str] = (),
+) -> DataFrame:
+    """Noisy copies side by side: for every case (name, numeric strength, category probability,
+    seed) and column the column ``name|column``, next to ``keep``. One projection of the ledger.
+
+    A category's observed values are one array of a one-row table, by value; a replacement is
+    looked up there by its place. Columns of more than ARRAY_VALUES values are joined instead: to
+    their own place once, and to the drawn one per case, where rows without a draw are spread
+    over keys that match nothing. A case without noise reads neither. Numeric noise that
+    overflows raises."""
+    for _, numeric_noise, category_noise, seed in cases:
+        _check(numeric_noise, category_noise, seed)
+    out, types = df, dict(df.dtypes)
+    columns: list = [F.col(c) for c in keep]
+    nums = [(i, s) for i, s in enumerate(specs) if s.kind == "numeric"]
     cats = [(i, s) for i, s in enumerate(specs) if s.kind == "categorical"]
-    if cats:
-        cells = F.array(
-            *[F.struct(F.lit(s.name).alias("column"), category_value(df, s.name).alias("value")) for _, s in cats]
-        )
+    if nums and any(lam > 0 for _, lam, _, _ in cases):
+        continuous = (F.col("kind") == "numeric") & (F.col("numeric_subtype") == "continuous")
+        # one value per numeric column
+        scale = F.struct(*[F.max(F.when(continuous & (F.col("column") == s.name), F.col("quantile_scale"))).alias(s.name) for _, s in nums])
+        out = attach_row(out, materialise(passports.agg(scale.alias("_scale"))))
+    for name, lam, _, seed in cases:
+        for i, s in nums:
+            new = F.col(s.name)
+            if lam > 0:
+                u1 = F.lit(1.0) - uniform(f"{seed}:{i}:radius", *key)
+                u2 = uniform(f"{seed}:{i}:angle", *key)
+                normal = F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+                v = finite(s.name)
+                width = F.coalesce(F.col(f"_scale.{s.name}"), F.lit(0.0))
+                noisy = F.col(s.name) + F.lit(lam) * width * normal
+                over = F.raise_error(F.lit(f"numeric noise overflows in {s.name}")).cast("double")
+                noisy = F.when(finite(noisy).isNull(), over).otherwise(noisy)
+                new = F.when(v.isNotNull() & (v != 0) & (width != 0), noisy).otherwise(F.col(s.name))
+            columns.append(new.alias(case_column(name, s.name)))
+    drawn = [c for c in cases if c[2] > 0]
+    sizes: dict[str, int] = {}
+    if cats and drawn:
+        cells = F.array(*[F.struct(F.lit(s.name).alias("column"), category_value(df, s.name).alias("value")) for _, s in cats])
         seen = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
         book = materialise(number_rows(seen, ["column"], [F.asc("value")], "position"))
-        sizes = book.groupBy("column").agg(F.max("position").alias("n"))
-        size = sizes.agg(
-            F.struct(*[F.coalesce(F.max(F.when(F.col("column") == s.name, F.col("n"))), F.lit(0)).alias(s.name) for _, s in cats])
-        ).scalar()
-        out = out.withColumn("_size", size)
-        for i, s in cats:
-            own = book.where(F.col("column") == s.name).select(
-                F.col("value").alias("_value"), (F.col("position") - 1).alias("_own")
-            )
-            other = own.select(F.col("_own").alias("_pick"), F.col("_value").alias("_other"))
-            n = F.col(f"_size.{s.name}")
-            draw = F.floor(uniform(f"{seed}:{i}:pick", *key) * (n - 1))
-            pick = draw + F.when(draw >= F.col("_own"), 1).otherwise(0)
-            hit = (n > 1) & (uniform(f"{seed}:{i}:mask", *key) < category_noise)
-            out = (
-                out.withColumn("_value", category_value(df, s.name))
-                .join(own, "_value", "left")
-                .withColumn("_pick", F.when(hit & F.col("_own").isNotNull(), pick))
-                .join(other, "_pick", "left")
-                .withColumn(f"_new_{s.name}", F.coalesce("_other", "_value"))
-                .drop("_value", "_own", "_pick", "_other")
-            )
-    changed = {n for n in out.columns if n.startswith("_new_")}
-    cols = [F.col(f"_new_{c}").alias(c) if f"_new_{c}" in changed and c in names else F.col(c) for c in df.columns]
-    return out.select(*cols)
+        sizes = {r["column"]: r["n"] for r in book.groupBy("column").agg(F.max("position").alias("n")).collect()}
+        small = [s.name for _, s in cats if sizes.get(s.name, 0) <= ARRAY_VALUES]
+        listed = book.where(F.col("column").isin(small)).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("position", "value")))["value"].alias("_v"))
+        if small:
+            out = attach_row(out, materialise(listed.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("_v"))).alias(c) for c in small]).alias("_values"))))
+    for i, s in cats:
+        n, value = sizes.get(s.name, 0), _text(types, s.name)
+        large = n > ARRAY_VALUES
+        if large:
+            own = book.where(F.col("column") == s.name).select(F.col("value").alias("_value"), (F.col("position") - 1).alias(f"_own{i}"))
+            out = out.withColumn(f"_at{i}", value).join(own, F.col(f"_at{i}") == F.col("_value"), "left").drop("_value", f"_at{i}")
+        place = F.col(f"_own{i}") if large else F.array_position(F.col(f"_values.{s.name}"), value) - 1 if sizes else F.lit(None).cast("bigint")
+        for k, (name, _, p, seed) in enumerate(cases):
+            new = value
+            if p > 0 and n > 1:
+                draw = F.floor(uniform(f"{seed}:{i}:pick", *key) * (n - 1))
+                pick = draw + F.when(draw >= place, 1).otherwise(0)
+                hit = value.isNotNull() & (uniform(f"{seed}:{i}:mask", *key) < p)
+                if large:
+                    other = book.where(F.col("column") == s.name).select((F.col("position") - 1).alias("_place"), F.col("value").alias(f"_new{i}_{k}"))
+                    spread = F.lit(-1) - F.pmod(F.xxhash64(*key), F.lit(1 << 20))
+                    out = out.withColumn("_pick", F.when(hit, pick).otherwise(spread)).join(other, F.col("_pick") == F.col("_place"), "left").drop("_pick", "_place")
+                    new = F.coalesce(f"_new{i}_{k}", value)
+                else:
+                    new = F.when(hit, F.get(F.col(f"_values.{s.name}"), pick.cast("int"))).otherwise(value)
+            columns.append(new.alias(case_column(name, s.name)))
+    return out.select(*columns)
+
+
+def _text(types: dict[str, str], name: str):
+    """Category as text, NULL where a floating value is not finite."""
+    return finite(name).cast("string") if types[name] in ("double", "float") else F.col(name).cast("string")
 
 
 def corruption_audit(clean: DataFrame, noisy: DataFrame, specs: Sequence[ColumnSpec], key: Sequence[str]) -> DataFrame:
@@ -129,3 +155,25 @@ def corruption_audit(clean: DataFrame, noisy: DataFrame, specs: Sequence[ColumnS
         F.count(F.lit(1)).alias("n_rows"), F.count_if("eligible").alias("n_eligible"),
         F.count_if("changed").alias("n_changed"),
     )
+
+
+def corruption_report(
+    clean: DataFrame, noisy: DataFrame, specs: Sequence[ColumnSpec], passports: DataFrame, key: Sequence[str],
+    numeric_noise: float, category_noise: float,
+) -> DataFrame:
+    """The audit with what explains it: (column, kind, numeric_noise, category_noise, n_rows,
+    n_valid, n_eligible, n_changed, changed_fraction, scale, skip_reason). Columns that noise
+    leaves alone say why: numerics that are not continuous or have no span, categories of
+    fewer than two values, which then have no eligible row either."""
+    audit = corruption_audit(clean, noisy, specs, key)
+    facts = passports.select("column", "kind", "n_valid", "n_unique", "numeric_subtype", F.coalesce("quantile_scale", F.lit(0.0)).alias("_scale"))
+    j = audit.join(facts, "column")
+    numeric = F.col("kind") == "numeric"
+    skip = F.when(numeric & ((F.col("numeric_subtype") != "continuous") | (F.col("_scale") == 0)), "non_continuous_or_zero_scale").when(
+        ~numeric & (F.col("n_unique") < 2), "fewer_than_two_categories").otherwise("")
+    eligible = F.when(skip == "fewer_than_two_categories", 0).otherwise(F.col("n_eligible"))
+    return j.select(
+        "column", "kind", F.lit(numeric_noise).alias("numeric_noise"), F.lit(category_noise).alias("category_noise"), "n_rows", "n_valid",
+        eligible.cast("bigint").alias("n_eligible"), "n_changed", F.coalesce(F.try_divide("n_changed", eligible), F.lit(0.0)).alias("changed_fraction"),
+        F.when(numeric, F.col("_scale")).alias("scale"), skip.alias("skip_reason"),
+    )

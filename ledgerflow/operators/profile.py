@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -288,62 +290,77 @@ def structure_codes(
 ) -> DataFrame:
     """Discrete code per column and row, NULL for missing.
 
-    The code books hold at most ``bins`` edges or ``max_categories`` values per column, so
-    they are broadcast and no ledger row is shuffled."""
+    The code books hold at most ``bins`` edges or ``max_categories`` values per column; all of them
+    are one row that every task gets, and a category's code is its place among the kept
+    values. No ledger row is shuffled or joined."""
     counts = materialise(value_counts_long(df, specs)) if counts is None else counts
     numeric, kept = structure_edges(counts, bins, max_categories)
-    types = dict(df.dtypes)
-    nums = [s.name for s in specs if s.kind == "numeric"]
+    nums, cats = ([s.name for s in specs if s.kind == k] for k in ("numeric", "categorical"))
     out = df
     if nums:
         book = F.struct(*[F.max(F.when(F.col("column") == c, F.col("edges"))).alias(c) for c in nums])
-        out = attach_row(out, numeric.agg(book.alias("_edges")))
-    if len(nums) < len(specs):
-        kept = materialise(kept)
+        out = attach_row(out, materialise(numeric.agg(book.alias("_edges"))))
+    if cats:
+        lists = kept.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("code", "value")))["value"].alias("_values"))
+        book = F.struct(*[F.max(F.when(F.col("column") == c, F.col("_values"))).alias(c) for c in cats])
+        out = attach_row(out, materialise(lists.agg(book.alias("_kept"))))
     cols = []
-    for i, s in enumerate(specs):
+    for s in specs:
         if s.kind == "numeric":
             v = finite(s.name)
-            code = F.when(v.isNotNull(), count_edges_at_most(F.col(f"_edges.{s.name}"), v, bins - 1))
+            code = F.when(v.isNotNull(), count_edges_at_most(F.col(f"_edges.`{s.name}`"), v, bins - 1))
         else:
-            v = finite(s.name) if types[s.name] in ("double", "float") else F.col(s.name)
-            own = kept.where(F.col("column") == s.name).select(
-                F.col("value").cast(types[s.name]).alias(f"_v{i}"), F.col("code").alias(f"_c{i}")
-            )
-            out = out.join(F.broadcast(own), v == F.col(f"_v{i}"), "left")
-            code = F.when(v.isNotNull(), F.coalesce(f"_c{i}", F.lit(0)))
+            v = category_value(df, s.name)
+            code = F.when(v.isNotNull(), F.coalesce(F.array_position(F.col(f"_kept.`{s.name}`"), v), F.lit(0)))
         cols.append(code.cast("int").alias(s.name))
     return out.select(*keep, *cols)
 
 
-def pair_counts(codes: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(left, right, u, v, n) over the rows complete in both columns. A pair has at most
-    ``max_categories`` squared cells, nearly all merged before the shuffle."""
-    cells = [
-        F.struct(
-            F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).alias("u"), F.col(b).alias("v")
-        )
-        for i, a in enumerate(names)
-        for b in names[i + 1:]
-    ]
-    return (
-        codes.select(F.inline(F.array(*cells)))
-        .where("u IS NOT NULL AND v IS NOT NULL")
-        .groupBy("left", "right", "u", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def pair_counts(codes: DataFrame, names: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """(left, right, u, v, n) over the rows complete in both columns, for all pairs of ``names`` or
+    the given ones. Every task counts into a dense table per pair, so no row is multiplied
+    and at most the filled cells of a pair (``max_categories`` squared) leave a task."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]] if pairs is None else list(pairs)
+    place = {c: k for k, c in enumerate(names)}
+    places = [(place[a], place[b]) for a, b in pairs]
+
+    def counted(batches):
+        width, tables = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # 0 stands for a missing code
+            cols = [np.asarray(c.fill_null(-1)).astype(np.int64) + 1 for c in batch.columns]
+            most = max(int(c.max()) for c in cols) + 1
+            if most > width:
+                new = np.zeros((len(places), most, most), np.int64)
+                if tables is not None:
+                    new[:, :width, :width] = tables
+                width, tables = most, new
+            for k, (a, b) in enumerate(places):
+                tables[k] += np.bincount(cols[a] * width + cols[b], minlength=width * width).reshape(width, width)
+        if tables is not None:
+            k, u, v = np.nonzero(tables[:, 1:, 1:])
+            cells = [pa.array(x.astype(np.int32)) for x in (k, u, v)] + [pa.array(tables[k, u + 1, v + 1])]
+            yield pa.RecordBatch.from_arrays(cells, ["pair", "u", "v", "n"])
+
+    cells = codes.select(*[f"`{c}`" for c in names]).mapInArrow(counted, "pair int, u int, v int, n bigint")
+    merged = cells.groupBy("pair", "u", "v").agg(F.sum("n").alias("n"))
+    sides = [F.element_at(F.array(*[F.lit(p[i]) for p in pairs]), F.col("pair") + 1).alias(n) for i, n in enumerate(("left", "right"))]
+    return merged.select(*sides, "u", "v", "n")
 
 
 def dependency_matrix(
     df: DataFrame, specs: Sequence[ColumnSpec], bins: int = 10, max_categories: int = 64,
-    min_pairs: int = 30, counts: DataFrame | None = None,
+    min_pairs: int = 30, counts: DataFrame | None = None, pairs: Sequence[tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """(left, right, n_pairs, usable, nmi, distance) for every column pair.
+    """(left, right, n_pairs, usable, nmi, distance) for every column pair, or the given ones.
 
     NMI is arithmetic: 2 I / (H_left + H_right), from pairwise-complete rows."""
     names = [s.name for s in specs]
     # At most max_categories squared rows per pair of columns.
-    pairs = materialise(pair_counts(structure_codes(df, specs, bins, max_categories, counts=counts), names))
+    wanted = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]] if pairs is None else list(pairs)
+    pairs = materialise(pair_counts(structure_codes(df, specs, bins, max_categories, counts=counts), names, wanted))
     key = ["left", "right"]
     n = F.col("n").cast("double")
 
@@ -355,7 +372,7 @@ def dependency_matrix(
 
     joint = pairs.groupBy(*key).agg(F.sum("n").alias("n_pairs"), F.sum(n * F.ln(n)).alias("_uv"))
     grid = df.sparkSession.createDataFrame(
-        [(a, b) for i, a in enumerate(names) for b in names[i + 1:]], "left string, right string"
+        wanted, "left string, right string"
     )
     j = grid.join(joint.join(margin("u"), key).join(margin("v"), key), key, "left")
     total = F.col("n_pairs").cast("double")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import match as M
 from ledgerflow.operators import metrics as E
 from ledgerflow.operators import noise as N
 from ledgerflow.operators import profile as P
+from ledgerflow.operators import sweep as W
 from ledgerflow.plans.profile_queries import LEVELS, rounded
 from ledgerflow.plans.registry import query
 from ledgerflow.plans.standins import (
@@ -16,7 +19,7 @@ from ledgerflow.plans.standins import (
 from ledgerflow.operators.conform import daily_rollup
 from ledgerflow.schema import ColumnSpec
 from ledgerflow.sources import mappings as J
-from ledgerflow.sources.readers import attach_row, materialise
+from ledgerflow.sources.readers import attach_row, materialise, scratch_dir
 
 #: The two sides of a match: the clients of three and of two of the five folds, all together.
 HALF_A, HALF_B = "_f IN (0, 2, 4)", "_f IN (1, 3)"
@@ -564,33 +567,60 @@ def _(spark, sf):
     return N.corruption_audit(o, N.corrupt(o, _NOISE_SPECS, p, 0.15, 0.15, 9, ["o_orderkey"]), _NOISE_SPECS, ["o_orderkey"])
 
 
+@query("corruption_report", f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN month(o_orderdate) END AS event_type, 'one' AS o_orderpriority,
+    CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE o_totalprice END AS o_totalprice, CAST(o_orderkey % 2 AS DOUBLE) AS flag FROM orders),
+  s AS (SELECT count(*) AS n, quantile_cont(o_totalprice, 0.95) - quantile_cont(o_totalprice, 0.05) AS w FROM o),
+  r AS (SELECT 'event_type' AS "column", 'categorical' AS kind, count(event_type) AS n_valid, count(event_type) AS n_eligible,
+      count(event_type) FILTER (WHERE {sql_uniform('4:0:mask', 'o_orderkey')} < 0.15) AS n_changed, NULL::DOUBLE AS scale, '' AS skip_reason FROM o
+    UNION ALL SELECT 'o_orderpriority', 'categorical', count(*), 0, 0, NULL, 'fewer_than_two_categories' FROM o
+    UNION ALL SELECT 'o_totalprice', 'numeric', count(*), count(*) FILTER (WHERE o_totalprice <> 0), count(*) FILTER (WHERE o_totalprice <> 0), (SELECT w FROM s), '' FROM o
+    UNION ALL SELECT 'flag', 'numeric', count(*), count(*) FILTER (WHERE flag <> 0), 0, 1.0::DOUBLE, 'non_continuous_or_zero_scale' FROM o)
+  SELECT "column", kind, 0.15::DOUBLE AS numeric_noise, 0.15::DOUBLE AS category_noise, n AS n_rows, n_valid, n_eligible, n_changed,
+    round(CASE WHEN n_eligible = 0 THEN 0 ELSE n_changed / n_eligible::DOUBLE END, 9) AS changed_fraction, round(scale, 6) AS scale, skip_reason FROM r, s""")
+def _(spark, sf):
+    o = _noise_input(spark, sf).withColumn("o_orderpriority", F.lit("one")).withColumn("flag", F.pmod("o_orderkey", F.lit(2)).cast("double"))
+    specs = [*_NOISE_SPECS, ColumnSpec("flag", "numeric")]
+    p = materialise(P.profile_columns(o, specs))
+    report = N.corruption_report(o, N.corrupt(o, specs, p, 0.15, 0.15, 4, ["o_orderkey"]), specs, p, ["o_orderkey"], 0.15, 0.15)
+    return rounded(rounded(report, 9, "changed_fraction"), 6, "scale")
+
+
+_KIND_SQL = f"""{_REC_SQL}, k AS (SELECT condition, alpha, seed, count(*) AS n_fields, count(*) FILTER (WHERE recovered IS NULL) AS unfilled,
+    count(*) FILTER (WHERE target IN ('f2', 'f4')) AS truth_filtered, count(*) FILTER (WHERE target <= 'f4') AS categorical_fields,
+    avg(CAST(coalesce(truth = recovered AND truth <> '(placeholder)', false) AS DOUBLE)) FILTER (WHERE target <= 'f4') AS categorical_accuracy,
+    count(*) FILTER (WHERE target > 'f4') AS numeric_fields,
+    avg(CAST(coalesce(truth = recovered AND truth <> '(placeholder)', false) AS DOUBLE)) FILTER (WHERE target > 'f4') AS numeric_accuracy
+    FROM rec WHERE truth IS NOT NULL GROUP BY ALL),
+  full_ AS (SELECT k.*, correct / nullif(true_pairs, 0)::DOUBLE AS accuracy, covered / nullif(true_pairs, 0)::DOUBLE AS coverage, met.correct, met.accepted,
+    correct / nullif(accepted, 0)::DOUBLE > 0.85 AS converged FROM k JOIN met USING (condition, alpha, seed))"""
+
+
+def _kinds_of_recovery(spark, sf):
+    """The recoveries with the first four fields as categories, two of whose true pairs the filters rule out."""
+    first = F.col("target") <= "f4"
+    rows = _recoveries(spark, sf).withColumn("kind", F.when(first, "categorical").otherwise("numeric")).withColumn("truth_allowed", ~F.col("target").isin("f2", "f4"))
+    return M.recovery_by_kind(rows, ["condition", "alpha", "seed"])
+
+
+@query("recovery_by_kind", f"""WITH {_KIND_SQL} SELECT condition, alpha, seed, n_fields, correct, accepted, unfilled, truth_filtered, categorical_fields, round(categorical_accuracy, 9) AS categorical_accuracy,
+  numeric_fields, round(numeric_accuracy, 9) AS numeric_accuracy, round(accuracy, 9) AS accuracy, round(coverage, 9) AS coverage, round(1 - coverage, 9) AS unfilled_rate FROM full_""")
+def _(spark, sf):
+    m = _kinds_of_recovery(spark, sf).drop("precision", "recall", "true_pairs", "false_matches_on_negatives", "known_negatives")
+    return rounded(m, 9, "categorical_accuracy", "numeric_accuracy", "accuracy", "coverage", "unfilled_rate")
+
+
+@query("sweep_report", f"""WITH {_KIND_SQL} SELECT condition, alpha, count(*) AS runs, round(avg(accuracy), 9) AS accuracy_mean, round(stddev_samp(accuracy), 9) AS accuracy_sd,
+  round(avg(categorical_accuracy), 9) AS categorical_accuracy_mean, round(stddev_samp(categorical_accuracy), 9) AS categorical_accuracy_sd, round(avg(coverage), 9) AS coverage_mean,
+  round(1 - avg(coverage), 9) AS unfilled_rate_mean, round(avg(truth_filtered), 9) AS truth_filtered_mean, count(*) FILTER (WHERE converged) AS converged_runs FROM full_ GROUP BY 1, 2""")
+def _(spark, sf):
+    runs = _kinds_of_recovery(spark, sf).withColumn("converged", F.col("precision") > 0.85)
+    return rounded(W.sweep_report(runs), 9, "accuracy_mean", "accuracy_sd", "categorical_accuracy_mean", "categorical_accuracy_sd", "coverage_mean", "unfilled_rate_mean", "truth_filtered_mean")
+
+
 @query("alpha_sweep")
 def _(spark, sf):
-    """Noisy anonymous copies of the ledger matched back to it: conditions by mixing weights."""
-    led = raw_ledger(spark, sf)
-    led = led.select(*ANON, F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "event_subtype").alias("_key"))
-    led = materialise(led)
-    clean, dependency = P.profile_source(led, SPECS)
-    structure = materialise(M.symmetric(dependency))
-    cases = [("clean", 0), ("mixed_030", 1), ("categorical_015", 1)]
-    ds, xs, ys = [], [], []
-    for name, seed in cases:
-        lam, p = N.NOISE_LEVELS[name]
-        noisy = N.corrupt(led, SPECS, clean, lam, p, seed, ["_key"]).select(*[F.col(c).alias(a) for c, a in ANON.items()])
-        noisy = materialise(noisy)
-        case = F.lit(f"{name}/{seed}").alias("case")
-        passport, dependency = P.profile_source(noisy, ANON_SPECS)
-        ds.append(M.passport_distance(passport, clean).select(case, "*"))
-        xs.append(M.symmetric(dependency).select(case, "*"))
-        ys.append(structure.select(case, "*"))
-
-    def union(parts):
-        out = parts[0]
-        for q in parts[1:]:
-            out = out.unionByName(q)
-        return out
-
-    d = materialise(union(ds))
-    solved = materialise(M.solve_plans(M.match_problems(d, union(xs), union(ys)), [0.0, 0.5, 1.0], n_init=3))
-    m = M.recovery_metrics(_recovered(M.match_columns(d, solved)), ["case", "alpha"])
-    return m.join(solved.select("case", "alpha", "converged"), ["case", "alpha"])
+    """Thirteen noisy anonymous copies of the ledger matched back to it with eleven mixing weights."""
+    led = raw_ledger(spark, sf).select(*ANON, F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "event_subtype").alias("_key"))
+    out = f"{scratch_dir(spark)}/ledgerflow-sweep-{uuid.uuid4().hex}"
+    W.run_sweep(led, SPECS, ANON, ["_key"], out, W.sweep_cases(), settings={"input": sf})
+    return W.sweep_runs(spark, out)

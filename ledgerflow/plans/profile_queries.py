@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import profile as P
+from ledgerflow.operators import sketches as K
 from ledgerflow.plans.registry import query
-from ledgerflow.plans.standins import CATEGORIES, LEDGER_SQL, NUMERICS, SPECS, ledger, table
+from ledgerflow.plans.standins import CATEGORIES, LEDGER_SQL, NUMERICS, SPECS, fold, ledger, table
 from ledgerflow.schema import ColumnSpec
 from ledgerflow.sources.readers import materialise
 
@@ -81,6 +82,28 @@ def _(spark, sf):
     )
 
 
+@query("profile_sketched", f"""WITH {LEDGER_SQL}, {LONG_SQL}, b AS (
+    SELECT "column", 'categorical' AS kind, count(*) AS n_rows, count(v) AS n_valid, count(DISTINCT v) AS n_unique, NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean,
+      NULL::DOUBLE AS std, NULL::DOUBLE AS zero_share, NULL::DOUBLE AS integer_share, NULL::VARCHAR AS numeric_subtype, NULL::BOOLEAN AS quantiles_within FROM cats GROUP BY 1
+    UNION ALL SELECT "column", 'numeric', count(*), count(v), count(DISTINCT v), min(v), max(v), avg(v), stddev_samp(v), avg(CASE WHEN v = 0 THEN 1.0::DOUBLE ELSE 0.0 END),
+      avg(CASE WHEN v = trunc(v) THEN 1.0::DOUBLE ELSE 0.0 END), CASE count(DISTINCT v) WHEN 1 THEN 'constant' WHEN 2 THEN 'binary' ELSE 'continuous' END, true FROM nums GROUP BY 1)
+  SELECT "column", kind, n_rows, n_valid, n_unique, true AS n_unique_within, min, max, round(mean, 4) AS mean, round(std, 4) AS std, round(zero_share, 9) AS zero_share,
+    round(integer_share, 9) AS integer_share, numeric_subtype, quantiles_within FROM b""")
+def _(spark, sf):
+    """Passports from sketches of five folds, merged: exact figures, and whether the approximate
+    ones are as near to the exact ones as stated."""
+    led = ledger(spark, sf).withColumn("fold", fold("client_id"))
+    parts = materialise(K.sketch_columns(led, SPECS, ["fold"]))
+    passports = materialise(K.sketched_passports(K.merge_sketches(parts)))
+    c = counts(spark, sf)
+    exact = P.base_profile(c).select("column", F.col("n_unique").alias("exact"))
+    near = F.abs(F.col("n_unique") - F.col("exact")) <= K.distinct_error() * F.col("exact")
+    out = passports.join(exact, "column").join(K.quantile_rank_errors(passports, c), "column", "left").select(
+        "column", "kind", "n_rows", "n_valid", F.col("exact").alias("n_unique"), near.alias("n_unique_within"), "min", "max", "mean", "std", "zero_share", "integer_share",
+        "numeric_subtype", (F.col("rank_error") <= K.rank_error()).alias("quantiles_within"))
+    return rounded(rounded(out, 9, "zero_share", "integer_share"), 4, "mean", "std")
+
+
 _FLAT = f"""WITH v AS (SELECT 'value' AS "column", value AS v FROM events UNION ALL SELECT 'mostly_zero', CASE WHEN event_id % 40 = 0 THEN value ELSE 0 END FROM events
     UNION ALL SELECT 'rare', CASE WHEN event_id = 0 THEN 1 ELSE 0 END FROM events UNION ALL SELECT 'flat', 1.0 FROM events),
   q AS (SELECT "column", min(v) AS lo, max(v) AS hi, quantile_cont(v, {LEVELS}) AS q FROM v GROUP BY 1),

@@ -16,7 +16,7 @@ from ledgerflow.sources.readers import materialise
 LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
-BLOCK_TERMS = 1 << 16  # kept terms of a language in one array
+BLOCK_TERMS = 1 << 13  # kept terms of a language in one array
 TILE_SOURCES = 16  # sources on one side of a task of pairs
 HELD = 400_000  # distinct (group, term) that a task holds before it passes them on
 SLICE = 1 << 20

@@ -11,7 +11,9 @@ from ledgerflow.functions.ranks import exact_quantiles, number_rows
 from ledgerflow.functions.scalars import category_key, epoch_seconds, hash60, uniform
 from ledgerflow.operators.windows import latest_events
 from ledgerflow.schema import EventSchema
-from ledgerflow.sources.readers import materialise
+from ledgerflow.sources.readers import attach_row, materialise
+
+DICTIONARY_VALUES = 256  # values of a column that are looked up in a list
 
 
 def eligible_clients(events: DataFrame, client: str, n: int = 2) -> DataFrame:
@@ -48,46 +50,46 @@ def vocabulary_sizes(vocabulary: DataFrame) -> DataFrame:
 
 
 def encode(events: DataFrame, vocabulary: DataFrame, columns: Sequence[str], suffix: str = "_code") -> DataFrame:
-    """Adds ``<column><suffix>``; unseen values get N+1. The vocabulary is materialised,
-    so the planner broadcasts a column's slice if its real size allows and otherwise
-    joins by value with skew handling."""
+    """Adds ``<column><suffix>``; unseen values get N+1.
+
+    Columns of at most DICTIONARY_VALUES values are looked up in lists of one row that every
+    task gets, all in one projection: a code is the place in its list. A larger column is
+    joined by value, where the planner knows the materialised slice's real size."""
     vocabulary = materialise(vocabulary)
-    unknown = vocabulary.agg(
-        F.struct(
-            *[
-                F.coalesce(F.max(F.when(F.col("column") == c, F.col("code"))), F.lit(0)).alias(c)
-                for c in columns
-            ]
-        )
-    ).scalar()
-    out = events.withColumn("_unknown", unknown)
+    sizes = {r["column"]: r["n"] for r in vocabulary.groupBy("column").agg(F.max("code").alias("n")).collect()}
+    small = [c for c in columns if sizes.get(c, 0) <= DICTIONARY_VALUES]
+    out = events
+    if small:
+        # at most DICTIONARY_VALUES values a column
+        listed = vocabulary.where(F.col("column").isin(small)).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("code", "value")))["value"].alias("_v"))
+        book = listed.agg(F.struct(*[F.coalesce(F.max(F.when(F.col("column") == c, F.col("_v"))), F.array().cast("array<string>")).alias(c) for c in small]).alias("_book"))
+        out = attach_row(out, materialise(book))
+    codes = {}
     for c, k in zip(columns, category_keys(events, columns)):
-        part = vocabulary.where(F.col("column") == c).select(
-            F.col("value").alias("_key"), F.col("code").alias("_code")
-        )
-        out = (
-            out.withColumn("_key", k)
-            .join(part, "_key", "left")
-            .withColumn(f"{c}{suffix}", F.coalesce("_code", F.col(f"_unknown.{c}") + 1))
-            .drop("_key", "_code")
-        )
-    return out.drop("_unknown")
+        unknown = F.lit(sizes.get(c, 0) + 1)
+        if c in small:
+            code = F.nullif(F.array_position(F.col(f"_book.`{c}`"), k), F.lit(0))
+        else:
+            part = vocabulary.where(F.col("column") == c).select(F.col("value").alias("_key"), F.col("code").alias(f"_code_{c}"))
+            out = out.withColumn("_k", k).join(part, F.col("_k") == F.col("_key"), "left").drop("_k", "_key")
+            code = F.col(f"_code_{c}")
+        codes[c] = F.coalesce(code.cast("bigint"), unknown.cast("bigint"))
+    return out.select(*[F.col(c) for c in events.columns], *[v.alias(f"{c}{suffix}") for c, v in codes.items()])
+
+
+def unknown_counts(coded: DataFrame, vocabulary: DataFrame, columns: Sequence[str], by: Sequence[str] = (), suffix: str = "_code") -> DataFrame:
+    """(by, column, n_rows, n_unknown) of encoded rows: one aggregate over the code columns."""
+    sizes = {r["column"]: r["n"] for r in vocabulary.groupBy("column").agg(F.max("code").alias("n")).collect()}
+    aggs = [F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(f"{c}{suffix}") > sizes.get(c, 0)).alias(f"_u{i}") for i, c in enumerate(columns)]]
+    cells = [F.struct(F.lit(c).alias("column"), F.col("_rows").alias("n_rows"), F.col(f"_u{i}").alias("n_unknown")) for i, c in enumerate(columns)]
+    return coded.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells)))
 
 
 def unknown_rates(events: DataFrame, vocabulary: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of rows per column whose value is not in the vocabulary."""
-    coded = encode(events, vocabulary, columns)
-    sizes = vocabulary.groupBy("column").agg(F.max("code").alias("n"))
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(f"{c}_code").alias("code")) for c in columns]
-    )
-    per_code = (
-        coded.select(F.inline(cells)).groupBy("column", "code").agg(F.count(F.lit(1)).alias("rows"))
-    )
-    return per_code.join(sizes, "column").groupBy("column").agg(
-        F.sum("rows").alias("n_rows"),
-        F.sum(F.when(F.col("code") > F.col("n"), F.col("rows")).otherwise(0)).alias("n_unknown"),
-    ).withColumn("unknown_rate", F.col("n_unknown") / F.col("n_rows"))
+    vocabulary = materialise(vocabulary)
+    counts = unknown_counts(encode(events, vocabulary, columns), vocabulary, columns)
+    return counts.withColumn("unknown_rate", F.try_divide("n_unknown", "n_rows"))
 
 
 def factorise(df: DataFrame, c: str) -> DataFrame:
@@ -214,24 +216,28 @@ def prepare_audit(capped: DataFrame, schema: EventSchema, split: DataFrame, voca
         F.sum("zero_gaps").alias("zero_gap_events"),
         F.count_if("same_day").alias("all_same_day_clients"),
     )
-    coded = encode(capped, vocabulary, schema.categories)
-    tops = vocabulary.groupBy("column").agg(F.max("code").alias("n_codes"))
-    coded = coded.join(clients.where(ok).select(schema.client, "valid"), schema.client)
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(f"{c}_code").alias("code")) for c in schema.categories]
-    )
-    per_code = coded.select("valid", F.inline(cells)).groupBy("valid", "column", "code").agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-    over = F.col("code") > F.col("n_codes")
-    unknown = per_code.join(tops, "column").agg(
-        F.coalesce(F.sum(F.when(over & ~F.col("valid"), F.col("rows"))), F.lit(0)).alias("unknown_train"),
-        F.coalesce(F.sum(F.when(over & F.col("valid"), F.col("rows"))), F.lit(0)).alias("unknown_valid"),
+    unknown = split_unknowns(capped, schema, clients.where(ok), vocabulary).agg(
+        F.coalesce(F.sum(F.when(~F.col("valid"), F.col("n_unknown"))), F.lit(0)).alias("unknown_train"),
+        F.coalesce(F.sum(F.when(F.col("valid"), F.col("n_unknown"))), F.lit(0)).alias("unknown_valid"),
     )
     k = F.lit(1).alias("_k")
     return totals.select("*", k).join(unknown.select("*", k), "_k").drop("_k")
 
 
+def split_unknowns(capped: DataFrame, schema: EventSchema, clients: DataFrame, vocabulary: DataFrame, strict: bool = False) -> DataFrame:
+    """(valid, column, n_rows, n_unknown) over the events of ``clients`` (client, valid). A value of the
+    training side that the vocabulary lacks means that it was fitted on something else:
+    ``strict`` raises then."""
+    vocabulary = materialise(vocabulary)
+    coded = encode(capped, vocabulary, schema.categories).join(clients.select(schema.client, "valid"), schema.client)
+    counts = materialise(unknown_counts(coded, vocabulary, schema.categories, ["valid"]))
+    if strict:
+        bad = counts.where("NOT valid AND n_unknown > 0").orderBy("column").collect()  # at most one row a column
+        if bad:
+            raise ValueError(f"incomplete train vocabulary: {', '.join(f'{r.column} ({r.n_unknown})' for r in bad)}")
+    return counts
+
+
 def interval_stats(capped: DataFrame, schema: EventSchema, train: DataFrame) -> DataFrame:
     """p99 of the train clients' inter-event days and the mean of the intervals up to it."""
     gaps = client_gaps(capped.join(train.select(schema.client), schema.client, "left_semi"), schema)

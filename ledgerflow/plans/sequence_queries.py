@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.scalars import epoch_seconds
+from ledgerflow.functions.scalars import epoch_seconds, shard_of
 from ledgerflow.operators import sequences as Q
 from ledgerflow.operators import targets as T
 from ledgerflow.operators.windows import latest_events, windows
 from ledgerflow.plans.registry import query
 from ledgerflow.plans.standins import (
-    CATEGORIES, FEATURES_ASC, FEATURES_DESC, LEDGER, LEDGER_SQL, MAX_EVENTS, capped_sql, ledger, sql_hash, sql_uniform, table,
+    CATEGORIES, FEATURES_ASC, FEATURES_DESC, LEDGER, LEDGER_SQL, MAX_EVENTS, capped_sql, ledger, sql_hash, sql_shard, sql_uniform, table,
 )
 from ledgerflow.schema import EventSchema
 from ledgerflow.sources.readers import materialise
@@ -72,16 +72,24 @@ def _(spark, sf):
     return Q.vocabulary_sizes(vocabulary(capped(spark, sf)))
 
 
-# A vocabulary with gaps: only the dear events of a train client fit it, so others are unseen.
-_DEAR = "amount > 90000"
-_DEAR_KEYS = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", coalesce(CAST({c} AS VARCHAR), '<MISSING>') AS value FROM cap WHERE {_DEAR} AND event_subtype < 6" for c in CATEGORIES
-)
-_DEAR_VOCAB = f"""dear AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value) AS code FROM ({_DEAR_KEYS}) GROUP BY 1, 2)"""
+# Held-out clients, a third of them, use values that no training client has: what the vocabulary
+# of the training clients does not know.
+_ODD = {c: f"CASE WHEN valid AND {sql_shard(3, 'client_id', seed='odd')} = 0 THEN {c} + 1000 ELSE {c} END AS {c}" for c in ("event_type", "src_b", "currency")}
+ODD_SQL = LEDGER_SQL.replace("led AS (", "led0 AS (", 1) + ", " + SPLIT_SQL.replace("FROM cap", "FROM led0") + f""",
+led AS (SELECT * EXCLUDE (valid) REPLACE ({", ".join(_ODD.values())}) FROM (SELECT led0.*, valid FROM led0 JOIN split USING (client_id)))"""
+ODD_CAP = ODD_SQL + CAP[len(LEDGER_SQL):]
+_ODD_VOCAB = VOCAB_SQL + """, dear AS (SELECT "column", value, code FROM vocab)"""
+
+
+def odd_ledger(spark, sf):
+    led = ledger(spark, sf)
+    hit = F.col("valid") & (shard_of(3, "client_id", seed="odd") == 0)
+    both = led.join(materialise(split(led)), "client_id")
+    return materialise(both.select(*[F.when(hit, F.col(c) + 1000).otherwise(F.col(c)).alias(c) if c in _ODD else F.col(c) for c in led.columns]))
 
 
-def dear_vocabulary(cap):
-    return Q.fit_vocabulary(cap.where(f"{_DEAR} AND event_subtype < 6"), CATEGORIES)
+def odd_capped(spark, sf):
+    return materialise(latest_events(odd_ledger(spark, sf), MAX_EVENTS, LEDGER))
 
 
 _ENCODED = "SELECT client_id, CAST(epoch(event_time) AS BIGINT) AS t, " + ", ".join(
@@ -90,10 +98,10 @@ _ENCODED = "SELECT client_id, CAST(epoch(event_time) AS BIGINT) AS t, " + ", ".j
 ) + " FROM cap"
 
 
-@query("encode_events", f"WITH {CAP}, {_DEAR_VOCAB} {_ENCODED}")
+@query("encode_events", f"WITH {ODD_CAP}, {_ODD_VOCAB} {_ENCODED}")
 def _(spark, sf):
-    cap = capped(spark, sf)
-    coded = Q.encode(cap, dear_vocabulary(cap), CATEGORIES)
+    cap = odd_capped(spark, sf)
+    coded = Q.encode(cap, vocabulary(cap), CATEGORIES)
     return coded.select("client_id", epoch_seconds("event_time").alias("t"), *[F.col(f"{c}_code").cast("bigint").alias(f"{c}_code") for c in CATEGORIES])
 
 
@@ -102,20 +110,21 @@ _ALL_KEYS = " UNION ALL ".join(
 )
 
 
-@query("unknown_rates", f"""WITH {CAP}, {_DEAR_VOCAB}, k AS ({_ALL_KEYS})
+@query("unknown_rates", f"""WITH {ODD_CAP}, {_ODD_VOCAB}, k AS ({_ALL_KEYS})
   SELECT "column", count(*) AS n_rows, count(*) FILTER (WHERE code IS NULL) AS n_unknown,
     round(count(*) FILTER (WHERE code IS NULL) / count(*)::DOUBLE, 9) AS unknown_rate
   FROM k LEFT JOIN dear USING ("column", value) GROUP BY 1""")
 def _(spark, sf):
-    cap = capped(spark, sf)
-    return Q.unknown_rates(cap, dear_vocabulary(cap), CATEGORIES).withColumn("unknown_rate", F.round("unknown_rate", 9))
+    cap = odd_capped(spark, sf)
+    return Q.unknown_rates(cap, vocabulary(cap), CATEGORIES).withColumn("unknown_rate", F.round("unknown_rate", 9))
 
 
-_MARKS = "marks AS (SELECT event_type AS value, count(*) AS count, row_number() OVER (ORDER BY event_type) - 1 AS code FROM cap WHERE src_b = 3 AND amount > 101000 GROUP BY 1)"
+_MARKS = "marks AS (SELECT event_type AS value, count(*) AS count, row_number() OVER (ORDER BY event_type) - 1 AS code FROM cap JOIN split USING (client_id) WHERE NOT valid AND event_type IS NOT NULL GROUP BY 1)"
 
 
 def _marks(cap):
-    return Q.factorise(cap.where("src_b = 3 AND amount > 101000"), "event_type")
+    """The marks of the training clients."""
+    return Q.factorise(cap.join(split(cap).where("NOT valid"), "client_id", "left_semi"), "event_type")
 
 
 @query("factorise", "SELECT event_type AS value, count(*) AS count, row_number() OVER (ORDER BY event_type) - 1 AS code FROM events GROUP BY 1")
@@ -123,15 +132,15 @@ def _(spark, sf):
     return Q.factorise(table(spark, sf, "events"), "event_type")
 
 
-@query("drop_unseen", f"WITH {CAP}, {_MARKS} SELECT client_id, CAST(epoch(event_time) AS BIGINT) AS t, event_type, code FROM cap JOIN marks ON value = event_type")
+@query("drop_unseen", f"WITH {ODD_CAP}, {_MARKS} SELECT client_id, CAST(epoch(event_time) AS BIGINT) AS t, event_type, code FROM cap JOIN marks ON value = event_type")
 def _(spark, sf):
-    cap = capped(spark, sf)
+    cap = odd_capped(spark, sf)
     return Q.drop_unseen(cap, _marks(cap), "event_type").select("client_id", epoch_seconds("event_time").alias("t"), "event_type", "code")
 
 
-@query("unseen_report", f"WITH {CAP}, {_MARKS} SELECT event_type, count(*) AS n_dropped FROM cap WHERE event_type NOT IN (SELECT value FROM marks) GROUP BY 1")
+@query("unseen_report", f"WITH {ODD_CAP}, {_MARKS} SELECT event_type, count(*) AS n_dropped FROM cap WHERE event_type NOT IN (SELECT value FROM marks) GROUP BY 1")
 def _(spark, sf):
-    cap = capped(spark, sf)
+    cap = odd_capped(spark, sf)
     return Q.unseen_report(cap, _marks(cap), "event_type")
 
 
@@ -141,33 +150,35 @@ _SEQ_CODES = ", ".join(
 )
 
 
-@query("feature_sequences", f"""WITH {CAP}, {_DEAR_VOCAB}, coded AS (SELECT *, {_SEQ_CODES} FROM cap)
+@query("feature_sequences", f"""WITH {ODD_CAP}, {_ODD_VOCAB}, coded AS (SELECT *, {_SEQ_CODES} FROM cap)
   SELECT client_id, array_to_string(list(CAST(epoch(event_time) AS BIGINT) ORDER BY {FEATURES_ASC}), ',') AS event_time,
     {", ".join(f"array_to_string(list({c}_code ORDER BY {FEATURES_ASC}), ',') AS {c}" for c in CATEGORIES)},
     array_to_string(list(CAST(round(CAST(CAST(amount AS FLOAT) AS DOUBLE) * 100) AS BIGINT) ORDER BY {FEATURES_ASC}), ',') AS amount
   FROM coded GROUP BY 1""")
 def _(spark, sf):
-    s = Q.feature_sequences(ledger(spark, sf), LEDGER, dear_vocabulary(capped(spark, sf)), MAX_EVENTS)
+    led = odd_ledger(spark, sf)
+    s = Q.feature_sequences(led, LEDGER, vocabulary(materialise(latest_events(led, MAX_EVENTS, LEDGER))), MAX_EVENTS)
     joined = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("event_time", *CATEGORIES)]
     # amounts are FLOAT inside a sequence; compare what is stored, in cents
     return s.select("client_id", *joined, F.array_join(F.transform("amount", lambda x: F.round(x.cast("double") * 100).cast("bigint").cast("string")), ",").alias("amount"))
 
 
-@query("window_sequences", f"""WITH {LEDGER_SQL}, d AS (SELECT CAST(unnest([DATE '1998-01-01', DATE '1998-07-01']) AS DATE) AS target_date),
+@query("window_sequences", f"""WITH {ODD_SQL}, d AS (SELECT CAST(unnest([DATE '1998-01-01', DATE '1998-07-01']) AS DATE) AS target_date),
   w AS (SELECT * FROM led, d WHERE event_time < target_date AND event_time > target_date - INTERVAL 12 MONTH
     QUALIFY row_number() OVER (PARTITION BY client_id, target_date ORDER BY {FEATURES_DESC}) <= 5)
   SELECT client_id, target_date, array_to_string(list(CAST(epoch(event_time) AS BIGINT) ORDER BY {FEATURES_ASC}), ',') AS event_time,
     array_to_string(list(CAST(round(CAST(CAST(amount AS FLOAT) AS DOUBLE) * 100) AS BIGINT) ORDER BY {FEATURES_ASC}), ',') AS amount FROM w GROUP BY 1, 2""")
 def _(spark, sf):
     """Per client and window the newest five events; the windows themselves are not capped."""
-    w = windows(ledger(spark, sf), LEDGER, ["1998-01-01", "1998-07-01"], 12)
-    s = Q.feature_sequences(w, LEDGER, dear_vocabulary(capped(spark, sf)), 5, ["target_date"])
+    led = odd_ledger(spark, sf)
+    w = windows(led, LEDGER, ["1998-01-01", "1998-07-01"], 12)
+    s = Q.feature_sequences(w, LEDGER, vocabulary(materialise(latest_events(led, MAX_EVENTS, LEDGER))), 5, ["target_date"])
     cents = F.transform("amount", lambda x: F.round(x.cast("double") * 100).cast("bigint").cast("string"))
     times = F.transform("event_time", lambda x: x.cast("string"))
     return s.select("client_id", "target_date", F.array_join(times, ",").alias("event_time"), F.array_join(cents, ",").alias("amount"))
 
 
-@query("event_sequences", f"""WITH {CAP}, {_MARKS}, kept AS (
+@query("event_sequences", f"""WITH {ODD_CAP}, {_MARKS}, kept AS (
     SELECT cap.*, code FROM cap JOIN marks ON value = event_type),
   d AS (SELECT *, CAST(floor((epoch(event_time) - min(epoch(event_time)) OVER (PARTITION BY client_id)) / 86400) AS BIGINT) AS days FROM kept),
   g AS (SELECT *, days - coalesce(lag(days) OVER (PARTITION BY client_id ORDER BY {FEATURES_ASC}), days) AS delta FROM d)
@@ -175,7 +186,8 @@ def _(spark, sf):
     array_to_string(list(delta ORDER BY {FEATURES_ASC}), ',') AS deltas,
     array_to_string(list(code ORDER BY {FEATURES_ASC}), ',') AS types FROM g GROUP BY 1""")
 def _(spark, sf):
-    s = Q.event_sequences(ledger(spark, sf), LEDGER, "event_type", _marks(capped(spark, sf)), MAX_EVENTS)
+    led = odd_ledger(spark, sf)
+    s = Q.event_sequences(led, LEDGER, "event_type", _marks(materialise(latest_events(led, MAX_EVENTS, LEDGER))), MAX_EVENTS)
     return s.select("client_id", *[F.array_join(F.transform(c, lambda x: x.cast("bigint").cast("string")), ",").alias(c) for c in ("times", "deltas", "types")])
 
 
@@ -191,7 +203,7 @@ _AUDIT_UNKNOWN = """unk AS (SELECT coalesce(CAST(sum(CASE WHEN code IS NULL AND
   FROM keys JOIN sized USING (client_id) JOIN split USING (client_id) LEFT JOIN dear USING ("column", value) WHERE n >= 2)"""
 
 
-@query("prepare_audit", f"""WITH {CAP}, {SPLIT_SQL}, sized AS (SELECT client_id, count(*) AS n FROM cap GROUP BY 1), keys AS ({_KEYS}), {_DEAR_VOCAB}, {_AUDIT_UNKNOWN},
+@query("prepare_audit", f"""WITH {ODD_CAP}, {_ODD_VOCAB}, {_AUDIT_UNKNOWN},
   g AS (SELECT client_id, event_time, event_time = lag(event_time) OVER (PARTITION BY client_id ORDER BY {FEATURES_ASC}) AS zero FROM cap),
   c AS (SELECT client_id, count(*) AS n, count(*) FILTER (WHERE zero) AS z, min(event_time) = max(event_time) AS same FROM g GROUP BY 1)
   SELECT count(*) AS clients_total, CAST(sum(n) AS BIGINT) AS events_retained, count(*) FILTER (WHERE n < 2) AS short_clients_excluded,
@@ -200,8 +212,18 @@ _AUDIT_UNKNOWN = """unk AS (SELECT coalesce(CAST(sum(CASE WHEN code IS NULL AND
     any_value(unknown_train) AS unknown_train, any_value(unknown_valid) AS unknown_valid
   FROM c JOIN split USING (client_id), unk""")
 def _(spark, sf):
-    cap = capped(spark, sf)
-    return Q.prepare_audit(cap, LEDGER, split(cap), dear_vocabulary(cap))
+    cap = odd_capped(spark, sf)
+    return Q.prepare_audit(cap, LEDGER, split(cap), vocabulary(cap))
+
+
+@query("split_unknowns", f"""WITH {ODD_CAP}, {_ODD_VOCAB}
+  SELECT valid, "column", count(*) AS n_rows, count(*) FILTER (WHERE code IS NULL) AS n_unknown
+  FROM keys JOIN sized USING (client_id) JOIN split USING (client_id) LEFT JOIN dear USING ("column", value) WHERE n >= 2 GROUP BY 1, 2""")
+def _(spark, sf):
+    """Unknown values per column and split; none on the training side, or the query raises."""
+    cap = odd_capped(spark, sf)
+    clients = split(cap).join(Q.eligible_clients(cap, "client_id", 2), "client_id")
+    return Q.split_unknowns(cap, LEDGER, materialise(clients), vocabulary(cap), strict=True)
 
 
 @query("zero_gap_events", f"""WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(ts AS DATE) - lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id ORDER BY ts, event_type, value) AS gap FROM events)

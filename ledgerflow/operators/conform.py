@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.scalars import as_code
 from ledgerflow.schema import EventSchema
+from ledgerflow.sources.readers import materialise
 
 
 def minmax_scale(df: DataFrame, c: str) -> DataFrame:
@@ -51,19 +52,23 @@ def daily_sum(events: DataFrame, client: str, time: str, value: str) -> DataFram
 
 
 def rollup_audit(events: DataFrame, rolled: DataFrame, schema: EventSchema, value: str) -> DataFrame:
-    """One row: duplicate groups, scaled range and client counts before and after."""
+    """One row: duplicate groups, scaled range and client counts before and after. The roll-up
+    is computed once and read from its table."""
     keys = [schema.client, schema.time, *schema.categories]
+    rolled = materialise(rolled)
     groups = rolled.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    dup = groups.agg(F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.sum("n").alias("rolled_rows"))
+    dup = groups.agg(
+        F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.sum("n").alias("rolled_rows"),
+        F.count_distinct(schema.client).alias("rolled_clients"),
+    )
     span = minmax_scale(rolled, value).agg(
         F.min(value).alias("scaled_min"), F.max(value).alias("scaled_max")
     )
     before = events.agg(
         F.count(F.lit(1)).alias("event_rows"), F.count_distinct(schema.client).alias("event_clients")
     )
-    after = rolled.agg(F.count_distinct(schema.client).alias("rolled_clients"))
     one = F.lit(1).alias("_k")
-    parts = [p.select("*", one) for p in (dup, span, before, after)]
+    parts = [p.select("*", one) for p in (dup, span, before)]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "_k")

@@ -5,30 +5,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.ranks import number_rows, running_totals, value_bucketed
-from ledgerflow.sources.readers import attach_row
+from ledgerflow.functions.ranks import BUCKET_BITS, number_rows, running_totals, value_bucketed
+from ledgerflow.sources.readers import materialise
 
 # The reported top shares.
 TOP_FRACTIONS = (0.01, 0.05, 0.10)
 
 
-def cumulative_confusion(df: DataFrame, y: str, score: str, by: Sequence[str]) -> DataFrame:
-    """(by, score, p, n, tp, fp) along falling score; rows with equal scores are one step."""
+def cumulative_confusion(df: DataFrame, y: str, score: str, by: Sequence[str], bits: int = BUCKET_BITS) -> DataFrame:
+    """(by, score, p, n, tp, fp) along falling score; rows with equal scores are one step. The steps
+    are written once and read by each pass over them; ``2**bits`` tasks share their order."""
     steps = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.sum(F.col(y).cast("bigint")).alias("p"), F.count(F.lit(1)).alias("n")
     ).withColumn("n", F.col("n") - F.col("p"))
     return running_totals(
-        value_bucketed(steps, "score"), list(by), [F.desc("score")], {"tp": "p", "fp": "n"}, descending=True
+        value_bucketed(materialise(steps), "score", bits), list(by), [F.desc("score")], {"tp": "p", "fp": "n"}, descending=True
     )
 
 
-def ranking_metrics(df: DataFrame, y: str, score: str, by: Sequence[str], strict: bool = False) -> DataFrame:
+def ranking_metrics(
+    df: DataFrame, y: str, score: str, by: Sequence[str], strict: bool = False, bits: int = BUCKET_BITS
+) -> DataFrame:
     """ROC-AUC with ties at half, and step-wise average precision, per group. One class
     only: NULL metrics and ``status`` ONE_CLASS, or an error when ``strict``."""
-    c = cumulative_confusion(df, y, score, by)
+    c = cumulative_confusion(df, y, score, by, bits)
     n_before = F.col("fp") - F.col("n")
     sums = c.groupBy(*by).agg(
         F.sum("p").alias("positives"), F.sum("n").alias("negatives"),
@@ -53,13 +56,26 @@ def top_fraction(
     df: DataFrame, score: str, by: Sequence[str], key: Sequence[str], fractions: Sequence[float] = TOP_FRACTIONS
 ) -> DataFrame:
     """Rows ranked by (score desc, key asc) with the fractions whose top
-    k = max(1, round-half-even(fraction * n)) they belong to. The sort is cut by score and
+    k = max(1, round-half-even(fraction * n)) they belong to.
+
+    Two passes: the first counts rows per bucket of scores, the second keeps the buckets that
+    the largest share reaches into, and only those are sorted. The sort is cut by score and
     key together, so even one score shared by most rows is ordered by many tasks."""
     by = list(by)
     order = [F.col(score).cast("double").desc(), *[F.asc(k) for k in key]]
-    ranked = number_rows(df, by, order, "rank")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    sized = ranked.join(sizes, by) if by else attach_row(ranked, sizes)
+    placed = value_bucketed(df.withColumn("_score", F.col(score).cast("double")), "_score").drop("_score")
+    # at most 2**BUCKET_BITS rows a group
+    counts = placed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_m"))
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    above = whole.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    most = F.greatest(F.lit(1), F.rint(F.lit(max(fractions)) * F.col("_n")).cast("bigint"))
+    reached = counts.select(*by, "_bucket", F.sum("_m").over(whole).alias("_n"), F.coalesce(F.sum("_m").over(above), F.lit(0)).alias("_above"))
+    reached = materialise(reached.where(F.col("_above") < most))
+    edge = reached.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_b"), "_n")
+    same = F.col("_bucket") == F.col("_b")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    sized = number_rows(placed.join(edge, same).select(*df.columns, "_n"), by, order, "rank")
     cuts = F.array(
         *[
             F.struct(

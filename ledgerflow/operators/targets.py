@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.ranks import hash_rank
+from ledgerflow.functions.ranks import hash_bucketed, hash_rank
 from ledgerflow.functions.scalars import hash60
 from ledgerflow.sources.readers import materialise, sample_clients
 
@@ -115,16 +115,29 @@ def undersample(
     df: DataFrame, y: str, ratio: float, seed: int, key: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """All positives and at most floor(positives * ratio) negatives per ``by``, chosen by
-    seeded hash of the row key."""
+    seeded hash of the row key.
+
+    The first pass counts positives, and negatives per bucket of hashes. Buckets below the one
+    in which the quota ends are taken as they are; only that bucket, one of 4096, is ranked."""
     by = list(by)
-    quota = df.groupBy(*by).agg(F.floor(F.count_if(F.col(y) == 1) * F.lit(float(ratio))).alias("_quota"))
-    negatives = df.where(F.col(y) == 0).withColumn("_h", hash60(seed, *key))
-    ranked = hash_rank(negatives, by, "_h", list(key), "_rank")
-    if by:
-        ranked = ranked.join(quota, by)
-    else:
-        ranked = ranked.withColumn("_quota", quota.scalar())
-    kept = ranked.where(F.col("_rank") <= F.col("_quota")).select(*df.columns)
+    negative = F.col(y) == 0
+    placed = hash_bucketed(df.withColumn("_h", hash60(seed, *key)), "_h")
+    counts = placed.groupBy(*by, F.when(negative, F.col("_bucket")).alias("_bucket")).agg(
+        F.count_if(negative).alias("_m"), F.count_if(F.col(y) == 1).alias("_pos")
+    )
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    below = whole.orderBy(F.asc_nulls_first("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    quota = F.floor(F.sum("_pos").over(whole) * F.lit(float(ratio)))
+    left = (quota - F.coalesce(F.sum("_m").over(below), F.lit(0))).alias("_left")
+    cut = counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_b"), "_m", left)
+    cut = materialise(cut.where("_b IS NOT NULL AND _left > 0"))
+    same = F.col("_bucket") == F.col("_b")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    near = placed.where(negative).join(cut, same)
+    rank = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_h", *key))
+    edge = near.where(F.col("_m") > F.col("_left")).withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left"))
+    kept = near.where(F.col("_m") <= F.col("_left")).select(*df.columns).unionByName(edge.select(*df.columns))
     return df.where(F.col(y) == 1).unionByName(kept)
 
 

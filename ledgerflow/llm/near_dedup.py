@@ -27,7 +27,8 @@ SHARE = (75, 100)  # linked with SHARE[1] * intersection >= SHARE[0] * union
 MARGIN = 0.16  # five standard deviations of the estimate at 0.75 with 192 registers
 BLOCK = 1024  # members of a bucket in one block
 SETS = 512  # documents of a cluster in one block
-SLAB = 8192  # items compared at once
+SLAB = 2048  # items compared at once
+ITEMS = 1_000_000  # of the sets of two blocks, looked at together
 GROUP_ROWS = 20_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -165,31 +166,43 @@ def _forest(x: np.ndarray, y: np.ndarray, score: np.ndarray, rep: np.ndarray) ->
 
 
 def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
-    """How many items every set of ``one`` shares with every set of ``two``; sets are sorted."""
+    """How many items every set of ``one`` shares with every set of ``two``; sets are sorted. Items
+    are counted range by range of their values, so that long sets take no more memory."""
+    parts = -(-sum(len(x) for sets in ({id(one): one, id(two): two}).values() for x in sets) // ITEMS)
+    if parts <= 1:
+        return _shared_part(one, two)
+    steps = [np.uint64((k << 64) // parts) for k in range(1, parts)]
+    cut = lambda sets: [np.concatenate([[0], np.searchsorted(x, steps), [len(x)]]) for x in sets]
+    ends, other = cut(one), None if one is two else cut(two)
+    out = np.zeros((len(one), len(two)), dtype=np.float32)
+    for k in range(parts):
+        left = [x[e[k] : e[k + 1]] for x, e in zip(one, ends)]
+        out += _shared_part(left, left if other is None else [x[e[k] : e[k + 1]] for x, e in zip(two, other)])
+    return out
+
+
+def _shared_part(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(one), len(two)), dtype=np.float32)
     values = np.intersect1d(np.concatenate(one), np.concatenate(two)) if one is not two else None
     if values is None:
         values, count = np.unique(np.concatenate(one), return_counts=True)
         values = values[count > 1]
-        np.fill_diagonal(out, [len(s) for s in one])
     sides = []
-    for sets in (one, two):
+    for sets in (one,) if one is two else (one, two):
         item, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         column = np.minimum(np.searchsorted(values, item), max(0, len(values) - 1))
         known = values[column] == item if len(values) else np.zeros(len(item), dtype=bool)
         column, row = column[known], row[known]
         order = np.argsort(column, kind="stable")
         sides.append((column[order], row[order], len(sets)))
-    if one is two:
-        np.fill_diagonal(out, 0)
     for at in range(0, len(values), SLAB):
-        parts = []
+        slabs = []
         for column, row, size in sides:
             a, b = np.searchsorted(column, [at, at + SLAB])
-            part = np.zeros((size, SLAB), dtype=np.float32)
-            part[row[a:b], column[a:b] - at] = 1
-            parts.append(part)
-        out += parts[0] @ parts[1].T
+            slab = np.zeros((size, min(SLAB, len(values) - at)), dtype=np.float32)
+            slab[row[a:b], column[a:b] - at] = 1
+            slabs.append(slab)
+        out += slabs[0] @ slabs[-1].T
     return out
 
 
@@ -197,13 +210,16 @@ def _linked(table: pa.Table) -> pa.Table:
     """Links (a, b) among the documents of each (cluster, i, j): a spanning forest of all pairs
     of block i and block j that are alike on their full sets."""
     cluster, i, j, block, rep = (np.asarray(table.column(n)) for n in ("cluster", "i", "j", "block", "rep"))
-    items = table.column("items").to_pylist()
+    items = table.column("items").combine_chunks()
+    _, ends, data = items.buffers()
+    ends = np.frombuffer(ends, np.int32)[items.offset : items.offset + len(items) + 1] // 8
+    data = np.frombuffer(data or b"", np.uint64)
     order = np.lexsort((rep, block, j, i, cluster))
     new = (np.diff(cluster[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
     out: list[tuple[int, int]] = []
     for own in np.split(order, np.flatnonzero(new) + 1):
         own = own[np.concatenate([[True], np.diff(rep[own]) != 0])]
-        sets = [np.frombuffer(items[k], np.uint64) for k in own]
+        sets = [data[ends[k] : ends[k + 1]] for k in own]
         size = np.array([len(x) for x in sets], dtype=np.float64)
         left = np.flatnonzero(block[own] == i[own])
         right = np.flatnonzero(block[own] == j[own])

@@ -194,3 +194,14 @@ def test_queries_read_whole_tables(spark):
         else:
             want = [sha(" ".join(w for w, x in zip(ws, g) if not x)) for ws, g in covered_words(texts, 35)]
         assert [r[column] for r in sorted(rows, key=lambda r: r["doc_id"])] == want
+
+
+def test_shared_items_of_sets_range_by_range(monkeypatch):
+    r = np.random.default_rng(0)
+    sets = [np.sort(r.choice(5000, r.integers(1, 400), replace=False)).astype(np.uint64) * np.uint64(3_000_000_000_000_000) for _ in range(40)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    for items in (10**6, 500):
+        monkeypatch.setattr(near_dedup, "ITEMS", items)
+        apart = ~np.eye(len(sets), dtype=bool)
+        assert (near_dedup._shared(sets, sets) == want)[apart].all()
+        assert (near_dedup._shared(sets[:15], sets[15:]) == want[:15, 15:]).all()

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.schema import EventSchema
+from ledgerflow.sources.writers import publish_panel
 
 # frame of sequence records -> float matrix, one row per record
 Encoder = Callable[[pd.DataFrame], np.ndarray]
@@ -43,6 +48,93 @@ def embed_series(series: DataFrame, keys: Sequence[str], encoder: Encoder, dim:
     return embed_windows(series.select(*keys, column), keys, encoder, dim)
 
 
+@dataclass(frozen=True)
+class Ragged:
+    """The arrays of many rows end to end: row i holds values[offsets[i]:offsets[i + 1]]."""
+
+    offsets: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.ListArray) -> Ragged:
+        """Without copying; a null array is an empty one."""
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+        return cls(np.concatenate([[0], np.cumsum(lengths)]), np.asarray(column.flatten()))
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return np.diff(self.offsets)
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """Per row the sum of ``rows``, which belong to the values one by one."""
+        total = np.zeros((len(rows) + 1, *rows.shape[1:]))
+        np.cumsum(rows, axis=0, out=total[1:])
+        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+
+    def places(self) -> np.ndarray:
+        """Place of every value inside its row, from 0."""
+        return np.arange(len(self.values)) - np.repeat(self.offsets[:-1], self.lengths)
+
+
+# columns by name (arrays as Ragged, others as numpy arrays) and number of rows -> float matrix
+RaggedEncoder = Callable[[dict, int], np.ndarray]
+_LOADED: dict[str, RaggedEncoder] = {}
+
+
+def embed_ragged(
+    records: DataFrame, keys: Sequence[str], load: Callable[[str], RaggedEncoder], weights: str, dim: int,
+    columns: Sequence[str] | None = None, chunk_rows: int = 4096,
+) -> DataFrame:
+    """(keys, emb) of records by an encoder that works on whole columns.
+
+    ``load(weights)`` runs once per worker process and path; what it returns gets the arrays of up to
+    ``chunk_rows`` records as offsets and values, straight from Arrow, so no Python loop runs
+    over rows and memory does not depend on the table. A matrix of another shape or with
+    values that are not finite fails the job."""
+    columns = [c for c in records.columns if c not in keys] if columns is None else list(columns)
+    types = dict(records.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, chunk_rows):
+                batch = whole.slice(at, chunk_rows)
+                if weights not in _LOADED:
+                    _LOADED.clear()  # one set of weights a process
+                    _LOADED[weights] = load(weights)
+                own = {c: batch.column(c) for c in columns}
+                own = {c: Ragged.of(v) if pa.types.is_list(v.type) else v.to_numpy(zero_copy_only=False) for c, v in own.items()}
+                m = np.asarray(_LOADED[weights](own, batch.num_rows), np.float32)
+                if m.shape != (batch.num_rows, dim):
+                    raise ValueError(f"encoder returned {m.shape}, expected {(batch.num_rows, dim)}")
+                if not np.isfinite(m).all():
+                    raise ValueError("encoder returned NaN or infinite values")
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, dim, dtype=np.int32)), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], lists], [*keys, "emb"])
+
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "emb array<float>"])
+    return records.select(*keys, *columns).mapInArrow(run, schema)
+
+
+def embed_panel(
+    records: DataFrame, keys: Sequence[str], load: Callable[[str], RaggedEncoder], weights: str, dim: int, root: str, date: str,
+    columns: Sequence[str] | None = None, chunk_rows: int = 4096,
+) -> list:
+    """Encode and publish whole dates below ``root``; dates that lie there are not encoded again.
+    Returns the dates that were done now. A date appears only once all of it is written."""
+    spark = records.sparkSession
+    try:
+        done = {r[0] for r in spark.read.parquet(root).select(F.col(date).cast("date")).distinct().collect()}
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        done = set()
+    dates = sorted({r[0] for r in records.select(F.col(date).cast("date")).distinct().collect()} - done)  # as many as target dates
+    if dates:
+        todo = records.where(F.col(date).cast("date").isin(dates))
+        publish_panel(embed_ragged(todo, keys, load, weights, dim, columns, chunk_rows), root, date)
+    return dates
+
+
 def stat_features(windows: DataFrame, schema: EventSchema, date: str = "target_date") -> DataFrame:
     """Built-in encoder: counts, sums, moments, recency in days and the number of distinct
     values per category, one row per (client, date)."""

@@ -134,20 +134,23 @@ def window_series(
     """One fixed-length array per (client, date): daily values strictly between the
     window's start day and the date, zero where nothing happened. Clients without a
     single day in a window get no row. ``daily`` has one row per client and day, so an
-    array never exceeds the days of a window."""
+    array never exceeds the days of a window.
+
+    A client's days are brought together once, whatever the number of windows; each window takes
+    its days from that sorted array, and its series is laid out in one pass over them: the
+    zeros since the last day, then the day's value."""
     grid = _Grid(F.col(day), dates, months, include_cutoff=False)
+    own = grid.place(daily).groupBy(client).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(day).cast("date").alias("d"), F.col(value).cast("float").alias("v")))).alias("_days")
+    )
+    rows = own.select(client, "_days", F.explode(grid.ends).alias("target_date")).withColumn("_start", F.add_months("target_date", -months))
+    rows = rows.withColumn("_days", F.filter("_days", lambda e: (e["d"] > F.col("_start")) & (e["d"] < F.col("target_date")))).where(F.size("_days") > 0)
+    zero = F.lit(0.0).cast("float")
 
-    def starts(d):
-        return F.add_months(d, -months)
+    def laid(e, i):
+        before = F.coalesce(F.get("_days", i - 1)["d"], F.col("_start"))
+        return F.concat(F.array_repeat(zero, F.date_diff(e["d"], before) - 1), F.array(F.coalesce(e["v"], zero)))
 
-    rows = grid.explode(grid.place(daily), grid.ends)
-    rows = rows.withColumn("_pos", F.date_diff(day, starts(F.col("target_date"))))
-    grouped = rows.groupBy(client, "target_date").agg(
-        F.map_from_entries(F.collect_list(F.struct("_pos", F.col(value).cast("float")))).alias("_m")
-    )
-    length = F.date_diff("target_date", starts(F.col("target_date"))) - 1
-    series = F.transform(
-        F.sequence(F.lit(1), length),
-        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0).cast("float")),
-    )
-    return grouped.select(client, "target_date", series.alias("series"))
+    rest = F.array_repeat(zero, F.date_diff("target_date", F.element_at("_days", -1)["d"]) - 1)
+    series = F.concat(F.flatten(F.transform("_days", laid)), rest)
+    return rows.select(client, "target_date", series.alias("series"))

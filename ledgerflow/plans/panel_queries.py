@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+
 import numpy as np
+import pyarrow.fs
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.scalars import hash60
@@ -172,33 +176,71 @@ def _(spark, sf):
     return rounded(s, 9, *[f"{c}_top_share" for c in CATEGORIES])
 
 
-def _projection(columns: list[str], dim: int):
-    """A frozen encoder: fixed random projection of simple moments of each array."""
+_EMB_DIM, _EMB_ROWS = 8, 64
+
+
+def _bag_weights(spark) -> str:
+    """The file of a frozen encoder: a vector of small whole numbers per column and code."""
+    c, r, k = np.ogrid[: len(CATEGORIES), :_EMB_ROWS, :_EMB_DIM]
+    path = f"{scratch_dir(spark)}/ledgerflow-weights-{uuid.uuid4().hex}.npy"
+    fs, at = pyarrow.fs.FileSystem.from_uri(path)
+    with fs.open_output_stream(at) as out:
+        np.save(out, ((r * 31 + k * 17 + c * 7) % 101 - 50).astype(np.float32))
+    return path
+
+
+def _bag(path: str):
+    """Adds up the vectors of a window's codes, all columns together."""
+    fs, at = pyarrow.fs.FileSystem.from_uri(path)
+    with fs.open_input_file(at) as f:
+        table = np.load(io.BytesIO(f.read()))
+
+    def encode(columns, rows):
+        return sum(columns[c].sums(table[i][columns[c].values % _EMB_ROWS]) for i, c in enumerate(CATEGORIES))
+
+    return encode
+
 
-    def encode(frame):
-        x = np.stack([
-            np.array([[len(v), np.mean(v), np.std(v), v[-1]] if len(v) else [0.0] * 4 for v in frame[c]], dtype=float)
-            for c in columns
-        ], axis=1).reshape(len(frame), -1)
-        w = np.random.default_rng(7).normal(size=(x.shape[1], dim))
-        return np.tanh(np.log1p(np.abs(x)) @ w)
+def _phases(_: str):
+    """Thousands of a daily series by the day's place modulo the width."""
+
+    def encode(columns, rows):
+        s = columns["series"]
+        hot = s.places()[:, None] % _EMB_DIM == np.arange(_EMB_DIM)
+        return s.sums(hot * np.floor(s.values.astype(np.float64) / 1000)[:, None])
 
     return encode
 
 
-@query("embed_windows")
+def _shown(emb):
+    """Embeddings of whole numbers as text, which compares exactly."""
+    return emb.withColumn("emb", F.array_join(F.transform("emb", lambda x: x.cast("bigint").cast("string")), ","))
+
+
+_WIN_KEYS = " UNION ALL ".join(f"SELECT client_id, target_date, {i} AS c, coalesce(CAST({c} AS VARCHAR), '<MISSING>') AS v FROM w" for i, c in enumerate(CATEGORIES))
+
+
+@query("embed_windows", f"""WITH {LEDGER_SQL}, {_WIN}, keys AS ({_WIN_KEYS}),
+  code AS (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, v) % {_EMB_ROWS} AS r FROM keys GROUP BY 1, 2),
+  e AS (SELECT client_id, target_date, k, sum((r * 31 + k * 17 + c * 7) % 101 - 50) AS x FROM keys JOIN code USING (c, v), (SELECT unnest(range({_EMB_DIM})) AS k) GROUP BY ALL)
+  SELECT client_id, target_date, string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY k) AS emb FROM e GROUP BY 1, 2""")
 def _(spark, sf):
-    """Windows as sequence records through a frozen encoder, 16 values each."""
+    """Windows as sequence records through a frozen encoder whose weights lie in a file."""
     w = materialise(_windows(spark, sf))
     seq = feature_sequences(w, LEDGER, fit_vocabulary(w, CATEGORIES), 30, keys=["target_date"])
-    return B.embed_windows(seq, ["client_id", "target_date"], _projection([*CATEGORIES, *NUMERICS], 16), 16)
+    return _shown(B.embed_ragged(seq, ["client_id", "target_date"], _bag, _bag_weights(spark), _EMB_DIM, CATEGORIES))
 
 
-@query("embed_series")
+@query("embed_series", f"""WITH {LEDGER_SQL}, d AS (SELECT unnest([DATE '1997-06-01', DATE '1998-01-01', DATE '1999-01-01']) AS target_date),
+  day AS (SELECT client_id, CAST(event_time AS DATE) AS day, CAST(sum(amount) AS FLOAT) AS value FROM led GROUP BY 1, 2),
+  x AS (SELECT client_id, target_date, (day - CAST(target_date - INTERVAL 12 MONTH AS DATE) - 1) % {_EMB_DIM} AS k, sum(floor(CAST(value AS DOUBLE) / 1000)) AS x
+    FROM day, d WHERE day < target_date AND day > CAST(target_date - INTERVAL 12 MONTH AS DATE) GROUP BY ALL),
+  g AS (SELECT * FROM (SELECT DISTINCT client_id, target_date FROM x), (SELECT unnest(range({_EMB_DIM})) AS k))
+  SELECT client_id, target_date, string_agg(CAST(CAST(coalesce(x, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY k) AS emb FROM g LEFT JOIN x USING (client_id, target_date, k) GROUP BY 1, 2""")
 def _(spark, sf):
     daily = daily_sum(ledger(spark, sf), "client_id", "event_time", "amount")
     series = W.window_series(daily, "client_id", _DATES, 12)
-    return B.embed_series(series, ["client_id", "target_date"], _projection(["series"], 8), 8)
+    return _shown(B.embed_ragged(series, ["client_id", "target_date"], _phases, "phases", _EMB_DIM))
 
 
 # -- targets and splits ----------------------------------------------------------------

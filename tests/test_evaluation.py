@@ -191,3 +191,36 @@ def test_stat_features_shape(spark):
     rows = [("a", date(2024, 1, 1), 1, 2.0, date(2024, 2, 1)), ("a", date(2024, 1, 31), 1, 4.0, date(2024, 2, 1)), ("a", date(2024, 1, 31), None, 6.0, date(2024, 2, 1))]
     r = B.stat_features(spark.createDataFrame(rows, "id string, t date, c bigint, v double, target_date date"), s).first()
     assert (r.n_events, r.recency_days, r.span_days, r.v_sum, r.c_distinct) == (3, 1, 31, 12.0, 1) and np.isclose(r.c_top_share, 2 / 3)
+
+
+def test_ragged_encoder_and_resumable_panel(spark, tmp_path):
+    def _first_and_sum(path):
+        """Leaves a mark in its file whenever it is loaded."""
+        with open(path, "a") as f:
+            f.write("x")
+
+        def encode(columns, rows):
+            v, n = columns["v"], columns["n"]
+            return np.stack([v.sums(v.values), v.lengths, v.sums(v.places() * 1.0), n], axis=1)
+
+        return encode
+
+    rows = [(i, "2023-01-01" if i % 2 else "2023-02-01", [float(k) for k in range(i % 5)] if i % 7 else None, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, date string, v array<double>, n long").withColumn("date", F.col("date").cast("date")).repartition(3)
+    weights = str(tmp_path / "w")
+    out = {r["id"]: list(r["emb"]) for r in B.embed_ragged(df, ["id", "date"], _first_and_sum, weights, 4, chunk_rows=3).collect()}
+    for i, _, v, n in rows:
+        v = v or []
+        assert out[i] == [sum(v), len(v), sum(range(len(v))), n]
+    root = f"{tmp_path}/panel"
+    first = df.where("date = '2023-01-01'")
+    assert [str(d) for d in B.embed_panel(first, ["id", "date"], _first_and_sum, weights, 4, root, "date")] == ["2023-01-01"]
+    loads = len(open(weights).read())
+    assert [str(d) for d in B.embed_panel(df, ["id", "date"], _first_and_sum, weights, 4, root, "date")] == ["2023-02-01"]
+    assert B.embed_panel(df, ["id", "date"], _first_and_sum, weights, 4, root, "date") == []
+    assert loads <= 16 and spark.read.parquet(root).count() == 50  # once per worker, not per chunk
+    with pytest.raises(Exception, match="expected"):
+        B.embed_ragged(df, ["id", "date"], _first_and_sum, weights, 3).collect()
+    with pytest.raises(Exception, match="NaN"):
+        B.embed_ragged(df.withColumn("v", F.array(F.lit(float("nan")))), ["id", "date"], _first_and_sum, weights, 4).collect()
+    assert B.embed_ragged(df.limit(0), ["id", "date"], _first_and_sum, weights, 4).count() == 0

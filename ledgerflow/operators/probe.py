@@ -137,11 +137,11 @@ class Selection:
 
 def tune_and_test(
     panel: DataFrame, y: str, emb: str, client: str, key: Sequence[str], candidates: Sequence[TreeParams],
-    tune_clients: int, seed: int = 0, save: Callable[[PipelineModel], None] | None = None,
+    tune_clients: int, seed: int = 0, save: Callable[[PipelineModel], None] | None = None, weighted: bool = False,
 ) -> tuple[DataFrame, DataFrame, Selection]:
     """Candidates are compared by validation average precision on a capped client cohort;
     the winner's rounds are chosen again on all train rows; then train and validation rows
-    are fit together and the test rows scored once.
+    are fit together and the test rows scored once. ``weighted`` balances the classes in every fit.
 
     ``panel`` has ``role`` train/val/test. Returns (test metrics, trials, selection)."""
     panel = materialise(panel)
@@ -149,15 +149,15 @@ def tune_and_test(
     tune = materialise(tune_cohort(train, client, tune_clients, seed))
     trials, best = [], None
     for i, params in enumerate(candidates):
-        model, rounds = fit_gbt_probe(tune, val, y, emb, params, seed, weighted=False)
+        model, rounds = fit_gbt_probe(tune, val, y, emb, params, seed, weighted=weighted)
         ap = _val_pr_auc(score_with(model, val, emb), y)
         trials.append((i, ap, rounds))
         if best is None or ap > best[1]:
             best = (params, ap)
     params = best[0]
-    _, rounds = fit_gbt_probe(train, val, y, emb, params, seed, weighted=False)
+    _, rounds = fit_gbt_probe(train, val, y, emb, params, seed, weighted=weighted)
     final = TreeParams(params.depth, params.min_rows, params.rate, params.subset, max(1, rounds))
-    model, _ = fit_gbt_probe(train.unionByName(val), None, y, emb, final, seed, weighted=False)
+    model, _ = fit_gbt_probe(train.unionByName(val), None, y, emb, final, seed, weighted=weighted)
     if save is not None:
         save(model)
     metrics = test_metrics(score_with(model, test, emb), y, key)

@@ -20,7 +20,7 @@ from ledgerflow.operators.sequences import feature_sequences, fit_vocabulary
 from ledgerflow.plans.profile_queries import rounded
 from ledgerflow.plans.registry import query
 from ledgerflow.plans.standins import (
-    CATEGORIES, FEATURES_DESC, LEDGER, LEDGER_SQL, NUMERICS, PANEL_SQL, SCORES_SQL, TARGETS_SQL, ledger, panel, scores,
+    CATEGORIES, FEATURES_DESC, LEDGER, LEDGER_SQL, MAX_EVENTS, NUMERICS, PANEL_SQL, SCORES_SQL, TARGETS_SQL, ledger, panel, scores,
     sql_hash, table, targets,
 )
 from ledgerflow.sources.readers import attach_row, materialise, scratch_dir
@@ -440,10 +440,13 @@ def _(spark, sf):
 # -- probes ----------------------------------------------------------------------------
 
 
+TRIALS, TUNE_CLIENTS = 4, 100_000
+
+
 def _probe_panel(spark, sf):
     """Statistical window embeddings joined to next-month targets, with fold roles."""
-    dates = [f"1998-{m:02d}-01" for m in (1, 4, 7, 10)]
-    w = W.windows(ledger(spark, sf), LEDGER, dates, 12, max_events=30)
+    dates = [f"1998-{m:02d}-01" for m in range(1, 13)]
+    w = W.windows(ledger(spark, sf), LEDGER, dates, 12, max_events=MAX_EVENTS)
     emb = B.stat_panel(B.stat_features(w, LEDGER), "client_id").withColumnRenamed("client_id", "id")
     return T.fold_roles(D.join_panel(dated_targets(spark, sf), emb, KEYS), 4)
 
@@ -454,7 +457,7 @@ def _(spark, sf):
 
     p = materialise(_probe_panel(spark, sf))
     train, val, test = (p.where(F.col("role") == r) for r in ("train", "val", "test"))
-    model, rounds = X.fit_gbt_probe(train, val, "y2", "emb", X.TreeParams(depth=3, min_rows=5, rounds=8))
+    model, rounds = X.fit_gbt_probe(train, val, "y2", "emb", X.TreeParams())
     m = X.test_metrics(X.score_with(model, test, "emb"), "y2", KEYS)
     return m.withColumn("rounds", F.lit(rounds))
 
@@ -465,7 +468,7 @@ def _(spark, sf):
 
     p = materialise(_probe_panel(spark, sf))
     dim = len(p.first()["emb"])
-    model, fitted = X.fit_mlp_probe(p.where("role <> 'test'"), "y2", "emb", dim, X.MlpParams(hidden=8, rounds=20))
+    model, fitted = X.fit_mlp_probe(p.where("role <> 'test'"), "y2", "emb", dim, X.MlpParams())
     test = D.standardise(p.where("role = 'test'"), fitted, "emb", X.CLIP)
     return X.test_metrics(X.score_with(model, test, "emb"), "y2", KEYS)
 
@@ -474,8 +477,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ledgerflow.operators import probe as X
 
-    candidates = [X.TreeParams(3, 5, 0.1, 1.0, 5), X.TreeParams(2, 20, 0.2, 0.7, 5)]
-    metrics, trials, chosen = X.tune_and_test(_probe_panel(spark, sf), "y2", "emb", "id", KEYS, candidates, 500)
+    metrics, trials, chosen = X.tune_and_test(_probe_panel(spark, sf), "y2", "emb", "id", KEYS, X.tree_candidates(0, TRIALS), TUNE_CLIENTS)
     best = trials.agg(F.max("val_pr_auc").alias("best_val_pr_auc"), F.count(F.lit(1)).alias("trials"))
     return attach_row(metrics, best).withColumn("rounds", F.lit(chosen.rounds))
 
@@ -487,7 +489,7 @@ def _(spark, sf):
     from ledgerflow.operators import probe as X
 
     p = materialise(_probe_panel(spark, sf))
-    model, _ = X.fit_gbt_probe(p.where("role = 'train'"), None, "y1", "emb", X.TreeParams(2, 5, 0.1, 1.0, 3))
+    model, _ = X.fit_gbt_probe(p.where("role = 'train'"), None, "y1", "emb", X.TreeParams())
     path = f"{scratch_dir(spark)}/model-{uuid4().hex}"
     model.save(path)
     return X.score_only(spark, path, p.where("role = 'test'"), "y1", "emb", KEYS)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm import chunks as c
 from ledgerflow.llm import hyperminhash as h
+from ledgerflow.llm import memory
 from ledgerflow.llm.components import components
 from ledgerflow.llm.window_dedup import Words
 from ledgerflow.sources.readers import materialise
@@ -57,6 +58,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     )
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.enter("near_dedup")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 own, sets = _sets(pa.Table.from_batches([batch.slice(at, 512)]))
@@ -75,6 +77,7 @@ def _banded(reps: DataFrame) -> DataFrame:
     """(key long, rep long) for every band of every class; the key holds the band's registers."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.enter("near_dedup")
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -100,6 +103,8 @@ def _candidates(members: DataFrame, least: float) -> DataFrame:
     own = own.withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(12, -(-count // GROUP_ROWS)))).cast("int"))
 
     def pairs(table: pa.Table) -> pa.Table:
+        memory.enter("near_dedup")
+        memory.give_back()
         key, i, j, block = (np.asarray(table.column(n)) for n in ("key", "i", "j", "block"))
         rep, n = (np.asarray(table.column(x)) for x in ("rep", "n"))
         registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(len(rep), -1)
@@ -209,6 +214,8 @@ def _shared_part(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
 def _linked(table: pa.Table) -> pa.Table:
     """Links (a, b) among the documents of each (cluster, i, j): a spanning forest of all pairs
     of block i and block j that are alike on their full sets."""
+    memory.enter("near_dedup")
+    memory.give_back()
     cluster, i, j, block, rep = (np.asarray(table.column(n)) for n in ("cluster", "i", "j", "block", "rep"))
     items = table.column("items").combine_chunks()
     _, ends, data = items.buffers()
@@ -261,6 +268,7 @@ def _confirmed(clusters: DataFrame, docs: DataFrame) -> DataFrame:
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.enter("near_dedup")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 own, found = _sets(pa.Table.from_batches([batch.slice(at, 512)]))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.sources.readers import materialise
 
+RESULT = "query_id long, rank int, vec_id long, score double"
 TABLES, FUNCTIONS, WIDTH = 3, 3, 1.0
 SHARE = 0.45  # of the rows that a query's buckets in one table hold
 LEAST_ROWS = 400  # visited at least, if there are as many
@@ -71,9 +73,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, share: float = SHA
     Both inputs are (id long, v array of numbers); a query's own id is no candidate. Returns
     query_id long, rank int from 1, vec_id long, score double (exact, in double precision), ties
     to the smaller id. Vectors that are null, zero, or hold null or non-finite components take no
-    part; queries meet rows of their own dimension only, of which the commonest is searched.
-    Of rows with equal vectors the k + 1 smallest ids are candidates, which is all a result can
-    hold. An id that repeats counts once per different vector.
+    part; queries meet rows of their own dimension only, and every dimension is searched on its
+    own. Of rows with equal vectors the k + 1 smallest different ids are candidates, which is all
+    a result can hold. An id that repeats counts once per different vector.
 
     Read by the driver: counts, the largest length, and the bucket directory, which the unit
     ball bounds whatever the number of rows.
@@ -81,16 +83,18 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, share: float = SHA
     rows = _usable(rows.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")))
     queries = _usable(queries.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")))
     spark = rows.sparkSession
-    out = "query_id long, rank int, vec_id long, score double"
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], out)
-    dimension = sizes["d"]
+    sizes = [r["d"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").collect()]
+    if not sizes:
+        return spark.createDataFrame([], RESULT)
     equal = Window.partitionBy(F.xxhash64("v"), F.xxhash64(F.reverse("v"))).orderBy("id")
-    rows = materialise(
-        rows.filter(F.size("v") == dimension).withColumn("nth", F.row_number().over(equal)).filter(F.col("nth") <= k + 1).drop("nth")
-    )
-    queries = queries.filter(F.size("v") == dimension)
+    nth, repeated = F.dense_rank().over(equal), F.coalesce(F.lag("id").over(equal) == F.col("id"), F.lit(False))
+    rows = materialise(rows.withColumn("nth", nth).withColumn("repeated", repeated).filter((F.col("nth") <= k + 1) & ~F.col("repeated")).drop("nth", "repeated"))
+    found = [_nearest(rows.filter(F.size("v") == d), queries.filter(F.size("v") == d), d, k, share) for d in sizes]
+    return reduce(DataFrame.union, found)
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, dimension: int, k: int, share: float) -> DataFrame:
+    """The search among vectors of one dimension."""
     count, scale = rows.agg(
         F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
     ).first()
@@ -145,7 +149,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, share: float = SHA
         ranked, "query_id long, vec_id array<long>, score array<double>"
     )
     own = found.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(max(LEAST_GROUPS, number // 500))))
-    return own.groupBy("g").applyInPandas(lambda t: _merged(t, k), out)
+    return own.groupBy("g").applyInPandas(lambda t: _merged(t, k), RESULT)
 
 
 def _merged(found: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -234,4 +238,4 @@ def _best(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
                 out["query_id"].append(number)
                 out["vec_id"].append(ids[some][best])
                 out["score"].append(exact[best])
-    return pd.DataFrame(out)
+    return pd.DataFrame(out, dtype=object)

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerflow.llm import memory
 from ledgerflow.sources.readers import materialise
 
 SHARD_TOKENS = 16_000_000
@@ -87,6 +88,9 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+memory.keeps("packing", _tokenizer.cache_clear)
+
+
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int | None = 1,
                keep_ids: bool = True) -> DataFrame:
     """(doc_id, piece int, start long, length long, ids_crc32 long[, ids array<int>]) of documents
@@ -97,6 +101,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
 
     @F.pandas_udf(f"array<struct<piece:int,start:long,length:long,ids_crc32:long{ids}>>")
     def pieces(texts: pd.Series) -> pd.Series:
+        memory.enter("packing")
         own, out, step = _tokenizer(tokenizer_path), [], 4 * capacity
         tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         for ids in (x for at in range(0, len(texts), TEXTS) for x in own.ids(texts[at : at + TEXTS].tolist())):
@@ -302,7 +307,8 @@ def _pack_group(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Adds sequence_id and offset (long) to rows with doc_id, piece and length <= capacity.
+    """Adds sequence_id and offset (long), instead of columns of these names, to rows with doc_id,
+    piece and length <= capacity.
 
     Rows are dealt to shards by a hash of (doc_id, piece); the number of shards follows the
     total length. Rows that repeat are packed one by one. Pieces of length 0 or null are not
@@ -311,7 +317,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, shard_tokens: int = SHARD_TOKE
     pieces = materialise(pieces.filter(F.col("length") > 0))
     total = pieces.agg(F.sum("length")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    extra = [c for c in pieces.columns if c not in ("doc_id", "piece", "length")]
+    extra = [c for c in pieces.columns if c not in ("doc_id", "piece", "length", "sequence_id", "offset")]
     rows = pieces.select("doc_id", "piece", "length", F.struct(*extra).alias("extra") if extra else F.lit(0).alias("extra"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("long"))
     plain = "doc_id long, piece int, length long, extra " + rows.schema["extra"].dataType.simpleString()

@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerflow.llm import memory
+
 SAMPLE_ROWS = 4000  # labelled rows per class that the driver reads at most
 SAMPLE_CHARS = 12_000  # longer labelled texts are left out of the sample, never cut
 DICTIONARY_BYTES = 112_640
@@ -60,6 +62,9 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False)
 
 
+memory.keeps("quality", _compressor.cache_clear)
+
+
 def _sizes(raw: bytes, good: bytes, bad: bytes) -> tuple[float, float]:
     """(size with the bad dictionary - size with the good one) / the larger, and the logarithm
     of the smaller size over the raw one."""
@@ -116,7 +121,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[tup
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> CompressionModel:
     """Fit on documents (doc_id, text) with labels (doc_id, label 0/1; other labels and null
-    ids are not used, of an id's labels the largest counts).
+    ids are not used, of an id's labels the largest counts). Other columns are not read.
 
     Of each class about nine tenths of ``sample_rows`` ids are drawn, by a hash of the id and a
     share that follows from the class's size; with fewer, all. The driver reads their texts of
@@ -124,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     counted over all labels. With a class missing, every score is the share of good rows (one
     half without any).
     """
+    labels, docs = labels.select("doc_id", "label"), docs.select("doc_id", "text")
     known = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     share = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -134,11 +140,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
         drawn = drawn | ((F.col("label") == k) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part))
     # at most about 2 * sample_rows ids, whatever the size of the table
     ids = known.filter(drawn).select(F.col("doc_id").alias("id"), "label")
-    fair = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).filter((F.length("text") > 0) & (F.length("text") <= sample_chars))
+    fair = docs.join(F.broadcast(ids), docs["doc_id"] == F.col("id")).filter((F.length("text") > 0) & (F.length("text") <= sample_chars))
     sample = {}
     for k in (0, 1):
-        rows = fair.filter(F.col("label") == k).select(F.xxhash64("doc_id", "text").alias("h"), "text").limit(sample_rows).collect()
-        sample[k] = [r["text"] for r in sorted(rows)]
+        rows = fair.filter(F.col("label") == k).select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h", "text").limit(sample_rows).collect()
+        sample[k] = [r["text"] for r in rows]
     if not sample[0] or not sample[1]:
         p = n1 / (n0 + n1) if n0 + n1 else 0.5
         return CompressionModel(b"", b"", (0.0,) * FIGURES, float(np.log((p + 1e-6) / (1 - p + 1e-6))))
@@ -161,6 +167,7 @@ def score(text: Column, model: CompressionModel) -> Column:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
+        memory.enter("quality")
         return pd.Series([model.probability(t) for t in texts], dtype=float)
 
     return scored(text)

@@ -184,3 +184,33 @@ def test_rotation_of_odd_turns(spark):
     for s in segments.collect():
         assert rows[s["conv_id"], s["viewer"]]["text"][s["start"] : s["stop"]] == s["segment"]
     assert chat.rotate(frame.limit(0)).count() == 0
+
+
+def test_neighbours_of_every_dimension_and_repeated_ids(spark):
+    r = np.random.default_rng(7)
+    vectors = {i: r.normal(size=2 if i < 40 else 5).tolist() for i in range(90)}
+    vectors[3] = vectors[4] = vectors[5] = vectors[2]
+    rows = list(vectors.items()) + [(2, vectors[2])] * 30
+    frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "id long, v array<double>, nth int, block long").repartition(4)
+    got = {}
+    for g in neighbours.nearest(frame.filter("id % 10 = 0"), frame, 5, share=1.0).collect():
+        got.setdefault(g["query_id"], []).append((g["rank"], g["vec_id"]))
+    assert set(got) == set(range(0, 90, 10))
+    for q, found in got.items():
+        own = [i for i, v in vectors.items() if len(v) == len(vectors[q]) and i != q]
+        want = sorted(own, key=lambda i: (-float(np.dot(vectors[i], vectors[q])), i))[:5]
+        assert [i for _, i in sorted(found)] == want
+
+
+def test_clashing_columns_of_quality_and_packing(spark):
+    from ledgerflow.llm import packing
+
+    docs = spark.createDataFrame([(i, "good text here " * 9 if i % 2 else "%% ## bad", i, "x", 0.5) for i in range(60)], "doc_id long, text string, id long, label string, h double")
+    labels = spark.createDataFrame([(i, i % 2, "t") for i in range(60)], "doc_id long, label int, text string")
+    model = quality.fit(docs, labels)
+    assert docs.select(quality.score(F.col("text"), model).alias("s")).count() == 60
+    pieces = spark.createDataFrame([(i, 0, 100 + i, 7, 8, 9, 10) for i in range(50)], "doc_id long, piece int, length long, offset long, sequence_id long, bin long, shard long")
+    out = packing.pack(pieces, 4096)
+    assert out.columns == ["doc_id", "piece", "length", "bin", "shard", "sequence_id", "offset"]
+    rows = out.collect()
+    assert len(rows) == 50 and all(r["bin"] == 9 and r["shard"] == 10 for r in rows) and {r["offset"] for r in rows if r["doc_id"] == 0} != {7}

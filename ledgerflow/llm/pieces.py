@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,14 +24,16 @@ def encode_spans(text: Column, model_path: str) -> Column:
 
 
 def encode_text(text: Column, model_path: str) -> Column:
-    """struct(n long, ids string, decoded string): number of ids, the ids in decimal joined by
-    commas, and what they decode to. Null and empty texts give 0 and empty strings. Units that
-    recur are encoded once per worker."""
+    """struct(n long, ids string, decoded string, spans_sha256 string): number of ids, the ids in
+    decimal joined by commas, what they decode to, and a digest of the byte ranges of the
+    original text that they cover (start and end as little-endian unsigned 32-bit numbers).
+    Null and empty texts give 0 and empty strings. Units that recur are encoded once per worker."""
 
-    @F.pandas_udf("struct<n:long,ids:string,decoded:string>")
+    @F.pandas_udf("struct<n:long,ids:string,decoded:string,spans_sha256:string>")
     def encoded(texts: pd.Series) -> pd.DataFrame:
         model = sp_model.load(model_path)
-        return pd.DataFrame([model.encode_text(t) for t in texts], columns=["n", "ids", "decoded"])
+        rows = [(n, ids, decoded, hashlib.sha256(spans).hexdigest()) for n, ids, decoded, spans in map(model.encode_text, texts)]
+        return pd.DataFrame(rows, columns=["n", "ids", "decoded", "spans_sha256"])
 
     return encoded(text)
 

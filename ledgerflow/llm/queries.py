@@ -22,11 +22,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_sentencepiece_round_trip")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every text and what they decode to."""
+    """Ids of every text, what they decode to, and where in the text they come from."""
     e = pieces.encode_text(F.coalesce("text", F.lit("")), tokenizer_file("piece_bpe_32k.model"))
     return documents(spark, sf_dir).select("doc_id", e.alias("e")).select(
         "doc_id", F.col("e.n").alias("n_tokens"), F.sha2("e.ids", 256).alias("ids_sha256"),
-        F.sha2("e.decoded", 256).alias("decoded_sha256"),
+        F.sha2("e.decoded", 256).alias("decoded_sha256"), F.col("e.spans_sha256").alias("spans_sha256"),
     )
 
 

@@ -12,7 +12,6 @@ import heapq
 import re
 import struct
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 
@@ -174,7 +173,13 @@ class Model:
         #: Text of a normal piece; None for the others.
         self.shown = [p.replace(SPACE, " ") if k == NORMAL else None for p, k in zip(self.pieces, self.kinds)]
         self.width = [len(p.encode("utf-8", "surrogatepass")) for p in self.pieces]
-        self._cache: dict[str, tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...], int]] = {}
+        self.widths = np.array(self.width, np.int64)
+        #: The byte that an id stands for; -1 for ids of text, -2 for unknown characters.
+        self.byte_of = np.array([int(p[3:5], 16) if k == BYTE else -2 if k == UNKNOWN else -1 for p, k in zip(self.pieces, self.kinds)])
+        #: Ids of units: those met lately, and those met before them. When the first is full it
+        #: takes the place of the second, so that units in use stay.
+        self._young: dict[str, tuple[int, ...]] = {}
+        self._old: dict[str, tuple[int, ...]] = {}
 
     def normalise(self, text: str) -> tuple[bytes, list[int]]:
         """Normalised bytes, and for each of them and the end the source byte it starts at."""
@@ -291,45 +296,60 @@ class Model:
         """Ids with the source byte range [start, end) of each. Of the ids that stand
         for single bytes of a character the last gets its range and the others an empty one
         before it, as the library has it; a mark added before the text covers no byte."""
+        ids, starts, ends = self.encode_places(text)
+        return ids, starts.tolist(), ends.tolist()
+
+    def encode_places(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """``encode`` with the ranges as arrays. Ids cover the normalised bytes without gaps, so their
+        places there are running sums of their widths, and the alignment takes them to the source."""
         if not text:
-            return [], [], []
+            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         data, source = self.normalise(text)
-        cache, sizes, counts = self._cache, [], []
-        ids, begins, stops = [], [], []
-        for unit in self.units.findall(data.decode("utf-8", "surrogatepass")):
-            known = cache.get(unit)
-            if known is None:
-                known = self._unit(unit)
-                if len(unit) <= CACHED_LENGTH:
-                    if len(cache) >= CACHE_UNITS:
-                        cache.clear()
-                    cache[unit] = known
-            ids += known[0]
-            begins += known[1]
-            stops += known[2]
-            counts.append(len(known[0]))
-            sizes.append(known[3])
-        at = np.repeat(np.cumsum(sizes) - sizes, counts)
+        units = self.units.findall(data.decode("utf-8", "surrogatepass"))
+        ids: list[int] = []
+        young = self._young
+        for unit in units:
+            known = young.get(unit)
+            ids += known if known is not None else self._met(unit)
+        numbers = np.array(ids, np.int64)
+        widths = self.widths[numbers]
+        byte = self.byte_of[numbers]
+        if (byte != -1).any():
+            widths = self._open_widths(widths, byte, data)
+        stops = np.cumsum(widths)
         source = np.asarray(source)
-        return ids, source[at + begins].tolist(), source[at + stops].tolist()
-
-    def _unit(self, unit: str) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...], int]:
-        """Of a unit of normalised text: ids, where in its bytes each begins and ends, and the
-        number of its bytes."""
-        pieces = self.merge(unit)
-        ids = [self.ids.get(p) for p in pieces]
-        if None not in ids:
-            stops = tuple(accumulate([self.width[i] for i in ids]))
-            return tuple(ids), (0, *stops[:-1]), stops, stops[-1]
-        ids, begins, stops, at = [], [], [], 0
-        for piece in pieces:
-            size = len(piece.encode("utf-8", "surrogatepass"))
-            numbers = self.numbers(piece)
-            ids += numbers
-            begins += [at] * len(numbers)
-            stops += [at] * (len(numbers) - 1) + [at + size]
-            at += size
-        return tuple(ids), tuple(begins), tuple(stops), at
+        return ids, source[stops - widths], source[stops]
+
+    def _met(self, unit: str) -> tuple[int, ...]:
+        """Ids of a unit that was not met lately."""
+        known = self._old.get(unit)
+        if known is None:
+            pieces = self.merge(unit)
+            known = tuple(map(self.ids.get, pieces))
+            if None in known:
+                known = tuple([number for piece in pieces for number in self.numbers(piece)])
+        if len(unit) <= CACHED_LENGTH:
+            if len(self._young) >= CACHE_UNITS:
+                self._old = dict(self._young)
+                self._young.clear()
+            self._young[unit] = known
+        return known
+
+    def _open_widths(self, widths: np.ndarray, byte: np.ndarray, data: bytes) -> np.ndarray:
+        """Widths with those of ids that don't tell them: of the bytes of a character the last has
+        them all; an unknown character is looked up where it stands."""
+        single = byte >= 0
+        widths = np.where(byte == -1, widths, 0)
+        first = np.flatnonzero(single & (byte & 0xC0 != 0x80))
+        size = 1 + (byte[first] >= 0xC0) + (byte[first] >= 0xE0) + (byte[first] >= 0xF0)
+        widths[first + size - 1] = size
+        unknown = np.flatnonzero(byte == -2)
+        at = (np.cumsum(widths)[unknown]).tolist()
+        more = 0
+        for k, place in zip(unknown.tolist(), at):
+            widths[k] = _size(data[place + more])
+            more += widths[k]
+        return widths
 
     def decode(self, ids: list[int]) -> str:
         """The text that ids stand for: marks become spaces, the one added in front goes."""
@@ -353,10 +373,12 @@ class Model:
         out += texts[done:]
         return "".join(out)[1:] if cut else "".join(out)
 
-    def encode_text(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by commas, and the decoded text, of what ``encode`` gives."""
-        ids, _, _ = self.encode(text)
-        return len(ids), ",".join([self.id_text[i] for i in ids]), self.decode(ids)
+    def encode_text(self, text: str | None) -> tuple[int, str, str, bytes]:
+        """Number of ids, the ids joined by commas, the decoded text, and the ranges (start, end) as
+        little-endian 32-bit numbers one after the other, of what ``encode`` gives."""
+        ids, starts, ends = self.encode_places(text)
+        spans = np.stack([starts, ends], axis=1).astype("<u4").tobytes()
+        return len(ids), ",".join([self.id_text[i] for i in ids]), self.decode(ids), spans
 
 
 @lru_cache(maxsize=2)

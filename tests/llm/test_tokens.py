@@ -27,7 +27,8 @@ def test_pieces_equal_the_library():
     own, library = sp_model.load(SP), sentencepiece.SentencePieceProcessor(model_file=SP)
     for t in random_texts(1, 1500) + [x or "" for x in odd_texts()]:
         ids = library.encode(t)
-        n, joined, decoded = own.encode_text(t)
+        n, joined, decoded, spans = own.encode_text(t)
+        assert np.frombuffer(spans, '<u4').reshape(-1, 2).tolist() == [list(x) for x in zip(*own.encode(t)[1:])]
         assert (n, joined, decoded) == (len(ids), ",".join(map(str, ids)), library.decode(ids))
         got = own.encode(t)
         assert got[0] == ids and own.decode(ids) == decoded
@@ -59,8 +60,8 @@ def test_ids_of_the_query_come_from_the_encoding_with_places():
 
     model = sp_model.Model(open(SP, "rb").read())
     model.map = Fixed(b"")
-    want = sp_model.load(SP).encode_text("the cat the")
-    assert model.encode_text("AB cat AB") == want
+    want = sp_model.load(SP).encode_text("the cat the")[:3]
+    assert model.encode_text("AB cat AB")[:3] == want
     ids, starts, ends = model.encode("AB cat AB")
     assert want[0] == len(ids) and (starts[0], ends[-1]) == (0, 9)
     library = sentencepiece.SentencePieceProcessor(model_file=SP)

@@ -96,9 +96,7 @@ def clip01(c: Column) -> Column:
 
 
 def count_edges_at_most(edges: Column, v: Column, n: int) -> Column:
-    """Number of the at most ``n`` edges that are <= v, i.e. the index of the right-open bin
-    v falls into. Unrolled, so it stays in generated code; meant for a few dozen edges."""
-    hits = F.lit(0)
-    for i in builtins.range(n):
-        hits = hits + F.when(F.get(edges, F.lit(i)) <= v, 1).otherwise(0)
-    return hits
+    """Number of the first ``n`` edges that are <= v, i.e. the index of the right-open bin
+    v falls into. One short loop per column: unrolled tests of several columns make a method
+    that is too long for the compiler and runs several times slower."""
+    return F.coalesce(F.size(F.filter(F.slice(edges, 1, n), lambda e: e <= v)), F.lit(0))

@@ -27,6 +27,13 @@ def test_duplicate_and_conflicting_targets(spark):
         T.clean_targets(df.withColumn("col_3", F.lit(None).cast("int")), KEYS, ["col_3"])
 
 
+def test_rows_of_a_key_whose_label_is_always_missing_collapse(spark):
+    d = date(2024, 1, 1)
+    rows = [("a", d, None, 0), ("a", d, None, 0), ("b", d, None, 0), ("b", d, None, 1), ("c", d, 1, 1)]
+    got = T.target_issues(spark.createDataFrame(rows, "id string, date date, y1 int, y2 int"), KEYS, ["y1", "y2"]).first()
+    assert got.asDict() == {"n_rows": 5, "null_rows": 4, "non_binary_rows": 0, "collapsed_rows": 1, "conflicting_keys": 1}
+
+
 def test_fold_roles(spark):
     df = spark.range(5).select(F.col("id").cast("int").alias("fold"))
     roles = {t: {r.fold: r.role for r in T.fold_roles(df, t).collect()} for t in (0, 4)}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.ranks import number_rows
-from ledgerflow.functions.scalars import finite, uniform
+from ledgerflow.functions.scalars import finite, uniforms, uniforms_where
 from ledgerflow.operators.profile import category_value
 from ledgerflow.schema import ColumnSpec
 from ledgerflow.sources.readers import attach_row, materialise
@@ -61,40 +61,54 @@ def corrupt_cases(
 ) -> DataFrame:
     """Noisy copies side by side: for every case (name, numeric strength, category probability,
     seed) and column the column ``name|column``, next to ``keep``. One projection of the ledger.
+    Copies that agree in a column are views of one noisy column, see ``corrupt_variants``."""
+    out, own = corrupt_variants(df, specs, passports, cases, key, keep)
+    columns = [F.col(f"`{own[name, s.name]}`").alias(case_column(name, s.name)) for name, *_ in cases for s in specs]
+    return out.select(*[F.col(c) for c in keep], *columns)
+
+
+def corrupt_variants(
+    df: DataFrame, specs: Sequence[ColumnSpec], passports: DataFrame, cases: Sequence[tuple[str, float, float, int]],
+    key: Sequence[str], keep: Sequence[str] = (),
+) -> tuple[DataFrame, dict[tuple[str, str], str]]:
+    """(table, {(case, column): its column there}). A column's noise depends on its own strength and
+    the seed only, so cases that share both share the column: it is named ``case|column``
+    after the first of them. A draw is made once per seed, column and row.
 
     A category's observed values are one array of a one-row table, by value; a replacement is
     looked up there by its place. Columns of more than ARRAY_VALUES values are joined instead: to
-    their own place once, and to the drawn one per case, where rows without a draw are spread
+    their own place once, and to the drawn one per variant, where rows without a draw are spread
     over keys that match nothing. A case without noise reads neither. Numeric noise that
     overflows raises."""
     for _, numeric_noise, category_noise, seed in cases:
         _check(numeric_noise, category_noise, seed)
     out, types = df, dict(df.dtypes)
     columns: list = [F.col(c) for c in keep]
+    own: dict[tuple[str, str], str] = {}
     nums = [(i, s) for i, s in enumerate(specs) if s.kind == "numeric"]
     cats = [(i, s) for i, s in enumerate(specs) if s.kind == "categorical"]
-    if nums and any(lam > 0 for _, lam, _, _ in cases):
+    # (strength, seed) -> the cases that have it; without noise the seed makes no difference
+    strengths: dict[tuple, list[str]] = {}
+    chances: dict[tuple, list[str]] = {}
+    for name, lam, p, seed in cases:
+        strengths.setdefault((lam, seed if lam > 0 else None), []).append(name)
+        chances.setdefault((p, seed if p > 0 else None), []).append(name)
+
+    def shared(names: list[str], column: str) -> str:
+        own.update({(n, column): case_column(names[0], column) for n in names})
+        return case_column(names[0], column)
+
+    if nums and any(lam > 0 for lam, _ in strengths):
         continuous = (F.col("kind") == "numeric") & (F.col("numeric_subtype") == "continuous")
         # one value per numeric column
         scale = F.struct(*[F.max(F.when(continuous & (F.col("column") == s.name), F.col("quantile_scale"))).alias(s.name) for _, s in nums])
         out = attach_row(out, materialise(passports.agg(scale.alias("_scale"))))
-    for name, lam, _, seed in cases:
-        for i, s in nums:
-            new = F.col(s.name)
-            if lam > 0:
-                u1 = F.lit(1.0) - uniform(f"{seed}:{i}:radius", *key)
-                u2 = uniform(f"{seed}:{i}:angle", *key)
-                normal = F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
-                v = finite(s.name)
-                width = F.coalesce(F.col(f"_scale.{s.name}"), F.lit(0.0))
-                noisy = F.col(s.name) + F.lit(lam) * width * normal
-                over = F.raise_error(F.lit(f"numeric noise overflows in {s.name}")).cast("double")
-                noisy = F.when(finite(noisy).isNull(), over).otherwise(noisy)
-                new = F.when(v.isNotNull() & (v != 0) & (width != 0), noisy).otherwise(F.col(s.name))
-            columns.append(new.alias(case_column(name, s.name)))
-    drawn = [c for c in cases if c[2] > 0]
+    highest: dict[int, float] = {}
+    for p, seed in chances:
+        if p > 0:
+            highest[seed] = max(p, highest.get(seed, 0.0))
     sizes: dict[str, int] = {}
-    if cats and drawn:
+    if cats and highest:
         cells = F.array(*[F.struct(F.lit(s.name).alias("column"), category_value(df, s.name).alias("value")) for _, s in cats])
         seen = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
         book = materialise(number_rows(seen, ["column"], [F.asc("value")], "position"))
@@ -103,28 +117,58 @@ def corrupt_cases(
         listed = book.where(F.col("column").isin(small)).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("position", "value")))["value"].alias("_v"))
         if small:
             out = attach_row(out, materialise(listed.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("_v"))).alias(c) for c in small]).alias("_values"))))
+    large = {i for i, s in cats if sizes.get(s.name, 0) > ARRAY_VALUES}
+    drawn = [(i, s, seed) for i, s in cats if sizes.get(s.name, 0) > 1 for seed in highest]
+    # numbers become text once
+    out = out.withColumns({f"_text{i}": _text(types, s.name) for i, s in cats}) if cats else out
     for i, s in cats:
-        n, value = sizes.get(s.name, 0), _text(types, s.name)
-        large = n > ARRAY_VALUES
-        if large:
-            own = book.where(F.col("column") == s.name).select(F.col("value").alias("_value"), (F.col("position") - 1).alias(f"_own{i}"))
-            out = out.withColumn(f"_at{i}", value).join(own, F.col(f"_at{i}") == F.col("_value"), "left").drop("_value", f"_at{i}")
-        place = F.col(f"_own{i}") if large else F.array_position(F.col(f"_values.{s.name}"), value) - 1 if sizes else F.lit(None).cast("bigint")
-        for k, (name, _, p, seed) in enumerate(cases):
-            new = value
-            if p > 0 and n > 1:
-                draw = F.floor(uniform(f"{seed}:{i}:pick", *key) * (n - 1))
-                pick = draw + F.when(draw >= place, 1).otherwise(0)
-                hit = value.isNotNull() & (uniform(f"{seed}:{i}:mask", *key) < p)
-                if large:
-                    other = book.where(F.col("column") == s.name).select((F.col("position") - 1).alias("_place"), F.col("value").alias(f"_new{i}_{k}"))
+        if i in large:
+            mine = book.where(F.col("column") == s.name).select(F.col("value").alias("_value"), (F.col("position") - 1).alias(f"_own{i}"))
+            out = out.join(mine, F.col(f"_text{i}") == F.col("_value"), "left").drop("_value")
+    # the draws of all columns and seeds, in arrays, so that the variants do not repeat them
+    noisy_seeds = list(dict.fromkeys(seed for lam, seed in strengths if lam > 0))
+    normal = {(i, seed): k for k, (i, seed) in enumerate((i, seed) for i, _ in nums for seed in noisy_seeds)}
+    if normal:
+        out = out.withColumn("_radius", uniforms([f"{seed}:{i}:radius" for i, seed in normal], *key))
+        out = out.withColumn("_angle", uniforms([f"{seed}:{i}:angle" for i, seed in normal], *key))
+        out = out.withColumn("_normal", F.zip_with("_radius", "_angle", lambda r, a: F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - r)) * F.cos(F.lit(2.0 * math.pi) * a)))
+    at = {(i, seed): k for k, (i, _, seed) in enumerate(drawn)}
+    if drawn:
+        most = F.array(*[F.lit(highest[seed]) for _, seed in at])
+        others = F.array(*[F.lit(sizes[s.name] - 1) for _, s, _ in drawn])
+        places = {i: F.col(f"_own{i}") if i in large else F.array_position(F.col(f"_values.{s.name}"), F.col(f"_text{i}")) - 1 for i, s, _ in drawn}
+        out = out.withColumn("_places", F.array(*[places[i] for i, _ in at]))
+        out = out.withColumn("_mask", uniforms([f"{seed}:{i}:mask" for i, seed in at], *key))
+        out = out.withColumn("_mask", F.zip_with("_mask", "_places", lambda m, o: F.when(o.isNotNull(), m)))
+        draw = uniforms_where(F.transform("_mask", lambda m, k: m < F.get(most, k)), [f"{seed}:{i}:pick" for i, seed in at], *key)
+        out = out.withColumn("_draw", F.zip_with(draw, others, lambda d, n: F.floor(d * n)))
+        out = out.withColumn("_pick", F.zip_with("_draw", "_places", lambda d, o: d + F.when(d >= o, 1).otherwise(0)))
+    for (lam, seed), names in strengths.items():
+        for i, s in nums:
+            new = F.col(s.name)
+            if lam > 0:
+                v = finite(s.name)
+                width = F.coalesce(F.col(f"_scale.{s.name}"), F.lit(0.0))
+                noisy = F.col(s.name) + F.lit(lam) * width * F.get("_normal", F.lit(normal[i, seed]))
+                over = F.raise_error(F.lit(f"numeric noise overflows in {s.name}")).cast("double")
+                noisy = F.when(finite(noisy).isNull(), over).otherwise(noisy)
+                new = F.when(v.isNotNull() & (v != 0) & (width != 0), noisy).otherwise(F.col(s.name))
+            columns.append(new.alias(shared(names, s.name)))
+    for variant, ((p, seed), names) in enumerate(chances.items()):
+        for i, s in cats:
+            new = value = F.col(f"_text{i}")
+            if p > 0 and sizes.get(s.name, 0) > 1:
+                k = F.lit(at[i, seed])
+                hit, pick = F.get("_mask", k) < p, F.get("_pick", k)
+                if i in large:
+                    other = book.where(F.col("column") == s.name).select((F.col("position") - 1).alias("_place"), F.col("value").alias(f"_new{i}_{variant}"))
                     spread = F.lit(-1) - F.pmod(F.xxhash64(*key), F.lit(1 << 20))
-                    out = out.withColumn("_pick", F.when(hit, pick).otherwise(spread)).join(other, F.col("_pick") == F.col("_place"), "left").drop("_pick", "_place")
-                    new = F.coalesce(f"_new{i}_{k}", value)
+                    out = out.withColumn("_to", F.when(hit, pick).otherwise(spread)).join(other, F.col("_to") == F.col("_place"), "left").drop("_to", "_place")
+                    new = F.coalesce(f"_new{i}_{variant}", value)
                 else:
                     new = F.when(hit, F.get(F.col(f"_values.{s.name}"), pick.cast("int"))).otherwise(value)
-            columns.append(new.alias(case_column(name, s.name)))
-    return out.select(*columns)
+            columns.append(new.alias(shared(names, s.name)))
+    return out.select(*columns), own
 
 
 def _text(types: dict[str, str], name: str):

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -272,8 +273,16 @@ def structure_edges(counts: DataFrame, bins: int, max_categories: int) -> tuple[
     numeric = exact_quantiles(
         counts.where("kind = 'numeric'"), ["column"], "d", "n", [i / bins for i in range(bins + 1)]
     )
-    edges = F.array_distinct("quantiles")
-    numeric = numeric.select("column", F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0))).alias("edges"))
+    return numeric.select("column", _interior("quantiles")), kept_categories(counts, max_categories)
+
+
+def _interior(quantiles: Column | str) -> Column:
+    edges = F.array_distinct(quantiles)
+    return F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0))).alias("edges")
+
+
+def kept_categories(counts: DataFrame, max_categories: int) -> DataFrame:
+    """(column, value, code) of the categories that ``structure_edges`` keeps."""
     cats = counts.where("kind = 'categorical' AND s IS NOT NULL")
     sizes = cats.groupBy("column").agg(F.count(F.lit(1)).alias("_k"))
     # At most max_categories rows per column survive the rank filter.
@@ -281,7 +290,7 @@ def structure_edges(counts: DataFrame, bins: int, max_categories: int) -> tuple[
     cut = F.max(F.when(F.col("rank") == max_categories - 1, F.col("n"))).over(Window.partitionBy("column"))
     kept = kept.withColumn("_cut", cut)
     kept = kept.where((F.col("_k") <= max_categories) | (F.col("n") > F.col("_cut")))
-    return numeric, kept.select("column", F.col("s").alias("value"), F.col("rank").alias("code"))
+    return kept.select("column", F.col("s").alias("value"), F.col("rank").alias("code"))
 
 
 def structure_codes(
@@ -316,13 +325,35 @@ def structure_codes(
     return out.select(*keep, *cols)
 
 
+def _places(names: Sequence[str], pairs: Sequence[tuple[str, str]]) -> list[tuple[int, int]]:
+    place = {c: k for k, c in enumerate(names)}
+    return [(place[a], place[b]) for a, b in pairs]
+
+
+def _filled_cells(tables: Sequence[np.ndarray]) -> pa.RecordBatch:
+    """The filled cells of dense tables per pair, whose first row and column stand for missing codes."""
+    found = [np.nonzero(t[1:, 1:]) for t in tables]
+    k = np.repeat(np.arange(len(tables)), [len(u) for u, _ in found])
+    u, v = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    n = np.concatenate([t[1:, 1:][f] for t, f in zip(tables, found)])
+    return pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int32)) for x in (k, u, v)], pa.array(n)], ["pair", "u", "v", "n"])
+
+
+def _merged_cells(cells: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    merged = cells.groupBy("pair", "u", "v").agg(F.sum("n").alias("n"))
+    sides = [F.element_at(F.array(*[F.lit(p[i]) for p in pairs]), F.col("pair") + 1).alias(n) for i, n in enumerate(("left", "right"))]
+    return merged.select(*sides, "u", "v", "n")
+
+
+_CELLS = "pair int, u int, v int, n bigint"
+
+
 def pair_counts(codes: DataFrame, names: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """(left, right, u, v, n) over the rows complete in both columns, for all pairs of ``names`` or
     the given ones. Every task counts into a dense table per pair, so no row is multiplied
     and at most the filled cells of a pair (``max_categories`` squared) leave a task."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]] if pairs is None else list(pairs)
-    place = {c: k for k, c in enumerate(names)}
-    places = [(place[a], place[b]) for a, b in pairs]
+    places = _places(names, pairs)
 
     def counted(batches):
         width, tables = 0, None
@@ -340,14 +371,51 @@ def pair_counts(codes: DataFrame, names: Sequence[str], pairs: Sequence[tuple[st
             for k, (a, b) in enumerate(places):
                 tables[k] += np.bincount(cols[a] * width + cols[b], minlength=width * width).reshape(width, width)
         if tables is not None:
-            k, u, v = np.nonzero(tables[:, 1:, 1:])
-            cells = [pa.array(x.astype(np.int32)) for x in (k, u, v)] + [pa.array(tables[k, u + 1, v + 1])]
-            yield pa.RecordBatch.from_arrays(cells, ["pair", "u", "v", "n"])
+            yield _filled_cells(tables)
 
-    cells = codes.select(*[f"`{c}`" for c in names]).mapInArrow(counted, "pair int, u int, v int, n bigint")
-    merged = cells.groupBy("pair", "u", "v").agg(F.sum("n").alias("n"))
-    sides = [F.element_at(F.array(*[F.lit(p[i]) for p in pairs]), F.col("pair") + 1).alias(n) for i, n in enumerate(("left", "right"))]
-    return merged.select(*sides, "u", "v", "n")
+    return _merged_cells(codes.select(*[f"`{c}`" for c in names]).mapInArrow(counted, _CELLS), pairs)
+
+
+def edge_lists(numeric: DataFrame) -> dict[str, list]:
+    """Interior edges by column, at most ``bins`` each."""
+    return {r["column"]: list(r["edges"]) for r in numeric.collect()}
+
+
+def value_lists(kept: DataFrame) -> dict[str, list]:
+    """Kept categories by column in the order of their codes, at most ``max_categories`` each."""
+    lists = kept.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("code", "value")))["value"].alias("values"))
+    return {r["column"]: list(r["values"]) for r in lists.collect()}
+
+
+def value_pair_counts(df: DataFrame, specs: Sequence[ColumnSpec], books: dict[str, list], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``pair_counts`` of the structure codes, from the values themselves: a task codes each batch
+    column by column and counts it into dense tables, one per pair, in the same pass."""
+    places = _places([s.name for s in specs], pairs)
+    own = [books.get(s.name, []) for s in specs]
+    numeric = [s.kind == "numeric" for s in specs]
+    widths = [len(b) + 2 for b in own]
+
+    def code(column, i):
+        """0 for a missing value, from 1 the structure code."""
+        if numeric[i]:
+            v = column.to_numpy(zero_copy_only=False)
+            return np.where(np.isnan(v), 0, np.searchsorted(np.asarray(own[i], np.float64), v, side="right") + 1)
+        found = np.asarray(pc.index_in(column, value_set=pa.array(own[i], column.type)).fill_null(-1), np.int64) + 2
+        return np.where(np.asarray(column.is_valid()), found, 0) if column.null_count else found
+
+    def counted(batches):
+        tables = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [code(c, i).astype(np.int64) for i, c in enumerate(batch.columns)]
+            new = [np.bincount(cols[a] * widths[b] + cols[b], minlength=widths[a] * widths[b]).reshape(widths[a], widths[b]) for a, b in places]
+            tables = new if tables is None else [t + m for t, m in zip(tables, new)]
+        if tables:
+            yield _filled_cells(tables)
+
+    values = [finite(s.name) if s.kind == "numeric" else category_value(df, s.name) for s in specs]
+    return _merged_cells(df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)]).mapInArrow(counted, _CELLS), pairs)
 
 
 def dependency_matrix(
@@ -358,9 +426,16 @@ def dependency_matrix(
 
     NMI is arithmetic: 2 I / (H_left + H_right), from pairwise-complete rows."""
     names = [s.name for s in specs]
-    # At most max_categories squared rows per pair of columns.
     wanted = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]] if pairs is None else list(pairs)
-    pairs = materialise(pair_counts(structure_codes(df, specs, bins, max_categories, counts=counts), names, wanted))
+    counts = materialise(value_counts_long(df, specs)) if counts is None else counts
+    numeric, kept = structure_edges(counts, bins, max_categories)
+    books = edge_lists(numeric) | value_lists(kept)
+    return _dependences(value_pair_counts(df, specs, books, wanted), wanted, min_pairs)
+
+
+def _dependences(pairs: DataFrame, wanted: Sequence[tuple[str, str]], min_pairs: int) -> DataFrame:
+    # At most max_categories squared rows per pair of columns.
+    pairs = materialise(pairs)
     key = ["left", "right"]
     n = F.col("n").cast("double")
 
@@ -371,9 +446,7 @@ def dependency_matrix(
         )
 
     joint = pairs.groupBy(*key).agg(F.sum("n").alias("n_pairs"), F.sum(n * F.ln(n)).alias("_uv"))
-    grid = df.sparkSession.createDataFrame(
-        wanted, "left string, right string"
-    )
+    grid = pairs.sparkSession.createDataFrame(list(wanted), "left string, right string")
     j = grid.join(joint.join(margin("u"), key).join(margin("v"), key), key, "left")
     total = F.col("n_pairs").cast("double")
     hu = F.ln(total) - F.col("_u") / total
@@ -396,6 +469,97 @@ def profile_source(df: DataFrame, specs: Sequence[ColumnSpec], **structure) -> t
     return passports, dependency_matrix(df, specs, counts=counts, **structure)
 
 
+#: Bytes of a ledger that a task holds at once to count them.
+CHUNK_BYTES = 1 << 25
+
+
+def category_counts(df: DataFrame, specs: Sequence[ColumnSpec]) -> DataFrame:
+    """The rows of ``value_counts_long`` of the categorical columns. A task counts each column on its
+    own, some megabytes at a time, so no ledger row is multiplied by the number of columns."""
+    cats = [s.name for s in specs if s.kind == "categorical"]
+
+    def tally(held):
+        rows = pa.Table.from_batches(held)
+        each = [pc.value_counts(c) for c in rows.columns]
+        at = pa.array(np.repeat(np.arange(len(each), dtype=np.int32), [len(e) for e in each]))
+        cells = [pa.concat_arrays([e.field(i) for e in each]) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([at, *cells], ["at", "s", "n"])
+
+    def counted(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= CHUNK_BYTES:
+                yield tally(held)
+                held, size = [], 0
+        if held:
+            yield tally(held)
+
+    texts = df.select(*[category_value(df, c).alias(f"c{i}") for i, c in enumerate(cats)])
+    counts = texts.mapInArrow(counted, "at int, s string, n bigint").groupBy("at", "s").agg(F.sum("n").alias("n"))
+    return counts.select(
+        _named(cats), F.lit("categorical").alias("kind"), "s", F.lit(None).cast("double").alias("d"), "n"
+    )
+
+
+def _named(names: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at") + 1).alias("column")
+
+
+def numeric_facts(df: DataFrame, specs: Sequence[ColumnSpec], levels: Sequence[float]) -> DataFrame:
+    """(column, n_rows, n_valid, n_unique, min, max, zero_share, quantiles) of the numeric columns, the
+    quantiles exact. Distinct values are told apart up to three, all that a subtype needs,
+    so columns without repeated values are never grouped by value."""
+    nums = [s.name for s in specs if s.kind == "numeric"]
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("at"), finite(c).alias("d")) for i, c in enumerate(nums)])))
+    d = F.col("d")
+    facts = materialise(cells.groupBy("at").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(d).alias("n_valid"), F.min(d).alias("min"), F.max(d).alias("max"),
+        (F.count_if(d == 0) / F.nullif(F.count(d), F.lit(0))).alias("zero_share"),
+    ))
+    # One row per profiled column.
+    more = cells.join(F.broadcast(facts.select("at", "min", "max")), "at").groupBy("at").agg(F.max((d > F.col("min")) & (d < F.col("max"))).alias("_more"))
+    quantiles = exact_quantiles(cells.withColumn("n", F.lit(1).cast("bigint")), ["at"], "d", "n", list(levels))
+    n_unique = F.when(F.col("n_valid") == 0, 0).when(F.col("min") == F.col("max"), 1).when(F.col("_more"), 3).otherwise(2)
+    out = facts.join(more, "at").join(quantiles, "at", "left")
+    return out.select(_named(nums), "n_rows", "n_valid", n_unique.cast("bigint").alias("n_unique"), "min", "max", "zero_share", "quantiles")
+
+
+def matching_source(
+    df: DataFrame, specs: Sequence[ColumnSpec], bins: int = 10, max_categories: int = 64, min_pairs: int = 30,
+    pairs: Sequence[tuple[str, str]] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``profile_source`` with just the passport fields that matching and noise read. No numeric value is
+    counted (``n_unique`` of numerics is 3 from three on); passports and bin edges of
+    numerics come from one set of exact quantiles."""
+    names, kinds = [s.name for s in specs], {s.kind for s in specs}
+    wanted = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]] if pairs is None else list(pairs)
+    parts, books = [], {}
+    if "categorical" in kinds:
+        counts = materialise(category_counts(df, specs))
+        stats = _statistics(counts).withColumn("_top3", F.lit(None).cast("bigint"))
+        blank = [F.lit(None).cast("double").alias("zero_share"), F.lit(None).cast("array<double>").alias("quantiles")]
+        entropy, top1, _ = _categorical_fields()
+        bounds = [F.lit(None).cast("double").alias(c) for c in ("min", "max")]
+        parts.append(stats.select("column", "kind", "n_rows", "n_valid", "n_unique", _shares()[0], entropy, top1, *blank, *bounds))
+        books |= value_lists(kept_categories(counts, max_categories))
+    if "numeric" in kinds:
+        steps = [i / bins for i in range(bins + 1)]
+        levels = sorted({*QUANTILE_LEVELS, *steps})
+        facts = materialise(numeric_facts(df, specs, levels))
+        at = lambda some: F.array(*[F.get("quantiles", F.lit(levels.index(q))) for q in some])
+        valid = F.col("quantiles").isNotNull()
+        blank = [F.lit(None).cast("double").alias(c) for c in ("entropy_norm", "top1_share")]
+        own = F.when(valid, at(QUANTILE_LEVELS)).alias("quantiles")
+        parts.append(facts.select("column", F.lit("numeric").alias("kind"), "n_rows", "n_valid", "n_unique", _shares()[0], *blank, "zero_share", own, "min", "max"))
+        books |= edge_lists(facts.where(valid).select("column", _interior(at(steps))))
+    out = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+    out = out.select(
+        "column", "kind", "n_rows", "n_valid", "n_unique", "null_share", "entropy_norm", "top1_share", "min", "max", "zero_share", *_numeric_fields())
+    return materialise(out), _dependences(value_pair_counts(df, specs, books, wanted), wanted, min_pairs)
+
+
 # -- rank correlation ------------------------------------------------------------------
 
 

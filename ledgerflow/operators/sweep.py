@@ -49,26 +49,25 @@ def case_problems(
     df: DataFrame, specs: Sequence[ColumnSpec], names: dict[str, str], key: Sequence[str], cases: Sequence[tuple[str, float, float, int]]
 ) -> DataFrame:
     """One matching problem per noisy copy of ``df`` against itself; a copy's column c is named
-    ``names[c]``. All copies are columns of one table, so they are corrupted in one projection,
-    profiled in one pass over value counts and paired in one pass over codes."""
+    ``names[c]``. All copies are columns of one table, each distinct one once, so they are
+    corrupted in one projection, profiled together and paired in one pass. Passports and
+    dependences of shared columns are handed out to the copies afterwards."""
     df = materialise(df)
-    clean, dependency = profile.profile_source(df, specs)
-    wide = materialise(noise.corrupt_cases(df, specs, clean, cases, key))
-    wide_specs = [ColumnSpec(noise.case_column(c[0], s.name), s.kind) for c in cases for s in specs]
-    own = [s.name for s in specs]
-    within = [(noise.case_column(c[0], a), noise.case_column(c[0], b)) for c in cases for i, a in enumerate(own) for b in own[i + 1:]]
-    passports, dependencies = profile.profile_source(wide, wide_specs, pairs=within)
-    anonymous = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-
-    def case_of(column):
-        return F.substring_index(column, "|", 1)
-
-    def name_of(column):
-        return anonymous[F.substring_index(column, "|", -1)]
-
-    d = match.passport_distance(passports, clean)
-    d = d.select(case_of("source").alias("case"), name_of("source").alias("source"), *[c for c in d.columns if c != "source"])
-    x = match.symmetric(dependencies).select(case_of("i").alias("case"), name_of("i").alias("i"), name_of("j").alias("j"), "c")
+    clean, dependency = profile.matching_source(df, specs)
+    wide, own = noise.corrupt_variants(df, specs, clean, cases, key)
+    wide = materialise(wide)
+    kinds = {own[c[0], s.name]: s.kind for c in cases for s in specs}
+    plain = [s.name for s in specs]
+    pairs = dict.fromkeys((own[c[0], a], own[c[0], b]) for c in cases for i, a in enumerate(plain) for b in plain[i + 1:])
+    passports, dependencies = profile.matching_source(wide, [ColumnSpec(c, k) for c, k in kinds.items()], pairs=list(pairs))
+    spark = df.sparkSession
+    # one row per case and column, or pair of columns
+    owners = spark.createDataFrame([(own[c[0], n], c[0], names[n]) for c in cases for n in plain], "source string, case string, name string")
+    d = match.passport_distance(passports, clean).join(owners, "source")
+    d = d.select("case", F.col("name").alias("source"), *[c for c in d.columns if c not in ("source", "case", "name")])
+    left = owners.select(F.col("source").alias("i"), "case", F.col("name").alias("_i"))
+    right = owners.select(F.col("source").alias("j"), "case", F.col("name").alias("_j"))
+    x = match.symmetric(dependencies).join(left, "i").join(right, ["j", "case"]).select("case", F.col("_i").alias("i"), F.col("_j").alias("j"), "c")
     every = F.explode(F.array(*[F.lit(c[0]) for c in cases])).alias("case")
     return match.match_problems(materialise(d), x, match.symmetric(dependency).select(every, "*"))
 

@@ -113,3 +113,32 @@ def test_pairs_are_counted_densely(spark):
     assert got == want
     assert {tuple(r)[:4]: r["n"] for r in P.pair_counts(codes, ["a", "b", "c"], [("c", "a")]).collect()} == {("c", "a", v, u): n for (x, y, u, v), n in want.items() if (x, y) == ("a", "c")}
     assert P.pair_counts(codes.limit(0), ["a", "b"]).count() == 0
+
+
+def test_matching_source_agrees_with_whole_passports(spark, ledger, monkeypatch):
+    monkeypatch.setattr(P, "CHUNK_BYTES", 1)  # every batch is counted on its own
+    df = materialise(ledger.withColumn("two", F.when(F.col("key") % 3 == 0, 2.5).when(F.col("key") % 3 == 1, -1.0)).withColumn("none", F.lit(None).cast("double")))
+    specs = [*SPECS, ColumnSpec("two", "numeric"), ColumnSpec("none", "numeric")]
+    whole, got = P.profile_source(df, specs), P.matching_source(df, specs)
+    fields = ["kind", "n_rows", "n_valid", "null_share", "entropy_norm", "top1_share", "zero_share", "quantile_scale", "quantile_shape", "numeric_subtype"]
+    want = {r["column"]: r for r in whole[0].collect()}
+    for r in got[0].collect():
+        for f in fields:
+            w = want[r["column"]][f]
+            assert r[f] == (pytest.approx(w) if isinstance(w, (float, list)) else w), (r["column"], f)
+        assert r["n_unique"] == (min(3, want[r["column"]]["n_unique"]) if r["kind"] == "numeric" else want[r["column"]]["n_unique"])
+    cells = [{(r["left"], r["right"]): (r["n_pairs"], r["usable"], pytest.approx(r["distance"])) for r in m.collect()} for m in (whole[1], got[1])]
+    assert cells[0] == cells[1] and len(cells[0]) == 21
+    # no row is multiplied by the number of columns
+    assert "Generate" not in P.category_counts(df, SPECS)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cases_share_equal_columns(ledger, passports):
+    cases = W.sweep_cases()
+    wide, own = N.corrupt_variants(ledger, SPECS, passports, cases, ["key"], ["key"])
+    assert len(own) == 13 * len(SPECS) and len(wide.columns) == 1 + 7 * len(SPECS)
+    assert own["mixed_015/1", "kind"] == own["categorical_015/1", "kind"] != own["mixed_030/1", "kind"]
+    got = rows_of(wide)
+    for name, lam, p, seed in cases[:5]:
+        alone = rows_of(N.corrupt(ledger, SPECS, passports, lam, p, seed, ["key"]))
+        assert all(got[k][own[name, s.name]] == alone[k][s.name] for k in got for s in SPECS if s.name != "code")

@@ -272,14 +272,12 @@ def _(spark, sf):
     return rounded(o, 8, "feature_loss", "structure_loss", "objective")
 
 
-def _problem(spark, sf, a, b, case, a_specs=None, b_specs=None):
-    """Distances and both dependency structures of a table pair, as a one-case problem."""
-    a_specs, b_specs = a_specs or ANON_SPECS, b_specs or SPECS
-    # each side is read twice: once to count values, once to pair columns
-    (pa, ca), (pb, cb) = P.profile_source(materialise(a), a_specs), P.profile_source(materialise(b), b_specs)
-    one = F.lit(case).alias("case")
-    d = M.passport_distance(pa, pb).select(one, "*")
-    return d, M.symmetric(ca).select(one, "*"), M.symmetric(cb).select(one, "*")
+def _paired(case, one, other):
+    """Distances and both dependency structures of two profiled tables, as a one-case problem."""
+    (pa, ca), (pb, cb) = one, other
+    named = F.lit(case).alias("case")
+    d = M.passport_distance(pa, pb).select(named, "*")
+    return d, M.symmetric(ca).select(named, "*"), M.symmetric(cb).select(named, "*")
 
 
 def _recovered(selection, by=("case",)):
@@ -291,30 +289,35 @@ def _recovered(selection, by=("case",)):
 @query("match_columns")
 def _(spark, sf):
     """Semi-relaxed matching of the anonymous fold to the named one, three mixing weights."""
-    d, cx, cy = _problem(spark, sf, side(spark, sf, "a"), side(spark, sf, "b"), "folds")
+    a, b = materialise(side(spark, sf, "a")), materialise(side(spark, sf, "b"))
+    d, cx, cy = _paired("folds", P.matching_source(a, ANON_SPECS), P.matching_source(b, SPECS))
     d = materialise(d)
     solved = materialise(M.solve_plans(M.match_problems(d, cx, cy), [0.0, 0.5, 1.0], n_init=5))
     sel = M.match_columns(d, solved)
     return sel.join(solved.select("case", "alpha", "objective", "gap", "converged"), ["case", "alpha"])
 
 
-def _testbed(spark, sf, kind):
+def testbed_sources(spark, sf):
+    """Both halves of the clients, raw and rolled up by day, each profiled once: (table, shape) -> (passports, dependences)."""
     led = ledger(spark, sf).withColumn("_f", fold("client_id"))
-    a, b = led.where(HALF_A), led.where(HALF_B)
-    if kind != "folds":
-        # the first numeric is summed; the second is constant inside an order, not a key
-        a = daily_rollup(a, LEDGER, "amount")
-        b = daily_rollup(b, LEDGER, "amount") if kind == "daily_folds" else b
     fields = [c for c in ANON if c != "balance"]
     specs = [s for s in SPECS if s.name != "balance"]
-    a = a.select(*[F.col(c).alias(ANON[c]) for c in fields])
-    return _problem(spark, sf, a, b.select(*fields), kind, [ColumnSpec(ANON[s.name], s.kind) for s in specs], specs)
+    out = {}
+    for name, half in (("a", HALF_A), ("b", HALF_B)):
+        raw = materialise(led.where(half).select("client_id", "event_time", *fields))
+        for shape in ("raw", "daily"):
+            # the first numeric is summed; the second is constant inside an order, not a key
+            df = raw if shape == "raw" else materialise(daily_rollup(raw, LEDGER, "amount"))
+            own = [ColumnSpec(ANON[s.name], s.kind) for s in specs] if name == "a" else specs
+            out[name, shape] = P.matching_source(df.select(*[F.col(c).alias(s.name) for c, s in zip(fields, own)]), own)
+    return out
 
 
 @query("testbeds")
 def _(spark, sf):
     """Known-truth recovery: fold vs fold, rolled-up fold vs fold, roll-up vs raw."""
-    parts = [_testbed(spark, sf, k) for k in ("folds", "daily_folds", "daily")]
+    made = testbed_sources(spark, sf)
+    parts = [_paired(case, made["a", x], made["b", y]) for case, x, y in (("folds", "raw", "raw"), ("daily_folds", "daily", "daily"), ("daily", "daily", "raw"))]
     d, cx, cy = parts[0]
     for p in parts[1:]:
         d, cx, cy = d.unionByName(p[0]), cx.unionByName(p[1]), cy.unionByName(p[2])

@@ -174,3 +174,15 @@ def test_noise_is_nested_scaled_and_leaves_gaps_alone(spark):
     assert (low.cat[a] == high.cat[a]).all()
     with pytest.raises(ValueError):
         N.corrupt(df, specs, p, 0.1, 1.5, 5, ["key"])
+
+
+def test_testbeds_profile_each_table_once(spark, monkeypatch):
+    from ledgerflow.operators import profile
+    from ledgerflow.plans import match_queries as Q
+
+    seen = []
+    monkeypatch.setattr(profile, "matching_source", lambda df, specs: seen.append([s.name for s in specs]) or (df, df))
+    made = Q.testbed_sources(spark, "/root/testdata/sf0.001")
+    assert len(seen) == len(made) == 4 and all(len(c) == 8 for c in seen)
+    rows = {k: v[0].count() for k, v in made.items()}
+    assert rows["a", "raw"] >= rows["a", "daily"] > 0 and rows["b", "raw"] >= rows["b", "daily"] > 0

@@ -66,6 +66,18 @@ def test_overlapping_windows_match_brute_force(spark, include):
     assert got == want
 
 
+def test_tasks_follow_the_window_rows(spark, monkeypatch):
+    days = [day(2023, m, d) for m in (1, 2) for d in range(1, 29)]
+    rows = [(f"c{k}", d, 1, 2, 0.0) for k in range(20) for d in days]
+    dates = ["2023-02-01", "2023-03-01"]
+    w = windows.windows(frame(spark, rows), SCHEMA, dates, 2, max_events=100)
+    want = sorted(tuple(r) for r in w.collect())
+    assert w.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(windows, "WINDOW_ROWS", 50)
+    w = windows.windows(frame(spark, rows), SCHEMA, dates, 2, max_events=100)
+    assert w.rdd.getNumPartitions() == -(-len(want) // 50) and sorted(tuple(r) for r in w.collect()) == want
+
+
 def test_many_dates_use_the_same_windows(spark):
     rows = [("a", day(2023, 1, 1 + i), i, 0, 1.0) for i in range(28)]
     dates = [date(2023, 1 + m, d) for m in range(3) for d in range(1, 29)]

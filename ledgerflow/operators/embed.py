@@ -147,13 +147,15 @@ def stat_features(windows: DataFrame, schema: EventSchema, date: str = "target_d
     out = windows.groupBy(schema.client, date).agg(*aggs)
     shares = windows.select(
         schema.client, date,
-        F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v")) for c in schema.categories])),
+        F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("string").alias("_v")) for i, c in enumerate(schema.categories)])),
     ).groupBy(schema.client, date, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
     shares = shares.where(F.col("_v").isNotNull()).groupBy(schema.client, date).agg(
-        *[F.count_if(F.col("_c") == c).alias(f"{c}_distinct") for c in schema.categories],
-        *[F.coalesce(F.max(F.when(F.col("_c") == c, F.col("_n"))), F.lit(0)).alias(f"{c}_top") for c in schema.categories],
+        *[F.count_if(F.col("_c") == i).alias(f"{c}_distinct") for i, c in enumerate(schema.categories)],
+        *[F.coalesce(F.max(F.when(F.col("_c") == i, F.col("_n"))), F.lit(0)).alias(f"{c}_top") for i, c in enumerate(schema.categories)],
     )
-    out = out.join(shares, [schema.client, date], "left")
+    # one row of each per window; a join would filter one side's clients and so compute the windows twice
+    both = out.unionByName(shares, allowMissingColumns=True).groupBy(schema.client, date)
+    out = both.agg(*[F.max(c).alias(c) for c in dict.fromkeys(out.columns + shares.columns) if c not in (schema.client, date)])
     return out.select(
         schema.client, date, "n_events", "recency_days", "span_days",
         *[f"{c}_{s}" for c in schema.numerics for s in ("sum", "mean", "std", "min", "max")],

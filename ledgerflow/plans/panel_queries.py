@@ -444,11 +444,15 @@ TRIALS, TUNE_CLIENTS = 4, 100_000
 
 
 def _probe_panel(spark, sf):
-    """Statistical window embeddings joined to next-month targets, with fold roles."""
+    """Statistical window embeddings joined to next-month targets, with fold roles. Windows without
+    a target have no part in the panel and are not computed."""
     dates = [f"1998-{m:02d}-01" for m in range(1, 13)]
-    w = W.windows(ledger(spark, sf), LEDGER, dates, 12, max_events=MAX_EVENTS)
-    emb = B.stat_panel(B.stat_features(w, LEDGER), "client_id").withColumnRenamed("client_id", "id")
-    return T.fold_roles(D.join_panel(dated_targets(spark, sf), emb, KEYS), 4)
+    targets = dated_targets(spark, sf)
+    labelled = targets.select(F.col("id").alias("client_id"), F.col("date").alias("target_date"))
+    w = W.windows(ledger(spark, sf), LEDGER, dates, 12, max_events=MAX_EVENTS, wanted=labelled)
+    # written once: the join reads the keys a second time
+    emb = materialise(B.stat_panel(B.stat_features(w, LEDGER), "client_id").withColumnRenamed("client_id", "id"))
+    return T.fold_roles(D.join_panel(targets, emb, KEYS), 4)
 
 
 @query("gbt_probe")

@@ -436,13 +436,14 @@ def _(spark, sf):
             lambda s, l: (F.size(l) > 0) | s.isin(*[f"col_{i}" for i in range(1, 8)])).alias(J.STANDARD.sources),
         F.array_except(read[J.STANDARD.unfilled], F.col("_unlisted")).alias(J.STANDARD.unfilled))
     docs = docs.join(told, "mapping_id", "left").withColumn("document", F.when(F.col("_hide").isNotNull(), F.to_json(cut)).otherwise(F.col("document")))
-    empty = m.select("mapping_id", "legacy").distinct().join(docs.select("mapping_id"), "mapping_id", "left_anti").select("mapping_id", F.lit('{"mapping":{}}').alias("document"))
+    empty = m.select("mapping_id", "legacy").distinct().join(said.select("mapping_id"), "mapping_id", "left_anti").select("mapping_id", F.lit('{"mapping":{}}').alias("document"))
     docs = docs.select("mapping_id", "document").unionByName(empty)
     text = F.when(F.pmod("mapping_id", F.lit(13)) == 7, F.expr("left(document, length(document) - 1)")).when(
         F.pmod("mapping_id", F.lit(11)) == 5, F.replace("document", F.lit(J.STANDARD.version), F.lit("other"))).otherwise(F.col("document"))
     docs = materialise(docs.select("mapping_id", text.alias("document")))
-    checked = J.check_documents(docs, catalogue, "event_time", "col_1")
-    rows = J.decode_mappings(docs).mappings.groupBy("mapping_id", "field").agg(F.array_join(F.array_sort(F.collect_list("source")), "+").alias("s"))
+    decoded = J.decode_mappings(docs)
+    checked = J.check_decoded(decoded, catalogue, "event_time", "col_1")
+    rows = decoded.mappings.repartition("mapping_id").groupBy("mapping_id", "field").agg(F.array_join(F.array_sort(F.collect_list("source")), "+").alias("s"))
     shown = rows.groupBy("mapping_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "field", "s"))), ",").alias("mapping"))
     return checked.join(shown, "mapping_id", "left").drop("sha256")
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.match import mapping_violations
+from ledgerflow.sources.readers import materialise
 
 
 @dataclass(frozen=True)
@@ -49,27 +50,27 @@ def encode_mappings(mappings: DataFrame, catalogue: DataFrame, fmt: MappingForma
     ``catalogue`` (side 'field'|'source', column, kind) tells which sources exist: the reverse
     lists name all of them, the dropped ones are those that feed nothing. A field must
     occur once per mapping, in the legacy format a source too."""
-    known = F.explode(F.array(*map(F.lit, _sources(catalogue)))).alias("source")
-    ids = mappings.select("mapping_id", "legacy").distinct()
-    used = mappings.where("source IS NOT NULL").groupBy("mapping_id", "source").agg(F.array_sort(F.collect_list("field")).alias("_to"))
-    every = ids.select("mapping_id", known).unionByName(used.select("mapping_id", "source")).distinct()
-    reverse = every.join(used, ["mapping_id", "source"], "left").groupBy("mapping_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("source").alias("key"), F.coalesce("_to", F.array().cast("array<string>")).alias("value"))))).alias("_sources"),
-        F.array_sort(F.collect_list(F.when(F.col("_to").isNull(), F.col("source")))).alias("_dropped"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("_to").isNotNull(), F.struct(F.col("source").alias("key"), F.col("_to")[0].alias("value")))))).alias("_legacy"),
-    )
-    pair = F.struct(F.col("field").alias("key"), F.col("source").alias("value"))
-    forward = mappings.groupBy("mapping_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("legacy"), pair)))).alias("_fields"),
-        F.array_sort(F.collect_list(F.when(F.col("source").isNull(), F.col("field")))).alias("_unfilled"),
-    )
+    known = F.array(*map(F.lit, _sources(catalogue))).cast("array<string>")
+    # a mapping's pairs, as many as it has fields, come together once; the rest is said of that list
+    pairs = mappings.where("mapping_id IS NOT NULL").groupBy("mapping_id").agg(
+        F.array_sort(F.collect_list(F.struct("field", "source", "legacy"))).alias("_pairs"))
+    fed = F.filter("_pairs", lambda p: p["source"].isNotNull())
+    own = F.array_distinct(F.transform(fed, lambda p: p["source"]))
+    lists = F.transform(
+        F.array_sort(F.array_union(known, own)),
+        lambda s: F.struct(s.alias("key"), F.transform(F.filter("_pairs", lambda p: p["source"] == s), lambda p: p["field"]).alias("value")))
+    rows = pairs.withColumn("_lists", lists).withColumn("legacy", F.explode(F.array_distinct(F.transform("_pairs", lambda p: p["legacy"]))))
+    used = F.filter("_lists", lambda e: F.size(e["value"]) > 0)
+    legacy = F.map_from_entries(F.transform(used, lambda e: F.struct(e["key"].alias("key"), F.get(e["value"], F.lit(0)).alias("value"))))
+    forward = F.map_from_entries(F.transform(F.filter("_pairs", lambda p: ~p["legacy"]), lambda p: F.struct(p["field"].alias("key"), p["source"].alias("value"))))
     new = ~F.col("legacy")
     document = F.to_json(F.struct(
-        F.when(new, F.lit(fmt.version)).alias(fmt.version_key), F.when(new, F.col("_fields")).alias(fmt.fields),
-        F.when(new, F.col("_sources")).alias(fmt.sources), F.when(~new, F.col("_legacy")).alias(fmt.legacy),
-        F.col("_dropped").alias(fmt.dropped), F.col("_unfilled").alias(fmt.unfilled),
+        F.when(new, F.lit(fmt.version)).alias(fmt.version_key), F.when(new, forward).alias(fmt.fields),
+        F.when(new, F.map_from_entries("_lists")).alias(fmt.sources), F.when(~new, legacy).alias(fmt.legacy),
+        F.transform(F.filter("_lists", lambda e: F.size(e["value"]) == 0), lambda e: e["key"]).alias(fmt.dropped),
+        F.transform(F.filter("_pairs", lambda p: p["source"].isNull()), lambda p: p["field"]).alias(fmt.unfilled),
     ))
-    return ids.join(forward, "mapping_id").join(reverse, "mapping_id").select("mapping_id", document.alias("document"))
+    return rows.select("mapping_id", document.alias("document"))
 
 
 @dataclass(frozen=True)
@@ -88,7 +89,8 @@ class Decoded:
 def decode_mappings(documents: DataFrame, fmt: MappingFormat = STANDARD) -> Decoded:
     """Tables of the documents (mapping_id, document). What a document does not declare (always
     so in the legacy format: reverse lists and unfilled fields) is taken from its mapping and so
-    can't disagree. Problems: 'malformed' JSON or member types, 'version' unknown, 'no mapping'."""
+    can't disagree. Problems: 'malformed' JSON or member types, 'version' unknown, 'no mapping'.
+    Documents are read here, once; all tables come of what was read."""
     parsed = F.from_json("document", fmt.schema(), {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"})
     own = documents.select("mapping_id", F.sha2("document", 256).alias("sha256"), parsed.alias("_d")).select("mapping_id", "sha256", "_d.*")
     forward, back, old = F.col(fmt.fields), F.col(fmt.sources), F.col(fmt.legacy)
@@ -98,7 +100,7 @@ def decode_mappings(documents: DataFrame, fmt: MappingFormat = STANDARD) -> Deco
         .when(~legacy & ~F.col(fmt.version_key).eqNullSafe(F.lit(fmt.version)), "version")
         .when(F.coalesce(F.size(F.coalesce(forward, old)), F.lit(0)) <= 0, "no mapping")
     )
-    facts = own.select("*", legacy.alias("legacy"), problem.alias("problem"))
+    facts = materialise(own.select("*", legacy.alias("legacy"), problem.alias("problem")))
     fine = facts.where("problem IS NULL")
     new = fine.where("NOT legacy").select("mapping_id", "legacy", F.explode(forward).alias("field", "source"))
     one = fine.where("legacy").select("mapping_id", "legacy", F.explode(old).alias("source", "field")).select("mapping_id", "legacy", "field", "source")
@@ -118,13 +120,17 @@ def check_documents(documents: DataFrame, catalogue: DataFrame, time_field: str,
     """Per document its problem and the violation counts of what it says (NULL where it says
     nothing): those of ``mapping_violations``, and ``catalogue_disagreements``, the sources
     that its reverse lists leave out or invent. A valid document has no problem and zeros."""
-    d = decode_mappings(documents, fmt)
+    return check_decoded(decode_mappings(documents, fmt), catalogue, time_field, time_source)
+
+
+def check_decoded(d: Decoded, catalogue: DataFrame, time_field: str, time_source: str) -> DataFrame:
+    """``check_documents`` of documents that are read already."""
     counts = mapping_violations(d.mappings, d.reverse, d.unfilled, catalogue, time_field, time_source)
-    want = d.catalogued.select("mapping_id").distinct().select("mapping_id", F.explode(F.array(*map(F.lit, _sources(catalogue)))).alias("source"))
-    both = want.withColumn("_w", F.lit(1)).join(d.catalogued.distinct().withColumn("_h", F.lit(1)), ["mapping_id", "source"], "full_outer")
-    apart = both.groupBy("mapping_id").agg(F.count_if(F.col("_w").isNull() | F.col("_h").isNull()).alias("_apart"))
+    known = F.array(*map(F.lit, _sources(catalogue))).cast("array<string>")
+    named = d.catalogued.where("mapping_id IS NOT NULL").groupBy("mapping_id").agg(F.collect_set("source").alias("_named"))
+    apart = named.select("mapping_id", (F.size(F.array_except(known, "_named")) + F.size(F.array_except("_named", known))).cast("bigint").alias("_apart"))
     out = d.documents.join(counts, "mapping_id", "left").join(apart, "mapping_id", "left")
-    found = F.when(F.col("problem").isNull(), F.coalesce("_apart", F.lit(0)))
+    found = F.when(F.col("problem").isNull(), F.coalesce("_apart", F.lit(0).cast("bigint")))
     return out.select(*d.documents.columns, *[c for c in counts.columns if c != "mapping_id"], found.alias("catalogue_disagreements"))
 
 

@@ -98,3 +98,13 @@ def test_columns_of_a_consumer(spark):
         conform.apply_for_consumer(df.drop("c1"), ["id"], mapping, ["kind", "code"], ["value"], slots, ["kind"])
     with pytest.raises(Exception, match="non-integer"):
         conform.apply_for_consumer(df.withColumn("c1", F.lit(3.5)), ["id"], mapping, ["kind", "code"], ["value"], slots, ["kind"]).collect()
+
+
+def test_documents_are_parsed_once_and_a_mapping_comes_together_once(spark, catalogue):
+    mappings = spark.createDataFrame([(0, False, f, s) for f, s in GOOD["fields"].items()] + [(1, True, f, s) for s, f in OLD["mapping"].items()], "mapping_id long, legacy boolean, field string, source string")
+    docs = J.encode_mappings(mappings, catalogue)
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Join" not in plan
+    checked = J.check_documents(docs, catalogue, "at", "t")
+    assert "from_json" not in checked._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["catalogue_disagreements"] for r in checked.collect()} == {0}

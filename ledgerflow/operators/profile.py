@@ -563,12 +563,28 @@ def matching_source(
 # -- rank correlation ------------------------------------------------------------------
 
 
+#: A value in more than this part of all cells is common; there are at most as many as its inverse.
+COMMON_PART = 1000
+
+
 def _average_ranks(cells: DataFrame, key: list[str], c: str) -> DataFrame:
-    """Mid-rank of every distinct value of ``c`` per pair."""
-    counts = cells.groupBy(*key, c).agg(F.sum("n").alias("_m"))
+    """Mid-rank of every distinct value of ``c`` per pair, and the number of its cells."""
+    counts = materialise(cells.groupBy(*key, c).agg(F.sum("n").alias("_m"), F.count(F.lit(1)).alias("_cells")))
     run = running_totals(value_bucketed(counts, c), key, [F.asc(c)], {"_upto": "_m"})
     rank = F.col("_upto") - F.col("_m") + (F.col("_m") + 1) / F.lit(2.0)
-    return run.select(*key, c, rank.alias(f"_r{c}"))
+    return materialise(run.select(*key, c, rank.alias(f"_r{c}"), "_cells"))
+
+
+def _with_ranks(cells: DataFrame, key: list[str], c: str) -> DataFrame:
+    """Cells with the mid-rank of their ``c``. Common values are few and looked up in every task, so
+    that none of them brings its cells into one task; the others are joined."""
+    ranks = _average_ranks(cells, key, c)
+    total = ranks.agg(F.sum("_cells").alias("n")).scalar()
+    common = F.col("_cells") * COMMON_PART > total
+    few = ranks.where(common).drop("_cells")
+    seen = cells.join(F.broadcast(few), [*key, c], "left")
+    rest = seen.where(F.col(f"_r{c}").isNull()).drop(f"_r{c}").join(ranks.where(~common).drop("_cells"), [*key, c])
+    return seen.where(F.col(f"_r{c}").isNotNull()).unionByName(rest)
 
 
 def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -587,8 +603,7 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     joint = materialise(joint)
-    rx, ry = _average_ranks(joint, key, "x"), _average_ranks(joint, key, "y")
-    r = joint.join(rx, [*key, "x"]).join(ry, [*key, "y"])
+    r = _with_ranks(_with_ranks(joint, key, "x"), key, "y")
     n, a, b = F.col("n"), F.col("_rx"), F.col("_ry")
     total = F.sum(n).cast("double")
     mid = (total + 1) / F.lit(2.0)

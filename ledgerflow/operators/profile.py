@@ -503,6 +503,42 @@ def category_counts(df: DataFrame, specs: Sequence[ColumnSpec]) -> DataFrame:
     )
 
 
+def joint_values(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(left, right, u, v): the distinct values, as text, of each pair of columns over the rows complete
+    in both. A task finds those of some megabytes of rows at a time, pair by pair, so no row
+    is multiplied by the number of pairs."""
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    places = [(names.index(a), names.index(b)) for a, b in pairs]
+
+    def distinct(held):
+        coded = [pa.chunked_array([c for b in held for c in [b.column(i)]]).combine_chunks().dictionary_encode() for i in range(len(names))]
+        at, us, vs = [], [], []
+        for k, (i, j) in enumerate(places):
+            a, b = (np.asarray(coded[x].indices.fill_null(-1), np.int64) for x in (i, j))
+            own, width = (a >= 0) & (b >= 0), len(coded[j].dictionary)
+            both = np.unique(a[own] * width + b[own])
+            at.append(np.full(len(both), k, np.int32))
+            us.append(coded[i].dictionary.take(pa.array(both // max(width, 1))))
+            vs.append(coded[j].dictionary.take(pa.array(both % max(width, 1))))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.concat_arrays(us), pa.concat_arrays(vs)], ["at", "u", "v"])
+
+    def found(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= CHUNK_BYTES:
+                yield distinct(held)
+                held, size = [], 0
+        if held:
+            yield distinct(held)
+
+    texts = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(names)])
+    sides = [F.element_at(F.array(*[F.lit(p[i]) for p in pairs]), F.col("at") + 1).alias(n) for i, n in enumerate(("left", "right"))]
+    return texts.mapInArrow(found, "at int, u string, v string").distinct().select(*sides, "u", "v")
+
+
 def _named(names: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at") + 1).alias("column")
 

@@ -40,6 +40,13 @@ def passports(spark, sf):
     return a, materialise(P.profile_columns(side(spark, sf, "b"), SPECS))
 
 
+def category_passports(spark, sf, which: str, names):
+    """``passports`` of the categorical columns of one half: all that pairs of categories need."""
+    specs = [ColumnSpec(ANON[c] if which == "a" else c, "categorical") for c in names]
+    df = side(spark, sf, which).select(*[s.name for s in specs])
+    return materialise(P.profile_columns(df, specs, materialise(P.category_counts(df, specs))))
+
+
 def _passport_sql(name: str, where: str, names: dict) -> str:
     cat = " UNION ALL ".join(f"SELECT '{names[c]}' AS c, CAST({c} AS VARCHAR) AS v FROM led WHERE {where}" for c in CATEGORIES)
     num = " UNION ALL ".join(f"SELECT '{names[c]}' AS c, {c} AS v FROM led WHERE {where}" for c in NUMERICS)
@@ -232,11 +239,8 @@ _CX = " UNION ALL ".join(
 
 def joint_structure(led, names, rename):
     """A cheap symmetric structure: 1 / (1 + log10 of the joint distinct count)."""
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    cells = F.array(*[
-        F.struct(F.lit(rename[a]).alias("left"), F.lit(rename[b]).alias("right"), F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs
-    ])
-    joint = led.select(F.inline(cells)).where("u IS NOT NULL AND v IS NOT NULL").distinct()
+    pairs = [(rename[a], rename[b]) for i, a in enumerate(names) for b in names[i + 1:]]
+    joint = P.joint_values(led.select(*[F.col(c).alias(rename[c]) for c in names]), pairs)
     g = joint.groupBy("left", "right").agg((F.lit(1.0) / (1 + F.log10(F.count(F.lit(1)).cast("double")))).alias("distance"))
     return M.symmetric(g)
 
@@ -263,9 +267,9 @@ for _c in CATEGORIES:
     LEFT JOIN cx ON cx.i = t1.source AND cx.j = t2.source LEFT JOIN cy ON cy.i = t1.target AND cy.j = t2.target)
   SELECT round(feature, 8) AS feature_loss, round(structure, 8) AS structure_loss, round(0.5 * feature + 0.5 * structure, 8) AS objective FROM f, s""")
 def _(spark, sf):
-    d = materialise(distances(spark, sf).where("source_kind = 'categorical' AND target_kind = 'categorical'"))
-    led = ledger(spark, sf).withColumn("_f", fold("client_id"))
     names = list(CATEGORIES)
+    d = materialise(M.passport_distance(*(category_passports(spark, sf, h, names) for h in "ab")))
+    led = ledger(spark, sf).withColumn("_f", fold("client_id"))
     cx = joint_structure(led.where(HALF_A), names, ANON)
     cy = joint_structure(led.where(HALF_B), names, {c: c for c in names})
     o = M.fgw_objective(_uniform_plan(d), d, cx, cy, 0.5)

@@ -3,8 +3,7 @@ kept. What a stage returns is written as Parquet in the shared folder and read a
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import near_dedup, packing, personal, quality, suffix_dedup
@@ -39,31 +38,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return single.unionByName(several).unionByName(own.filter(F.col("doc_id").isNull())).select(*COLUMNS)
 
 
-def left_of(text: Column, spans: Column) -> Column:
-    """Whole characters of a text between spans of its UTF-8 bytes. Each part is decoded on its
-    own, so that what two cuts leave of characters never makes another one."""
-
-    @F.pandas_udf("string")
-    def left(data: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        out = []
-        for own, a, b in zip(data, starts, ends):
-            parts = [own[i:j] for i, j in zip([0, *b], [*a, len(own)])] if own is not None else []
-            out.append("".join(p.decode("utf-8", "ignore") for p in parts))
-        return pd.Series(out, dtype=object)
-
-    return left(text.cast("binary"), spans["start"], spans["end"])
-
-
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that a string of 100 bytes which starts earlier covers. What a cut
     leaves of a character goes too, and n_chars counts what is left. Documents of which
     nothing is left stay, empty."""
-    out = suffix_dedup.remove_repeats(docs, 100, carry=("text", "lang", "source", "n_chars"))
-    cut = left_of(F.col("carry.text"), F.col("spans"))
-    changed = F.col("n_removed") > 0
-    return out.select(
-        "doc_id", F.when(changed, cut).otherwise(F.col("carry.text")).alias("text"), "carry.lang", "carry.source",
-        F.when(changed, F.length(cut).cast("long")).otherwise(F.col("carry.n_chars")).alias("n_chars"),
+    own = docs.withColumn("absent", F.col("text").isNull())
+    out = suffix_dedup.remove_repeats(own, 100, carry=("absent", "lang", "source", "n_chars"), characters=True)
+    return out.withColumn("text", F.when(~F.col("carry.absent"), F.col("kept").cast("string"))).select(
+        "doc_id", "text", "carry.lang", "carry.source",
+        F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("carry.n_chars")).alias("n_chars"),
     )
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from ledgerflow.llm import chunks as c
+from ledgerflow.llm import memory
 
 LENGTH = 100
 GRAM = 32
@@ -115,6 +116,7 @@ FOUND_SCHEMA = "chunk int, kind string, keys binary"
 def _found(table: pa.Table, kinds: tuple[str, str], most: int, length: int) -> pa.Table:
     """One bucket: per chunk the keys that occur twice or more, under the second kind those whose
     runs in all chunks together may have more than ``most`` bytes. A kind without a name is left out."""
+    memory.enter("suffix_dedup")
     rows = [c.unpacked(k, "u8") for k in table.column("keys").to_pylist()]
     every = np.sort(np.concatenate(rows))
     values, code = every & ~_LOW, (every & _LOW).astype(np.int64)
@@ -272,6 +274,7 @@ ANSWER_SCHEMA = "chunk int, docs binary, starts binary, marks binary"
 
 def _answers(table: pa.Table, length: int) -> pa.Table:
     """One shard: for every run, which of its strings start earlier elsewhere (bit i: the i-th)."""
+    memory.enter("suffix_dedup")
     rows = table.to_pylist()
     classes: dict[bytes, int] = {}
     member, docs, starts, sizes = [], [], [], []
@@ -351,7 +354,14 @@ def _covered(own: c.Chunk, answers: pa.Table, length: int) -> np.ndarray:
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def _results(own: c.Chunk, covered: np.ndarray) -> pa.Table:
+def _characters(data: bytes, spans: list[dict[str, int]]) -> bytes:
+    """Whole characters between spans. Each part is decoded on its own, so that what two cuts
+    leave of characters never makes another one."""
+    edges = zip([0, *(s["end"] for s in spans)], [*(s["start"] for s in spans), len(data)])
+    return "".join(data[i:j].decode("utf-8", "ignore") for i, j in edges).encode()
+
+
+def _results(own: c.Chunk, covered: np.ndarray, characters: bool = False) -> pa.Table:
     doc_id, rows = [], {"n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept": []}
     for i, (a, b) in enumerate(zip(own.begin.tolist(), own.end.tolist())):
         gone = covered[a:b]
@@ -366,7 +376,7 @@ def _results(own: c.Chunk, covered: np.ndarray) -> pa.Table:
         rows["n_removed"].append(int(gone.sum()))
         rows["n_spans"].append(len(spans))
         rows["spans"].append(spans)
-        rows["kept"].append(own.bytes[a:b][~gone].tobytes())
+        rows["kept"].append(_characters(own.data[i], spans) if characters else own.bytes[a:b][~gone].tobytes())
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     return pa.table({
         "doc_id": pa.array(doc_id, pa.int64()), **{n: pa.array(rows[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")},
@@ -374,7 +384,9 @@ def _results(own: c.Chunk, covered: np.ndarray) -> pa.Table:
     })
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = (), most: int = MOST) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = (), most: int = MOST, characters: bool = False,
+) -> DataFrame:
     """Documents (doc_id, text) without the bytes that a string of ``length`` bytes covers which
     also starts earlier: at a smaller doc_id, or before it in the same document. Strings are
     judged on the input. Texts are their UTF-8 bytes, null is empty.
@@ -384,7 +396,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     a character). Rows that share an id count as one document, their texts in byte order,
     though no string spans two of them; null ids come first. Columns named in ``carry`` are
     returned as a struct of that name, others are not read. ``most`` is the text in bytes that
-    one key may bring to a shard; it changes no result.
+    one key may bring to a shard; it changes no result. With ``characters`` what a cut leaves
+    of a character is not in ``kept`` either; a text without spans is kept as it is.
     """
     own = c.corpus(docs, carry=carry)
     schema = StructType.fromDDL(RESULT_SCHEMA)
@@ -392,19 +405,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     buckets, shards = own.buckets, own.chunks
 
     def keys(table: pa.Table) -> pa.Table:
+        memory.enter("suffix_dedup")
         return _anchor_rows(c.Chunk(table), table.column("chunk")[0].as_py(), buckets, length, gram)
 
     def longer(left: pa.Table, right: pa.Table) -> pa.Table:
+        memory.enter("suffix_dedup")
         if not len(left) or not len(right):
             return _key_rows(0, _NONE, buckets)
         return _longer_rows(c.Chunk(left), left.column("chunk")[0].as_py(), c.gathered(right), buckets, length, gram)
 
     def runs(left: pa.Table, right: pa.Table) -> pa.Table:
+        memory.enter("suffix_dedup")
         return _run_rows(c.Chunk(left), _by_kind(right), left.column("chunk")[0].as_py() if len(left) else 0, shards, length, gram)
 
     def results(left: pa.Table, right: pa.Table) -> pa.Table:
+        memory.enter("suffix_dedup")
         chunk = c.Chunk(left)
-        out = _results(chunk, _covered(chunk, right, length))
+        out = _results(chunk, _covered(chunk, right, length), characters)
         return out.append_column("carry", left.column("carry").take(pa.array(chunk.order, pa.int64()))) if carry else out
 
     def found(rows: DataFrame, **kinds: tuple[str, ...]) -> DataFrame:

@@ -56,6 +56,16 @@ def test_replacement_characters_of_the_text_stay(spark):
     assert got == {0: (passage, None), 1: ("own \ufffd one  two \ufffd", 16)}
 
 
+def test_cut_texts_come_from_the_tasks_that_cut(spark):
+    docs = spark.createDataFrame([(1, None, "x", None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.without_repeats(spark, docs, SMALL)
+    # a second Python step behind the operator means twice the workers, a carried text twice the exchange
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "EvalPython" not in plan
+    assert "named_struct(text" not in plan and "struct(text" not in plan
+    assert [tuple(r) for r in out.collect()] == [(1, None, "x", None, None)]
+
+
 def test_everything_is_registered():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import near_dedup, packing, personal, quality, suffix_dedup
+from ledgerflow.llm import members, near_dedup, packing, personal, quality, suffix_dedup
 from ledgerflow.llm.queries import tokenizer_file
 from ledgerflow.sources.readers import materialise
 
@@ -28,14 +28,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id. Of rows that
     share an id one stays. Documents without words or without an id all stay."""
-    kept = near_dedup.near_duplicates(docs).filter("kept")
-    ids = kept.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    ids = materialise(ids)
-    twice = ids.filter(F.col("rows") > 1).select("doc_id")
-    own = docs.select(*COLUMNS)
-    single = own.join(ids.filter(F.col("rows") == 1).select("doc_id"), "doc_id", "left_semi")
-    several = own.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several).unionByName(own.filter(F.col("doc_id").isNull())).select(*COLUMNS)
+    groups = near_dedup.near_duplicates(docs).filter(F.col("doc_id").isNotNull())
+    ids = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("stays"))
+    special = materialise(ids.filter(~F.col("stays") | (F.col("rows") > 1)).select("doc_id", "stays"))
+    # only texts of ids that go or repeat are exchanged, not those of the many that stay
+    own = members.marked(docs.select(*COLUMNS), special)
+    asked = own.filter("maybe").select(*COLUMNS)
+    other = asked.join(special.select("doc_id"), "doc_id", "left_anti")
+    several = asked.join(special.filter("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return own.filter(~F.col("maybe")).select(*COLUMNS).unionByName(other).unionByName(several).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

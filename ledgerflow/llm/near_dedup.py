@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm import chunks as c
 from ledgerflow.llm import hyperminhash as h
+from ledgerflow.llm import members as m
 from ledgerflow.llm import memory
 from ledgerflow.llm.components import components
 from ledgerflow.llm.window_dedup import Words
@@ -265,7 +266,9 @@ def _confirmed(clusters: DataFrame, docs: DataFrame) -> DataFrame:
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = materialise(placed)
     rows = placed.agg(F.sum("blocks")).first()[0] or 0
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    ids = placed.select(F.col("rep").alias("doc_id"))
+    # the few sets of other documents go in the join, so no text is exchanged
+    some = m.marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).filter("maybe")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory.enter("near_dedup")
@@ -296,7 +299,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = materialise(signatures(docs))
     known = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    first = known.withColumnRenamed("doc_id", "rep").join(classes, ["k1", "k2", "rep"]).dropDuplicates(["rep"])
+    # registers are exchanged once: an id that stands for several classes is settled before
+    single = classes.groupBy("rep").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2", "rep")
+    first = known.withColumnRenamed("doc_id", "rep").join(single, ["k1", "k2", "rep"]).dropDuplicates(["k1", "k2", "rep"])
     reps = materialise(first.select("rep", F.col("n_shingles").alias("n"), "registers"))
     together = Window.partitionBy("key")
     shared = _banded(reps).withColumn("many", F.count("*").over(together)).filter(F.col("many") > 1)

@@ -9,6 +9,7 @@ a third of all occurrences therefore sends one entry per chunk.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -154,8 +155,16 @@ def member(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return keys[np.minimum(at, len(keys) - 1)] == values
 
 
+BLOCK = 1 << 14  # elements that are worked on at a time, so that what lies between two steps stays in the cache
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of uint64 values; one to one."""
+    if x.ndim == 1 and len(x) > BLOCK:
+        out = np.empty(len(x), np.uint64)
+        for i in range(0, len(x), BLOCK):
+            out[i : i + BLOCK] = mix(x[i : i + BLOCK])
+        return out
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -165,6 +174,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def sliding(values: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
     """pick over every ``width`` neighbours: result[i] covers values[i : i + width]."""
+    least = max(BLOCK, width)
+    if len(values) > 2 * least:
+        out = np.empty(len(values) - width + 1, values.dtype)
+        for i in range(0, len(out), least):
+            out[i : i + least] = sliding(values[i : i + least + width - 1], width, pick)
+        return out
     size = 1
     while size * 2 <= width:
         values = pick(values[:-size], values[size:]) if len(values) > size else values[:0]
@@ -173,25 +188,32 @@ def sliding(values: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
     return pick(values[: len(values) - rest], values[rest:]) if rest and len(values) > rest else values[: max(0, len(values) - rest)]
 
 
+@lru_cache(maxsize=16)
+def _powers(factor: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd factor, and of its inverse, modulo 2^64."""
+    inverse = pow(factor, -1, 1 << 64)
+    both = []
+    for base in (factor, inverse):
+        out = np.full(size, base, np.uint64)
+        out[0] = 1
+        both.append(np.multiply.accumulate(out))
+    return both[0], both[1]
+
+
 def rolling(values: np.ndarray, width: int, factor: int) -> np.ndarray:
-    """Polynomial hash of every ``width`` neighbours of uint64 values, by doubling."""
-    result, done, power = None, 0, pow(factor, 1, 1 << 64)
-    part, size = values, 1
-    need = width
-    while need:
-        if need & 1:
-            if result is None:
-                result, done = part, size
-            else:  # result covers [i, i + done); append what starts there
-                tail = part[done:]
-                result = result[: len(tail)] * np.uint64(pow(factor, size, 1 << 64)) + tail
-                done += size
-        need >>= 1
-        if need:
-            part = part[:-size] * np.uint64(power) + part[size:] if len(part) > size else part[:0]
-            size *= 2
-            power = pow(factor, size, 1 << 64)
-    return result[: max(0, len(values) - width + 1)]
+    """Polynomial hash of every ``width`` neighbours of uint64 values, by an odd factor: with the
+    powers of its inverse, a difference of two running sums."""
+    size = max(0, len(values) - width + 1)
+    out = np.empty(size, np.uint64)
+    up, down = _powers(factor, BLOCK + -(-width // BLOCK) * BLOCK)
+    sums = np.zeros(min(BLOCK, size) + width, np.uint64)
+    for i in range(0, size, BLOCK):
+        n = min(BLOCK, size - i)
+        part = values[i : i + n + width - 1]
+        np.cumsum(part * down[: len(part)], out=sums[1 : len(part) + 1])
+        np.subtract(sums[width : width + n], sums[:n], out=out[i : i + n])
+        out[i : i + n] *= up[width - 1 : width - 1 + n]
+    return out
 
 
 FACTOR = 0x9E3779B97F4A7C15
@@ -209,11 +231,11 @@ def anchors(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int
 
 def windows(size: int, begin: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
     """Whether a window of ``length`` symbols starts at each of ``size`` places."""
-    edge = np.zeros(size + 1, dtype=np.int32)
+    edge = np.zeros(size + 1, dtype=np.int8)  # documents do not overlap, so the running sum is 0 or 1
     fits = end - begin >= length
     np.add.at(edge, begin[fits], 1)
     np.add.at(edge, end[fits] - length + 1, -1)
-    return np.cumsum(edge[:size]) > 0
+    return np.cumsum(edge[:size], dtype=np.int8) > 0
 
 
 def anchor_keys(symbols, begin, end, length: int, gram: int, among: np.ndarray | None = None):

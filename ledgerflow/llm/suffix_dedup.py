@@ -44,6 +44,13 @@ def _member(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
 
 
+def _stretches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where equal neighbours begin, and how many there are. Neighbouring windows mostly share
+    their anchor, so what depends on it is asked once for all of them."""
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+    return first, np.diff(np.append(first, len(values)))
+
+
 def _runs_of(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of ascending window places and their keys: where runs of neighbours with one key begin,
     and their sizes. Windows of two documents are no neighbours: they start a length apart."""
@@ -52,8 +59,8 @@ def _runs_of(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _whole(own: c.Chunk, length: int) -> np.ndarray:
-    """Hash of the string of ``length`` bytes at every place."""
-    return c.mix(c.rolling(_BYTE[own.bytes], length, c.FACTOR))
+    """Hash of the string of ``length`` bytes at every place; to be mixed where it is a key."""
+    return c.rolling(_BYTE[own.bytes], length, c.FACTOR)
 
 
 def _weighed(keys: np.ndarray, multi: np.ndarray, key: np.ndarray, at: np.ndarray, whole: np.ndarray, length: int) -> np.ndarray:
@@ -62,7 +69,7 @@ def _weighed(keys: np.ndarray, multi: np.ndarray, key: np.ndarray, at: np.ndarra
     first, size = _runs_of(key, at)
     bytes_ = size + (length - 1) * -(-size // RUN)
     own, start = key[first] & ~_LOW, at[first]
-    mark = c.mix(whole[start] ^ c.mix(whole[start + size - 1] + size.astype(np.uint64)))
+    mark = c.mix(c.mix(whole[start]) ^ c.mix(c.mix(whole[start + size - 1]) + size.astype(np.uint64)))
     by = np.lexsort((mark, own))
     own, mark, bytes_ = own[by], mark[by], bytes_[by]
     fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (mark[1:] != mark[:-1])])
@@ -99,11 +106,12 @@ def _longer_rows(own: c.Chunk, chunk: int, hot: np.ndarray, buckets: int, length
     kind of buckets their longer anchors, weighed."""
     least, valid, _ = c.anchors(_BYTE[own.bytes], own.begin, own.end, length, gram)
     at = np.flatnonzero(valid)
-    at = at[_member(hot, least[at])]
+    first, size = _stretches(least[at])
+    at = at[np.repeat(_member(hot, least[at[first]]), size)]
     if not len(at):
         return _key_rows(chunk, _NONE, buckets)
     whole = _whole(own, length)
-    keys, counts = np.unique(whole[at] & ~_LOW, return_counts=True)
+    keys, counts = np.unique(c.mix(whole[at]) & ~_LOW, return_counts=True)
     longer = c.anchors(_BYTE[own.bytes], own.begin, own.end, length, (gram + length) // 2)[0][at]
     second = np.unique(longer & ~_LOW)
     second = _weighed(second, np.zeros(len(second), bool), longer, at, whole, length)
@@ -148,15 +156,18 @@ def _runs(own: c.Chunk, keys: dict[str, np.ndarray], length: int, gram: int):
     if it is hot the longer anchor, of strings that repeat; if that is hot too, the string."""
     least, valid, _ = c.anchors(_BYTE[own.bytes], own.begin, own.end, length, gram)
     at = np.flatnonzero(valid)
+    first, stretch = _stretches(least[at])
+    hot, cold = (np.repeat(_member(keys[k], least[at[first]]), stretch) for k in ("hot", "cold"))
+    hot, at = hot[hot | cold], at[hot | cold]
     key = least[at]
-    hot = _member(keys["hot"], key)
-    keep = hot | _member(keys["cold"], key)
     if hot.any():
-        whole = _whole(own, length)[at]
-        longer = c.anchors(_BYTE[own.bytes], own.begin, own.end, length, (gram + length) // 2)[0][at]
-        key = np.where(hot, np.where(_member(keys["longer"], longer), whole, longer), key)
-        keep &= ~hot | _member(keys["whole"], whole)
-    at, key = at[keep], key[keep]
+        place = at[hot]
+        whole = c.mix(_whole(own, length)[place])
+        longer = c.anchors(_BYTE[own.bytes], own.begin, own.end, length, (gram + length) // 2)[0][place]
+        key[hot] = np.where(_member(keys["longer"], longer), whole, longer)
+        keep = ~hot
+        keep[hot] = _member(keys["whole"], whole)
+        at, key = at[keep], key[keep]
     if not len(at):
         return at, at, key
     first, size = _runs_of(key, at)
@@ -311,7 +322,28 @@ def _answers(table: pa.Table, length: int) -> pa.Table:
 
 def _first_marks(texts: list[bytes], doc: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
     """Of distinct runs, given with their earliest places: the strings that are not the earliest
-    of their kind."""
+    of their kind. Runs without a string whose hash occurs twice here are not sorted."""
+    marks = np.zeros(len(texts), np.uint64)
+    some = _hold_repeats(texts, size, length)
+    if len(some):
+        marks[some] = _sorted_marks([texts[i] for i in some.tolist()], doc[some], start[some], size[some], length)
+    return marks
+
+
+def _hold_repeats(texts: list[bytes], size: np.ndarray, length: int) -> np.ndarray:
+    """Numbers of the runs that hold a string whose hash occurs twice in the shard."""
+    begin = np.concatenate([[0], np.cumsum(size + (length - 1))])
+    run = np.repeat(np.arange(len(texts)), size)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+    value = c.rolling(_BYTE[np.frombuffer(b"".join(texts), np.uint8)], length, c.FACTOR)[begin[run] + nth]
+    order = np.argsort(value)
+    value = value[order]
+    same = value[1:] == value[:-1]
+    return np.unique(run[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]])
+
+
+def _sorted_marks(texts: list[bytes], doc: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """``_first_marks`` by suffix array and boundaries."""
     ends = np.cumsum([len(t) + 1 for t in texts])
     begins = ends - np.array([len(t) + 1 for t in texts])
     text = np.zeros(ends[-1], np.uint16)

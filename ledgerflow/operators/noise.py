@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerflow.functions.draws import all_hashed, hashed, key_text
 from ledgerflow.functions.ranks import number_rows
-from ledgerflow.functions.scalars import finite, uniforms, uniforms_where
+from ledgerflow.functions.scalars import finite
 from ledgerflow.operators.profile import category_value
 from ledgerflow.schema import ColumnSpec
 from ledgerflow.sources.readers import attach_row, materialise
@@ -73,7 +76,8 @@ def corrupt_variants(
 ) -> tuple[DataFrame, dict[tuple[str, str], str]]:
     """(table, {(case, column): its column there}). A column's noise depends on its own strength and
     the seed only, so cases that share both share the column: it is named ``case|column``
-    after the first of them. A draw is made once per seed, column and row.
+    after the first of them. A draw is made once per seed, column and row, all draws of a batch
+    of rows together.
 
     A category's observed values are one array of a one-row table, by value; a replacement is
     looked up there by its place. Columns of more than ARRAY_VALUES values are joined instead: to
@@ -103,12 +107,8 @@ def corrupt_variants(
         # one value per numeric column
         scale = F.struct(*[F.max(F.when(continuous & (F.col("column") == s.name), F.col("quantile_scale"))).alias(s.name) for _, s in nums])
         out = attach_row(out, materialise(passports.agg(scale.alias("_scale"))))
-    highest: dict[int, float] = {}
-    for p, seed in chances:
-        if p > 0:
-            highest[seed] = max(p, highest.get(seed, 0.0))
     sizes: dict[str, int] = {}
-    if cats and highest:
+    if cats and any(p > 0 for p, _ in chances):
         cells = F.array(*[F.struct(F.lit(s.name).alias("column"), category_value(df, s.name).alias("value")) for _, s in cats])
         seen = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
         book = materialise(number_rows(seen, ["column"], [F.asc("value")], "position"))
@@ -118,31 +118,24 @@ def corrupt_variants(
         if small:
             out = attach_row(out, materialise(listed.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("_v"))).alias(c) for c in small]).alias("_values"))))
     large = {i for i, s in cats if sizes.get(s.name, 0) > ARRAY_VALUES}
-    drawn = [(i, s, seed) for i, s in cats if sizes.get(s.name, 0) > 1 for seed in highest]
     # numbers become text once
     out = out.withColumns({f"_text{i}": _text(types, s.name) for i, s in cats}) if cats else out
     for i, s in cats:
         if i in large:
             mine = book.where(F.col("column") == s.name).select(F.col("value").alias("_value"), (F.col("position") - 1).alias(f"_own{i}"))
             out = out.join(mine, F.col(f"_text{i}") == F.col("_value"), "left").drop("_value")
-    # the draws of all columns and seeds, in arrays, so that the variants do not repeat them
     noisy_seeds = list(dict.fromkeys(seed for lam, seed in strengths if lam > 0))
     normal = {(i, seed): k for k, (i, seed) in enumerate((i, seed) for i, _ in nums for seed in noisy_seeds)}
+    picked = [(i, p, seed) for p, seed in chances if p > 0 for i, s in cats if sizes.get(s.name, 0) > 1]
+    if normal or picked:
+        places = {i: F.col(f"_own{i}") if i in large else F.array_position(F.col(f"_values.{s.name}"), F.col(f"_text{i}")) - 1 for i, s in cats if sizes.get(s.name, 0) > 1}
+        order = sorted({i for i, _, _ in picked})
+        draw = _drawer(list(normal), picked, order, {i: sizes[s.name] for i, s in cats if i in order})
+        out = out.withColumn("_drawn", draw(key_text(*key), F.array(*[places[i].cast("int") for i in order]).cast("array<int>")))
     if normal:
-        out = out.withColumn("_radius", uniforms([f"{seed}:{i}:radius" for i, seed in normal], *key))
-        out = out.withColumn("_angle", uniforms([f"{seed}:{i}:angle" for i, seed in normal], *key))
-        out = out.withColumn("_normal", F.zip_with("_radius", "_angle", lambda r, a: F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - r)) * F.cos(F.lit(2.0 * math.pi) * a)))
-    at = {(i, seed): k for k, (i, _, seed) in enumerate(drawn)}
-    if drawn:
-        most = F.array(*[F.lit(highest[seed]) for _, seed in at])
-        others = F.array(*[F.lit(sizes[s.name] - 1) for _, s, _ in drawn])
-        places = {i: F.col(f"_own{i}") if i in large else F.array_position(F.col(f"_values.{s.name}"), F.col(f"_text{i}")) - 1 for i, s, _ in drawn}
-        out = out.withColumn("_places", F.array(*[places[i] for i, _ in at]))
-        out = out.withColumn("_mask", uniforms([f"{seed}:{i}:mask" for i, seed in at], *key))
-        out = out.withColumn("_mask", F.zip_with("_mask", "_places", lambda m, o: F.when(o.isNotNull(), m)))
-        draw = uniforms_where(F.transform("_mask", lambda m, k: m < F.get(most, k)), [f"{seed}:{i}:pick" for i, seed in at], *key)
-        out = out.withColumn("_draw", F.zip_with(draw, others, lambda d, n: F.floor(d * n)))
-        out = out.withColumn("_pick", F.zip_with("_draw", "_places", lambda d, o: d + F.when(d >= o, 1).otherwise(0)))
+        pairs = [(F.get("_drawn.radius", F.lit(k)), F.get("_drawn.angle", F.lit(k))) for k in range(len(normal))]
+        out = out.withColumn("_normal", F.array(*[F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - r)) * F.cos(F.lit(2.0 * math.pi) * a) for r, a in pairs]))
+    at = {x: k for k, x in enumerate(picked)}
     for (lam, seed), names in strengths.items():
         for i, s in nums:
             new = F.col(s.name)
@@ -158,19 +151,56 @@ def corrupt_variants(
         for i, s in cats:
             new = value = F.col(f"_text{i}")
             if p > 0 and sizes.get(s.name, 0) > 1:
-                k = F.lit(at[i, seed])
-                hit, pick = F.get("_mask", k) < p, F.get("_pick", k)
+                place = F.get("_drawn.places", F.lit(at[i, p, seed]))
                 if i in large:
                     other = book.where(F.col("column") == s.name).select((F.col("position") - 1).alias("_place"), F.col("value").alias(f"_new{i}_{variant}"))
                     spread = F.lit(-1) - F.pmod(F.xxhash64(*key), F.lit(1 << 20))
-                    out = out.withColumn("_to", F.when(hit, pick).otherwise(spread)).join(other, F.col("_to") == F.col("_place"), "left").drop("_to", "_place")
+                    out = out.withColumn("_to", F.when(place != F.col(f"_own{i}"), place).otherwise(spread)).join(other, F.col("_to") == F.col("_place"), "left").drop("_to", "_place")
                     new = F.coalesce(f"_new{i}_{variant}", value)
                 else:
-                    new = F.when(hit, F.get(F.col(f"_values.{s.name}"), pick.cast("int"))).otherwise(value)
+                    new = F.get(F.col(f"_values.{s.name}"), place)
             columns.append(new.alias(shared(names, s.name)))
     return out.select(*columns), own
 
 
+def _drawer(normal: Sequence[tuple[int, int]], picked: Sequence[tuple[int, float, int]], order: Sequence[int], sizes: dict[int, int]):
+    """Function of (key text, places of the values of the categories ``order``) that gives the uniform
+    draws of ``normal`` (column, seed), and for each of ``picked`` (column, probability, seed) the
+    place of the value that stands there afterwards, NULL for none."""
+    masks = list(dict.fromkeys((i, seed) for i, _, seed in picked))
+    highest = [max(p for j, p, s in picked if (j, s) == m) for m in masks]
+    radius, angle, mask, pick = (
+        [f"{seed}:{i}:{part}" for i, seed in of] for of, part in ((normal, "radius"), (normal, "angle"), (masks, "mask"), (masks, "pick"))
+    )
+
+    @F.arrow_udf("struct<radius: array<double>, angle: array<double>, places: array<int>>")
+    def draw(keys: pa.Array, places: pa.Array) -> pa.Array:
+        u = all_hashed([*radius, *angle, *mask], keys)
+        own = np.asarray(places.flatten().fill_null(-1), np.int64).reshape(len(keys), len(order)).T
+        chance = u[2 * len(normal):]
+        other = {}  # only values that some probability replaces are drawn
+        hit = [np.flatnonzero((c < p) & (own[order.index(i)] >= 0)) for c, p, (i, _) in zip(chance, highest, masks)]
+        if masks:
+            which = np.repeat(np.arange(len(masks)), [len(h) for h in hit])
+            parts = np.split(hashed(pick, keys, which, np.concatenate(hit)), np.cumsum([len(h) for h in hit])[:-1])
+        for m, (i, seed) in enumerate(masks):
+            d = np.floor(parts[m] * float(sizes[i] - 1)).astype(np.int64)
+            other[i, seed] = m, hit[m], d + (d >= own[order.index(i)][hit[m]])
+        out = np.empty((len(picked), len(keys)), np.int32)
+        for k, (i, p, seed) in enumerate(picked):
+            m, rows, new = other[i, seed]
+            out[k] = own[order.index(i)]
+            now = chance[m][rows] < p
+            out[k, rows[now]] = new[now]
+        out = out.T.ravel()
+        doubles = [pa.array(np.ascontiguousarray(x.T).ravel()) for x in (u[: len(normal)], u[len(normal) : 2 * len(normal)])]
+        arrays = [*zip(doubles, [len(normal)] * 2), (pa.array(out, mask=out < 0), len(picked))]
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n, pa.int32()), x) for x, n in arrays]
+        return pa.StructArray.from_arrays(lists, ["radius", "angle", "places"])
+
+    return draw
+
+
 def _text(types: dict[str, str], name: str):
     """Category as text, NULL where a floating value is not finite."""
     return finite(name).cast("string") if types[name] in ("double", "float") else F.col(name).cast("string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.draws import all_hashed, hashed, key_text
+from ledgerflow.functions.packed import Packed, code_type
 from ledgerflow.functions.ranks import number_rows
 from ledgerflow.functions.scalars import finite
 from ledgerflow.operators.profile import category_value
@@ -70,25 +72,35 @@ def corrupt_cases(
     return out.select(*[F.col(c) for c in keep], *columns)
 
 
-def corrupt_variants(
-    df: DataFrame, specs: Sequence[ColumnSpec], passports: DataFrame, cases: Sequence[tuple[str, float, float, int]],
-    key: Sequence[str], keep: Sequence[str] = (),
-) -> tuple[DataFrame, dict[tuple[str, str], str]]:
-    """(table, {(case, column): its column there}). A column's noise depends on its own strength and
-    the seed only, so cases that share both share the column: it is named ``case|column``
-    after the first of them. A draw is made once per seed, column and row, all draws of a batch
-    of rows together.
+@dataclass(frozen=True)
+class _Noise:
+    """A table with what noise on it needs, and what is drawn: ``strengths`` and ``chances`` name the cases
+    of each (strength or probability, seed)."""
 
-    A category's observed values are one array of a one-row table, by value; a replacement is
-    looked up there by its place. Columns of more than ARRAY_VALUES values are joined instead: to
-    their own place once, and to the drawn one per variant, where rows without a draw are spread
-    over keys that match nothing. A case without noise reads neither. Numeric noise that
-    overflows raises."""
+    out: DataFrame
+    nums: list[tuple[int, ColumnSpec]]
+    cats: list[tuple[int, ColumnSpec]]
+    strengths: dict[tuple, list[str]]
+    chances: dict[tuple, list[str]]
+    sizes: dict[str, int]
+    large: set[int]
+    book: DataFrame | None
+    normal: dict[tuple[int, int], int]
+    picked: list[tuple[int, float, int]]
+
+    def place(self, i: int):
+        """Place of a row's value among those of the category in column ``i``."""
+        name = dict(self.cats)[i].name
+        return (F.col(f"_own{i}") if i in self.large else F.array_position(F.col(f"_values.{name}"), F.col(f"_text{i}")) - 1).cast("int")
+
+
+def _prepared(
+    df: DataFrame, specs: Sequence[ColumnSpec], passports: DataFrame, cases: Sequence[tuple[str, float, float, int]], key: Sequence[str], listed: bool = False,
+) -> _Noise:
+    """``listed``: the values of the categories are wanted even if no case replaces any."""
     for _, numeric_noise, category_noise, seed in cases:
         _check(numeric_noise, category_noise, seed)
     out, types = df, dict(df.dtypes)
-    columns: list = [F.col(c) for c in keep]
-    own: dict[tuple[str, str], str] = {}
     nums = [(i, s) for i, s in enumerate(specs) if s.kind == "numeric"]
     cats = [(i, s) for i, s in enumerate(specs) if s.kind == "categorical"]
     # (strength, seed) -> the cases that have it; without noise the seed makes no difference
@@ -98,25 +110,22 @@ def corrupt_variants(
         strengths.setdefault((lam, seed if lam > 0 else None), []).append(name)
         chances.setdefault((p, seed if p > 0 else None), []).append(name)
 
-    def shared(names: list[str], column: str) -> str:
-        own.update({(n, column): case_column(names[0], column) for n in names})
-        return case_column(names[0], column)
-
     if nums and any(lam > 0 for lam, _ in strengths):
         continuous = (F.col("kind") == "numeric") & (F.col("numeric_subtype") == "continuous")
         # one value per numeric column
         scale = F.struct(*[F.max(F.when(continuous & (F.col("column") == s.name), F.col("quantile_scale"))).alias(s.name) for _, s in nums])
         out = attach_row(out, materialise(passports.agg(scale.alias("_scale"))))
     sizes: dict[str, int] = {}
-    if cats and any(p > 0 for p, _ in chances):
+    book = None
+    if cats and (listed or any(p > 0 for p, _ in chances)):
         cells = F.array(*[F.struct(F.lit(s.name).alias("column"), category_value(df, s.name).alias("value")) for _, s in cats])
         seen = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
         book = materialise(number_rows(seen, ["column"], [F.asc("value")], "position"))
         sizes = {r["column"]: r["n"] for r in book.groupBy("column").agg(F.max("position").alias("n")).collect()}
         small = [s.name for _, s in cats if sizes.get(s.name, 0) <= ARRAY_VALUES]
-        listed = book.where(F.col("column").isin(small)).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("position", "value")))["value"].alias("_v"))
+        lists = book.where(F.col("column").isin(small)).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("position", "value")))["value"].alias("_v"))
         if small:
-            out = attach_row(out, materialise(listed.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("_v"))).alias(c) for c in small]).alias("_values"))))
+            out = attach_row(out, materialise(lists.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("_v"))).alias(c) for c in small]).alias("_values"))))
     large = {i for i, s in cats if sizes.get(s.name, 0) > ARRAY_VALUES}
     # numbers become text once
     out = out.withColumns({f"_text{i}": _text(types, s.name) for i, s in cats}) if cats else out
@@ -127,33 +136,61 @@ def corrupt_variants(
     noisy_seeds = list(dict.fromkeys(seed for lam, seed in strengths if lam > 0))
     normal = {(i, seed): k for k, (i, seed) in enumerate((i, seed) for i, _ in nums for seed in noisy_seeds)}
     picked = [(i, p, seed) for p, seed in chances if p > 0 for i, s in cats if sizes.get(s.name, 0) > 1]
-    if normal or picked:
-        places = {i: F.col(f"_own{i}") if i in large else F.array_position(F.col(f"_values.{s.name}"), F.col(f"_text{i}")) - 1 for i, s in cats if sizes.get(s.name, 0) > 1}
-        order = sorted({i for i, _, _ in picked})
-        draw = _drawer(list(normal), picked, order, {i: sizes[s.name] for i, s in cats if i in order})
-        out = out.withColumn("_drawn", draw(key_text(*key), F.array(*[places[i].cast("int") for i in order]).cast("array<int>")))
-    if normal:
-        pairs = [(F.get("_drawn.radius", F.lit(k)), F.get("_drawn.angle", F.lit(k))) for k in range(len(normal))]
-        out = out.withColumn("_normal", F.array(*[F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - r)) * F.cos(F.lit(2.0 * math.pi) * a) for r, a in pairs]))
-    at = {x: k for k, x in enumerate(picked)}
-    for (lam, seed), names in strengths.items():
-        for i, s in nums:
+    return _Noise(out, nums, cats, strengths, chances, sizes, large, book, normal, picked)
+
+
+def _normal_draws():
+    """Normal draws from the uniform ones."""
+    return F.zip_with("_drawn.radius", "_drawn.angle", lambda r, a: F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - r)) * F.cos(F.lit(2.0 * math.pi) * a))
+
+
+def corrupt_variants(
+    df: DataFrame, specs: Sequence[ColumnSpec], passports: DataFrame, cases: Sequence[tuple[str, float, float, int]],
+    key: Sequence[str], keep: Sequence[str] = (),
+) -> tuple[DataFrame, dict[tuple[str, str], str]]:
+    """(table, {(case, column): its column there}). A column's noise depends on its own strength and
+    the seed only, so cases that share both share the column: it is named ``case|column``
+    after the first of them. A draw is made once per seed, column and row, all draws of a batch
+    of rows together.
+
+    A category's observed values are one array of a one-row table, by value; a replacement is
+    looked up there by its place. Columns of more than ARRAY_VALUES values are joined instead: to
+    their own place once, and to the drawn one per variant, where rows without a draw are spread
+    over keys that match nothing. A case without noise reads neither. Numeric noise that
+    overflows raises."""
+    g = _prepared(df, specs, passports, cases, key)
+    out, columns = g.out, [F.col(c) for c in keep]
+    own: dict[tuple[str, str], str] = {}
+
+    def shared(names: list[str], column: str) -> str:
+        own.update({(n, column): case_column(names[0], column) for n in names})
+        return case_column(names[0], column)
+
+    if g.normal or g.picked:
+        order = sorted({i for i, _, _ in g.picked})
+        draw = _drawer(list(g.normal), g.picked, order, {i: g.sizes[specs[i].name] for i in order})
+        out = out.withColumn("_drawn", draw(key_text(*key), F.array(*[g.place(i) for i in order]).cast("array<int>")))
+    if g.normal:
+        out = out.withColumn("_normal", _normal_draws())
+    at = {x: k for k, x in enumerate(g.picked)}
+    for (lam, seed), names in g.strengths.items():
+        for i, s in g.nums:
             new = F.col(s.name)
             if lam > 0:
                 v = finite(s.name)
                 width = F.coalesce(F.col(f"_scale.{s.name}"), F.lit(0.0))
-                noisy = F.col(s.name) + F.lit(lam) * width * F.get("_normal", F.lit(normal[i, seed]))
+                noisy = F.col(s.name) + F.lit(lam) * width * F.get("_normal", F.lit(g.normal[i, seed]))
                 over = F.raise_error(F.lit(f"numeric noise overflows in {s.name}")).cast("double")
                 noisy = F.when(finite(noisy).isNull(), over).otherwise(noisy)
                 new = F.when(v.isNotNull() & (v != 0) & (width != 0), noisy).otherwise(F.col(s.name))
             columns.append(new.alias(shared(names, s.name)))
-    for variant, ((p, seed), names) in enumerate(chances.items()):
-        for i, s in cats:
+    for variant, ((p, seed), names) in enumerate(g.chances.items()):
+        for i, s in g.cats:
             new = value = F.col(f"_text{i}")
-            if p > 0 and sizes.get(s.name, 0) > 1:
+            if p > 0 and g.sizes.get(s.name, 0) > 1:
                 place = F.get("_drawn.places", F.lit(at[i, p, seed]))
-                if i in large:
-                    other = book.where(F.col("column") == s.name).select((F.col("position") - 1).alias("_place"), F.col("value").alias(f"_new{i}_{variant}"))
+                if i in g.large:
+                    other = g.book.where(F.col("column") == s.name).select((F.col("position") - 1).alias("_place"), F.col("value").alias(f"_new{i}_{variant}"))
                     spread = F.lit(-1) - F.pmod(F.xxhash64(*key), F.lit(1 << 20))
                     out = out.withColumn("_to", F.when(place != F.col(f"_own{i}"), place).otherwise(spread)).join(other, F.col("_to") == F.col("_place"), "left").drop("_to", "_place")
                     new = F.coalesce(f"_new{i}_{variant}", value)
@@ -167,40 +204,123 @@ def _drawer(normal: Sequence[tuple[int, int]], picked: Sequence[tuple[int, float
     """Function of (key text, places of the values of the categories ``order``) that gives the uniform
     draws of ``normal`` (column, seed), and for each of ``picked`` (column, probability, seed) the
     place of the value that stands there afterwards, NULL for none."""
-    masks = list(dict.fromkeys((i, seed) for i, _, seed in picked))
-    highest = [max(p for j, p, s in picked if (j, s) == m) for m in masks]
-    radius, angle, mask, pick = (
-        [f"{seed}:{i}:{part}" for i, seed in of] for of, part in ((normal, "radius"), (normal, "angle"), (masks, "mask"), (masks, "pick"))
-    )
+    places_of = _replaced(picked, order, sizes)
+    radius, angle = ([f"{seed}:{i}:{part}" for i, seed in normal] for part in ("radius", "angle"))
 
     @F.arrow_udf("struct<radius: array<double>, angle: array<double>, places: array<int>>")
     def draw(keys: pa.Array, places: pa.Array) -> pa.Array:
-        u = all_hashed([*radius, *angle, *mask], keys)
+        u = all_hashed([*radius, *angle], keys)
         own = np.asarray(places.flatten().fill_null(-1), np.int64).reshape(len(keys), len(order)).T
-        chance = u[2 * len(normal):]
-        other = {}  # only values that some probability replaces are drawn
-        hit = [np.flatnonzero((c < p) & (own[order.index(i)] >= 0)) for c, p, (i, _) in zip(chance, highest, masks)]
-        if masks:
-            which = np.repeat(np.arange(len(masks)), [len(h) for h in hit])
-            parts = np.split(hashed(pick, keys, which, np.concatenate(hit)), np.cumsum([len(h) for h in hit])[:-1])
-        for m, (i, seed) in enumerate(masks):
-            d = np.floor(parts[m] * float(sizes[i] - 1)).astype(np.int64)
-            other[i, seed] = m, hit[m], d + (d >= own[order.index(i)][hit[m]])
-        out = np.empty((len(picked), len(keys)), np.int32)
-        for k, (i, p, seed) in enumerate(picked):
-            m, rows, new = other[i, seed]
-            out[k] = own[order.index(i)]
-            now = chance[m][rows] < p
-            out[k, rows[now]] = new[now]
-        out = out.T.ravel()
-        doubles = [pa.array(np.ascontiguousarray(x.T).ravel()) for x in (u[: len(normal)], u[len(normal) : 2 * len(normal)])]
+        out = places_of(keys, own).T.ravel().astype(np.int32)
+        doubles = [pa.array(np.ascontiguousarray(x.T).ravel()) for x in (u[: len(normal)], u[len(normal) :])]
         arrays = [*zip(doubles, [len(normal)] * 2), (pa.array(out, mask=out < 0), len(picked))]
-        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n, pa.int32()), x) for x, n in arrays]
-        return pa.StructArray.from_arrays(lists, ["radius", "angle", "places"])
+        return pa.StructArray.from_arrays([_lists(x, n, len(keys)) for x, n in arrays], ["radius", "angle", "places"])
 
     return draw
 
 
+def _lists(values: pa.Array, n: int, rows: int) -> pa.Array:
+    """Lists of ``n`` values each."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * n, pa.int32()), values)
+
+
+def _replaced(picked: Sequence[tuple[int, float, int]], order: Sequence[int], sizes: dict[int, int]):
+    """Function of key texts and, by category of ``order``, the places of a batch's values (-1: none): for each
+    of ``picked`` (column, probability, seed) the places of the values that stand there afterwards."""
+    masks = list(dict.fromkeys((i, seed) for i, _, seed in picked))
+    highest = [max(p for j, p, s in picked if (j, s) == m) for m in masks]
+    mask, pick = ([f"{seed}:{i}:{part}" for i, seed in masks] for part in ("mask", "pick"))
+    at = {i: k for k, i in enumerate(order)}
+
+    def places(keys: pa.Array, own: np.ndarray) -> np.ndarray:
+        out = np.empty((len(picked), len(keys)), np.int64)
+        if not picked:
+            return out
+        chance = all_hashed(mask, keys)
+        # only values that some probability replaces are drawn
+        hit = [np.flatnonzero((c < p) & (own[at[i]] >= 0)) for c, p, (i, _) in zip(chance, highest, masks)]
+        which = np.repeat(np.arange(len(masks)), [len(h) for h in hit])
+        parts = np.split(hashed(pick, keys, which, np.concatenate(hit)), np.cumsum([len(h) for h in hit])[:-1])
+        new = {}
+        for (i, seed), rows, u, c in zip(masks, hit, parts, chance):
+            d = np.floor(u * float(sizes[i] - 1)).astype(np.int64)
+            new[i, seed] = rows, d + (d >= own[at[i]][rows]), c[rows]
+        for k, (i, p, seed) in enumerate(picked):
+            rows, other, c = new[i, seed]
+            out[k] = own[at[i]]
+            out[k, rows[c < p]] = other[c < p]
+        return out
+
+    return places
+
+
+def packed_variants(
+    df: DataFrame, specs: Sequence[ColumnSpec], passports: DataFrame, cases: Sequence[tuple[str, float, float, int]], key: Sequence[str],
+) -> tuple[Packed, dict[tuple[str, str], str]]:
+    """``corrupt_variants`` as codes: every category is a place among its values, all of a row's codes are one
+    binary value and all its numerics one array. The columns are many, and as columns
+    they would cost more than the noise; a replacement needs no join at any number of values."""
+    g = _prepared(df, specs, passports, cases, key, listed=True)
+    order, nums = [i for i, _ in g.cats], [s.name for _, s in g.nums]
+    out = g.out
+    if g.normal:
+        nothing = F.array().cast("array<int>")
+        out = out.withColumn("_drawn", _drawer(list(g.normal), [], [], {})(key_text(*key), nothing)).withColumn("_normal", _normal_draws())
+        normal, width = F.col("_normal"), F.array(*[F.col(f"_scale.{c}") for c in nums])
+    else:
+        normal = width = F.array().cast("array<double>")
+    places = F.array(*[g.place(i) for i in order]).cast("array<int>")
+    out = out.select(key_text(*key).alias("key"), places.alias("places"), normal.alias("normal"), width.alias("width"), F.array(*[F.col(c).cast("double") for c in nums]).cast("array<double>").alias("values"))
+    cats = [(x, i) for x in g.chances for i in order]
+    numbers = [(x, n) for x in g.strengths for n in range(len(nums))]
+    at = {x: k for k, x in enumerate(g.picked)}
+    places_of = _replaced(g.picked, order, {i: g.sizes[specs[i].name] for i, _, _ in g.picked})
+    type_ = code_type(max(g.sizes.values(), default=0))
+    draws, index = g.normal, [i for i, _ in g.nums]
+    widths = len(nums) if draws else 0
+
+    def table(column: pa.Array, n: int, missing, kind) -> np.ndarray:
+        return np.asarray(column.flatten().fill_null(missing), kind).reshape(len(column), n).T
+
+    def packed(batches):
+        for batch in batches:
+            n = batch.num_rows
+            keys, own = batch.column("key"), table(batch.column("places"), len(order), -1, np.int64)
+            picked = places_of(keys, own)
+            codes = np.empty((n, len(cats)), type_)
+            for k, ((p, seed), i) in enumerate(cats):
+                codes[:, k] = (picked[at[i, p, seed]] if (i, p, seed) in at else own[order.index(i)]) + 1
+            normal, width = (table(batch.column(c), k, 0.0, np.float64) for c, k in (("normal", len(draws)), ("width", widths)))
+            plain = batch.column("values").flatten()
+            missing = np.asarray(plain.is_null()).reshape(n, len(nums)).T
+            plain = table(batch.column("values"), len(nums), 0.0, np.float64)
+            values = np.empty((n, len(numbers)))
+            gone = np.empty((n, len(numbers)), bool)
+            for k, ((lam, seed), j) in enumerate(numbers):
+                v = plain[j]
+                if lam > 0:
+                    noisy = v + lam * width[j] * normal[draws[index[j], seed]]
+                    moved = np.isfinite(v) & (v != 0) & (width[j] != 0)
+                    if not np.isfinite(noisy[moved]).all():
+                        raise ValueError(f"numeric noise overflows in {nums[j]}")
+                    v = np.where(moved, noisy, v)
+                values[:, k], gone[:, k] = v, missing[j]
+            ends = np.arange(n + 1, dtype=np.int32) * codes.itemsize * len(cats)
+            binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(codes.tobytes())])
+            lists = _lists(pa.array(values.ravel(), mask=gone.ravel()), len(numbers), n)
+            yield pa.RecordBatch.from_arrays([binary, lists], ["codes", "values"])
+
+    own_names: dict[tuple[str, str], str] = {}
+    for names, some in ((g.strengths, g.nums), (g.chances, g.cats)):
+        for x in names.values():
+            own_names.update({(n, s.name): case_column(x[0], s.name) for n in x for _, s in some})
+    by_index = dict(enumerate(specs))
+    return Packed(
+        out.mapInArrow(packed, "codes binary, values array<double>"), [(case_column(g.chances[x][0], by_index[i].name), by_index[i].name) for x, i in cats],
+        [case_column(g.strengths[x][0], nums[n]) for x, n in numbers], type_, g.sizes, g.book,
+    ), own_names
+
+
 def _text(types: dict[str, str], name: str):
     """Category as text, NULL where a floating value is not finite."""
     return finite(name).cast("string") if types[name] in ("double", "float") else F.col(name).cast("string")

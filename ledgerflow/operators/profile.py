@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerflow.functions.packed import Packed, unpacked
 from ledgerflow.functions.ranks import exact_quantiles, running_totals, value_bucketed
 from ledgerflow.functions.scalars import count_edges_at_most, finite
 from ledgerflow.schema import ColumnSpec
@@ -418,6 +419,49 @@ def value_pair_counts(df: DataFrame, specs: Sequence[ColumnSpec], books: dict[st
     return _merged_cells(df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)]).mapInArrow(counted, _CELLS), pairs)
 
 
+def packed_pair_counts(table: Packed, books: dict[str, list], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``value_pair_counts`` of packed columns; the book of a category has positions."""
+    names, cats = [*[c for c, _ in table.categories], *table.numbers], len(table.categories)
+    places, own = _places(names, pairs), [books.get(c, []) for c in names]
+    width = max(len(b) for b in own) + 2
+    type_, dense = table.type, table.type != "<u4"
+    tables = []
+    for k, (_, c) in enumerate(table.categories):
+        order = np.argsort(own[k], kind="stable")
+        if dense:  # a code's place by code
+            book = np.full(table.sizes.get(c, 0) + 1, 1, np.int64)
+            book[0] = 0
+            book[np.asarray(own[k], np.int64)] = np.arange(len(own[k])) + 2
+            tables.append(book)
+        else:
+            tables.append((np.asarray(own[k], np.int64)[order], order + 2))
+
+    def code(k, codes):
+        if dense:
+            return tables[k][codes]
+        values, place = tables[k]
+        at = np.searchsorted(values, codes)
+        found = values[np.minimum(at, len(values) - 1)] == codes if len(values) else np.zeros(len(codes), bool)
+        return np.where(codes == 0, 0, np.where(found, place[np.minimum(at, len(place) - 1)] if len(place) else 1, 1))
+
+    def counted(batches):
+        sums = np.zeros((len(places), width * width), np.int64)
+        for batch in batches:
+            codes, n = unpacked(batch.column(0), type_, cats), batch.num_rows
+            values = np.asarray(batch.column(1).flatten().fill_null(np.nan), np.float64).reshape(n, len(names) - cats)
+            cols = [code(k, codes[:, k]) for k in range(cats)]
+            for k in range(len(names) - cats):
+                v = np.ascontiguousarray(values[:, k])
+                cols.append(np.where(np.isfinite(v), np.searchsorted(np.asarray(own[cats + k], np.float64), v, side="right") + 1, 0))
+            scaled = [c * width for c in cols]
+            for k, (a, b) in enumerate(places):
+                sums[k] += np.bincount(scaled[a] + cols[b], minlength=width * width)
+        if sums.any():
+            yield _filled_cells(list(sums.reshape(len(places), width, width)))
+
+    return _merged_cells(table.rows.select("codes", "values").mapInArrow(counted, _CELLS), pairs)
+
+
 def dependency_matrix(
     df: DataFrame, specs: Sequence[ColumnSpec], bins: int = 10, max_categories: int = 64,
     min_pairs: int = 30, counts: DataFrame | None = None, pairs: Sequence[tuple[str, str]] | None = None,
@@ -548,7 +592,11 @@ def numeric_facts(df: DataFrame, specs: Sequence[ColumnSpec], levels: Sequence[f
     quantiles exact. Distinct values are told apart up to three, all that a subtype needs,
     so columns without repeated values are never grouped by value."""
     nums = [s.name for s in specs if s.kind == "numeric"]
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("at"), finite(c).alias("d")) for i, c in enumerate(nums)])))
+    return _facts_of_cells(df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("at"), finite(c).alias("d")) for i, c in enumerate(nums)]))), nums, levels)
+
+
+def _facts_of_cells(cells: DataFrame, nums: Sequence[str], levels: Sequence[float]) -> DataFrame:
+    """``numeric_facts`` of (at, d), the finite values of column ``nums[at]``."""
     d = F.col("d")
     facts = materialise(cells.groupBy("at").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(d).alias("n_valid"), F.min(d).alias("min"), F.max(d).alias("max"),
@@ -571,19 +619,38 @@ def matching_source(
     numerics come from one set of exact quantiles."""
     names, kinds = [s.name for s in specs], {s.kind for s in specs}
     wanted = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]] if pairs is None else list(pairs)
+    counts = materialise(category_counts(df, specs)) if "categorical" in kinds else None
+    facts = (lambda levels: numeric_facts(df, specs, levels)) if "numeric" in kinds else None
+    out, books = _matching_passports(counts, facts, value_lists, bins, max_categories)
+    return out, _dependences(value_pair_counts(df, specs, books, wanted), wanted, min_pairs)
+
+
+def packed_source(
+    table: Packed, pairs: Sequence[tuple[str, str]], bins: int = 10, max_categories: int = 64, min_pairs: int = 30,
+) -> tuple[DataFrame, DataFrame]:
+    """``matching_source`` of packed columns."""
+    counts = materialise(table.category_counts()) if table.categories else None
+    cells = table.numeric_cells().select("at", finite("d").alias("d"))
+    facts = (lambda levels: _facts_of_cells(cells, table.numbers, levels)) if table.numbers else None
+    out, books = _matching_passports(counts, facts, table.positions, bins, max_categories)
+    return out, _dependences(packed_pair_counts(table, books, pairs), pairs, min_pairs)
+
+
+def _matching_passports(counts, facts, listed, bins: int, max_categories: int) -> tuple[DataFrame, dict[str, list]]:
+    """Passports and code books from value counts of the categories, ``facts`` of the numerics for given
+    levels, and ``listed``, which makes lists of kept categories."""
     parts, books = [], {}
-    if "categorical" in kinds:
-        counts = materialise(category_counts(df, specs))
+    if counts is not None:
         stats = _statistics(counts).withColumn("_top3", F.lit(None).cast("bigint"))
         blank = [F.lit(None).cast("double").alias("zero_share"), F.lit(None).cast("array<double>").alias("quantiles")]
         entropy, top1, _ = _categorical_fields()
         bounds = [F.lit(None).cast("double").alias(c) for c in ("min", "max")]
         parts.append(stats.select("column", "kind", "n_rows", "n_valid", "n_unique", _shares()[0], entropy, top1, *blank, *bounds))
-        books |= value_lists(kept_categories(counts, max_categories))
-    if "numeric" in kinds:
+        books |= listed(kept_categories(counts, max_categories))
+    if facts is not None:
         steps = [i / bins for i in range(bins + 1)]
         levels = sorted({*QUANTILE_LEVELS, *steps})
-        facts = materialise(numeric_facts(df, specs, levels))
+        facts = materialise(facts(levels))
         at = lambda some: F.array(*[F.get("quantiles", F.lit(levels.index(q))) for q in some])
         valid = F.col("quantiles").isNotNull()
         blank = [F.lit(None).cast("double").alias(c) for c in ("entropy_norm", "top1_share")]
@@ -593,7 +660,7 @@ def matching_source(
     out = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
     out = out.select(
         "column", "kind", "n_rows", "n_valid", "n_unique", "null_share", "entropy_norm", "top1_share", "min", "max", "zero_share", *_numeric_fields())
-    return materialise(out), _dependences(value_pair_counts(df, specs, books, wanted), wanted, min_pairs)
+    return materialise(out), books
 
 
 # -- rank correlation ------------------------------------------------------------------

@@ -49,17 +49,15 @@ def case_problems(
     df: DataFrame, specs: Sequence[ColumnSpec], names: dict[str, str], key: Sequence[str], cases: Sequence[tuple[str, float, float, int]]
 ) -> DataFrame:
     """One matching problem per noisy copy of ``df`` against itself; a copy's column c is named
-    ``names[c]``. All copies are columns of one table, each distinct one once, so they are
-    corrupted in one projection, profiled together and paired in one pass. Passports and
+    ``names[c]``. All copies are columns of one table, each distinct one once, packed into two, so they
+    are corrupted in one pass, profiled together and paired in one pass. Passports and
     dependences of shared columns are handed out to the copies afterwards."""
     df = materialise(df)
     clean, dependency = profile.matching_source(df, specs)
-    wide, own = noise.corrupt_variants(df, specs, clean, cases, key)
-    wide = materialise(wide)
-    kinds = {own[c[0], s.name]: s.kind for c in cases for s in specs}
+    wide, own = noise.packed_variants(df, specs, clean, cases, key)
     plain = [s.name for s in specs]
     pairs = dict.fromkeys((own[c[0], a], own[c[0], b]) for c in cases for i, a in enumerate(plain) for b in plain[i + 1:])
-    passports, dependencies = profile.matching_source(wide, [ColumnSpec(c, k) for c, k in kinds.items()], pairs=list(pairs))
+    passports, dependencies = profile.packed_source(wide.materialised(), list(pairs))
     spark = df.sparkSession
     # one row per case and column, or pair of columns
     owners = spark.createDataFrame([(own[c[0], n], c[0], names[n]) for c in cases for n in plain], "source string, case string, name string")
